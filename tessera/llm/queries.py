@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .mixing import op1_mixing
+from .packing import op10_packing
 from .sharding import op6_sharding
 from .urlfilter import OP5_SQL, op5_url_filter
 
-QUERIES = {f.__name__: f for f in (op5_url_filter, op6_sharding)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op5_url_filter, op6_sharding, op10_packing)}
 SQL = {"op5_url_filter": OP5_SQL}
