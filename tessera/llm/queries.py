@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .jpeg import op4_progressive_jpeg
 from .mixing import op1_mixing
 from .packing import op10_packing
 from .sharding import op6_sharding
+from .topk import OP3_SQL, op3_exact_topk
 from .urlfilter import OP5_SQL, op5_url_filter
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op5_url_filter, op6_sharding, op10_packing)}
-SQL = {"op5_url_filter": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_exact_topk, op4_progressive_jpeg, op5_url_filter, op6_sharding, op10_packing)}
+SQL = {"op3_exact_topk": OP3_SQL, "op5_url_filter": OP5_SQL}
