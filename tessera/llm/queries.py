@@ -8,6 +8,7 @@ from .packing import op10_packing
 from .sharding import op6_sharding
 from .topk import OP3_SQL, op3_exact_topk
 from .urlfilter import OP5_SQL, op5_url_filter
+from .warc import op2_warc
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_exact_topk, op4_progressive_jpeg, op5_url_filter, op6_sharding, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_warc, op3_exact_topk, op4_progressive_jpeg, op5_url_filter, op6_sharding, op10_packing)}
 SQL = {"op3_exact_topk": OP3_SQL, "op5_url_filter": OP5_SQL}
