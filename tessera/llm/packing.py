@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterable
 
@@ -37,7 +38,7 @@ _OPEN: dict[str, WordTokenizer] = {}
 class WordTokenizer:
     """Ids of whole texts. A tokenizer that splits into lower-case words is asked once for each word it meets; any other, or any text with unusual characters, is run as it is."""
 
-    def __init__(self, path: str, most_words: int = 300_000):
+    def __init__(self, path: str, most_words: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -51,7 +52,8 @@ class WordTokenizer:
         self.specials = [x["content"] for x in made.get("added_tokens", [])]
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.whole.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -69,7 +71,7 @@ class WordTokenizer:
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
             for w, e in zip(some, self.whole.encode_batch(some, add_special_tokens=False), strict=True):
-                found[w] = np.array(e.ids, dtype="<u4").tobytes()
+                found[w] = struct.pack(f"<{len(e)}I", *e.ids)
         return b"".join(map(found.__getitem__, words))
 
 
@@ -120,8 +122,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
             for low in range(0, batch.num_rows, 512):
                 few = batch.slice(low, 512)
                 at, out, ids = [], [], []
-                for i, t in enumerate(few.column(1)):
-                    all_ids = encode(t.as_py() or "") + end
+                for i, t in enumerate(few.column(1).to_pylist()):
+                    all_ids = encode(t or "") + end
                     row += 1
                     salt = zlib.crc32(b"%d %d" % (part, row))
                     for start in range(0, len(all_ids), step):
