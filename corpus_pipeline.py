@@ -16,16 +16,21 @@ from tessera.llm.common import fresh_dir, table
 LEAST_QUALITY = 0.5
 
 
+def _with_row(docs: DataFrame) -> DataFrame:
+    """All columns in one struct, so none clashes with what an operator adds."""
+    return docs.select(F.struct("*").alias("_row"), "text")
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages stay; those without a letter (``und``) go."""
-    found = langid.identify(docs, langid.train(docs), docs.columns)
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    found = langid.identify(_with_row(docs), langid.train(docs), ["_row"])
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select("_row.*")
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, docs.columns).where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    return quality.score(_with_row(docs), model, ["_row"]).where(F.col("score") >= LEAST_QUALITY).select("_row.*")
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,11 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return name
 
 
+def schema_of(df: DataFrame, kept: list[str], spec: str) -> T.StructType:
+    """The schema of some of a frame's columns and more given as text, whatever the columns' names."""
+    return T.StructType([df.schema[c] for c in kept] + T.StructType.fromDDL(spec).fields)
+
+
 def held_out(doc_id: Column | str, remainder: int = 2, of: int = 4) -> Column:
     """Whether crc32(doc_id as text) falls in the held-out fold; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % of == remainder, F.lit(False))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import held_out, table
+from .common import held_out, schema_of, table
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -105,7 +105,6 @@ def train(docs: DataFrame, per_language: int = 400, sample: int = 2000, longest:
 def identify(docs: DataFrame, model: Model, kept: list[str], text: str = "text") -> DataFrame:
     """The kept columns with lang_pred and score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches):
         model = sent.value
@@ -121,7 +120,7 @@ def identify(docs: DataFrame, model: Model, kept: list[str], text: str = "text")
                         names[i], scores[i] = model.languages[b], float(s)
                 yield pa.RecordBatch.from_arrays([*few.columns[1:], pa.array(names), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
-    return docs.select(F.col(text).alias("_text"), *kept).mapInArrow(run, schema + ", lang_pred string, score double")
+    return docs.select(F.col(text).alias("_text"), *kept).mapInArrow(run, schema_of(docs, kept, "lang_pred string, score double"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, schema_of, table
 
 #: Texts of these characters alone take the word cache; others go through the whole tokenizer.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿŒœ]*")
@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     step = 4 * capacity
     fields = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("salt", pa.int64())]
 
-    def cut(batches):
+    def pieces_of(batches):
         encode, part = tokenizer(tokenizer_path), TaskContext.get().partitionId()
         row = 0
         for batch in batches:
@@ -135,15 +135,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
                 columns = [few.column(0).take(pa.array(at, pa.int64()))] + [pa.array(c, k) for c, (_, k) in zip(zip(*out, strict=True), fields, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names=[doc_id, *[n for n, _ in fields], *["ids"] * with_ids])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(cut, f"{doc_id} {kind}, start long, length long, ids_crc32 long, doc_tokens long, salt long" + ", ids binary" * with_ids)
+    return docs.select(doc_id, text).mapInArrow(pieces_of, schema_of(docs, [doc_id], "start long, length long, ids_crc32 long, doc_tokens long, salt long" + ", ids binary" * with_ids))
 
 
 def pack(found: DataFrame, documents: int, capacity: int = 2048, per_group: int = 4096, doc_id: str = "doc_id") -> DataFrame:
     """Adds sequence_id and offset to pieces. documents: how many there are, which sets the number of groups."""
     groups = max(1, -(-documents // per_group))
     kept = [c for c in found.columns if c != "salt"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema if f.name != "salt")
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         base = int(group["_group"].iloc[0]) << 32
@@ -153,7 +151,7 @@ def pack(found: DataFrame, documents: int, capacity: int = 2048, per_group: int
 
     full = found.where(F.col("length") >= capacity)
     rest = found.where(F.col("length") < capacity).withColumn("_group", F.pmod(F.xxhash64(doc_id, "salt"), F.lit(groups)))
-    packed = rest.groupBy("_group").applyInPandas(fill, schema + ", sequence_id long, offset long")
+    packed = rest.groupBy("_group").applyInPandas(fill, schema_of(found, kept, "sequence_id long, offset long"))
     # A full piece is a sequence of its own; its id lies apart from those of the groups.
     alone = full.select(*kept, (F.monotonically_increasing_id() + F.lit(groups) * F.lit(1 << 32)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(alone)
@@ -166,8 +164,6 @@ def word_bpe() -> str:
 
 
 def packed(docs: DataFrame, tokenizer_path: str | None = None, **options) -> DataFrame:
-    from .common import cut
-
     found = cut(pieces(docs, tokenizer_path or word_bpe(), **options))  # two branches read it
     return pack(found, found.where("start = 0").count())
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, schema_of, table
 
 ROWS = 1 << 16
 ORDERS = (3, 4, 5)
@@ -119,7 +119,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, longest: int =
 def score(docs: DataFrame, model: Model, kept: list[str], text: str = "text") -> DataFrame:
     """The kept columns with score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches):
         model = sent.value
@@ -129,7 +128,7 @@ def score(docs: DataFrame, model: Model, kept: list[str], text: str = "text") ->
                 scores = [model.score(t or "") for t in few.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*few.columns[1:], pa.array(scores, pa.float64())], names=[*kept, "score"])
 
-    return docs.select(F.col(text).alias("_text"), *kept).mapInArrow(run, schema + ", score double")
+    return docs.select(F.col(text).alias("_text"), *kept).mapInArrow(run, schema_of(docs, kept, "score double"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ The driver sees sampled keys, heavy keys and one row for each range: all bounded
 ranges, which is a fixed number for each shard or one for each million rows.
 
 Defined cases: a null text counts as an empty one; a null id is a value like others; repeated rows
-each get a slot; an empty table gives an empty result; other columns of the frame are kept, and
-names that clash with the added ones are an error.
+each get a slot; an empty table gives an empty result; other columns of the frame are kept, but
+columns named shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -24,9 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, table, unit
-
-ADDED = ("shard", "slot")
+from .common import cut, free_name, table, unit
 
 
 @dataclass(frozen=True)
@@ -97,27 +95,27 @@ def _locator(splitters: Splitters):
 
 
 def assign_shards(df: DataFrame, shards: int, size: str, key: str, ids: list[str], per_shard: int = 40, seed: int = 7) -> DataFrame:
-    """Adds shard and slot (gapless from 0 in each shard) to the rows. size: a long column of at least 1; key: a long column, equal for rows to be kept together; ids: columns that order the rows of a key."""
-    if clash := [c for c in ADDED if c in df.columns]:
-        raise ValueError(f"columns would be overwritten: {clash}")
+    """Adds shard and slot (gapless from 0 in each shard) to the rows. size: a long column of at least 1; key: a long column, equal for rows to be kept together; ids: columns that order the rows of a key. The rows are checkpointed, so pass what is needed to tell them apart rather than whole texts."""
+    df = df.drop("shard", "slot")
     spark = df.sparkSession
+    range_, second, from_ = (free_name(df, c) for c in ("_range", "_second", "_from"))
     weights = cut(df.groupBy(F.col(key).alias("k")).agg(F.sum(size).alias("w"), F.count("*").alias("n")))
     whole = weights.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()
     total, rows = whole["w"] or 0, whole["n"] or 0
     splitters = sampled_splitters(weights, total, max(shards * per_shard, rows // 1_000_000), seed=seed)
     #: Repeated rows that nothing tells apart still spread, by the input partition they are in.
-    second = unit(*[F.col(c) for c in ids], F.spark_partition_id(), F.lit(seed))
-    placed = df.withColumn("_second", second).withColumn("_range", _locator(splitters)(F.col(key), F.col("_second")))
-    held = sorted((r["_range"], r["w"], r["n"]) for r in placed.groupBy("_range").agg(F.sum(size).alias("w"), F.count("*").alias("n")).collect())
+    spread = unit(*[F.col(c) for c in ids], F.spark_partition_id(), F.lit(seed))
+    placed = cut(df.withColumn(second, spread).withColumn(range_, _locator(splitters)(F.col(key), F.col(second))))  # counted and numbered alike
+    held = sorted((r[range_], r["w"], r["n"]) for r in placed.groupBy(range_).agg(F.sum(size).alias("w"), F.count("*").alias("n")).collect())
     layout, before, filled = [], 0, [0] * shards
     for r, w, n in held:
         shard = min(shards - 1, (2 * before + w) * shards // (2 * total))
         layout.append((r, shard, filled[shard]))
         before += w
         filled[shard] += n
-    places = F.broadcast(spark.createDataFrame(layout, "_range long, shard int, _from long"))  # one row for each range
-    order = Window.partitionBy("_range").orderBy(key, *ids, "_second")
-    return placed.join(places, "_range").withColumn("slot", F.row_number().over(order).cast("long") - 1 + F.col("_from")).drop("_range", "_second", "_from")
+    places = F.broadcast(spark.createDataFrame(layout, f"{range_} long, shard int, {from_} long"))  # one row for each range
+    order = Window.partitionBy(range_).orderBy(key, *ids, second)
+    return placed.join(places, range_).withColumn("slot", F.row_number().over(order).cast("long") - 1 + F.col(from_)).drop(range_, second, from_)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
