@@ -41,7 +41,7 @@ def banding(threshold: float = 0.8, recall: float = 0.9995, most_hashes: int = 1
     """Bands and rows for each: the most rows (so the fewest chance meetings) whose bands reach the recall at the threshold within the number of hashes."""
     best = None
     for rows in range(1, 33):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+        bands = math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows)))
         if bands * rows <= most_hashes:
             best = (bands, rows)
     if best is None:
