@@ -1,6 +1,6 @@
 """All queries of the measurement operators."""
 
-from . import text_plans  # noqa: F401
+from . import corpus_plans, text_plans  # noqa: F401
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

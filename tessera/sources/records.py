@@ -141,6 +141,14 @@ def pair_first(fields: Sequence[str] = P.ID_FIELDS) -> list[str]:
     return list(dict.fromkeys([*P.PAIR_ID_FIELDS, *fields]))
 
 
+def _prefixed(values: Column, field: str) -> Column:
+    return F.transform_keys(values, lambda k, v: F.concat(F.lit(f"{field}."), k))
+
+
+def _without(values: Column, other: Column) -> Column:
+    return F.map_filter(values, lambda k, v: ~F.map_contains_key(other, k))
+
+
 def metadata(raw: Column, constant: Mapping[str, str] | None = None) -> Column:
     """Scalar members of the promoted fields, and of objects (or JSON text) in the JSON fields as field.key, as one map of text."""
     parts = [F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(f).alias("key"), F.when(~_is(raw, f"$.{f}", "OBJECT") & ~_is(raw, f"$.{f}", "ARRAY"), F.try_variant_get(raw, f"$.{f}", "string")).alias("value")) for f in P.METADATA_FIELDS]), lambda e: e["value"].isNotNull()))]
@@ -148,12 +156,12 @@ def metadata(raw: Column, constant: Mapping[str, str] | None = None) -> Column:
         found = F.coalesce(F.when(_is(raw, f"$.{f}", "OBJECT"), F.to_json(F.try_variant_get(raw, f"$.{f}", "variant"))), F.when(F.try_variant_get(raw, f"$.{f}", "string").rlike(r"^\s*\{"), F.try_variant_get(raw, f"$.{f}", "string")))
         members = F.from_json(found, "map<string,string>")
         scalars = F.map_filter(F.coalesce(members, F.create_map().cast("map<string,string>")), lambda k, v: v.isNotNull() & ~v.rlike(r"^[\[{]"))
-        parts.append(F.transform_keys(scalars, lambda k, v, f=f: F.concat(F.lit(f"{f}."), k)))
+        parts.append(_prefixed(scalars, f))
     if constant:
         parts.append(F.create_map(*[F.lit(x) for kv in constant.items() for x in kv]))
     out = parts[0]
     for more in parts[1:]:
-        out = F.map_concat(F.map_filter(out, lambda k, v, more=more: ~F.map_contains_key(more, k)), more)
+        out = F.map_concat(_without(out, more), more)
     return out
 
 
