@@ -201,8 +201,9 @@ def signed_log_ratio(a: Column, b: Column, epsilon: float = 1e-9) -> Column:
 
 
 def safe_ratio(a: Column, b: Column) -> Column:
-    """a / b; infinite for a positive a over 0, and 0 for 0 over 0."""
-    return F.when(b != 0, a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))).when(a > 0, F.lit(float("inf"))).when(a.isNotNull() & b.isNotNull(), F.lit(0.0))
+    """a / b; infinite for a positive a over 0, 0 for 0 over 0, null if either is."""
+    known = a.isNotNull() & b.isNotNull()
+    return F.when(known & (b != 0), a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))).when(known & (a > 0), F.lit(float("inf"))).when(known, F.lit(0.0))
 
 
 def safe_rate(a: Column, b: Column) -> Column:

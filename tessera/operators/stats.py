@@ -54,8 +54,8 @@ def average_rank(column: str, within: Sequence[str] = ()) -> Column:
 def spearman(df: DataFrame, a: str, b: str, within: Sequence[str] = ()) -> DataFrame:
     """Q9: rank correlation; null for fewer than two rows or no variance."""
     ranked = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_a", average_rank(a, within)).withColumn("_b", average_rank(b, within))
-    r = F.when((F.count("*") > 1) & (F.stddev_pop("_a") > 0) & (F.stddev_pop("_b") > 0), F.corr("_a", "_b"))
-    return ranked.groupBy(*within).agg(F.count("*").alias("n"), r.alias("spearman"))
+    out = ranked.groupBy(*within).agg(F.count("*").alias("n"), F.covar_pop("_a", "_b").alias("_c"), (F.stddev_pop("_a") * F.stddev_pop("_b")).alias("_s"))
+    return out.withColumn("spearman", F.when(F.col("n") > 1, F.col("_c") / F.nullif(F.col("_s"), F.lit(0.0)))).drop("_c", "_s")
 
 
 LOGIT = "logit_feature_coef double, logit_feature_se double, logit_feature_z double, logit_feature_odds_ratio double, logit_length_coef double, logit_iterations int, logit_converged boolean"

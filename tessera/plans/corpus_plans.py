@@ -12,13 +12,12 @@ from ..sources import records as R
 from ..sources import sinks
 from .base import PLAIN, TOKENS, query, sql_count, table
 
-T = F.col("text")
 
 
 def _census_features():
-    out = {n: text.count(T, P.flags(p)) for n, p in P.neutral("common").items()}
+    out = {n: text.count(F.col("text"), P.flags(p)) for n, p in P.neutral("common").items()}
     for family in ("stock_lexicon", "candidate_lexicon", "punctuation"):
-        out[family] = text.total(list(text.items(T, P.FAMILIES[family]).values()))
+        out[family] = text.total(list(text.items(F.col("text"), P.FAMILIES[family]).values()))
     return out
 
 
@@ -27,7 +26,7 @@ _CENSUS_FROM = "WITH f AS (SELECT source, lang, tokens, unnest([" + ", ".join(f"
 
 
 def census(spark, d):
-    return rates.census(table(spark, d, "documents"), ["source", "lang"], text.tokens(T), _census_features())
+    return rates.census(table(spark, d, "documents"), ["source", "lang"], text.tokens(F.col("text")), _census_features())
 
 
 @query("a01_census", _CENSUS_FROM + " SELECT source, lang, feature, count, docs, tokens, count * 1000.0::DOUBLE / greatest(tokens, 1) AS per_1k_tokens, count / greatest(docs, 1) AS per_doc FROM c")
@@ -47,7 +46,7 @@ def a10(spark, d):
 
 @query("a18_pattern_census", f"SELECT source, pattern, docs, tokens, hits, docs_with_hit, hits::DOUBLE * 1000.0::DOUBLE / greatest(tokens, 1) AS per_1k_tokens, docs_with_hit::DOUBLE / greatest(docs, 1) AS doc_prevalence FROM (SELECT source, u.p AS pattern, count(*) AS docs, sum(tokens)::BIGINT AS tokens, sum(u.n)::BIGINT AS hits, count(*) FILTER (WHERE u.n > 0) AS docs_with_hit FROM (SELECT source, tokens, unnest([{{'p': 'shout', 'n': len(regexp_extract_all(text, '!!'))}}, {{'p': 'pipe', 'n': len(regexp_extract_all(text, '\\|'))}}]) AS u FROM (SELECT source, text, {TOKENS} AS tokens FROM documents)) GROUP BY ALL)")
 def a18(spark, d):
-    return style.pattern_census(table(spark, d, "documents"), ["source"], T, text.tokens(T), {"shout": "!!", "pipe": r"\|"})
+    return style.pattern_census(table(spark, d, "documents"), ["source"], F.col("text"), text.tokens(F.col("text")), {"shout": "!!", "pipe": r"\|"})
 
 
 _W = "list_filter(string_split(lower(text), ' '), lambda t: regexp_full_match(t, '[a-z]+'))"
@@ -162,7 +161,7 @@ def n08(spark, d):
 @query("n09_measured_roles", "SELECT role, count(*) AS n, sum(len(text))::BIGINT AS chars, count(pair_id) AS paired FROM (SELECT unnest(CASE WHEN doc_id % 2 = 0 THEN [{'role': 'chosen', 'text': text, 'pair_id': doc_id::VARCHAR}, {'role': 'rejected', 'text': reverse(text), 'pair_id': doc_id::VARCHAR}] ELSE [{'role': 'text', 'text': text, 'pair_id': NULL}] END, recursive := true) FROM documents) GROUP BY role")
 def n09(spark, d):
     even = F.col("doc_id") % 2 == 0
-    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.when(even, T).alias("chosen"), F.when(even, F.reverse(T)).alias("rejected"), "text")
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.when(even, F.col("text")).alias("chosen"), F.when(even, F.reverse(F.col("text"))).alias("rejected"), "text")
     return R.measured(rows).groupBy("role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.count("pair_id").alias("paired"))
 
 
@@ -231,7 +230,7 @@ def f01(spark, d):
 
 @query("f02_english", "SELECT doc_id FROM documents WHERE lang = 'en'")
 def f02(spark, d):
-    return table(spark, d, "documents").where(R.english(F.col("lang"), T)).select("doc_id")
+    return table(spark, d, "documents").where(R.english(F.col("lang"), F.col("text"))).select("doc_id")
 
 
 @query("f05_longer_than", "SELECT doc_id FROM documents WHERE len(text) > 2000")
@@ -241,7 +240,7 @@ def f05(spark, d):
 
 @query("f09_word_range", r"SELECT doc_id FROM (SELECT doc_id, lang, text, len(list_filter(string_split_regex(text, '\s+'), lambda t: t <> '')) AS w FROM documents) WHERE w BETWEEN 50 AND 200 AND lang IN ('en', 'de') AND contains(text, 'the') AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
 def f09(spark, d):
-    docs = table(spark, d, "documents").where(text.words(T).between(50, 200) & F.col("lang").isin("en", "de") & (F.regexp_count(T, F.lit("the")) > 0))
+    docs = table(spark, d, "documents").where(text.words(F.col("text")).between(50, 200) & F.col("lang").isin("en", "de") & (F.regexp_count(F.col("text"), F.lit("the")) > 0))
     return docs.join(table(spark, d, "labels").where("quality = 0"), "doc_id", "left_anti").select("doc_id")
 
 
@@ -376,5 +375,5 @@ def k10(spark, d):
 
 @query("x12_hit_counts_by_feature")
 def x12_counts(spark, d):
-    found = table(spark, d, "documents").select(F.explode(spans.span_function()(T)).alias("h"))
+    found = table(spark, d, "documents").select(F.explode(spans.span_function()(F.col("text"))).alias("h"))
     return found.groupBy("h.feature", "h.subtype").agg(F.count("*").alias("n"))
