@@ -38,7 +38,7 @@ _OPEN: dict[str, WordTokenizer] = {}
 class WordTokenizer:
     """Ids of whole texts. A tokenizer that splits into lower-case words is asked once for each word it meets; any other, or any text with unusual characters, is run as it is."""
 
-    def __init__(self, path: str, most_words: int = 1_000_000):
+    def __init__(self, path: str, most_words: int = 700_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
