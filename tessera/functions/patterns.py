@@ -6,6 +6,9 @@ Patterns are in the syntax that Python and Java share; flags() adds what makes J
 
 from __future__ import annotations
 
+import re
+from functools import cache
+
 # Fixed values ------------------------------------------------------------
 
 #: Words in the Python sense: apostrophes inside, Unicode letters and digits.
@@ -214,3 +217,31 @@ def opportunity_specs() -> dict[str, tuple[str, tuple[str, ...]]]:
 def flags(pattern: str) -> str:
     """As Java must read a pattern that Python compiles with IGNORECASE, MULTILINE and UNICODE."""
     return "(?imdU)" + pattern.replace("(?P<", "(?<")
+
+
+@cache
+def needles(pattern: str) -> tuple[str, ...]:
+    """Texts of which any match must hold one, case-folded; none if the pattern demands no literal."""
+
+    def best(items) -> tuple[str, ...]:
+        found, run = [], ""
+        for op, arg in [*items, (None, None)]:
+            name = str(op)
+            if name == "LITERAL":
+                run += chr(arg)
+                continue
+            if name == "AT" or name == "ASSERT_NOT":
+                continue
+            if run:
+                found.append((run.casefold(),))
+                run = ""
+            if name == "SUBPATTERN":
+                found.append(best(arg[-1]))
+            elif name == "BRANCH":
+                each = [best(b) for b in arg[1]]
+                found.append(tuple(dict.fromkeys(n for b in each for n in b)) if all(each) else ())
+            elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+                found.append(best(arg[2]))
+        return max(filter(None, found), key=lambda f: min(map(len, f)), default=())
+
+    return best(re._parser.parse(pattern, re.I | re.M | re.U))

@@ -24,6 +24,19 @@ def compiled(pattern: str, multiline: bool = True) -> re.Pattern[str]:
     return re.compile(pattern, re.I | re.U | (re.M if multiline else 0))
 
 
+def fold(text: str) -> str:
+    """Case-folded, with the dotless i that IGNORECASE takes for an i."""
+    return text.casefold().replace("ı", "i")
+
+
+def matches(pattern: str, text: str, folded: str, multiline: bool = True) -> list[re.Match[str]]:
+    """All matches; a pattern whose literals the text lacks is not run at all."""
+    need = P.needles(pattern)
+    if need and not any(n in folded for n in need):
+        return []
+    return list(compiled(pattern, multiline).finditer(text))
+
+
 def code_line(text: str, offset: int, pipes_and_fences: bool) -> bool:
     """whether an offset lies on a line of code or data. The matcher also rejects fenced blocks and table lines."""
     if pipes_and_fences and text.count("```", 0, offset) % 2:
@@ -36,13 +49,14 @@ def code_line(text: str, offset: int, pipes_and_fences: bool) -> bool:
 
 def triads(text: str) -> list[re.Match[str]]:
     """Rules of three outside code and tables."""
-    return [m for m in compiled(P.RULE_OF_THREE).finditer(text) if not code_line(text, m.start(), True)]
+    return [m for m in matches(P.RULE_OF_THREE, text, fold(text)) if not code_line(text, m.start(), True)]
 
 
 def contrasts(text: str) -> list[tuple[str, int, int, str]]:
     """Surface contrasts (name, start, end, text) that don't overlap, the earlier and shorter first."""
     plain = text.translate(str.maketrans("“”‘’—–", "\"\"''--"))
-    found = sorted((m.start(), m.end(), name, m.group()) for name, p in P.SURFACE_CONTRASTS.items() for m in compiled(p).finditer(plain))
+    folded = fold(plain)
+    found = sorted((m.start(), m.end(), name, m.group()) for name, p in P.SURFACE_CONTRASTS.items() for m in matches(p, plain, folded))
     out, last = [], -1
     for start, end, name, hit in found:
         if start >= last:
@@ -57,10 +71,10 @@ def around(text: str, start: int, end: int, chars: int) -> str:
 
 def hits(text: str, features: frozenset[str] | None = None, chars: int = 120) -> list[tuple]:
     """Hits (feature, subtype, start, end, text, context), by position."""
-    found = []
+    found, folded = [], fold(text)
     for feature, family in P.FAMILIES.items():
         if feature != "punctuation" and (features is None or feature in features):
-            found += [(m.start(), m.end(), feature, sub) for sub, p in family.items() for m in compiled(p).finditer(text)]
+            found += [(m.start(), m.end(), feature, sub) for sub, p in family.items() for m in matches(p, text, folded)]
     if features is None or "rule_of_three" in features:
         found += [(m.start(), m.end(), "rule_of_three", "approx_triple") for m in triads(text)]
     if features is None or "surface_contrast" in features:

@@ -42,9 +42,26 @@ def uniformity(counts: Column) -> Column:
     return F.when((n > 0) & (mean > 0), 1.0 / (1.0 + deviation / mean)).otherwise(0.0)
 
 
+def fold(text: Column) -> Column:
+    """The case folding that (?iU) applies to single characters."""
+    return F.lower(F.upper(text))
+
+
+def present(text: Column, pattern: str, folded: Column | None = None) -> Column:
+    """Counts a pattern of the bank. Where the folded text lacks the literals that any match holds, which is a plain search, the pattern is not run."""
+    n, need = count(text, P.flags(pattern)), P.needles(pattern)
+    if not need or len(need) > 4:
+        return n
+    folded = fold(text) if folded is None else folded
+    some = folded.contains(need[0])
+    for x in need[1:]:
+        some = some | folded.contains(x)
+    return F.when(some, n).when(text.isNotNull(), F.lit(0).cast("long"))
+
+
 def items(text: Column, family: Mapping[str, str]) -> dict[str, Column]:
     """One count for each pattern of a family."""
-    return {name: count(text, P.flags(p)) for name, p in family.items()}
+    return {name: present(text, p) for name, p in family.items()}
 
 
 def total(columns: Sequence[Column]) -> Column:

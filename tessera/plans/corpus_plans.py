@@ -10,12 +10,12 @@ from ..functions import spans, text
 from ..operators import joins, rates, sampling, style
 from ..sources import records as R
 from ..sources import sinks
-from .base import PLAIN, TOKENS, query, sql_count, table
+from .base import PLAIN, TOKENS, documents, query, sql_count, table
 
 
 
 def _census_features():
-    out = {n: text.count(F.col("text"), P.flags(p)) for n, p in P.neutral("common").items()}
+    out = text.items(F.col("text"), P.neutral("common"))
     for family in ("stock_lexicon", "candidate_lexicon", "punctuation"):
         out[family] = text.total(list(text.items(F.col("text"), P.FAMILIES[family]).values()))
     return out
@@ -26,7 +26,7 @@ _CENSUS_FROM = "WITH f AS (SELECT source, lang, tokens, unnest([" + ", ".join(f"
 
 
 def census(spark, d):
-    return rates.census(table(spark, d, "documents"), ["source", "lang"], text.tokens(F.col("text")), _census_features())
+    return rates.census(documents(spark, d), ["source", "lang"], text.tokens(F.col("text")), _census_features())
 
 
 @query("a01_census", _CENSUS_FROM + " SELECT source, lang, feature, count, docs, tokens, count * 1000.0::DOUBLE / greatest(tokens, 1) AS per_1k_tokens, count / greatest(docs, 1) AS per_doc FROM c")
@@ -46,7 +46,7 @@ def a10(spark, d):
 
 @query("a18_pattern_census", f"SELECT source, pattern, docs, tokens, hits, docs_with_hit, hits::DOUBLE * 1000.0::DOUBLE / greatest(tokens, 1) AS per_1k_tokens, docs_with_hit::DOUBLE / greatest(docs, 1) AS doc_prevalence FROM (SELECT source, u.p AS pattern, count(*) AS docs, sum(tokens)::BIGINT AS tokens, sum(u.n)::BIGINT AS hits, count(*) FILTER (WHERE u.n > 0) AS docs_with_hit FROM (SELECT source, tokens, unnest([{{'p': 'shout', 'n': len(regexp_extract_all(text, '!!'))}}, {{'p': 'pipe', 'n': len(regexp_extract_all(text, '\\|'))}}]) AS u FROM (SELECT source, text, {TOKENS} AS tokens FROM documents)) GROUP BY ALL)")
 def a18(spark, d):
-    return style.pattern_census(table(spark, d, "documents"), ["source"], F.col("text"), text.tokens(F.col("text")), {"shout": "!!", "pipe": r"\|"})
+    return style.pattern_census(documents(spark, d), ["source"], F.col("text"), text.tokens(F.col("text")), {"shout": "!!", "pipe": r"\|"})
 
 
 _W = "list_filter(string_split(lower(text), ' '), lambda t: regexp_full_match(t, '[a-z]+'))"
@@ -63,7 +63,7 @@ c AS (SELECT side, phrase, count(*) AS count, count(DISTINCT doc_id) AS docs, mi
 def _english(spark, d):
     w = F.filter(F.split(F.lower("text"), " "), lambda t: t.rlike("^[a-z]+$"))
     side = F.when(F.col("doc_id") % 2 == 0, "model").otherwise("reference")
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", side.alias("side"), w.alias("w"))
+    return documents(spark, d).where("lang = 'en'").select("doc_id", side.alias("side"), w.alias("w"))
 
 
 @query("a15_ngram_counts", _GRAMS + " SELECT side, phrase, count, docs, first_doc FROM c WHERE count >= 5")
@@ -167,7 +167,7 @@ def n09(spark, d):
 
 @query("n11_enriched", rf"SELECT doc_id::VARCHAR AS doc_id, sha256(text) AS content_hash, {TOKENS} AS token_count, greatest(1, len(regexp_extract_all(text, '[.!?]+(?:\s+|$)'))) AS sentence_count FROM documents")
 def n11(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("record_id"), F.lit("text").alias("role"), F.lit(None).cast("string").alias("pair_id"), "text")
+    rows = documents(spark, d).select(F.col("doc_id").cast("string").alias("record_id"), F.lit("text").alias("role"), F.lit(None).cast("string").alias("pair_id"), "text")
     return R.enriched(rows).select("doc_id", "content_hash", "token_count", "sentence_count")
 
 
@@ -375,5 +375,5 @@ def k10(spark, d):
 
 @query("x12_hit_counts_by_feature")
 def x12_counts(spark, d):
-    found = table(spark, d, "documents").select(F.explode(spans.span_function()(F.col("text"))).alias("h"))
+    found = documents(spark, d).select(F.explode(spans.span_function()(F.col("text"))).alias("h"))
     return found.groupBy("h.feature", "h.subtype").agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from ..operators import joins, rates, sampling, stats
 from ..sources import provider
 from ..sources import records as R
 from . import measure_plans as M
-from .base import TOKENS, query, table
+from .base import TOKENS, documents, query, table
 
 
 
@@ -21,7 +21,7 @@ def f03(spark, d):
 
 @query("f04_reference_present", "SELECT doc_id FROM documents WHERE regexp_matches(regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g'), '(?i)\\bof\\s+the\\b')")
 def f04(spark, d):
-    found = table(spark, d, "documents").withColumn("o", spans.opportunity_function(("neutral_common_of_the",))(F.col("text")))
+    found = documents(spark, d).withColumn("o", spans.opportunity_function(("neutral_common_of_the",))(F.col("text")))
     return found.where(F.exists("o", lambda o: o["initiates"])).select("doc_id")
 
 
@@ -126,7 +126,7 @@ def n21(spark, d):
 
 @query("q07_poisson_bootstrap")
 def q07(spark, d):
-    by_doc = table(spark, d, "documents").select("lang", "doc_id", text.tokens(F.col("text")).alias("tokens"), F.regexp_count(F.col("text"), F.lit(",")).cast("long").alias("commas"))
+    by_doc = documents(spark, d).select("lang", "doc_id", text.tokens(F.col("text")).alias("tokens"), F.regexp_count(F.col("text"), F.lit(",")).cast("long").alias("commas"))
     drawn = stats.resampled(by_doc, ["lang"], "doc_id", ["tokens", "commas"], 100).withColumn("rate", text.rate(F.col("commas"), F.col("tokens")))
     return stats.intervals(drawn, ["lang"], ["rate"])
 
@@ -247,7 +247,7 @@ def x42(spark, d):
 def g01(spark, d):
     """Opportunities scored by the stub provider and carried through to factors: the shape of the whole path."""
     features = ("neutral_common_of_the", "neutral_common_in_the")
-    o = table(spark, d, "documents").select("source", F.col("doc_id").cast("string").alias("record_id"), F.lit("text").alias("role"), "text", F.explode(spans.opportunity_function(features, 64)(F.col("text"))).alias("o"))
+    o = documents(spark, d).select("source", F.col("doc_id").cast("string").alias("record_id"), F.lit("text").alias("role"), "text", F.explode(spans.opportunity_function(features, 64)(F.col("text"))).alias("o"))
     asked = o.select("source", "record_id", "role", "text", F.col("o.feature").alias("feature"), F.col("o.offset").alias("char_offset"), F.col("o.initiates").cast("int").alias("initiates"))
     scored = provider.provided(provider.HashProvider(), "propensity", asked)
     return rates.amplification(scored, ["source"], "neutral_common_in_the")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import spans, text
 from ..operators import style
-from .base import PLAIN, TOKENS, query, quoted, sql_count, table
+from .base import PLAIN, TOKENS, documents, query, quoted, sql_count, table
 
 
 
@@ -40,7 +40,7 @@ SELECT doc_id, round(CASE WHEN mean > 0 THEN 1.0::DOUBLE / (1.0::DOUBLE + dev /
 )
 def x04(spark, d):
     lines = F.transform(F.split(F.col("text"), "\n"), lambda p: text.tokens(p).cast("double"))
-    return table(spark, d, "documents").select("doc_id", F.round(text.uniformity(lines), 9).alias("uniformity"))
+    return documents(spark, d).select("doc_id", F.round(text.uniformity(lines), 9).alias("uniformity"))
 
 
 def _family(name, family):
@@ -48,7 +48,7 @@ def _family(name, family):
 
     @query(name, f"SELECT doc_id, {cols} FROM (SELECT doc_id, {PLAIN} AS plain FROM documents)")
     def run(spark, d):
-        return table(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in text.items(F.col("text"), family).items()])
+        return documents(spark, d).select("doc_id", *[c.alias(k) for k, c in text.items(F.col("text"), family).items()])
 
 
 _family("x07_stock_lexicon", P.STOCK_LEXICON)
@@ -65,17 +65,17 @@ def x09(spark, d):
 
 @query("x06_contrastive_negation")
 def x06(spark, d):
-    return table(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in text.items(F.col("text"), P.CONTRASTIVE_NEGATION).items()])
+    return documents(spark, d).select("doc_id", *[c.alias(k) for k, c in text.items(F.col("text"), P.CONTRASTIVE_NEGATION).items()])
 
 
 @query("x08_openers_closers")
 def x08(spark, d):
-    return table(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in text.items(F.col("text"), P.STOCK_OPENERS | P.STOCK_CLOSERS).items()])
+    return documents(spark, d).select("doc_id", *[c.alias(k) for k, c in text.items(F.col("text"), P.STOCK_OPENERS | P.STOCK_CLOSERS).items()])
 
 
 @query("x10_rule_of_three")
 def x10(spark, d):
-    return table(spark, d, "documents").select("doc_id", spans.triad_count(F.col("text")).alias("rule_of_three"))
+    return documents(spark, d).select("doc_id", spans.triad_count(F.col("text")).alias("rule_of_three"))
 
 
 @query("x11_derived_rates", "SELECT doc_id, tokens, lexicon, lexicon::DOUBLE * 1000.0::DOUBLE / greatest(tokens::DOUBLE, 1.0::DOUBLE) AS lexicon_per_1k FROM (SELECT doc_id, " + TOKENS + " AS tokens, " + " + ".join(sql_count(p) for p in P.STOCK_LEXICON.values()) + f" AS lexicon FROM (SELECT doc_id, text, {PLAIN} AS plain FROM documents))")
@@ -86,7 +86,7 @@ def x11(spark, d):
 
 @query("x12_hit_spans")
 def x12(spark, d):
-    found = table(spark, d, "documents").select("doc_id", F.explode(spans.span_function()(F.col("text"))).alias("h"))
+    found = documents(spark, d).select("doc_id", F.explode(spans.span_function()(F.col("text"))).alias("h"))
     return found.select("doc_id", "h.*")
 
 
@@ -95,7 +95,7 @@ _WORDS = "list_filter(list_transform(regexp_extract_all(lower(text), '[a-z'']+')
 
 @query("x13_benchmark_tokens", f"SELECT doc_id, len({_WORDS}) AS n, coalesce(array_to_string({_WORDS}, ' '), '') AS words FROM documents")
 def x13(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.benchmark_tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.array_join("w", " ").alias("words"))
+    return documents(spark, d).select("doc_id", text.benchmark_tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.array_join("w", " ").alias("words"))
 
 
 #: Lists are a parameter of the operator; the test texts are invented, so the query counts words that they have.
@@ -104,13 +104,13 @@ _LISTED, _TRIGRAMS = ("the", "of", "an", "hand"), ("of the and", "the of the", "
 
 @query("x14_list_hits", f"WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents) SELECT doc_id, len(list_filter(w, lambda t: t IN ('the', 'of', 'an', 'hand'))) AS word_hits, CASE WHEN len(w) < 3 THEN 0 ELSE len(list_filter(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]), lambda t: t IN ('of the and', 'the of the', 'to the of'))) END AS trigram_hits FROM w")
 def x14(spark, d):
-    w = table(spark, d, "documents").select("doc_id", text.benchmark_tokens(F.col("text")).alias("w"))
+    w = documents(spark, d).select("doc_id", text.benchmark_tokens(F.col("text")).alias("w"))
     return w.select("doc_id", text.listed(F.col("w"), _LISTED).alias("word_hits"), text.listed(text.ngrams(F.col("w"), 3), _TRIGRAMS).alias("trigram_hits"))
 
 
 @query("x15_surface_contrasts")
 def x15(spark, d):
-    return table(spark, d, "documents").select("doc_id", spans.contrast_count(F.col("text")).alias("contrasts"))
+    return documents(spark, d).select("doc_id", spans.contrast_count(F.col("text")).alias("contrasts"))
 
 
 def _scaled(x, kind):
@@ -120,14 +120,14 @@ def _scaled(x, kind):
 
 @query("x17_weighted_score", f"WITH w AS (SELECT doc_id, len({_WORDS}) AS n, len(list_filter({_WORDS}, lambda t: t IN ('the', 'of', 'an', 'hand'))) AS h FROM documents), r AS (SELECT doc_id, CASE WHEN n > 0 THEN h::DOUBLE * 1000.0::DOUBLE / n ELSE 0 END AS x FROM w) SELECT doc_id, round(100 * ({_scaled('x', 'words')} * 0.60::DOUBLE + {_scaled('0.0::DOUBLE', 'contrast')} * 0.25::DOUBLE + {_scaled('0.0::DOUBLE', 'trigrams')} * 0.15::DOUBLE), 8) AS score FROM r")
 def x17(spark, d):
-    w = table(spark, d, "documents").select("doc_id", text.benchmark_tokens(F.col("text")).alias("w"))
+    w = documents(spark, d).select("doc_id", text.benchmark_tokens(F.col("text")).alias("w"))
     share = text.safe_rate(text.listed(F.col("w"), _LISTED).cast("double") * 1000.0, F.size("w"))
     return w.select("doc_id", F.round(text.weighted_score(share, F.lit(0.0), F.lit(0.0)), 8).alias("score"))
 
 
 @query("x18_corpus_score", f"WITH w AS (SELECT source, len(text) AS chars, {_WORDS} AS w FROM documents WHERE len(text) > 100) SELECT source, count(*) AS samples, sum(chars)::BIGINT AS chars, sum(len(w))::BIGINT AS tokens, sum(len(list_filter(w, lambda t: t IN ('the', 'of', 'an', 'hand'))))::BIGINT AS word_hits FROM w GROUP BY source")
 def x18(spark, d):
-    kept = table(spark, d, "documents").where(F.length("text") > 100).select("source", F.length("text").alias("c"), text.benchmark_tokens(F.col("text")).alias("w"))
+    kept = documents(spark, d).where(F.length("text") > 100).select("source", F.length("text").alias("c"), text.benchmark_tokens(F.col("text")).alias("w"))
     return kept.groupBy("source").agg(F.count("*").alias("samples"), F.sum("c").alias("chars"), F.sum(F.size("w")).alias("tokens"), F.sum(text.listed(F.col("w"), _LISTED)).alias("word_hits"))
 
 
@@ -156,7 +156,7 @@ def x21(spark, d):
 
 @query("x22_markdown")
 def x22(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.without_markdown(F.col("text")).alias("plain"))
+    return documents(spark, d).select("doc_id", text.without_markdown(F.col("text")).alias("plain"))
 
 
 @query("x23_one_spaced", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS plain FROM documents")
@@ -166,7 +166,7 @@ def x23(spark, d):
 
 @query("x24_bigrams", f"WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), g AS (SELECT unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) AS gram FROM w) SELECT gram, count(*) AS n FROM g WHERE gram NOT IN ('') GROUP BY gram HAVING count(*) >= 20")
 def x24(spark, d):
-    w = table(spark, d, "documents").select(text.benchmark_tokens(F.col("text")).alias("w"))
+    w = documents(spark, d).select(text.benchmark_tokens(F.col("text")).alias("w"))
     return w.select(F.explode(text.ngrams(F.col("w"), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where("n >= 20")
 
 
@@ -175,7 +175,7 @@ _RULES = (("^the ", "article"), (" of ", "of_phrase"), ("ing$", "gerund"))
 
 @query("x25_phrase_family", f"WITH w AS (SELECT {_WORDS} AS w FROM documents), g AS (SELECT unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram FROM w) SELECT CASE WHEN starts_with(gram, 'the ') THEN 'article' WHEN gram LIKE '% of %' THEN 'of_phrase' WHEN gram LIKE '%ing' THEN 'gerund' ELSE 'other' END AS family, count(*) AS n FROM g GROUP BY 1")
 def x25(spark, d):
-    w = table(spark, d, "documents").select(text.benchmark_tokens(F.col("text")).alias("w"))
+    w = documents(spark, d).select(text.benchmark_tokens(F.col("text")).alias("w"))
     return w.select(F.explode(text.ngrams(F.col("w"), 3)).alias("g")).groupBy(style.families(F.col("g"), _RULES).alias("family")).agg(F.count("*").alias("n"))
 
 
@@ -193,7 +193,7 @@ def x28(spark, d):
 @query("x31_opportunities")
 def x31(spark, d):
     features = ("neutral_common_of_the", "stock_closers", "rule_of_three", "contrastive_negation", "discovered_additive_transition")
-    found = table(spark, d, "documents").select("doc_id", F.explode(spans.opportunity_function(features)(F.col("text"))).alias("o"))
+    found = documents(spark, d).select("doc_id", F.explode(spans.opportunity_function(features)(F.col("text"))).alias("o"))
     return found.groupBy("doc_id", "o.feature", "o.kind").agg(F.count("*").alias("opportunities"), F.count_if("o.initiates").alias("initiations"))
 
 
@@ -226,7 +226,7 @@ def x38(spark, d):
 
 @query("x39_token_class", r"WITH t AS (SELECT unnest(string_split(text, ' ')) AS t FROM documents) SELECT CASE WHEN t LIKE E'%\n%' THEN 'line_break' WHEN t = '' THEN 'empty' WHEN lower(t) IN ('not', 'no', 'never', 'cannot') THEN 'expanded_negation_word' WHEN lower(t) IN ('however', 'moreover', 'therefore', 'thus', 'also', 'additionally', 'furthermore') THEN 'discourse_marker_word' WHEN lower(t) IN ('the', 'a', 'an', 'of', 'to', 'in', 'and', 'that', 'is', 'it') THEN 'style_function_word' WHEN regexp_full_match(t, '[.!?]+') THEN 'sentence_boundary' WHEN regexp_full_match(t, '[^\p{L}\p{N}_\s]+') THEN 'punctuation' WHEN regexp_full_match(t, '[\p{L}\p{N}_''’-]+') THEN 'word' ELSE 'other' END AS class, count(*) AS n FROM t GROUP BY 1")
 def x39(spark, d):
-    return table(spark, d, "documents").select(F.explode(F.split(F.col("text"), " ")).alias("t")).groupBy(text.token_class(F.col("t")).alias("class")).agg(F.count("*").alias("n"))
+    return documents(spark, d).select(F.explode(F.split(F.col("text"), " ")).alias("t")).groupBy(text.token_class(F.col("t")).alias("class")).agg(F.count("*").alias("n"))
 
 
 @query("x40_metrics", rf"SELECT doc_id, tokens, sentences, tokens::DOUBLE / sentences AS words_per_sentence FROM (SELECT doc_id, {TOKENS} AS tokens, greatest(1, len(regexp_extract_all(text, '[.!?]+(?:\s+|$)'))) AS sentences FROM documents)")

@@ -56,6 +56,14 @@ def test_hits_and_contrasts_are_where_they_say():
     assert [h[1] for h in spans.hits(TEXTS[2]) if h[0] == "contrastive_negation"] == ["not_x_its_y"] * 2
 
 
+def test_patterns_that_are_not_run_would_not_match():
+    every = [p for f in P.FAMILIES.values() for p in f.values()] + list(P.SURFACE_CONTRASTS.values()) + [P.RULE_OF_THREE]
+    odd = ["It ıs NOT thıs, it ıs that.", "ſure, robuſt", "TAPESTRıES", "They aren't cats. They are dogs.", "It's no longer here. It is there.", "He didn't walk. They walked."]
+    for t in TEXTS + odd:
+        for p in every:
+            assert [m.span() for m in spans.matches(p, t, spans.fold(t))] == [m.span() for m in spans.compiled(p).finditer(t)], (p, t)
+
+
 def test_triads_are_not_in_code_or_tables():
     assert [m.group() for m in spans.triads(TEXTS[6])] == [m.group() for m in re.finditer(P.RULE_OF_THREE, "Apples, pears and plums.", re.I)]
     assert not spans.triads(TEXTS[9])
