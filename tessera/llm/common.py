@@ -34,6 +34,14 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """Sends whole texts to Python in batches of at most 1,000 rows, so a worker holds a few MB; a session that set a batch size of its own keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, "1000")
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
