@@ -154,6 +154,11 @@ SCORE_RANGES = {
 SCORE_WEIGHTS = {"words": 0.60, "contrast": 0.25, "trigrams": 0.15}
 QUOTES = "‘’‚‛′ʼ＇`"
 
+#: Marks of code and of scraped pages, and words that connect or intensify, in the quality penalty.
+CODE_MARKS = (".css", ".html", ".js", ".json", ".lua", ".md", ".py", ".txt", ".xml", "application/", "argument", "encapsulat", "prefix", "schema", "twitter", "unref", "wikidata", "wikivocab", "xterm")
+CONNECTORS = ("and", "or", "but")
+INTENSIFIERS = ("even", "extremely", "often", "occasionally", "pretty", "quite", "sometimes", "very")
+
 STAGES = ("base", "sft", "dpo", "final")
 
 TEXT_FIELDS = ("text", "messages", "response", "completion", "answer", "content", "output", "solution", "outputs")

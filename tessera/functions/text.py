@@ -247,3 +247,40 @@ def snippet(text: Column, pattern: str, around: int = 120, head: int = 240) -> C
     hit = F.regexp_substr(text, F.lit(pattern))
     at = F.instr(text, hit)
     return F.when(hit.isNotNull() & (hit != ""), F.substring(text, F.greatest(F.lit(1), at - around), F.length(hit) + 2 * around)).otherwise(F.substring(text, 1, head))
+
+
+def quality_penalty(text: Column) -> Column:
+    """A sum of penalties for code marks, symbols, shouting, title case and crowded connectors; 1 for a blank text."""
+    t = strip(text)
+    lower = F.lower(t)
+    n = lambda pattern: count(t, "(?U)" + pattern).cast("double")
+    dense = F.greatest(n(r"\S"), F.lit(1.0))
+    letters = count(t, r"\p{L}").cast("double")
+    symbols = count(t, r"[^\s\p{L}\p{N}.,;:!?\"'()-]").cast("double")
+    marks = F.lit(0.0)
+    for m in P.CODE_MARKS:
+        marks = marks + (F.length(lower) - F.length(F.replace(lower, F.lit(m), F.lit("")))) / F.lit(float(len(m)))
+    w = F.regexp_extract_all(t, F.lit(r"(?U)\b[A-Za-z]+\b"), F.lit(0))
+    size = F.size(w).cast("double")
+    title = lambda x: x.rlike("^[A-Z][a-z]{2,}$")
+    among = lambda words: F.size(F.filter(w, lambda x: F.lower(x).isin(*words))) / F.greatest(size, F.lit(1.0))
+    # Words from the fifth of a run of title-case words on.
+    late = F.aggregate(w, F.struct(F.lit(0).alias("run"), F.lit(0).alias("late")), lambda a, x: F.when(title(x), F.struct((a["run"] + 1).alias("run"), (a["late"] + F.when(a["run"] >= 4, 1).otherwise(0)).alias("late"))).otherwise(F.struct(F.lit(0).alias("run"), a["late"].alias("late"))), lambda a: a["late"])
+    above = lambda share, free, factor: F.when(size >= 8, F.greatest(F.lit(0.0), share - free) * factor).otherwise(0.0)
+    titles = F.size(F.filter(w, title)) / F.greatest(size, F.lit(1.0))
+    total_ = (
+        marks * 0.55
+        + F.least(F.lit(2.0), symbols * 8.0 / dense)
+        + n(r"[^\p{L}\p{N}_\s]{2,}") * 0.25
+        + n(r"\b\d{4}-\d{2}-\d{2}[A-Za-z]") * 0.55
+        + n(r"(?:^|\s)([.:;!?])(?:\s+\1){2,}") * 0.6
+        + n(r"\b[A-Z]{2,}\b") * 0.25
+        + F.when(lower.contains("changelog"), 0.6).otherwise(0.0)
+        + F.when(lower.rlike(r"\bnewest\s+games\s+like\b"), 0.6).otherwise(0.0)
+        + F.when((letters > 0) & (letters / dense < 0.55), 1.0).otherwise(0.0)
+        + late * 0.12
+        + above(titles, 0.25, 2.0)
+        + above(among(P.CONNECTORS), 0.16, 3.0)
+        + above(among(P.INTENSIFIERS), 0.08, 4.0)
+    )
+    return F.when(t == "", 1.0).otherwise(total_)

@@ -149,3 +149,31 @@ def peak_window(text: Column, start: Column, end: Column, around: int) -> Column
     """The text around a peak, the peak in double brackets. Offsets count code points from 0."""
     low = F.greatest(F.lit(0), start - around)
     return F.concat(F.substring(text, low + 1, start - low), F.lit("[["), F.substring(text, start + 1, end - start), F.lit("]]"), F.substring(text, end + 1, F.lit(around)))
+
+
+def enrichment(long: DataFrame, totals: DataFrame, human: str, n: int) -> DataFrame:
+    """Latents with mass by log-odds of mass rates, then share, then mass. Unlike A24 a side counts at least one token."""
+    side = lambda c, yes: F.sum(F.when((F.col("source") == human) == yes, c).otherwise(0.0))
+    mass = long.groupBy("latent", "source").agg(F.sum("value").alias("m"), F.max("value").alias("x"))
+    wide = mass.groupBy("latent").agg(side(F.col("m"), False).alias("ai_mass"), side(F.col("m"), True).alias("human_mass"), F.max("x").alias("max_activation"))
+    sums = totals.agg(side(F.col("tokens").cast("double"), False).alias("_a"), side(F.col("tokens").cast("double"), True).alias("_h"))
+    out = wide.crossJoin(F.broadcast(sums)).withColumn("total_mass", F.col("ai_mass") + F.col("human_mass")).where("total_mass > 0")  # one row
+    per = lambda m, t: F.col(m) / F.greatest(F.lit(1.0), F.col(t)) + EPSILON
+    out = out.withColumn("log_odds", F.log(per("ai_mass", "_a") / per("human_mass", "_h"))).withColumn("ai_mass_share", F.col("ai_mass") / F.greatest(F.lit(EPSILON), F.col("total_mass"))).drop("_a", "_h")
+    order = [F.desc("log_odds"), F.desc("ai_mass_share"), F.desc("total_mass"), F.col("latent")]
+    return out.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def control_panel(panel: DataFrame, k: int) -> DataFrame:
+    """For each target the anchor rows (upstream alone, downstream alone, both) and, for its first k controls of either kind, the control alone and with the anchor's other end."""
+    t = F.col("target")
+    row = lambda label, kind, *nodes: F.struct(label.alias("label"), kind.alias("control_type"), F.concat_ws("+", *nodes).alias("nodes"))
+    up, down, anchor = F.col("chain_upstream"), F.col("chain_downstream"), F.lit("anchor")
+    anchors = panel.select("target", "chain_upstream", "chain_downstream").distinct().select(t, F.inline(F.array(row(F.lit("anchor_upstream_only"), anchor, up), row(F.lit("anchor_downstream_only"), anchor, down), row(F.lit("anchor_joint"), anchor, up, down))))
+    first = panel.withColumn("i", F.row_number().over(Window.partitionBy("target", "control_type").orderBy("position"))).where(F.col("i") <= k)
+    upstream = F.col("control_type") == "different_upstream_same_downstream"
+    own = F.when(upstream, F.col("upstream")).otherwise(F.col("downstream"))
+    name = F.when(upstream, "upstream").otherwise("downstream")
+    alone = row(F.concat(F.lit("control_"), name, F.lit("_only_"), F.col("i").cast("string")), F.col("control_type"), own)
+    both = F.when(upstream, row(F.concat(F.lit("control_upstream_plus_anchor_downstream_"), F.col("i").cast("string")), F.col("control_type"), own, down)).otherwise(row(F.concat(F.lit("anchor_upstream_plus_control_downstream_"), F.col("i").cast("string")), F.col("control_type"), up, own))
+    return anchors.unionByName(first.select(t, F.inline(F.array(alone, both))))

@@ -127,3 +127,17 @@ def t15(spark, d):
     tokens = F.transform(F.col("embedding"), lambda x, i: i + 1)
     c = latents.token_context(tokens, F.col("embedding").cast("array<double>"), 2)
     return table(spark, d, "embeddings").select("vec_id", c.alias("c")).select("vec_id", F.element_at("c", 1)["token"].alias("first"), F.element_at("c", -1)["token"].alias("last"))
+
+
+@query("a37_enrichment", f"WITH {LONG}, s AS (SELECT latent, coalesce(sum(value) FILTER (WHERE source <> 'human'), 0) AS am, coalesce(sum(value) FILTER (WHERE source = 'human'), 0) AS hm FROM l GROUP BY 1), n AS (SELECT count(*) FILTER (WHERE label >= 3) AS ats, count(*) FILTER (WHERE label < 3) AS hts FROM embeddings) SELECT latent, am AS ai_mass, hm AS human_mass, round(ln((am / greatest(1, ats) + 1e-6) / (hm / greatest(1, hts) + 1e-6)), 8) AS log_odds FROM s, n WHERE am + hm > 0")
+def a37(spark, d):
+    totals = table(spark, d, "embeddings").groupBy(F.when(F.col("label") < 3, "human").otherwise(F.concat(F.lit("m"), F.col("label").cast("string"))).alias("source")).agg(F.count("*").alias("tokens"))
+    return latents.enrichment(long_codes(spark, d), totals, "human", 1_000_000).select("latent", "ai_mass", "human_mass", F.round("log_odds", 8).alias("log_odds"))
+
+
+@query("o10_control_panel", "WITH p AS (SELECT s_nationkey AS target, CASE WHEN s_suppkey % 2 = 0 THEN 'different_upstream_same_downstream' ELSE 'same_upstream_different_downstream' END AS t, s_suppkey AS k FROM supplier), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target, t ORDER BY k) AS i FROM p) WHERE i <= 2) SELECT target, label, 'anchor' AS control_type, nodes FROM (SELECT DISTINCT target FROM p), (VALUES ('anchor_upstream_only', 'U'), ('anchor_downstream_only', 'D'), ('anchor_joint', 'U+D')) a(label, nodes) UNION ALL SELECT target, CASE WHEN t LIKE 'diff%' THEN 'control_upstream_only_' ELSE 'control_downstream_only_' END || i, t, k::VARCHAR FROM f UNION ALL SELECT target, CASE WHEN t LIKE 'diff%' THEN 'control_upstream_plus_anchor_downstream_' ELSE 'anchor_upstream_plus_control_downstream_' END || i, t, CASE WHEN t LIKE 'diff%' THEN k::VARCHAR || '+D' ELSE 'U+' || k::VARCHAR END FROM f")
+def o10(spark, d):
+    k = F.col("s_suppkey")
+    kind = F.when(k % 2 == 0, "different_upstream_same_downstream").otherwise("same_upstream_different_downstream")
+    panel = table(spark, d, "supplier").select(F.col("s_nationkey").alias("target"), kind.alias("control_type"), k.cast("string").alias("upstream"), k.cast("string").alias("downstream"), F.lit("U").alias("chain_upstream"), F.lit("D").alias("chain_downstream"), k.alias("position"))
+    return latents.control_panel(panel, 2)

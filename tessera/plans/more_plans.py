@@ -257,3 +257,42 @@ def g01(spark, d):
 def g05(spark, d):
     t = table(spark, d, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", " "), 1, 20)).alias("token_index", "token")).withColumn("score", (F.col("token_index") % 4).cast("double"))
     return provider.span_scores(t, 2).where("length = 2").select("doc_id", "start", "length", F.round("score", 9).alias("score"))
+
+
+@query("x33_quality_penalty")
+def x33(spark, d):
+    return documents(spark, d).select("doc_id", F.round(text.quality_penalty(F.col("text")), 9).alias("penalty"))
+
+
+@query("s04_loaded_records", "SELECT conv_id::VARCHAR || ':' || turn::VARCHAR AS record_id, trim(text, E' \\t\\n\\r') AS text FROM conversations WHERE trim(text, E' \\t\\n\\r') <> ''")
+def s04(spark, d):
+    """Payloads that name their text and id differently, loaded to one shape."""
+    i = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    shapes = [F.to_json(F.struct(i.alias("id"), F.col("text"))), F.to_json(F.struct(i.alias("doc_id"), F.col("text").alias("content"))), F.to_json(F.struct(i.alias("uid"), F.col("text").alias("response")))]
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_index"), F.parse_json(F.element_at(F.array(*shapes), (F.col("turn") % 3 + 1).cast("int"))).alias("raw"))
+    return R.records(rows, "loaded").select("record_id", "text")
+
+
+@query("s07_pruned_scan", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate < TIMESTAMP '1994-01-01'")
+def s07(spark, d):
+    return table(spark, d, "lineitem").where(F.col("l_shipdate") < F.lit("1994-01-01").cast("timestamp")).select("l_orderkey", "l_quantity")
+
+
+@query("o04_next_shards", "WITH p AS (SELECT n_regionkey AS stage, n_nationkey AS shard, count(s_suppkey) AS done FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL) SELECT stage, min(shard) AS shard FROM p WHERE done < 4 GROUP BY stage")
+def o04(spark, d):
+    """The first shard of each stage that is not complete."""
+    found = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("shard")).agg(F.count("*").alias("done"))
+    plan = table(spark, d, "nation").select(F.col("n_regionkey").alias("stage"), F.col("n_nationkey").alias("shard")).join(found, "shard", "left")
+    return plan.where(F.coalesce("done", F.lit(0)) < 4).groupBy("stage").agg(F.min("shard").alias("shard"))
+
+
+@query("o07_phrase_audit", "SELECT source, bool_or(contains(text, 'GNU General Public License')) AS has_required, count(*) FILTER (WHERE regexp_matches(text, '!!')) AS forbidden FROM documents GROUP BY source")
+def o07(spark, d):
+    """Required and forbidden phrases by group: the table-shaped core of text audits."""
+    return table(spark, d, "documents").groupBy("source").agg(F.bool_or(F.col("text").contains("GNU General Public License")).alias("has_required"), F.count_if(F.col("text").rlike("!!")).alias("forbidden"))
+
+
+@query("q16_gates", "WITH c AS (SELECT p_brand, count(*) AS n, count(*) FILTER (WHERE p_size > 25) AS k FROM part GROUP BY 1) SELECT p_brand, CASE WHEN k::DOUBLE / n >= 0.5 THEN 'pass' ELSE 'demote' END AS gate FROM c")
+def q16(spark, d):
+    c = table(spark, d, "part").groupBy("p_brand").agg((F.count_if(F.col("p_size") > 25) / F.count("*")).alias("share"))
+    return c.select("p_brand", F.when(F.col("share") >= 0.5, "pass").otherwise("demote").alias("gate"))

@@ -127,3 +127,31 @@ def test_skipped_phrases(spark):
     got = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "g string").select(text.skipped(F.col("g"))).collect()]
     assert got == [True, True, True, True, True, True, False, True, False]
     assert random.Random(1).random() > 0
+
+
+def penalty(t):
+    """The penalty word by word and character by character."""
+    t = t.strip()
+    if not t:
+        return 1.0
+    chars = [c for c in t if not c.isspace()]
+    letters = [c for c in chars if c.isalpha()]
+    out = 0.55 * sum(t.lower().count(m) for m in P.CODE_MARKS) + min(2.0, 8 * sum(not c.isalnum() and c not in ".,;:!?\"'()-" for c in chars) / len(chars))
+    for factor, pattern in ((0.25, r"[^\w\s]{2,}"), (0.55, r"\b\d{4}-\d{2}-\d{2}[A-Za-z]"), (0.6, r"(?:^|\s)([.:;!?])(?:\s+\1){2,}"), (0.25, r"\b[A-Z]{2,}\b")):
+        out += factor * sum(1 for _ in re.finditer(pattern, t))
+    out += 0.6 * ("changelog" in t.lower()) + 0.6 * bool(re.search(r"\bnewest\s+games\s+like\b", t.lower())) + (1.0 if letters and len(letters) / len(chars) < 0.55 else 0.0)
+    w, run = re.findall(r"\b[A-Za-z]+\b", t), 0
+    titles = [len(x) > 2 and x[0].isupper() and x[1:].islower() for x in w]
+    for x in titles:
+        run = run + 1 if x else 0
+        out += 0.12 * (run >= 5)
+    if len(w) >= 8:
+        for share, free, factor in ((sum(titles) / len(w), 0.25, 2), (sum(x.lower() in P.CONNECTORS for x in w) / len(w), 0.16, 3), (sum(x.lower() in P.INTENSIFIERS for x in w) / len(w), 0.08, 4)):
+            out += factor * max(0.0, share - free)
+    return out
+
+
+def test_quality_penalty(spark):
+    cases = [*TEXTS, " ", "main.py schema ### {{}} application/json", "New York Times Best Seller List Today Again Here", "very and very or quite but even or pretty and so", "2024-01-02T x . . . y", "CHANGELOG of the newest  games like this", "12 34 56 a"]
+    got = [r[0] for r in spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string").orderBy("i").select(text.quality_penalty(F.col("t"))).collect()]
+    assert got == pytest.approx([penalty(c) for c in cases])
