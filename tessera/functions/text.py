@@ -143,7 +143,8 @@ def without_roles(text: Column) -> Column:
     return strip(F.regexp_replace(text, r"(?imdU)^\s*(?:assistant|user|system)\s*$\n?", ""))
 
 
-MARKERS = {"think_tag": r"(?i)<\s*/?\s*think\s*>", "reasoning_tag": r"(?i)<\s*/?\s*reasoning\s*>", "thinking_fence": r"(?i)```(?:thinking|reasoning)\b"}
+#: Markup of reasoning traces.
+MARKERS = {"think_tag": r"(?i)<\s*/?\s*think\s*>", "reasoning_tag": r"(?i)<\s*/?\s*reasoning\s*>", "analysis_open": r"(?i)<\s*analysis\s*>", "analysis_close": r"(?i)<\s*/\s*analysis\s*>", "thinking_fence": r"(?i)```thinking\b", "reasoning_fence": r"(?i)```reasoning\b"}
 
 
 def markers(text: Column, more: Mapping[str, str] | None = None) -> dict[str, Column]:
@@ -184,37 +185,47 @@ def words(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")).cast("long")
 
 
-def length_class(n: Column) -> Column:
-    """The class of a word budget."""
-    return F.when(n <= 80, "short").when(n <= 250, "medium").otherwise("long")
+def response_requirements(n: Column) -> Column:
+    """The sentence that asks for a number of words."""
+    return F.concat(F.lit("Response requirements: aim for about "), n.cast("string"), F.when(n == 1, " word.").otherwise(" words."))
+
+
+# Words that decide a token's class.
+CONTRACTION_MARKS = r"(?i)(n't|n’t|didn|wasn|weren|couldn|wouldn|shouldn|don|doesn|hadn)"
+NEGATION_WORDS = ("not", "no", "never", "cannot", "did", "do", "does", "was", "were", "had", "could", "would", "should")
+DISCOURSE_WORDS = ("however", "therefore", "thus", "moreover", "furthermore", "additionally", "consequently", "meanwhile", "instead", "otherwise", "nevertheless", "nonetheless", "similarly", "likewise", "finally", "first", "second", "third", "overall", "ultimately", "specifically", "notably", "indeed", "for", "example", "instance")
+STYLE_WORDS = ("also", "then", "when", "while", "because", "although", "though", "since", "if", "as", "which", "that", "this", "these", "those", "can", "may", "might", "must", "should", "would", "could", "will", "feel", "feels", "help", "helps", "make", "makes")
 
 
 def token_class(token: Column) -> Column:
     """The first class that fits."""
+    t = strip(token)
+    word = F.lower(t)
     return (
-        F.when(token.contains("\n"), "line_break")
-        .when((token != "") & (strip(token) == ""), "whitespace")
-        .when(strip(token) == "", "empty")
-        .when(F.lower(strip(token)).rlike("^(?:n't|'(?:s|re|ve|ll|d|m|t))$"), "contraction_piece")
-        .when(F.lower(strip(token)).isin("not", "no", "never", "cannot"), "expanded_negation_word")
-        .when(F.lower(strip(token)).isin("however", "moreover", "therefore", "thus", "also", "additionally", "furthermore"), "discourse_marker_word")
-        .when(F.lower(strip(token)).isin("the", "a", "an", "of", "to", "in", "and", "that", "is", "it"), "style_function_word")
-        .when(strip(token).rlike("^[.!?]+$"), "sentence_boundary")
-        .when(strip(token).rlike(r"^[^\p{L}\p{N}_\s]+$"), "punctuation")
-        .when(strip(token).rlike(r"^[\p{L}\p{N}_'’-]+$"), "word")
+        F.when(token.rlike("[\n\r]"), "line_break")
+        .when((token != "") & (t == ""), "whitespace")
+        .when(t == "", "empty")
+        .when(t.rlike(CONTRACTION_MARKS), "contraction_piece")
+        .when(word.isin(*NEGATION_WORDS), "expanded_negation_word")
+        .when(word.isin(*DISCOURSE_WORDS), "discourse_marker_word")
+        .when(word.isin(*STYLE_WORDS), "style_function_word")
+        .when(t.rlike("^[.!?]+$"), "sentence_boundary")
+        .when(t.rlike(r"^[^\p{L}\p{N}_]+$"), "punctuation")
+        .when(t.rlike(r"[\p{L}\p{N}_]"), "word")
         .otherwise("other")
     )
 
 
 def language_label(label: Column) -> Column:
     """A detector's label: without prefix, English in all its spellings as en."""
-    x = F.replace(F.regexp_replace(F.lower(strip(label)), "^__label__", ""), F.lit("_"), F.lit("-"))
+    x = F.replace(F.regexp_replace(F.nullif(F.lower(strip(label)), F.lit("")), "^__label__", ""), F.lit("_"), F.lit("-"))
     return F.when(x.isin("en", "eng", "english") | x.startswith("en-"), "en").otherwise(x)
 
 
 def signed_log_ratio(a: Column, b: Column, epsilon: float = 1e-9) -> Column:
-    """log2 of two values with a small addition; null if either is."""
-    return F.log2((a + F.lit(epsilon)) / (b + F.lit(epsilon)))
+    """log2 of two values with a small addition; null if either is, or is not positive."""
+    x, y = a + F.lit(epsilon), b + F.lit(epsilon)
+    return F.when((x > 0) & (y > 0), F.log2(x / F.nullif(y, F.lit(0.0))))
 
 
 def safe_ratio(a: Column, b: Column) -> Column:

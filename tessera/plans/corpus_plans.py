@@ -182,7 +182,7 @@ def n14(spark, d):
     return table(spark, d, "documents").agg(F.count_if(R.predicate("lang=en", F.col("lang"))).alias("equal_rows"), F.count_if(R.predicate("lang!=en", F.col("lang"))).alias("unequal_rows"))
 
 
-@query("n15_assistant_turns", "SELECT conv_id, turn, o AS ordinal, before AS input_messages, left(sha256(conv_id::VARCHAR || '|' || turn::VARCHAR || '|' || text), 12) AS turn_id, len(text) AS chars FROM (SELECT *, sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS o, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS before FROM conversations) WHERE role = 'assistant'")
+@query("n15_assistant_turns", "SELECT conv_id, turn, o::BIGINT AS ordinal, before AS input_messages, left(sha256(conv_id::VARCHAR || '|' || turn::VARCHAR || '|' || text), 12) AS turn_id, len(text) AS chars FROM (SELECT *, sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS o, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS before FROM conversations) WHERE role = 'assistant'")
 def n15(spark, d):
     return R.assistant_turns(table(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "ordinal", F.size("input").alias("input_messages"), "turn_id", "chars")
 
@@ -193,9 +193,9 @@ def n16(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(ordered.alias("m")).select("conv_id", F.md5(R.rendered(F.col("m"))).alias("prompt"))
 
 
-@query("n17_authors", "SELECT base, author, count(*) AS n FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN source ELSE source END AS base, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'human' END AS author FROM documents) GROUP BY ALL")
+@query("n17_authors", "SELECT base, author, count(*) AS n FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN source ELSE source END AS base, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'chunk_2' END AS author FROM documents) GROUP BY ALL")
 def n17(spark, d):
-    composite = F.when(F.col("doc_id") % 2 == 0, F.concat_ws("@", "source", F.concat("lang", F.lit("_chunk_12")))).otherwise(F.col("source"))
+    composite = F.when(F.col("doc_id") % 2 == 0, F.concat_ws("@", "source", "lang")).otherwise(F.concat("source", F.lit("_chunk_2")))
     base, who = R.author(composite)
     return table(spark, d, "documents").groupBy(base.alias("base"), who.alias("author")).agg(F.count("*").alias("n"))
 

@@ -106,21 +106,21 @@ def n10(spark, d):
 
 @query("n12_provenance", "SELECT doc_id, coalesce(CASE WHEN doc_id % 4 = 0 THEN lang END, source, 'unknown') AS provenance FROM documents")
 def n12(spark, d):
-    first = F.when(F.col("doc_id") % 4 == 0, F.col("lang"))
-    return table(spark, d, "documents").select("doc_id", F.coalesce(first, F.nullif("source", F.lit("")), F.lit("unknown")).alias("provenance"))
+    values = F.create_map(F.lit("source_dataset"), F.when(F.col("doc_id") % 4 == 0, F.col("lang")), F.lit("source"), F.col("source"))
+    return table(spark, d, "documents").select("doc_id", R.provenance(values).alias("provenance"))
 
 
-@query("n19_rate_roles", "SELECT role, count(*) AS n FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'chosen' WHEN source LIKE '%1' THEN 'pretrain' ELSE 'target' END AS role FROM documents) GROUP BY 1")
+@query("n19_rate_roles", "SELECT role, count(*) AS n FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'chosen' WHEN source LIKE '%1' THEN 'pretrain_document' WHEN source LIKE '%2' THEN 'target_response' ELSE 'text' END AS role FROM documents) GROUP BY 1")
 def n19(spark, d):
     role = F.when(F.col("doc_id") % 3 == 0, "chosen").otherwise("text")
-    name = F.when(F.col("source").endswith("1"), F.concat(F.lit("web-"), F.col("source"))).otherwise(F.col("source"))
+    name = F.when(F.col("source").endswith("1"), F.concat(F.lit("Pretrain-"), F.col("source"))).when(F.col("source").endswith("2"), F.concat(F.lit("my-SFT-"), F.col("source"))).otherwise(F.col("source"))
     return table(spark, d, "documents").groupBy(R.rate_role(role, name).alias("role")).agg(F.count("*").alias("n"))
 
 
 @query("n21_source_groups", "SELECT g AS source_group, count(*) AS n FROM (SELECT CASE WHEN url LIKE '%/en/%' THEN 'code' WHEN url LIKE '%/fr/%' THEN 'wiki' WHEN url LIKE '%/es/%' THEN 'math' ELSE 'other' END AS g FROM pages) GROUP BY g")
 def n21(spark, d):
     u = F.col("url")
-    name = F.when(u.contains("/en/"), "GitHub-Python").when(u.contains("/fr/"), "frwiki").when(u.contains("/es/"), "open-math").otherwise("books")
+    name = F.when(u.contains("/en/"), "GitHub-Issues").when(u.contains("/fr/"), "frwiki").when(u.contains("/es/"), "open-math").otherwise("books")
     return table(spark, d, "pages").groupBy(R.source_group(name).alias("source_group")).agg(F.count("*").alias("n"))
 
 

@@ -213,9 +213,9 @@ def x36(spark, d):
     return table(spark, d, "documents").select("doc_id", text.words(F.col("text")).alias("words"))
 
 
-@query("x37_length_class", r"SELECT CASE WHEN w <= 80 THEN 'short' WHEN w <= 250 THEN 'medium' ELSE 'long' END AS class, count(*) AS n FROM (SELECT len(list_filter(string_split_regex(text, '\s+'), lambda t: t <> '')) AS w FROM documents) GROUP BY 1")
+@query("x37_response_requirements", r"SELECT doc_id, 'Response requirements: aim for about ' || w || CASE WHEN w = 1 THEN ' word.' ELSE ' words.' END AS asked FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda t: t <> '')) AS w FROM documents)")
 def x37(spark, d):
-    return table(spark, d, "documents").groupBy(text.length_class(text.words(F.col("text"))).alias("class")).agg(F.count("*").alias("n"))
+    return table(spark, d, "documents").select("doc_id", text.response_requirements(text.words(F.col("text"))).alias("asked"))
 
 
 @query("x38_edits", "SELECT doc_id, len(regexp_extract_all(text, 'the')) + len(regexp_extract_all(replace(text, 'the', 'a'), '!+')) AS edits, md5(regexp_replace(replace(text, 'the', 'a'), '!+', '.', 'g')) AS edited FROM documents")
@@ -224,7 +224,11 @@ def x38(spark, d):
     return table(spark, d, "documents").select("doc_id", n.alias("edits"), F.md5(out).alias("edited"))
 
 
-@query("x39_token_class", r"WITH t AS (SELECT unnest(string_split(text, ' ')) AS t FROM documents) SELECT CASE WHEN t LIKE E'%\n%' THEN 'line_break' WHEN t = '' THEN 'empty' WHEN lower(t) IN ('not', 'no', 'never', 'cannot') THEN 'expanded_negation_word' WHEN lower(t) IN ('however', 'moreover', 'therefore', 'thus', 'also', 'additionally', 'furthermore') THEN 'discourse_marker_word' WHEN lower(t) IN ('the', 'a', 'an', 'of', 'to', 'in', 'and', 'that', 'is', 'it') THEN 'style_function_word' WHEN regexp_full_match(t, '[.!?]+') THEN 'sentence_boundary' WHEN regexp_full_match(t, '[^\p{L}\p{N}_\s]+') THEN 'punctuation' WHEN regexp_full_match(t, '[\p{L}\p{N}_''’-]+') THEN 'word' ELSE 'other' END AS class, count(*) AS n FROM t GROUP BY 1")
+def _among(words):
+    return ", ".join(quoted(w) for w in words)
+
+
+@query("x39_token_class", rf"WITH t AS (SELECT unnest(string_split(text, ' ')) AS t FROM documents) SELECT CASE WHEN t LIKE E'%\n%' THEN 'line_break' WHEN t = '' THEN 'empty' WHEN regexp_matches(t, {quoted(text.CONTRACTION_MARKS)}) THEN 'contraction_piece' WHEN lower(t) IN ({_among(text.NEGATION_WORDS)}) THEN 'expanded_negation_word' WHEN lower(t) IN ({_among(text.DISCOURSE_WORDS)}) THEN 'discourse_marker_word' WHEN lower(t) IN ({_among(text.STYLE_WORDS)}) THEN 'style_function_word' WHEN regexp_full_match(t, '[.!?]+') THEN 'sentence_boundary' WHEN regexp_full_match(t, '[^\p{{L}}\p{{N}}_]+') THEN 'punctuation' WHEN regexp_matches(t, '[\p{{L}}\p{{N}}_]') THEN 'word' ELSE 'other' END AS class, count(*) AS n FROM t GROUP BY 1")
 def x39(spark, d):
     return documents(spark, d).select(F.explode(F.split(F.col("text"), " ")).alias("t")).groupBy(text.token_class(F.col("t")).alias("class")).agg(F.count("*").alias("n"))
 
