@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, table, text_batches
+from .common import cut, table, text_batches, tidy
 from .components import components
 
 BLOCK = 512
@@ -120,7 +120,7 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * bands), flat)
                 yield pa.RecordBatch.from_arrays([few.column(0).take(pa.array(at, pa.int64())), lists, pa.array(sig, pa.binary())], names=["h", "bands", "sig"])
 
-    return text_batches(docs).mapInArrow(run, "h long, bands array<bigint>, sig binary").groupBy("h").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    return text_batches(docs).mapInArrow(tidy(run), "h long, bands array<bigint>, sig binary").groupBy("h").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"))
 
 
 class _Forest:
@@ -279,7 +279,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
     banded = signed.select("h", F.explode("bands").alias("band"))
     met = banded.withColumn("c", F.count("*").over(Window.partitionBy("band"))).where("c > 1").select("band", "h")
     members = met.join(signed.select("h", "sig"), "h")
-    ties = members.repartition("band").sortWithinPartitions("band", "h").mapInArrow(_ties(threshold), "a long, b long")
+    ties = members.repartition("band").sortWithinPartitions("band", "h").mapInArrow(tidy(_ties(threshold)), "a long, b long")
     families = components(ties)
     sized = families.select(F.col("node").alias("h"), F.col("component").alias("family")).join(families.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("size")), "family")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -287,7 +287,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
     held = _lookup(source, dealt, ["h", "doc_id"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o")
     pairs = held.select("h", "copies", "family", "block", "text", other).select("h", "copies", "family", "block", "text", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"))
-    checked = cut(pairs.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "h").mapInArrow(_verified(threshold, n), "a long, texts long, docs long, b long"))
+    checked = cut(pairs.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "h").mapInArrow(tidy(_verified(threshold, n)), "a long, texts long, docs long, b long"))
     counted = checked.where("b is null").groupBy(F.col("a").alias("h")).agg(F.sum("texts").alias("text_links"), F.sum("docs").alias("doc_links"))
     classes = components(checked.where("b is not null").select("a", "b")).select(F.col("node").alias("h"), "component")
     least = classes.join(texts, "h").groupBy("component").agg(F.min("text_id").alias("class_id"))

@@ -14,7 +14,8 @@ Defined cases: a row whose id is null, or whose vector is null or holds null or
 components, takes no part; vectors of unequal length are compared with zeros for what is missing;
 equal scores go by the smaller id; a query never meets a row of its own id; repeated candidates
 count as often as they occur, a query id is answered once (for its first vector in value order);
-fewer candidates than k give fewer rows; other columns are ignored.
+fewer candidates than k give fewer rows; components and scores beyond 64 bits are cut to the nearest
+that fits; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql.window import Window
 
 from .common import cut, table
 
+LONG = 1 << 63
 EXACT = float(1 << 53)  # whole numbers below it are exact as doubles
 
 
@@ -103,7 +105,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, query_at: np.ndarray, vec
             chunk *= 8
         rows += [i] * len(which)
         found += ids[which].tolist()
-        scores += [int(s) for s in best]
+        scores += [min(max(int(s), -LONG), LONG - 1) for s in best]
     return rows, found, scores
 
 

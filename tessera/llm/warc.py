@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_dir, table, text_batches
+from .common import cut, fresh_dir, table, text_batches, tidy
 from .sharding import _locator, sampled_splitters
 
 DATE = "2000-01-01T00:00:00Z"
@@ -190,7 +190,7 @@ def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "
 
     store, base = _store(folder)
     store.create_dir(base, recursive=True)
-    written = text_batches(ordered).select("shard", "kind", "key", "k", "sha", "of", "url", "payload").mapInArrow(write, "shard long, files long, records long, bytes long")
+    written = text_batches(ordered).select("shard", "kind", "key", "k", "sha", "of", "url", "payload").mapInArrow(tidy(write), "shard long, files long, records long, bytes long")
     sums = written.agg(F.count("*").alias("written"), F.sum("files").alias("files"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes")).first()
     totals = {"shards": count, **{k: v or 0 for k, v in sums.asDict().items()}}
     _write(store, base, "manifest.json", json.dumps(totals).encode())
@@ -288,7 +288,7 @@ def read_warc(spark: SparkSession, folder: str, with_payload: bool = False) -> D
             yield batch(some)
 
     spec = "key long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
-    return spark.range(0, count, 1, count).mapInArrow(read, spec)
+    return spark.range(0, count, 1, count).mapInArrow(tidy(read), spec)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

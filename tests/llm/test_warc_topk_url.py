@@ -96,6 +96,12 @@ def test_vectors_that_take_no_part(spark):
     assert sorted(map(tuple, got)) == [(0, 1, 7, -256 + 512 * 768), (0, 2, 7, -256 + 512 * 768), (0, 3, 5, 256 * 25), (0, 4, 6, 0)]
 
 
+def test_huge_components_are_cut(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, -1.0]), (2, [-1e30, 0.0]), (3, [2.0, 2.0])], "id long, embedding array<float>").select("id", topk.floored(F.col("embedding")).alias("vector"))
+    got = topk.top_k(df, df.where("id = 0"), 3).collect()
+    assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 2**63 - 1), (3, 2**63 - 1), (2, -(2**63))]
+
+
 def test_urls_equal_sql_on_odd_urls(spark):
     urls = [None, "", "no scheme", "http://", "https://EXAMPLE.com/en/x", "http://www.example.com/en/", "http://a.WWW.example.com/en/?q", "http://example.com", "http://example.com/", "http://badexample.com/en/", "x://net/es/1", "x://a.net/fr/#", "x://a.net/de/", "x://net?/es/", "x://user@a.com:80/", "x://a.com.:/", "a://b://c.net/es/", "x://İ.com/", "x://a..com/\n/en/", "x://" + "a." * 3000 + "com/" + "y" * 100_000]
     rows = [(i, u, None, 1) for i, u in enumerate(urls)] + [(3, urls[4], "h", 2), (None, urls[5], None, 3)] + [(i + 100, urls[4], None, 4) for i in range(40)]
