@@ -200,6 +200,7 @@ def neutral(group: str) -> dict[str, str]:
     return {prefix + p.replace(" ", "_"): phrase(p) for p in phrases}
 
 
+@cache
 def opportunity_specs() -> dict[str, tuple[str, tuple[str, ...]]]:
     """Feature to (kind of opportunity, initiators)."""
     out = {

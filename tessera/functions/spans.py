@@ -130,11 +130,13 @@ def starts(text: str, feature: str) -> dict[int, str]:
 
 def opportunities(text: str, features: list[str], most_tokens: int | None = None) -> list[tuple]:
     """(feature, kind, offset, initiates, subtype) by offset and feature."""
-    specs, out = P.opportunity_specs(), []
+    specs, by_kind, out = P.opportunity_specs(), {}, []
     for feature in features:
         if feature in specs:
             kind, found = specs[feature][0], starts(text, feature)
-            out += [(feature, kind, at, at in found, found.get(at)) for at in offsets(text, kind, most_tokens)]
+            if kind not in by_kind:
+                by_kind[kind] = offsets(text, kind, most_tokens)
+            out += [(feature, kind, at, at in found, found.get(at)) for at in by_kind[kind]]
     return sorted(out, key=lambda x: (x[2], x[0]))
 
 
