@@ -22,8 +22,11 @@ def _with_row(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages stay; those without a letter (``und``) go."""
-    found = langid.identify(_with_row(docs), langid.train(docs), ["_row"])
+    """Documents in one of the learned languages stay; those without a letter (``und``) go. Where no language can be learned, all stay."""
+    model = langid.train(docs)
+    if not model.languages:
+        return docs
+    found = langid.identify(_with_row(docs), model, ["_row"])
     return found.where(F.col("lang_pred") != langid.UNKNOWN).select("_row.*")
 
 
