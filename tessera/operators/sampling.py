@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.spans import bands, estimated_jaccard, key_function, minhash_function
+from ..sources.records import dense_index
+from ..storage import cut
 
 
 def first_rows(df: DataFrame, index: str, cap: int | None = None, max_scan: int | None = None) -> DataFrame:
@@ -52,7 +54,7 @@ def per_stratum(df: DataFrame, stratum: str, key: str, index: str, per: int | No
 def top(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """Ranked rows; k of 0 or less means all."""
     if k <= 0:
-        return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+        return dense_index(df, order).withColumn("rank", F.col("row_index") + 1).drop("row_index")
     return df.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
@@ -69,7 +71,9 @@ def hash_split(df: DataFrame, base: str, percent: float, seed: int) -> DataFrame
 def blinded(df: DataFrame, ids: Sequence[str], seed: int) -> DataFrame:
     """Numbered blind ids in the order of a hash."""
     order = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in ids]), 256)
-    return df.withColumn("blind_id", F.concat(F.lit("blind_"), F.lpad(F.row_number().over(Window.orderBy(order, *ids)).cast("string"), 4, "0")))
+    numbered = dense_index(df.withColumn("_o", order), ["_o", *ids])
+    number = (F.col("row_index") + 1).cast("string")
+    return numbered.withColumn("blind_id", F.concat(F.lit("blind_"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number))).drop("_o", "row_index")
 
 
 def representative(df: DataFrame, cluster: str, phrase: str, score: str) -> DataFrame:
@@ -98,14 +102,14 @@ def greedy_first_wins(items: DataFrame, edges: DataFrame, item: str, order: str,
     """A row stays if no earlier row that stays is its duplicate. Rounds settle rows whose earlier neighbours are all settled; each is written to the shared folder."""
     at = items.select(F.col(item).alias("i"), F.col(order).alias("o"))
     directed = edges.select("a", "b").join(at.select(F.col("i").alias("a"), F.col("o").alias("oa")), "a").join(at.select(F.col("i").alias("b"), F.col("o").alias("ob")), "b")
-    before = directed.select(F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("later"), F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("earlier")).checkpoint()
-    state = at.select("i", F.lit(None).cast("boolean").alias("stays")).join(before.select(F.col("later").alias("i")).distinct().withColumn("_b", F.lit(1)), "i", "left").select("i", F.when(F.col("_b").isNull(), True).alias("stays")).checkpoint()
+    before = cut(directed.select(F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("later"), F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("earlier")))
+    state = cut(at.select("i", F.lit(None).cast("boolean").alias("stays")).join(before.select(F.col("later").alias("i")).distinct().withColumn("_b", F.lit(1)), "i", "left").select("i", F.when(F.col("_b").isNull(), True).alias("stays")))
     for _ in range(most_rounds):
         if state.where("stays is null").isEmpty():
             return items.join(state.where("stays").select(F.col("i").alias(item)), item, "left_semi")
         seen = before.join(state.select(F.col("i").alias("earlier"), "stays"), "earlier").groupBy(F.col("later").alias("i")).agg(F.bool_or("stays").alias("_kept"), F.count_if(F.col("stays").isNull()).alias("_open"))
         settled = F.when(F.col("_kept"), False).when(F.col("_open") == 0, True)
-        state = state.join(seen, "i", "left").select("i", F.coalesce("stays", settled).alias("stays")).checkpoint()
+        state = cut(state.join(seen, "i", "left").select("i", F.coalesce("stays", settled).alias("stays")))
     raise RuntimeError("the order of duplicates is deeper than the rounds")
 
 

@@ -289,11 +289,6 @@ def j08(spark, d):
 
 @query("t09_near_duplicates_removed")
 def t09(spark, d):
-    spark_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark_dir or tempfile.mkdtemp(prefix="tessera-"))
     # Equal normalized prompts are repeats of the first; only different ones are compared.
     normal = F.lower(F.regexp_replace(text.strip(F.col("text")), r"(?U)\s+", " "))
     first = _prompts(spark, d).groupBy(normal.alias("n")).agg(F.min_by(F.struct("item", "text"), "item").alias("r")).select("r.*")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import strip
+from ..storage import cut
 
 MESSAGE = "array<struct<role:string,content:string>>"
 
@@ -28,9 +29,12 @@ def jsonl(spark: SparkSession, path: str) -> DataFrame:
     return parsed.where(good).select(F.monotonically_increasing_id().alias("row_index"), "raw")
 
 
-def dense_index(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """A gapless row index in an order, by counts of partitions rather than one task: a range sort, then offsets."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+def dense_index(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """A gapless row index in an order, by counts of partitions rather than one task: a range sort, then offsets.
+
+    The sorted rows are checkpointed, so those that are counted are those that are numbered.
+    """
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     from pyspark.sql.window import Window
 
     sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
