@@ -28,12 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import cut, table, text_batches, tidy
 from .components import components
 
 BLOCK = 512
+MOST_TOGETHER = 50_000  # members of a bucket in one task
+NEAR = 0.15  # distance within which a text needs no leader of its own
+NOISE = 0.1  # of a distance estimated from a signature
 MOST_BROADCAST = 1_000_000  # rows of three numbers: at most some tens of MB
 
 
@@ -141,22 +143,30 @@ class _Forest:
         return i != j
 
 
-def _ties(threshold: float):
-    """Ties of the members of each bucket, which come sorted by band: rows (a, b)."""
-    # Distances obey the triangle inequality: if a is within near of a leader, every text linked to a is within near + link of it.
-    link, near, noise = 1 - threshold, 0.15, 0.1
-    close, reach = 1 - near, 1 - near - link - noise
+def _ties(link: float):
+    """Ties of the members of each part of a bucket, which come sorted by (band, part): rows (a, b). Leaders of a bucket in several parts come out too, as (a, null, band, sig).
+
+    link: the largest distance of two members that must end up tied, directly or through others.
+    """
+    # Distances obey the triangle inequality: if a is within NEAR of a leader, every member linked to a is within NEAR + link of it.
+    close, reach = 1 - NEAR, 1 - NEAR - link - NOISE
 
     def run(batches):
-        band, names, forest = None, [], _Forest()
+        now, names, forest, split = None, [], _Forest(), False
         leaders = np.zeros((0, 0), np.uint8)
-        out: list[tuple[int, int]] = []
+        out: list[tuple] = []
+
+        def end():
+            if split:
+                out.extend((h, None, now[0], leaders[k].tobytes()) for k, h in enumerate(names))
+
         for batch in batches:
             sigs = batch.column("sig")
-            for i, (b, h) in enumerate(zip(batch.column("band").to_pylist(), batch.column("h").to_pylist(), strict=True)):
+            for i, (band, part, h, parts) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("band", "part", "h", "parts")], strict=True)):
                 sig = np.frombuffer(sigs[i].as_buffer(), np.uint8)
-                if b != band:
-                    band, names, forest = b, [h], _Forest(1)
+                if (band, part) != now:
+                    end()
+                    now, names, forest, split = (band, part), [h], _Forest(1), parts > 1
                     leaders = np.empty((4, len(sig)), np.uint8)
                     leaders[0] = sig
                     continue
@@ -164,10 +174,10 @@ def _ties(threshold: float):
                 at = np.flatnonzero(like >= reach)
                 if len(at):
                     best = int(at[like[at].argmax()])
-                    out.append((h, names[best]))
+                    out.append((h, names[best], None, None))
                     for j in at.tolist():
                         if forest.join(best, j):
-                            out.append((names[best], names[j]))
+                            out.append((names[best], names[j], None, None))
                 if not len(at) or like[best] < close:
                     if len(names) == len(leaders):
                         leaders = np.concatenate([leaders, np.empty_like(leaders)])
@@ -176,13 +186,44 @@ def _ties(threshold: float):
                     forest.up.append(len(names) - 1)
                     if len(at):
                         forest.join(best, len(names) - 1)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
-                out = []
+            if len(out) > 4096:
+                yield _tie_rows(out)
+                out.clear()
+        end()
+        yield _tie_rows(out)
 
     return run
 
 
+def _tie_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "b", "band", "sig"])
+
+
+def _tied(members: DataFrame, link: float) -> DataFrame:
+    """members: rows (band, part, parts, h, sig)."""
+    sorted_ = members.select("band", "part", "parts", "h", "sig").repartition("band", "part").sortWithinPartitions("band", "part", "h")
+    return cut(sorted_.mapInArrow(tidy(_ties(link)), "a long, b long, band long, sig binary"))
+
+
+def family_ties(signed: DataFrame, threshold: float) -> DataFrame:
+    """Rows (a, b) that tie together all texts that share a band and could be linked.
+
+    A bucket is counted before its rows meet; one of over MOST_TOGETHER members is dealt into random parts. Members of
+    two parts are linked only if their leaders are near, so a second round over the leaders of such buckets ties the parts.
+    """
+    banded = signed.select("h", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
+    parts = F.ceil(F.col("c") / MOST_TOGETHER)
+    met = banded.join(shared, "band").select("h", "band", parts.alias("parts"), F.pmod(F.xxhash64("h", "band"), parts).alias("part"))
+    first = _tied(met.join(signed.select("h", "sig"), "h"), 1 - threshold)
+    leaders = first.where("b is null").select("band", F.lit(0).cast("long").alias("part"), F.lit(1).cast("long").alias("parts"), F.col("a").alias("h"), "sig")
+    ties = first.where("b is not null").select("a", "b")
+    if leaders.isEmpty():
+        return ties
+    return ties.unionByName(_tied(leaders, 1 - threshold + 2 * NEAR).where("b is not null").select("a", "b"))
+
+
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """How many n-grams each set of the left has in common with each of the right."""
     if len(left) * len(right) <= 16:
@@ -276,10 +317,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("h"), whole.alias("text"))
     texts = cut(source.groupBy("h").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("copies")))
     signed = cut(_signatures(source.select("h", "text"), n, bands, rows))
-    banded = signed.select("h", F.explode("bands").alias("band"))
-    met = banded.withColumn("c", F.count("*").over(Window.partitionBy("band"))).where("c > 1").select("band", "h")
-    members = met.join(signed.select("h", "sig"), "h")
-    ties = members.repartition("band").sortWithinPartitions("band", "h").mapInArrow(tidy(_ties(threshold)), "a long, b long")
+    ties = family_ties(signed, threshold)
     families = components(ties)
     sized = families.select(F.col("node").alias("h"), F.col("component").alias("family")).join(families.groupBy(F.col("component").alias("family")).agg(F.count("*").alias("size")), "family")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")

@@ -156,9 +156,10 @@ def brute(texts, threshold=0.8):
     return [root(i) for i in range(len(texts))], links
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_join_equals_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "together"), [(512, 50_000), (4, 50_000), (512, 3)])
+def test_join_equals_brute_force(spark, monkeypatch, block, together):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "MOST_TOGETHER", together)
     texts = families(random.Random(8), 25) + ["", "", None, "a", "a b", "a b", "A  b.", "!!"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("h", F.lit("x"))
     got = {r["doc_id"]: (r["class_id"], r["links"]) for r in ngram_join.join(docs).collect()}
