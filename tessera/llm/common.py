@@ -3,37 +3,19 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import cut, fresh_dir, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir.
-
-    Only a session without that setting (tests on one machine) gets a temporary folder.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not at:
-        known = sc._jsc.sc().getCheckpointDir()
-        at = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(at)
-    return at
+__all__ = ["cut", "fresh_dir", "shared_dir", "table", "free_name", "held_out", "schema_of", "text_batches", "tidy", "unit"]
 
 
-def fresh_dir(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_batches(df: DataFrame) -> DataFrame:
@@ -58,12 +40,6 @@ def tidy(run):
     return wrapped
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that the frame does not have yet."""
     taken = {c.lower() for c in df.columns}
