@@ -35,10 +35,17 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _OPEN: dict[str, WordTokenizer] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it is printable, else the next one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordTokenizer:
     """Ids of whole texts. A tokenizer that splits into lower-case words is asked once for each word it meets; any other, or any text with unusual characters, is run as it is."""
 
-    def __init__(self, path: str, most_words: int = 700_000):
+    def __init__(self, path: str, most_words: int = 500_000):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -49,6 +56,8 @@ class WordTokenizer:
         norms = [x.get("type") for x in (made.get("normalizer") or {}).get("normalizers", [])]
         splits = (made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.by_word = norms == ["NFC", "Replace", "Lowercase"] and splits[0].get("pattern", {}).get("Regex") == SPLIT and made.get("post_processor") is None
+        self.by_word &= made["model"]["type"] == "BPE" and len(splits) == 2 and splits[1] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": splits[1].get("trim_offsets"), "use_regex": False}
+        self.model, self.letters = self.whole.model, _byte_letters()
         self.specials = [x["content"] for x in made.get("added_tokens", [])]
 
     def _encode(self, text: str) -> bytes:
@@ -68,10 +77,9 @@ class WordTokenizer:
         if len(found) + len(new) > self.most_words:
             found.clear()
             new = list(dict.fromkeys(words))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.whole.encode_batch(some, add_special_tokens=False), strict=True):
-                found[w] = struct.pack(f"<{len(e)}I", *e.ids)
+        for w in new:
+            ids = [t.id for t in self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters))]
+            found[w] = struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(found.__getitem__, words))
 
 
