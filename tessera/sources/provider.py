@@ -70,9 +70,11 @@ def span_scores(tokens: DataFrame, longest: int = 4) -> DataFrame:
     """G-5: every run of up to so many tokens of a document with the sum of its scores over the root of its length."""
     from pyspark.sql.window import Window
 
-    out = None
-    for n in range(1, longest + 1):
-        w = Window.partitionBy("doc_id").orderBy("token_index").rowsBetween(0, n - 1)
-        spans = tokens.select("doc_id", F.col("token_index").alias("start"), F.lit(n).alias("length"), F.array_join(F.collect_list("token").over(w), " ").alias("span"), F.count("*").over(w).alias("_c"), (F.sum("score").over(w) / F.sqrt(F.lit(float(n)))).alias("score")).where(F.col("_c") == n).drop("_c")
-        out = spans if out is None else out.unionByName(spans)
-    return out
+    w, lengths = Window.partitionBy("doc_id").orderBy("token_index"), range(1, longest + 1)
+    scores = [(F.sum("score").over(w.rowsBetween(0, n - 1)) / F.sqrt(F.lit(float(n)))).alias(f"_s{n}") for n in lengths]
+    texts = [F.array_join(F.collect_list("token").over(w.rowsBetween(0, n - 1)), " ").alias(f"_t{n}") for n in lengths]
+    # One pass for all lengths: the tokens move and are sorted once.
+    runs = tokens.select("doc_id", F.col("token_index").alias("start"), *scores, *texts, F.count("*").over(w.rowsBetween(0, longest - 1)).cast("int").alias("_c"))
+    spans = runs.withColumn("length", F.explode(F.sequence(F.lit(1), F.col("_c"))))
+    own = lambda c: F.coalesce(*[F.when(F.col("length") == n, F.col(f"{c}{n}")) for n in lengths])
+    return spans.select("doc_id", "start", "length", own("_t").alias("span"), own("_s").alias("score"))
