@@ -133,7 +133,7 @@ def o05(spark, d):
 
 @query("s12_provider_texts", "SELECT doc_id, md5(substr(text, 1, 300)) AS generated FROM documents")
 def s12(spark, d):
-    t = F.substring("text", 1, 300)
+    t = F.col("text")
     shapes = [
         F.to_json(F.struct(F.array(F.struct(F.array(F.struct(t.alias("text"))).alias("content"))).alias("output"))),
         F.to_json(F.struct(F.array(F.struct(F.struct(t.alias("content")).alias("message"))).alias("choices"))),

@@ -32,3 +32,12 @@ def test_span_texts(spark):
     tokens = spark.createDataFrame([(1, i, t, float(i)) for i, t in enumerate("abc")], "doc_id long, token_index int, token string, score double")
     got = {(r["start"], r["length"]): r["span"] for r in provider.span_scores(tokens).collect()}
     assert got == {(0, 1): "a", (1, 1): "b", (2, 1): "c", (0, 2): "a b", (1, 2): "b c", (0, 3): "a b c"}
+
+
+def test_provider_texts_are_whole(spark):
+    import hashlib
+
+    got = {r["doc_id"]: r["generated"] for r in catalog.QUERIES["s12_provider_texts"](spark, DATA).collect()}
+    texts = dict(rows("doc_id, text", "documents"))
+    assert max(map(len, texts.values())) > 300
+    assert got == {d: hashlib.md5(t.encode()).hexdigest() for d, t in texts.items()}
