@@ -247,7 +247,7 @@ def x42(spark, d):
 def g01(spark, d):
     """Opportunities scored by the stub provider and carried through to factors: the shape of the whole path."""
     features = ("neutral_common_of_the", "neutral_common_in_the")
-    o = documents(spark, d).select("source", F.col("doc_id").cast("string").alias("record_id"), F.lit("text").alias("role"), "text", F.explode(spans.opportunity_function(features, 64)(F.col("text"))).alias("o"))
+    o = documents(spark, d).select("source", F.col("doc_id").cast("string").alias("record_id"), F.lit("text").alias("role"), "text", F.explode(spans.opportunity_function(features)(F.col("text"))).alias("o"))
     asked = o.select("source", "record_id", "role", "text", F.col("o.feature").alias("feature"), F.col("o.offset").alias("char_offset"), F.col("o.initiates").cast("int").alias("initiates"))
     scored = provider.provided(provider.HashProvider(), "propensity", asked)
     return rates.amplification(scored, ["source"], "neutral_common_in_the")

@@ -41,3 +41,27 @@ def test_provider_texts_are_whole(spark):
     texts = dict(rows("doc_id, text", "documents"))
     assert max(map(len, texts.values())) > 300
     assert got == {d: hashlib.md5(t.encode()).hexdigest() for d, t in texts.items()}
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_opportunity_function_equals_the_loop(spark, most):
+    from tessera.functions import patterns, spans
+
+    features = (*patterns.opportunity_specs(), "none such")
+    texts = [None, "", " ", "In the end of the day, of the red, white and blue.\nIn the"] + [t for (t,) in rows("text", "documents")[:150]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").coalesce(1)
+    got = dict(df.select("i", spans.opportunity_function(features, most)("text")).collect())
+    for i, t in enumerate(texts):
+        assert (None if got[i] is None else [tuple(o) for o in got[i]]) == (None if t is None else spans.opportunities(t, list(features), most))
+
+
+def test_propensity_contract_takes_every_token_start(spark):
+    from tessera.functions import spans
+
+    got = {(r["source"], r["feature"]): r for r in catalog.QUERIES["g01_propensity_contract"](spark, DATA).collect()}
+    want = {}
+    for source, text in rows("source, text", "documents"):
+        for feature, _, _, initiates, _ in spans.opportunities(text, ["neutral_common_of_the", "neutral_common_in_the"]):
+            n, k = want.get((source, feature), (0, 0))
+            want[source, feature] = n + 1, k + initiates
+    assert {k: (r["opportunities"], r["reference_initiations"]) for k, r in got.items()} == want
