@@ -311,7 +311,7 @@ def _lookup(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner")
 
 
 def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9995, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, text_id (the least id with an equal text), class_id (the least id of its class), links (other documents at the threshold or more, copies included), text_links (different texts among them), copies (documents with an equal text), and h, a hash of the text."""
+    """One row for each document: doc_id, text_id (the least id with an equal text), class_id (the least id of its class), links (other documents at the threshold or more, copies included), text_links (different texts among them), copies (documents with an equal text), h, a hash of the text, and class_key, which tells classes apart and is never null (class_id is where no row of a class has an id)."""
     bands, rows = banding(threshold, recall)
     whole = F.coalesce(F.col(text), F.lit(""))
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole).alias("h"), whole.alias("text"))
@@ -329,7 +329,7 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
     counted = checked.where("b is null").groupBy(F.col("a").alias("h")).agg(F.sum("texts").alias("text_links"), F.sum("docs").alias("doc_links"))
     classes = components(checked.where("b is not null").select("a", "b")).select(F.col("node").alias("h"), "component")
     least = classes.join(texts, "h").groupBy("component").agg(F.min("text_id").alias("class_id"))
-    linked = cut(classes.join(least, "component").join(counted, "h").select("h", "class_id", "text_links", "doc_links"))
+    linked = cut(classes.join(least, "component").join(counted, "h").select("h", "component", "class_id", "text_links", "doc_links"))
     known = texts.join(linked, "h", "left")
     lean = source.select("doc_id", "h")
     return lean.join(known, "h").select(
@@ -340,13 +340,14 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
         F.coalesce("text_links", F.lit(0)).alias("text_links"),
         "copies",
         "h",
+        F.coalesce("component", "h").alias("class_key"),
     )
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs, one of each class: that with the least id."""
-    found = cut(join(docs, doc_id=doc_id, text=text, **options).groupBy("doc_id", "h", "class_id").agg(F.count("*").alias("times")))
-    kept = found.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("kept")).select(F.col("kept.doc_id").alias("_d"), F.col("kept.h").alias("_k"))
+    found = cut(join(docs, doc_id=doc_id, text=text, **options).groupBy("doc_id", "h", "class_key").agg(F.count("*").alias("times")))
+    kept = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("kept")).select(F.col("kept.doc_id").alias("_d"), F.col("kept.h").alias("_k"))
     own = found.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_k")), "left")
     verdicts = cut(own.select("doc_id", F.col("h").alias("_h"), F.col("_k").isNotNull().alias("_stays"), "times").where("not _stays or times > 1").select(F.col("doc_id").alias("_id"), "_h", "_stays"))
     rows = docs.select(F.struct("*").alias("_row"), F.col(doc_id).cast("long").alias("_doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
@@ -358,4 +359,4 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents")).drop("h")
+    return join(table(spark, sf_dir, "documents")).drop("h", "class_key")
