@@ -323,6 +323,9 @@ def join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = cut(sized.join(texts, "h").select("h", F.col("text_id").alias("doc_id"), "copies", "family", blocks.alias("blocks"), F.pmod(F.xxhash64("h", F.lit(9)), blocks).cast("int").alias("block")))
     held = _lookup(source, dealt, ["h", "doc_id"])
+    unnamed = dealt.where("doc_id is null").drop("doc_id")
+    if not unnamed.isEmpty():  # texts without any id: one of the rows of each
+        held = held.unionByName(_lookup(source.where("doc_id is null"), unnamed, ["h"]).dropDuplicates(["h"]))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o")
     pairs = held.select("h", "copies", "family", "block", "text", other).select("h", "copies", "family", "block", "text", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"))
     checked = cut(pairs.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "h").mapInArrow(tidy(_verified(threshold, n)), "a long, texts long, docs long, b long"))
