@@ -97,8 +97,8 @@ def train(docs: DataFrame, per_language: int = 400, sample: int = 2000, longest:
     """Learns from rows outside the held-out fold: at most per_language texts for each label and sample in all, of at most longest characters, chosen by a hash of the text."""
     known = docs.where(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text").between(1, longest)))
     order = Window.partitionBy("lang").orderBy("h")
-    lean = known.select("lang", F.xxhash64("text").alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
-    chosen = lean.orderBy("r", "h", "lang").limit(sample).select("lang", "h").distinct()
+    lean = known.select("lang", F.xxhash64("text").alias("h")).distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
+    chosen = lean.orderBy("r", "h", "lang").limit(sample).select("lang", "h")
     # At most sample rows of two short columns are sent; only the chosen texts move.
     texts = known.select("lang", F.xxhash64("text").alias("h"), "text").join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])
     rows = texts.orderBy("h", "lang").toPandas()
