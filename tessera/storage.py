@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from spark.checkpoint.dir.
 
-    Only a session without that setting (tests on one machine) gets a temporary folder.
+    Only a local session without that setting (tests on one machine) gets a temporary folder; on a cluster its lack is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not at:
         known = sc._jsc.sc().getCheckpointDir()
+        if not known.isDefined() and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", at)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -28,7 +30,18 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that fresh_dir named, in whatever store it is."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
+    """Cuts the lineage with a reliable checkpoint in the shared folder.
+
+    Spark deletes the files of checkpoints that nothing refers to any more where the cluster sets
+    spark.cleaner.referenceTracking.cleanCheckpoints.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint()
