@@ -11,19 +11,19 @@ from pyspark.sql import types as T
 
 from ..storage import cut, fresh_dir, shared_dir
 
-__all__ = ["cut", "fresh_dir", "shared_dir", "table", "free_name", "held_out", "schema_of", "text_batches", "tidy", "unit"]
+__all__ = ["cut", "fresh_dir", "shared_dir", "table", "free_name", "held_out", "looked_up", "MOST_BROADCAST", "schema_of", "tidy", "unit"]
+
+#: Rows of a few numbers or short texts that may be sent to all executors: some tens of MB.
+MOST_BROADCAST = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """Sends whole texts to Python in batches of at most 1,000 rows, so a worker holds a few MB; a session that set a batch size of its own keeps it."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(name) == "10000":
-        df.sparkSession.conf.set(name, "1000")
-    return df
+def looked_up(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Joins with a checkpointed frame of a few short columns: sent to all executors only while its counted rows are few."""
+    return big.join(F.broadcast(small) if small.count() <= MOST_BROADCAST else small, on, how)
 
 
 def tidy(run):

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import schema_of, table, text_batches, tidy
+from .common import schema_of, table, tidy
 
 MOST_SIDE = 8191  # blocks: 65,528 samples
 LONGEST_RUN = 32767  # blocks in one end-of-band run
@@ -586,7 +586,7 @@ def decode_column(df: DataFrame, media: str = "media", kept: tuple[str, ...] = (
                 arrays = [pa.array([x], k) for x, k in zip([*found, error], (pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*row.columns[1:], *arrays], names=[*kept, "height", "width", "rgb", "error"])
 
-    return text_batches(df.select(media, *kept)).mapInArrow(tidy(run), schema_of(df, list(kept), "height int, width int, rgb binary, error string"))
+    return df.select(media, *kept).mapInArrow(tidy(run), schema_of(df, list(kept), "height int, width int, rgb binary, error string"))
 
 
 def media_columns(docs: DataFrame, with_media: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -610,7 +610,7 @@ def media_columns(docs: DataFrame, with_media: bool = False, text: str = "text",
                 yield pa.RecordBatch.from_arrays([few.column(0), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]], names=[doc_id, *names])
 
     spec = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return text_batches(docs.select(doc_id, text)).mapInArrow(tidy(run), schema_of(docs, [doc_id], spec + ", media binary" * with_media))
+    return docs.select(doc_id, text).mapInArrow(tidy(run), schema_of(docs, [doc_id], spec + ", media binary" * with_media))
 
 
 def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:

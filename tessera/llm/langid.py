@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import held_out, schema_of, table, text_batches, tidy
+from .common import held_out, schema_of, table, tidy
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -123,7 +123,7 @@ def identify(docs: DataFrame, model: Model, kept: list[str], text: str = "text")
                         names[i], scores[i] = model.languages[b], float(s)
                 yield pa.RecordBatch.from_arrays([*few.columns[1:], pa.array(names), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
-    return text_batches(docs.select(F.col(text).alias("_text"), *kept)).mapInArrow(tidy(run), schema_of(docs, kept, "lang_pred string, score double"))
+    return docs.select(F.col(text).alias("_text"), *kept).mapInArrow(tidy(run), schema_of(docs, kept, "lang_pred string, score double"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, schema_of, table, text_batches, tidy
+from .common import cut, schema_of, table, tidy
 
 MOST_BROADCAST_SOURCES = 100_000
 NEAR = 1e-12
@@ -229,7 +229,7 @@ def mix(df: DataFrame, size: Column, source: str = "source", ids: tuple[str, ...
     left = cut(lean.mapInArrow(tidy(_unsettled), "_source string, _leaf long, _size double, _chance double"))
     told = _resolve(left, fan, seed).withColumn("_kind", F.lit(0))
     both = leaves(items.unionByName(told, allowMissingColumns=True)).drop("_ids")
-    return text_batches(both).mapInArrow(tidy(_settled), schema_of(items, ["_row"], "_size double, _source_size long, _target double, _copies int"))
+    return both.mapInArrow(tidy(_settled), schema_of(items, ["_row"], "_size double, _source_size long, _target double, _copies int"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, text_batches, tidy
+from .common import cut, table, tidy
 from .components import components
 
 BLOCK = 512
@@ -122,7 +122,7 @@ def _signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * bands), flat)
                 yield pa.RecordBatch.from_arrays([few.column(0).take(pa.array(at, pa.int64())), lists, pa.array(sig, pa.binary())], names=["h", "bands", "sig"])
 
-    return text_batches(docs).mapInArrow(tidy(run), "h long, bands array<bigint>, sig binary").groupBy("h").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    return docs.mapInArrow(tidy(run), "h long, bands array<bigint>, sig binary").groupBy("h").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"))
 
 
 class _Forest:

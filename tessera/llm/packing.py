@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, schema_of, table, text_batches, tidy
+from .common import cut, schema_of, table, tidy
 
 #: Texts of these characters alone take the word cache; others go through the whole tokenizer.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿŒœ]*")
@@ -143,7 +143,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
                 columns = [few.column(0).take(pa.array(at, pa.int64()))] + [pa.array(c, k) for c, (_, k) in zip(zip(*out, strict=True), fields, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names=[doc_id, *[n for n, _ in fields], *["ids"] * with_ids])
 
-    return text_batches(docs.select(doc_id, text)).mapInArrow(tidy(pieces_of), schema_of(docs, [doc_id], "start long, length long, ids_crc32 long, doc_tokens long, salt long" + ", ids binary" * with_ids))
+    return docs.select(doc_id, text).mapInArrow(tidy(pieces_of), schema_of(docs, [doc_id], "start long, length long, ids_crc32 long, doc_tokens long, salt long" + ", ids binary" * with_ids))
 
 
 def pack(found: DataFrame, documents: int, capacity: int = 2048, per_group: int = 4096, doc_id: str = "doc_id") -> DataFrame:

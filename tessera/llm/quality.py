@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, schema_of, table, text_batches, tidy
+from .common import held_out, schema_of, table, tidy
 
 ROWS = 1 << 16
 ORDERS = (3, 4, 5)
@@ -128,7 +128,7 @@ def score(docs: DataFrame, model: Model, kept: list[str], text: str = "text") ->
                 scores = [model.score(t or "") for t in few.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*few.columns[1:], pa.array(scores, pa.float64())], names=[*kept, "score"])
 
-    return text_batches(docs.select(F.col(text).alias("_text"), *kept)).mapInArrow(tidy(run), schema_of(docs, kept, "score double"))
+    return docs.select(F.col(text).alias("_text"), *kept).mapInArrow(tidy(run), schema_of(docs, kept, "score double"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,35 +26,46 @@ def odd_pages(spark):
 
 
 @pytest.mark.parametrize("least", [0, 9])
-def test_archives_read_back(spark, least):
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_archives_read_back(spark, monkeypatch, least, broadcast):
+    monkeypatch.setattr(warc, "MOST_BROADCAST", broadcast)
+    monkeypatch.setattr(warc, "RUN", 3)
     pages = odd_pages(spark)
     folder = fresh_dir(spark, "warc")
     totals = warc.write_warc(pages, folder, least_payload=least, shard_bytes=1 << 20, roll_bytes=3000)
-    rows = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).collect()
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).collect()
     back = warc.read_warc(spark, folder, with_payload=True).collect()
     assert totals["records"] == len(rows) == len(back) and totals["files"] > totals["shards"] > 1
-    order = lambda k: (k is not None, k)
+    order = lambda r: (r["page_id"] is None, r["page_id"] or 0, r["url"] is None, r["url"] or "")
     first, want = {}, []
-    for r in sorted(rows, key=lambda r: order(r["page_id"])):
+    for r in sorted(rows, key=order):
         data = r["html"].encode()
         again = len(data) >= least and data in first
         first.setdefault(data, r["page_id"])
         want.append((r["page_id"], len(data), sha(data), "revisit" if again else "response", first[data] if again else None, None if again else data))
     got = [(r["key"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], r["payload"] and bytes(r["payload"]) if r["record_type"] == "revisit" else bytes(r["payload"])) for r in back]
     assert Counter(got) == Counter(want)
+    by_id = {r["record_id"]: r for r in back}
+    assert len(by_id) == len(back)
+    for r in back:
+        if r["refers_to_id"]:
+            assert by_id[r["refers_to_id"]]["record_type"] == "response" and by_id[r["refers_to_id"]]["payload_digest"] == r["payload_digest"]
 
 
-def test_archives_are_equal_in_every_run_and_plain_gzip(spark):
+def files_of(folder):
     from glob import glob
 
+    at = folder.removeprefix("file://")
+    assert not glob(f"{at}/.*.tmp")
+    return {f.rsplit("/", 1)[1]: open(f, "rb").read() for f in glob(f"{at}/*")}
+
+
+def test_archives_are_equal_in_every_run_and_plain_gzip(spark):
     found = []
     for n in (3, 5):
         folder = fresh_dir(spark, "warc")
         warc.write_warc(odd_pages(spark).repartition(n), folder, shard_bytes=1 << 20, roll_bytes=3000)
-        at = folder.removeprefix("file://")
-        assert not glob(f"{at}/.*.tmp")
-        files = {f.rsplit("/", 1)[1]: open(f, "rb").read() for f in glob(f"{at}/*")}
-        found.append(files)
+        found.append(files_of(folder))
     # Rows of equal key (null, or given twice) with other payloads keep their order by digest, so all bytes agree.
     assert found[0] == found[1]
     for name, data in found[0].items():
@@ -65,6 +76,66 @@ def test_archives_are_equal_in_every_run_and_plain_gzip(spark):
             assert gzip.decompress(data).startswith(b"WARC/1.1\r\n")
 
 
+OTHER_SESSION = """
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master(f"local[{sys.argv[1]}]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "3").getOrCreate()
+from tessera.llm import warc
+warc.write_warc(spark.read.parquet(sys.argv[2]), sys.argv[3], roll_bytes=30_000)
+"""
+
+
+def test_layout_does_not_depend_on_the_cluster(spark, tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    pages = spark.range(0, 6000).select("id", (F.col("id") * 7 % 5000).alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"), F.repeat(F.sha2((F.col("id") % 5500).cast("string"), 512), 8).alias("html"))
+    pages.drop("id").write.parquet(str(tmp_path / "pages"))
+    found = []
+    for cores in ("1", "3"):
+        at = str(tmp_path / f"warc{cores}")
+        subprocess.run([sys.executable, "-c", OTHER_SESSION, cores, str(tmp_path / "pages"), at], check=True, timeout=300, cwd=Path(__file__).parents[2])
+        found.append(files_of(at))
+    assert found[0] == found[1] and sum(n.startswith("shard-") for n in found[0]) > 2
+
+
+def test_lost_parts_raise(spark):
+    folder = fresh_dir(spark, "warc")
+    totals = warc.write_warc(odd_pages(spark), folder, shard_bytes=1 << 20, roll_bytes=3000)
+    at = folder.removeprefix("file://")
+    files = files_of(folder)
+    assert sum(n.startswith("shard-") for n in files) == totals["shards"]
+    with pytest.raises(FileExistsError):
+        warc.write_warc(odd_pages(spark), folder)
+    full = next(n for n, data in files.items() if n.startswith("shard-") and len(json.loads(data)) > 1)
+    parts = json.loads(files[full])
+    import os
+
+    for change in (None, json.dumps(parts[1:]).encode(), json.dumps([dict(parts[0], records=parts[0]["records"] + 1), dict(parts[1], records=parts[1]["records"] - 1), *parts[2:]]).encode()):
+        os.remove(f"{at}/{full}")
+        if change is not None:
+            open(f"{at}/{full}", "wb").write(change)
+        with pytest.raises(Exception, match="lacks|promises|records and not"):
+            warc.read_warc(spark, folder).count()
+        open(f"{at}/{full}", "wb").write(files[full])
+    assert warc.read_warc(spark, folder).count() == totals["records"]
+    os.remove(f"{at}/{parts[0]['file']}")
+    with pytest.raises(Exception, match=parts[0]["file"]):
+        warc.read_warc(spark, folder).count()
+
+
+def test_hot_keys_spread(spark):
+    """Nine of ten rows have a null key, half of those are one and the same row; no shard holds more than a few times its share."""
+    i = F.col("id")
+    html = F.when(i % 10 < 5, F.lit("same")).otherwise(F.repeat(F.sha2(i.cast("string"), 256), 4))
+    pages = spark.range(0, 40_000).select(F.when(i % 10 == 9, i).alias("page_id"), F.when(i % 10 >= 5, F.concat(F.lit("u"), i.cast("string"))).alias("url"), html.alias("html"))
+    folder = fresh_dir(spark, "warc")
+    totals = warc.write_warc(pages, folder)
+    held = [sum(f["records"] for f in json.loads(data)) for name, data in files_of(folder).items() if name.startswith("shard-")]
+    assert totals["records"] == sum(held) == 40_000 and max(held) < 12_000 and sum(h > 0 for h in held) > 4
+
+
 def test_empty_archive(spark):
     folder = fresh_dir(spark, "warc")
     assert warc.write_warc(odd_pages(spark).limit(0), folder)["records"] == 0
