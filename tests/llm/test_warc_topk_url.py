@@ -155,10 +155,31 @@ def test_top_k_equals_brute_force(spark, n, width, most, block):
     rng = np.random.default_rng(n + width)
     rows = [(int(i), [int(x) for x in rng.integers(-most, most + 1, width)]) for i in range(n)]
     df = spark.createDataFrame(rows, "id long, vector array<bigint>")
-    got = topk.top_k(df, df.where("id % 3 = 0"), 5, pivots=8, block=block, query_block=32).collect()
+    got = topk.top_k(df, df.where("id % 3 = 0"), 5, pivots=8, block=block, sample=40).collect()
     assert sorted(map(tuple, got)) == brute(rows, [r for r in rows if r[0] % 3 == 0], 5)
 
 
+def test_clusters_are_eliminated_and_hot_ids_spread(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.integers(-4000, 4000, (12, 16))
+    rows = [(7 if i % 3 == 0 else i, (centres[i % 12] + rng.integers(-30, 31, 16)).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, vector array<bigint>").withColumn("block", F.lit("x")).withColumn("kind", F.lit(1)).withColumn("at", F.lit("y")).repartition(5)
+    seen = spark.sparkContext.accumulator(0)
+    got = topk.top_k(df, df.where("id % 50 = 0"), 5, block=100, evaluated=seen).collect()
+    asked = [r for r in rows if r[0] % 50 == 0]
+    assert sorted(map(tuple, got)) == brute(rows, asked, 5)
+    assert seen.value < 0.3 * len(rows) * len(asked)
+
+
+def test_queries_given_twice_are_answered_as_in_sql(spark, tmp_path):
+    rows = [(0, [1.0, 0.5], "a"), (0, [0.0, 1.0], "b"), (1, [1.0, 1.0], "c"), (2, [0.5, -1.0], "d"), (2, [0.5, -1.0], "e"), (50, [0.25, 2.0], "f"), (None, [9.0, 9.0], "g")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id string")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert sorted(map(tuple, topk.op3_exact_topk(spark, str(tmp_path)).collect())) == sorted(con.sql(topk.OP3_SQL).fetchall())
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [0.1]), (6, []), (None, [1.0, 1.0]), (7, [-0.001, 3.0]), (7, [-0.001, 3.0])]
