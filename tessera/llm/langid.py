@@ -6,12 +6,15 @@ same number for each language, give a Nyström feature map; one-versus-rest kern
 solved in it. Presence kernels are inner products of presence vectors, so landmarks and regression
 fold into one matrix of n-gram weights, and a batch of texts is scored by one matrix product.
 
-N-grams are hashed into a fixed number of columns. Training reads a sample of labelled rows whose size
-for each language is a parameter; scoring reads every whole text.
+N-grams are hashed into a fixed number of columns. Training reads a sample of different labelled texts,
+whose size for each language and in all is a parameter. Presence vectors are made where the rows are, so
+the driver gets 2 KB for each sampled text, however long it is; scoring reads every whole text.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; labels that are null are
-not learned; without any label every text is ``und``; repeated rows each give a row; an empty table
-gives none; other columns are kept or ignored as the caller asks.
+not learned, nor are rows without an id; a text with several labels is learned under each; copies of a
+text take one place of the sample; very long texts are learned and scored whole; of equal best scores the
+language first by name is taken; without any label every text is ``und``; repeated rows each give a row;
+an empty table gives none; other columns are kept or ignored as the caller asks, whatever their names.
 """
 
 from __future__ import annotations
@@ -71,12 +74,16 @@ class Model:
         return best, 1.0 / sharp.sum(axis=1)
 
 
-def fit(texts: list[str], labels: list[str], landmarks: int = 64, ridge: float = 1e-2, columns: int = COLUMNS) -> Model:
-    """Nyström features at the first texts of each language, then one-versus-rest ridge regression."""
-    languages = sorted(set(labels))
+def fit(texts: list[str], labels: list[str], columns: int = COLUMNS, **options) -> Model:
+    return fit_presence(np.stack([presence(t, columns) for t in texts]) if texts else np.zeros((0, columns), bool), labels, **options)
+
+
+def fit_presence(present: np.ndarray, labels: list[str], landmarks: int = 64, ridge: float = 1e-2) -> Model:
+    """Nyström features at the first texts of each language, then one-versus-rest ridge regression. present: a presence vector for each text."""
+    languages, columns = sorted(set(labels)), present.shape[1]
     if not languages:
         return Model([], np.zeros((columns, 0), np.float32), np.zeros(0, np.float32))
-    x = np.stack([presence(t, columns) for t in texts]).astype(np.float32)
+    x = present.astype(np.float32)
     x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1.0))
     at = [i for name in languages for i in [i for i, y in enumerate(labels) if y == name][:landmarks]]
     marks = x[at]
@@ -93,16 +100,30 @@ def fit(texts: list[str], labels: list[str], landmarks: int = 64, ridge: float =
     return Model(languages, (marks.T.astype(np.float64) @ (root @ solved)).astype(np.float32), (mean - middle @ solved).astype(np.float32))
 
 
-def train(docs: DataFrame, per_language: int = 400, sample: int = 2000, longest: int = 200_000, **options) -> Model:
-    """Learns from rows outside the held-out fold: at most per_language texts for each label and sample in all, of at most longest characters, chosen by a hash of the text."""
-    known = docs.where(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text").between(1, longest)))
+def _packed(columns: int):
+    """Presence vectors as bits."""
+
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 64):
+                few = batch.slice(low, 64)
+                bits = [np.packbits(presence(t, columns)).tobytes() for t in few.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array(bits, pa.binary())], names=["lang", "h", "bits"])
+
+    return run
+
+
+def train(docs: DataFrame, per_language: int = 400, sample: int = 2000, columns: int = COLUMNS, **options) -> Model:
+    """Learns from rows outside the held-out fold: at most per_language different texts for each label and sample in all, chosen by a hash of the text."""
+    known = docs.where(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
     order = Window.partitionBy("lang").orderBy("h")
     lean = known.select("lang", F.xxhash64("text").alias("h")).distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
     chosen = lean.orderBy("r", "h", "lang").limit(sample).select("lang", "h")
     # At most sample rows of two short columns are sent; only the chosen texts move.
-    texts = known.select("lang", F.xxhash64("text").alias("h"), "text").join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"])
-    rows = texts.orderBy("h", "lang").toPandas()
-    return fit(rows["text"].tolist(), rows["lang"].tolist(), **options)
+    texts = known.select("lang", F.xxhash64("text").alias("h"), "text").join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    rows = texts.mapInArrow(tidy(_packed(columns)), "lang string, h long, bits binary").orderBy("h", "lang").toPandas()
+    present = np.stack([np.unpackbits(np.frombuffer(b, np.uint8), count=columns) for b in rows["bits"]]).astype(bool) if len(rows) else np.zeros((0, columns), bool)
+    return fit_presence(present, rows["lang"].tolist(), **options)
 
 
 def identify(docs: DataFrame, model: Model, kept: list[str], text: str = "text") -> DataFrame:

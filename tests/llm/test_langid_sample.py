@@ -6,10 +6,19 @@ from tessera.llm import langid
 
 def test_sample_counts_texts_not_rows(spark, monkeypatch):
     seen = {}
-    monkeypatch.setattr(langid, "fit", lambda texts, labels, **_: seen.update(texts=texts))
-    texts = spark.range(40).select(F.concat(F.lit("some text "), F.col("id").cast("string")).alias("text"))
+    monkeypatch.setattr(langid, "fit_presence", lambda present, labels, **_: seen.update(present=present))
+    texts = spark.range(40).select(F.concat(F.lit("some text "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"))
     hot = texts.orderBy(F.xxhash64("text")).limit(1)
     rows = texts.crossJoin(spark.range(30)).join(hot, "text", "left_semi").select("text").unionByName(texts)
     docs = rows.select(F.lit(1).cast("long").alias("doc_id"), "text", F.lit("en").alias("lang"))
     langid.train(docs, per_language=10, sample=8)
-    assert len(set(seen["texts"])) == len(seen["texts"]) == 8
+    assert len({x.tobytes() for x in seen["present"]}) == len(seen["present"]) == 8
+
+
+def test_copies_do_not_use_up_a_language(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(langid, "fit_presence", lambda present, labels, **_: seen.update(n=len(present)))
+    texts = spark.range(600).select(F.concat(F.lit("english text "), F.col("id").cast("string")).alias("text"))
+    docs = texts.unionByName(spark.range(3000).select(F.lit("english text 7").alias("text"))).select(F.lit(1).cast("long").alias("doc_id"), "text", F.lit("en").alias("lang"))
+    langid.train(docs)
+    assert seen["n"] == 400
