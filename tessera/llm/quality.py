@@ -1,22 +1,26 @@
 """Quality classifier: supervised subword embeddings.
 
-Each word, each word bigram of a word with itself, and each character n-gram (n from 3 to 5, blanks
-included) is hashed to a row of an embedding matrix. A document is the average of its
-rows; a linear layer and softmax give the chance of label 1. Rows and layer are learned together by
-stochastic gradient descent in numpy. As both are linear, a row's product with the layer is computed
-once, and scoring a text is the mean of one number for each of its tokens.
+Each word, each word bigram and each character n-gram (n from 5 to 7, blanks included) is hashed to a
+row of an embedding matrix. A document is the average of its rows; a linear layer and softmax give the
+chance of label 1. Rows and layer are learned together by stochastic gradient descent in numpy, a
+minibatch at a time. As both are linear, a row's product with the layer is computed once, and scoring a
+text is the mean of one number for each of its tokens.
 
-Labels are learned from a sample whose size is a parameter, outside the held-out fold; scoring reads
-every whole text.
+Labels are learned from a sample outside the held-out fold whose documents and distinct tokens are both
+bounded by parameters; texts are read whole and counted where the rows are. Scoring reads every whole text.
 
 Defined cases: a null or empty text has the mean of nothing, so its score is that of the layer's
-offset; documents without a label, or with a null one, are not learned; a document with both labels
-counts as 0; repeated rows each give a row; an empty table gives none; with no label, or one label
-alone, the score is the share of label 1 (0.5 without any).
+offset; documents without a label, or with a null one, are not learned, nor are rows without an id; a
+document with both labels counts as 0; of unequal texts under one id that of the least hash is learned;
+labels without a document take no place of the sample; very long texts are learned and scored whole;
+equal texts have equal scores; repeated rows each give a row; an empty table gives none; with no label,
+or one label alone, the score is the share of label 1 (0.5 without any); other columns are kept or
+ignored as the caller asks, whatever their names.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,16 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, schema_of, table, tidy
+from .common import cut, held_out, schema_of, table, tidy
 
 ROWS = 1 << 16
-ORDERS = (3, 4, 5)
+ORDERS = (5, 6, 7)
 MIX = np.uint32(0x9E3779B1)
-SAME = np.uint32(0x51ED270B)
+PAIR = np.uint32(0xC2B2AE3D)
 
 
 def tokens(text: str, rows: int = ROWS) -> np.ndarray:
-    """Row numbers of the words and character n-grams of a text, repeats included."""
+    """Row numbers of the words, word bigrams and character n-grams of a text, repeats included."""
     points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     if not len(points):
         return np.zeros(0, np.int64)
@@ -51,8 +55,8 @@ def tokens(text: str, rows: int = ROWS) -> np.ndarray:
         mixed[blank] = 0
         word = np.add.reduceat((mixed ^ (mixed >> np.uint32(13))) * MIX, starts, dtype=np.uint32)
         out.append(word)
-        # A word after itself is one word bigram whatever the word is, so repetition can be learned.
-        out.append(np.full(int((word[1:] == word[:-1]).sum()), SAME, np.uint32))
+        pair = word[:-1] * PAIR + word[1:]
+        out.append((pair ^ (pair >> np.uint32(15))) * MIX)
     code = points.copy()
     for n in range(2, ORDERS[-1] + 1):
         if len(points) < n:
@@ -74,7 +78,34 @@ class Model:
         return 1.0 / (1.0 + np.exp(-min(max(x, -50.0), 50.0)))
 
 
-def fit(texts: list[str], labels: list[int], rows: int = ROWS, width: int = 8, epochs: int = 10, rate: float = 4.0, seed: int = 3) -> Model:
+def counted(text: str, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of a text and the share of its tokens that each has."""
+    at, counts = np.unique(tokens(text, rows), return_counts=True)
+    return at.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)
+
+
+class _Batch:
+    """Some documents: the rows that occur in them, and where and with which share."""
+
+    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
+        flat, self.share = (np.concatenate(x) for x in zip(*docs, strict=True))
+        self.doc = np.repeat(np.arange(len(docs), dtype=np.uint16), [len(at) for at, _ in docs])
+        self.rows, at = np.unique(flat, return_inverse=True)
+        self.at, self.labels, self.n = at.astype(np.int32), labels, len(docs)
+
+    def shares(self) -> np.ndarray:
+        """The share of each row (down) in each document (across)."""
+        out = np.zeros((len(self.rows), self.n), np.float32)
+        out[self.at, self.doc] = self.share
+        return out
+
+
+def fit(texts: list[str], labels: list[int], rows: int = ROWS, **options) -> Model:
+    return fit_counted([counted(t, rows) for t in texts], labels, rows, **options)
+
+
+def fit_counted(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], rows: int = ROWS, width: int = 8, epochs: int = 3, least_steps: int = 600, batch: int = 16, rate: float = 4.0, seed: int = 3) -> Model:
+    """docs: what ``counted`` gives for each document. Documents are dealt to minibatches once, and each epoch visits those in an order of its own; a small sample gets as many epochs as make least_steps visits."""
     n, ones = len(labels), sum(labels)
     if not n or ones in (0, n):
         share = min(max((ones / n) if n else 0.5, 1e-3), 1 - 1e-3)
@@ -82,38 +113,53 @@ def fit(texts: list[str], labels: list[int], rows: int = ROWS, width: int = 8, e
     rng = np.random.default_rng(seed)
     table_ = rng.uniform(-1.0 / width, 1.0 / width, (rows, width)).astype(np.float32)
     layer, offset = np.zeros((width, 2), np.float32), np.zeros(2, np.float32)
-    seen = []
-    for t in texts:
-        at, counts = np.unique(tokens(t, rows), return_counts=True)
-        seen.append((at.astype(np.uint16 if rows <= 1 << 16 else np.uint32), (counts / max(1, counts.sum())).astype(np.float32)))
-    y = np.array(labels)
-    total = epochs * n
-    step = 0
-    for _ in range(epochs):
-        for i in rng.permutation(n):
-            at, share = seen[i]
-            hidden = share @ table_[at]
-            z = hidden @ layer + offset
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[y[i]] -= 1.0
-            speed = np.float32(rate * (1 - step / total))
-            back = layer @ p
-            layer -= speed * np.float32(0.1) * np.outer(hidden, p)
-            offset -= speed * np.float32(0.01) * p
-            table_[at] -= (speed * 10 * share)[:, None] * back
-            step += 1
+    dealt = rng.permutation(n)
+    batches = [_Batch([docs[i] for i in some], np.array([labels[i] for i in some])) for some in (dealt[low : low + batch] for low in range(0, n, batch))]
+    epochs = max(epochs, -(-least_steps // len(batches)))
+    steps = epochs * len(batches)
+    for step, number in enumerate(int(i) for _ in range(epochs) for i in rng.permutation(len(batches))):
+        now = batches[number]
+        shares = now.shares()
+        hidden = shares.T @ table_[now.rows]
+        z = hidden @ layer + offset
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(now.n), now.labels] -= 1.0
+        speed = np.float32(rate * (1 - step / steps))
+        back = p @ layer.T
+        layer -= speed * np.float32(0.1) * (hidden.T @ p)
+        offset -= speed * np.float32(0.01) * p.sum(axis=0)
+        table_[now.rows] -= speed * np.float32(10) * (shares @ back)
     folded = table_ @ (layer[:, 1] - layer[:, 0])
     return Model(folded.astype(np.float32), float(offset[1] - offset[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, longest: int = 200_000, **options) -> Model:
-    """Learns from at most ``sample`` labelled documents outside the held-out fold, chosen by a hash of the id; texts longer than ``longest`` characters are not learned from."""
-    known = labels.where(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    joined = docs.select("doc_id", "text").where(F.length("text") <= longest).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most sample rows are sent
-    rows = joined.orderBy("doc_id").toPandas()
-    return fit(rows["text"].tolist(), rows["quality"].astype(int).tolist(), **options)
+def _counted(rows: int):
+    def run(batches):
+        for batch in batches:
+            for low in range(0, batch.num_rows, 64):
+                few = batch.slice(low, 64)
+                found = [counted(t, rows) for t in few.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([zlib.compress(s.tobytes(), 1) for _, s in found], pa.binary())], names=["doc_id", "quality", "at", "share"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_entries: int = 16_000_000, rows: int = ROWS, **options) -> Model:
+    """Learns from labelled documents outside the held-out fold, in the order of a hash of the id: at most ``sample``, and no more than have ``most_entries`` distinct tokens together (some 10 bytes each in the driver)."""
+    known = labels.where(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    chosen = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most sample rows are sent
+    one = whole.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    found = cut(one.mapInArrow(tidy(_counted(rows)), schema_of(docs, ["doc_id"], "quality int, at binary, share binary")))
+    sizes = found.select("doc_id", F.xxhash64("doc_id").alias("h"), (F.octet_length("at") / 4).cast("long").alias("n")).orderBy("h", "doc_id").toPandas()  # sample short rows
+    few = int((sizes["n"].cumsum() <= most_entries).sum())
+    if few < len(sizes):
+        last = sizes.iloc[few]
+        found = found.where((F.xxhash64("doc_id") < int(last["h"])) | ((F.xxhash64("doc_id") == int(last["h"])) & (F.col("doc_id") < last["doc_id"].item())))
+    taken = found.orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
+    counts = [(np.frombuffer(a, np.int32), np.frombuffer(zlib.decompress(s), np.float32)) for a, s in zip(taken["at"], taken["share"], strict=True)]
+    return fit_counted(counts, taken["quality"].tolist(), rows, **options)
 
 
 def score(docs: DataFrame, model: Model, kept: list[str], text: str = "text") -> DataFrame:

@@ -243,7 +243,7 @@ def test_language_of_held_out_and_odd_texts(spark):
 def test_quality_of_held_out_and_odd_texts(spark):
     rng = random.Random(7)
     good = [words(rng, rng.randint(10, 60)) for _ in range(150)]
-    bad = [" ".join(w + "$%&"[i % 3] for i, w in enumerate(words(rng, 30).split())) if k % 2 else " ".join([rng.choice(good).split()[0]] * 20) for k in range(150)]
+    bad = [" ".join(w + "$%&"[i % 3] for i, w in enumerate(words(rng, 30).split())) if k % 2 else " ".join([good[k % 16].split()[0]] * 20) for k in range(150)]
     texts = [t for pair in zip(good, bad, strict=True) for t in pair]
     docs = spark.createDataFrame([*enumerate(texts), (5000, None), (5001, ""), (5002, words(rng, 20_000)), (None, "x"), (0, texts[0])], "doc_id long, text string").withColumn("score", F.lit("s"))
     labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(300)] + [(0, None, None), (None, 1, 0), (9999, 1, 0)], "doc_id long, quality int, toxic int")
@@ -259,10 +259,72 @@ def test_quality_of_held_out_and_odd_texts(spark):
     assert quality.score(docs.limit(0), model, ["doc_id"]).count() == 0
 
 
-def test_folded_logits_equal_the_average_of_embeddings():
-    texts = ["good words here", "bad!! bad!! bad!!", "more good words", "$$ bad!!"]
-    model = quality.fit(texts, [1, 0, 1, 0], epochs=30)
-    assert [model.score(t) > 0.5 for t in texts] == [True, False, True, False]
-    for t in texts:
-        at = quality.tokens(t)
-        assert model.score(t) == pytest.approx(1 / (1 + np.exp(-(np.mean([model.logits[i] for i in at]) + model.offset))), rel=1e-5)
+def test_fit_equals_gradient_descent_on_explicit_embeddings():
+    """Softmax regression on averaged embeddings, with the gradient of each minibatch written out over dense matrices."""
+    rng = random.Random(5)
+    texts = [words(rng, rng.randint(1, 30)) + ("!!" if i % 2 else "") for i in range(23)] + [""]
+    labels = [1 - i % 2 for i in range(24)]
+    rows, width, epochs, size, rate, seed = 128, 4, 3, 5, 0.5, 9
+    model = quality.fit(texts, labels, rows=rows, width=width, epochs=epochs, batch=size, rate=rate, seed=seed, least_steps=0)
+    x = np.array([np.bincount(quality.tokens(t, rows), minlength=rows) / max(1, len(quality.tokens(t, rows))) for t in texts])
+    draw = np.random.default_rng(seed)
+    e, w, b = draw.uniform(-1 / width, 1 / width, (rows, width)), np.zeros((width, 2)), np.zeros(2)
+    dealt = draw.permutation(24)
+    batches = [dealt[i : i + size] for i in range(0, 24, size)]
+    order = [i for _ in range(epochs) for i in draw.permutation(len(batches))]
+    for step, i in enumerate(order):
+        some, speed = batches[i], rate * (1 - step / len(order))
+        grad_e, grad_w, grad_b = np.zeros_like(e), np.zeros_like(w), np.zeros_like(b)
+        for d in some:
+            h = x[d] @ e
+            p = np.exp(h @ w + b) / np.exp(h @ w + b).sum()
+            miss = p - np.eye(2)[labels[d]]
+            grad_e += np.outer(x[d], w @ miss)
+            grad_w += np.outer(h, miss)
+            grad_b += miss
+        e, w, b = e - 10 * speed * grad_e, w - 0.1 * speed * grad_w, b - 0.01 * speed * grad_b
+    for t, row in zip(texts, x, strict=True):
+        z = row @ e @ w + b
+        assert model.score(t) == pytest.approx(1 / (1 + np.exp(z[0] - z[1])), rel=1e-3)
+    assert np.abs(model.logits - e @ (w[:, 1] - w[:, 0])).max() < 1e-3
+
+
+def test_tokens_are_words_pairs_of_words_and_character_runs():
+    def count(text):
+        w, padded = text.split(), f" {text} "
+        return len(w) + max(0, len(w) - 1) + sum(max(0, len(padded) - n + 1) for n in quality.ORDERS)
+
+    for t in ("a", "one two", "one  two\tthree", "word " * 50 + "end"):
+        assert len(quality.tokens(t)) == count(t)
+    same = quality.tokens("aa aa aa", 1 << 24)
+    assert (same[0] == same[1] == same[2]) and same[3] == same[4] != quality.tokens("bb bb", 1 << 24)[2]
+
+
+def test_labels_without_documents_take_no_place(spark):
+    docs = spark.range(0, 400).select("id", F.concat(F.lit("text of "), "id").alias("text")).withColumnRenamed("id", "doc_id")
+    labels = spark.range(-20_000, 400).select(F.col("id").alias("doc_id"), (F.col("id") % 2 == 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    seen = {}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "fit_counted", lambda docs, labels, rows, **_: seen.update(n=len(docs), labels=labels))
+        quality.train(docs, labels, sample=200)
+        assert seen["n"] == 200 and 50 < sum(seen["labels"]) < 150
+        quality.train(docs, labels, sample=200, most_entries=1000)
+        assert 0 < seen["n"] < 60
+
+
+def test_unequal_texts_of_an_id_are_learned_alike(spark):
+    rows = [(i % 20, f"text {i} " * (1 + i % 3)) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    found = []
+    for parts, some in ((1, rows), (5, rows[::-1])):
+        model = quality.train(spark.createDataFrame(some, "doc_id long, text string").repartition(parts), labels)
+        found.append((model.offset, model.logits.tobytes()))
+    assert found[0] == found[1]
+
+
+def test_long_texts_are_learned_from(spark):
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, words(rng, 60_000, "ab" if i % 2 else "cd"), "xx" if i % 2 else "yy") for i in range(8)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    assert sorted(langid.train(docs).languages) == ["xx", "yy"]
+    assert langid.train(docs).weights.any() and quality.train(docs, labels).logits.any()
