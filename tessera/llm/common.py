@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..storage import cut, fresh_dir, shared_dir
 
-__all__ = ["cut", "fresh_dir", "shared_dir", "table", "free_name", "held_out", "looked_up", "MOST_BROADCAST", "schema_of", "tidy", "unit"]
+__all__ = ["cut", "fresh_dir", "shared_dir", "table", "free_name", "held_out", "looked_up", "row_hash", "MOST_BROADCAST", "schema_of", "tidy", "unit"]
 
 #: Rows of a few numbers or short texts that may be sent to all executors: some tens of MB.
 MOST_BROADCAST = 1_000_000
@@ -54,6 +54,21 @@ def schema_of(df: DataFrame, kept: list[str], spec: str) -> T.StructType:
     return T.StructType([df.schema[c] for c in kept] + T.StructType.fromDDL(spec).fields)
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row, which tells rows of one id apart. Types that have no hash count as JSON."""
+
+    def plain(kind: T.DataType) -> bool:
+        if isinstance(kind, T.ArrayType):
+            return plain(kind.elementType)
+        if isinstance(kind, T.StructType):
+            return all(plain(f.dataType) for f in kind.fields)
+        return not isinstance(kind, (T.MapType, T.VariantType))
+
+    columns = [F.col(f"`{f.name}`") if plain(f.dataType) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in df.schema.fields]
+    # Each value with its place: a hash skips nulls, so (null, 1) and (1, null) would be alike.
+    return F.xxhash64(*[x for i, c in enumerate(columns) for x in (F.lit(i), c)])
+
+
 def held_out(doc_id: Column | str, remainder: int = 2, of: int = 4) -> Column:
     """Whether crc32(doc_id as text) falls in the held-out fold; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % of == remainder, F.lit(False))

@@ -3,13 +3,18 @@
 Rules name a host and a path prefix. A rule fits its host and all subdomains if the url's path
 starts with the rule's path; the longest fitting rule decides. Each url yields the keys that a
 rule could have (host suffixes by number of labels, path prefixes by length); the Bloom filter
-drops nearly all keys that no rule has, and an equi-join on the key text removes its false
-positives. The filter's size is capped, so it can be broadcast whatever the number of rules: past
-the cap the filter only lets more keys through to the join, which stays exact.
+drops nearly all keys that no rule has. Rows without a possible hit get the default verdict where they
+are, without a shuffle. The possible hits alone, each with a row number of its own, go on to an equi-join
+on the key text, which removes the filter's false positives, so a url that holds a large part of all
+rows spreads like any other. The filter's size is capped, so it can be broadcast whatever the number of
+rules: past the cap the filter only lets more keys through to the join, which stays exact.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, no rule, and the
-default verdict. Equal rules with both verdicts count as block. Rules without a host fit nothing.
-Repeated pages each get their row. Other columns of the pages are left alone by ``judge``.
+default verdict. Equal rules with both verdicts count as block. Rules without a host fit nothing; without
+rules every url gets the default. Urls may be of any length. Repeated rows and ties each get their row;
+an empty table gives an empty result. Other columns travel in one struct, so their names cannot clash.
+Row numbers follow the order of rows in a partition, which must be the same when a lost task is run
+again, as that of files is.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, looked_up, table
 
 WORDS_PER_BLOCK = 8  # 64-bit words: one block is a cache line
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -97,9 +102,9 @@ class BlockedBloom:
 
 
 def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", column: str = "url") -> DataFrame:
-    """One row (url, host, path, rule, verdict) for each distinct non-null value of the url column."""
+    """One row (_row, host, path, rule, verdict) for each row; _row: it, as a struct."""
     spark = urls.sparkSession
-    listed = canonical_rules(rules)
+    listed = cut(canonical_rules(rules))
     #: Label counts (a host has at most 127) and path lengths: short lists of numbers whatever the number of rules.
     host_part = F.regexp_extract("key", "^[^/]*", 0)
     sizes = listed.select(F.size(F.split(host_part, "\\.")).alias("labels"), (F.length("key") - F.length(host_part)).alias("chars")).distinct()
@@ -107,15 +112,14 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", column: str
     labels, chars = sorted(found["labels"]), sorted(found["chars"])
     bloom = spark.sparkContext.broadcast(BlockedBloom.build(listed).words)
 
-    @F.pandas_udf("array<boolean>")
-    def may_be_listed(hashes: pd.Series) -> pd.Series:
-        flat = np.concatenate([np.zeros(0, dtype=np.int64), *[np.asarray(x, dtype=np.int64) for x in hashes]])
-        hit = BlockedBloom(bloom.value).has(flat)
+    @F.pandas_udf("array<string>")
+    def possible_hits(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+        hit = BlockedBloom(bloom.value).has(np.concatenate([np.zeros(0, dtype=np.int64), *[np.asarray(x, dtype=np.int64) for x in hashes]]))
         ends = np.cumsum([len(x) for x in hashes])
-        return pd.Series(np.split(hit, ends[:-1])) if len(ends) else pd.Series([], dtype=object)
+        return pd.Series([list(np.asarray(k, dtype=object)[hit[end - len(k) : end]]) for k, end in zip(keys, ends, strict=True)], dtype=object)
 
     host, path = host_and_path(F.col(column))
-    distinct = urls.select(column).where(F.col(column).isNotNull()).distinct().select(column, host.alias("host"), path.alias("path"))
+    split = urls.select(F.struct("*").alias("_row"), host.alias("host"), path.alias("path"))
     parts = F.split("host", "\\.")
     suffixes = F.transform(
         F.filter(F.array(*[F.lit(n) for n in labels]).cast("array<int>"), lambda n: (n <= F.size(parts)) & (F.col("host") != "")),
@@ -123,23 +127,19 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", column: str
     )
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in chars]).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    keyed = distinct.withColumn("keys", keys).withColumn("hits", may_be_listed(F.transform("keys", lambda k: F.xxhash64(k))))
-    possible = keyed.select(column, F.explode(F.transform(F.filter(F.arrays_zip("keys", "hits"), lambda x: x["hits"]), lambda x: x["keys"])).alias("key"))
-    best = (
-        possible.join(listed, "key")
-        .groupBy(column)
-        .agg(F.max_by(F.struct("key", "rule_verdict"), F.struct(F.length("key"), F.length(F.regexp_extract("key", "^[^/]*", 0)), "key")).alias("best"))
-        .select(column, F.col("best.key").alias("rule"), F.col("best.rule_verdict").alias("rule_verdict"))
-    )
-    return distinct.join(best, column, "left").select(column, "host", "path", "rule", F.coalesce("rule_verdict", F.lit(default)).alias("verdict"))
+    tried = split.withColumn("hits", possible_hits(keys, F.transform(keys, lambda k: F.xxhash64(k))))
+    passed = tried.where(F.size("hits") == 0).select("_row", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    possible = tried.where(F.size("hits") > 0).withColumn("_number", F.monotonically_increasing_id()).select("_number", "_row", "host", "path", F.explode("hits").alias("key"))
+    known = looked_up(possible, listed, ["key"], "left")
+    order = F.when(F.col("rule_verdict").isNotNull(), F.struct(F.length("key"), F.length(F.regexp_extract("key", "^[^/]*", 0)), "key"))
+    best = known.groupBy("_number").agg(*[F.first(c).alias(c) for c in ("_row", "host", "path")], F.max_by(F.struct("key", "rule_verdict"), order).alias("best"))
+    return passed.unionByName(best.select("_row", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
-    judged = judge(pages, rules).select("url", "rule", "verdict")
-    host, path = host_and_path(F.col("url"))
-    return pages.join(judged, "url", "left").select("page_id", host.alias("host"), path.alias("path"), "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+    return judge(pages, rules).select("_row.page_id", "host", "path", "rule", "verdict")
 
 
 OP5_SQL = """
