@@ -9,16 +9,23 @@ target by less than one document, and each document keeps its chance.
 The exchange is a reduction tree: leaves of a few thousand documents leave one unsettled document
 each; those meet in nodes one level up, and so on to one for each source, settled by its chance.
 A second pass over the leaves, told how the leaf's last document was settled, gives the copies.
-All randomness is a hash of seed, document and place, so reruns agree. Leaves are streamed in sorted
-order and hold one row, whatever their size.
+All randomness is a hash of seed, source, document and place, so reruns agree, whatever the partitions.
+Leaves are streamed in sorted order and hold one row, whatever their size. Rows fall into leaves by a hash
+of all their columns, so rows of one id (or without one) spread; equal rows share a leaf, but for those
+that fill more than one: they are numbered and dealt anew.
+
+Targets are found by repeated sums over the table of sources: a source is capped once the level of those
+not capped would lift it above its cap, until no more is. No step needs all sources in one task.
 
 Defined cases: a null source is a source like others and comes last; a null or blank text has size
-0 and is settled by chance alone; repeated rows are settled one by one; an empty table gives an
-empty result; other columns travel in one struct, so their names cannot clash.
+0 and is settled by chance alone; texts may be of any length; repeated rows are settled one by one, and
+which of several equal rows is taken is left open; rows of equal size and id go by a hash of all columns;
+an empty table gives an empty result; other columns travel in one struct, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import pandas as pd
@@ -27,7 +34,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, schema_of, table, tidy
+from ..sources.records import dense_index
+from .common import cut, looked_up, row_hash, schema_of, table, tidy
 
 MOST_BROADCAST_SOURCES = 100_000
 NEAR = 1e-12
@@ -40,18 +48,26 @@ def words(text: Column) -> Column:
 
 def targets(sizes: DataFrame, ratio: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = (3, 1, 2)) -> DataFrame:
     """sizes: one row (source, source_size, n) for each source. Adds target: shares by weight, none above cap times its source, the excess reshared."""
-    ranked = sizes.withColumn("_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    weighted = ranked.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") - 1) % len(weights) + 1))
-    weighted = weighted.withColumn("_cap", F.col("source_size") * F.lit(cap)).withColumn("_fill", F.col("_cap") / F.col("_w"))
-    # Sources reach their caps in the order of cap / weight; a source is capped if the level that the rest would get is above its own.
-    order = Window.orderBy("_fill", "_rank")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) * F.lit(ratio)
-    levels = weighted.withColumn("_level", (total - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / F.sum("_w").over(after))
-    whole = Window.orderBy("_fill", "_rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = F.min_by(F.when(F.col("_fill") >= F.col("_level"), F.col("_level")), F.when(F.col("_fill") >= F.col("_level"), F.struct("_fill", "_rank"))).over(whole)
-    return levels.withColumn("_at", level).select("source", "source_size", "n", F.least(F.col("_cap"), F.coalesce(F.col("_at") * F.col("_w"), F.col("_cap"))).alias("target"))
+    ranked = dense_index(sizes, [F.col("source").asc_nulls_last()])
+    weighted = cut(ranked.withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("row_index") % len(weights) + 1).cast("int"))).withColumn("_cap", F.col("source_size") * F.lit(cap)))
+    total = (weighted.agg(F.sum("source_size")).first()[0] or 0) * ratio
+    level, capped = 0.0, -1
+    while True:  # the capped sources only grow in number, so this ends
+        full = F.col("_cap") < level * F.col("_w") if capped >= 0 else F.lit(False)
+        seen = weighted.agg(F.count_if(full).alias("capped"), F.sum(F.when(full, F.col("_cap")).otherwise(0.0)).alias("held"), F.sum(F.when(full, 0.0).otherwise(F.col("_w"))).alias("w")).first()
+        if seen["capped"] == capped:
+            break
+        capped = seen["capped"]
+        if not seen["w"]:
+            level = math.inf
+            break
+        level = max(level, (total - seen["held"]) / seen["w"])
+    target = F.col("_cap") if math.isinf(level) else F.least(F.col("_cap"), F.lit(level) * F.col("_w"))
+    return weighted.select("source", "source_size", "n", target.alias("target"))
+
+
+def _hash(*parts: object) -> int:
+    return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest())
 
 
 def _random(h: int, place: int) -> float:
@@ -181,11 +197,12 @@ def _resolve(left: DataFrame, fan: int, seed: int) -> DataFrame:
 
         def meet(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values(["_size", "_node"], ascending=[False, True])
+            source = group["_source"].iloc[0]
             fold, take = Fold(), {}
             for n, size, chance in zip(group["_node"], group["_size"], group["_chance"], strict=True):
-                take.update(fold.add(n, size, chance, (seed << 40) + (level << 32) + int(n) & MASK))
+                take.update(fold.add(n, size, chance, _hash(seed, level, int(n), source)))
             if top and fold.who is not None:
-                take[fold.who] = int(_random((seed << 40) + len(group), fold.place + 1) < fold.chance)
+                take[fold.who] = int(_random(_hash(seed, "top", len(group), source), fold.place + 1) < fold.chance)
                 fold.who = None
             return pd.DataFrame({"_source": group["_source"], "_node": group["_node"], "_up": group["_up"], "_take": [take.get(n) for n in group["_node"]], "_size": group["_size"], "_chance": [fold.chance if n == fold.who else 0.0 for n in group["_node"]]}).astype({"_take": "Int32"})
 
@@ -206,29 +223,43 @@ def _resolve(left: DataFrame, fan: int, seed: int) -> DataFrame:
     return above.select("_source", F.col("_node").alias("_leaf"), "_take")
 
 
+def _numbered(sized: DataFrame, per_leaf: int) -> DataFrame:
+    """Rows that are equal and fill more than one leaf get hashes of their own for each per_leaf of them. As they are equal, it does not matter which row gets which."""
+    hot = cut(sized.groupBy("_h").agg(F.count("*").alias("_c")).where(F.col("_c") > per_leaf).select("_h", F.lit(True).alias("_hot")))
+    if hot.isEmpty():
+        return sized
+    marked = looked_up(sized, hot, ["_h"], "left")
+    rows = cut(marked.where("_hot").drop("_hot").withColumn("_p", F.spark_partition_id()))
+    # At most one row for each key and partition, so few enough for a window by key.
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_h").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = rows.groupBy("_h", "_p").agg(F.count("*").alias("_n")).withColumn("_before", before).drop("_n")
+    at = F.row_number().over(Window.partitionBy("_h", "_p").orderBy("_h")) - 1
+    dealt = looked_up(rows.withColumn("_i", at), cut(starts), ["_h", "_p"]).withColumn("_h", F.xxhash64("_h", F.floor((F.col("_i") + F.col("_before")) / per_leaf)))
+    return marked.where("_hot is null").select(*sized.columns).unionByName(dealt.select(*sized.columns))
+
+
 def mix(df: DataFrame, size: Column, source: str = "source", ids: tuple[str, ...] = ("doc_id",), ratio: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = (3, 1, 2), per_leaf: int = 4096, fan: int = 4096, seed: int = 11) -> DataFrame:
     """One row for each input row: _row (it, as a struct), _size, _source_size, _target, _copies."""
-    sized = df.select(F.struct("*").alias("_row"), F.col(source).cast("string").alias("_source"), size.cast("long").alias("_words"), F.struct(*[F.col(c) for c in ids]).alias("_ids"))
+    sized = df.select(F.struct("*").alias("_row"), F.col(source).cast("string").alias("_source"), size.cast("long").alias("_words"), F.xxhash64(F.struct(*[F.col(c) for c in ids]), row_hash(df), F.lit(seed)).alias("_h"))
     by_source = cut(targets(sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size"), F.count("*").alias("n")), ratio, cap, weights))
     few = F.broadcast if by_source.count() <= MOST_BROADCAST_SOURCES else lambda x: x
     known = few(by_source.select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.ceil(F.col("n") / per_leaf).alias("_leaves")))
     per_word = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
-    h = F.xxhash64("_ids", F.lit(seed))
     items = (
-        sized.join(known, F.col("_source").eqNullSafe(F.col("_s")))
+        _numbered(sized, per_leaf)
+        .join(known, F.col("_source").eqNullSafe(F.col("_s")))
         .withColumn("_whole", F.floor(per_word + F.lit(NEAR)).cast("int"))
         .withColumn("_chance", F.greatest(F.lit(0.0), per_word - F.col("_whole")))
-        .withColumn("_h", h)
-        .select("_row", "_source", F.pmod(F.xxhash64("_h", F.lit(seed + 1)), F.col("_leaves")).cast("long").alias("_leaf"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_take"), F.col("_words").cast("double").alias("_size"), "_chance", "_whole", "_h", "_ids", "_source_size", "_target")
+        .select("_row", "_source", F.pmod(F.xxhash64("_h", F.lit(seed + 1)), F.col("_leaves")).cast("long").alias("_leaf"), F.lit(1).alias("_kind"), F.lit(None).cast("int").alias("_take"), F.col("_words").cast("double").alias("_size"), "_chance", "_whole", "_h", "_source_size", "_target")
     )
 
     def leaves(rows: DataFrame) -> DataFrame:
-        return rows.repartition(*LEAF).sortWithinPartitions(*LEAF, "_kind", F.col("_size").desc(), "_h", "_ids")
+        return rows.repartition(*LEAF).sortWithinPartitions(*LEAF, "_kind", F.col("_size").desc(), "_h")
 
-    lean = leaves(items.select(*LEAF, "_kind", "_size", "_chance", "_h", "_ids")).select(*LEAF, "_size", "_chance", "_h")
+    lean = leaves(items.select(*LEAF, "_kind", "_size", "_chance", "_h")).select(*LEAF, "_size", "_chance", "_h")
     left = cut(lean.mapInArrow(tidy(_unsettled), "_source string, _leaf long, _size double, _chance double"))
     told = _resolve(left, fan, seed).withColumn("_kind", F.lit(0))
-    both = leaves(items.unionByName(told, allowMissingColumns=True)).drop("_ids")
+    both = leaves(items.unionByName(told, allowMissingColumns=True))
     return both.mapInArrow(tidy(_settled), schema_of(items, ["_row"], "_size double, _source_size long, _target double, _copies int"))
 
 
@@ -239,6 +270,6 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("size"))
+    docs = cut(table(spark, sf_dir, "documents").select("doc_id", "source", words(F.col("text")).alias("size")))  # words are counted once
     found = mix(docs, F.col("size"))
     return found.select("_row.doc_id", "_row.size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_row.size") * F.col("_copies")).cast("long").alias("taken"))
