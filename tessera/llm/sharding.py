@@ -7,11 +7,14 @@ a second hash, and ranges that turn out overfull in an exact count are divided a
 further sample. Ranges then go to shards in order, by exact sizes.
 
 The driver sees sampled keys, heavy keys and one row for each range: all bounded by the number of
-ranges, which is a fixed number for each shard or one for each million rows.
-
-Defined cases: a null text counts as an empty one; a null id is a value like others; repeated rows
-each get a slot; an empty table gives an empty result; other columns of the frame are kept, but
-columns named shard or slot are replaced.
+ranges, which is fixed for each shard, whatever the number of rows. Slots are numbered within buckets of
+a range that hold about as many rows as a parameter says, after those of the buckets before, so no task
+numbers a whole shard.
+
+Defined cases: a null text counts as an empty one; texts may be of any length; a null id is a value like
+others; repeated rows each get a slot, and equal keys and ids are ties that the bucket and input partition
+order; an empty table gives an empty result; other columns of the frame are kept, but columns named shard
+or slot are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, free_name, table, unit
+from .common import cut, free_name, looked_up, table, unit
 
 
 @dataclass(frozen=True)
@@ -59,14 +62,19 @@ def _quantiles(sample: list[tuple[int, float]], n: int) -> list[int]:
     return sorted({int(keys[min(np.searchsorted(ends, ends[-1] * i / n, side="left"), len(keys) - 1)]) for i in range(1, n)})
 
 
-def sampled_splitters(weights: DataFrame, total: int, ranges: int, per_range: int = 16, seed: int = 7, rounds: int = 6) -> Splitters:
-    """weights: one row (k long, w long) for each distinct key. total: the sum of w. ranges: about how many to make."""
+def sampled_splitters(weights: DataFrame, total: int, ranges: int, per_range: int = 16, seed: int = 7) -> Splitters:
+    """weights: one row (k long, w long of at least 1) for each distinct key. total: the sum of w. ranges: about how many to make.
+
+    Overfull ranges are sampled again, four times as densely in each round. Once every key of such a range is
+    drawn for sure, its boundaries are exact, so this ends, after a few rounds.
+    """
     most = max(1.0, 2.0 * total / ranges)
     heavy = {r["k"]: r["w"] for r in weights.where(F.col("w") > most).collect()}  # at most ranges / 2
     starts = {-(1 << 63), *_quantiles(_sample(weights, ranges * per_range / max(total, 1), seed, 0), ranges)}
     for k in heavy:
         starts |= {k} | ({k + 1} if k + 1 < 1 << 63 else set())
-    for round_ in range(1, rounds):
+    rate, round_ = per_range * ranges / max(total, 1), 0
+    while rate < 1.0:
         order = np.array(sorted(starts), dtype=np.int64)
         at = _locator(Splitters(order, np.ones(len(order), dtype=np.int64)))
         light = weights.where(~F.col("k").isin(list(heavy))) if heavy else weights
@@ -74,14 +82,11 @@ def sampled_splitters(weights: DataFrame, total: int, ranges: int, per_range: in
         over = {r["r"]: r["w"] for r in placed.groupBy("r").agg(F.sum("w").alias("w")).where(F.col("w") > most).collect()}
         if not over:
             break
-        rate = per_range * ranges / max(total, 1) * 4**round_
+        rate, round_ = min(rate * 4, 1.0), round_ + 1
         rows: dict[int, list[tuple[int, float]]] = {}
         for k, n in _sample(placed.where(F.col("r").isin(list(over))).select("k", "w"), rate, seed, round_):
             rows.setdefault(int(np.searchsorted(order, k, side="right") - 1), []).append((k, n))
-        more = {x for r, s in rows.items() for x in _quantiles(s, int(-(-over.get(r, most) // most)) * 2)}
-        if more <= starts:
-            break
-        starts |= more
+        starts |= {x for r, s in rows.items() for x in _quantiles(s, int(-(-over.get(r, most) // most)) * 2)}
     order = np.array(sorted(starts), dtype=np.int64)
     return Splitters(order, np.array([-(-heavy.get(int(k), 1) // int(most)) if int(k) in heavy else 1 for k in order], dtype=np.int64))
 
@@ -94,15 +99,14 @@ def _locator(splitters: Splitters):
     return locate
 
 
-def assign_shards(df: DataFrame, shards: int, size: str, key: str, ids: list[str], per_shard: int = 40, seed: int = 7) -> DataFrame:
+def assign_shards(df: DataFrame, shards: int, size: str, key: str, ids: list[str], per_shard: int = 40, per_bucket: int = 500_000, seed: int = 7) -> DataFrame:
     """Adds shard and slot (gapless from 0 in each shard) to the rows. size: a long column of at least 1; key: a long column, equal for rows to be kept together; ids: columns that order the rows of a key. The rows are checkpointed, so pass what is needed to tell them apart rather than whole texts."""
     df = df.drop("shard", "slot")
     spark = df.sparkSession
-    range_, second, from_ = (free_name(df, c) for c in ("_range", "_second", "_from"))
-    weights = cut(df.groupBy(F.col(key).alias("k")).agg(F.sum(size).alias("w"), F.count("*").alias("n")))
-    whole = weights.agg(F.sum("w").alias("w"), F.sum("n").alias("n")).first()
-    total, rows = whole["w"] or 0, whole["n"] or 0
-    splitters = sampled_splitters(weights, total, max(shards * per_shard, rows // 1_000_000), seed=seed)
+    range_, second, bucket, from_ = (free_name(df, c) for c in ("_range", "_second", "_bucket", "_from"))
+    weights = cut(df.groupBy(F.col(key).alias("k")).agg(F.sum(size).alias("w")))
+    total = weights.agg(F.sum("w").alias("w")).first()["w"] or 0
+    splitters = sampled_splitters(weights, total, shards * per_shard, seed=seed)
     #: Repeated rows that nothing tells apart still spread, by the input partition they are in.
     spread = unit(*[F.col(c) for c in ids], F.spark_partition_id(), F.lit(seed))
     placed = cut(df.withColumn(second, spread).withColumn(range_, _locator(splitters)(F.col(key), F.col(second))))  # counted and numbered alike
@@ -110,12 +114,18 @@ def assign_shards(df: DataFrame, shards: int, size: str, key: str, ids: list[str
     layout, before, filled = [], 0, [0] * shards
     for r, w, n in held:
         shard = min(shards - 1, (2 * before + w) * shards // (2 * total))
-        layout.append((r, shard, filled[shard]))
+        layout.append((r, shard, filled[shard], -(-n // per_bucket)))
         before += w
         filled[shard] += n
-    places = F.broadcast(spark.createDataFrame(layout, f"{range_} long, shard int, {from_} long"))  # one row for each range
-    order = Window.partitionBy(range_).orderBy(key, *ids, second)
-    return placed.join(places, range_).withColumn("slot", F.row_number().over(order).cast("long") - 1 + F.col(from_)).drop(range_, second, from_)
+    places = F.broadcast(spark.createDataFrame(layout, f"{range_} long, shard int, {from_} long, _buckets long"))  # one row for each range
+    dealt = placed.join(places, range_).withColumn(bucket, F.pmod(F.xxhash64(F.col(key), F.col(second), F.lit(seed)), F.col("_buckets"))).drop("_buckets")
+    at = F.row_number().over(Window.partitionBy(range_, bucket).orderBy(key, *ids, second)).cast("long") - 1
+    if max((b for *_, b in layout), default=1) > 1:
+        sizes = dealt.groupBy(range_, bucket).agg(F.count("*").alias("_n"))
+        first = F.coalesce(F.sum("_n").over(Window.partitionBy(range_).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        dealt = looked_up(dealt, cut(sizes.withColumn("_first", first).drop("_n")), [range_, bucket])
+        return dealt.withColumn("slot", at + F.col(from_) + F.col("_first")).drop(range_, second, from_, bucket, "_first")
+    return dealt.withColumn("slot", at + F.col(from_)).drop(range_, second, from_, bucket)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
