@@ -1,14 +1,15 @@
 """Sequence packing: first-fit decreasing with a tournament tree, in randomised groups.
 
 Each text is tokenized whole and ends with an end id. Its ids are cut at multiples of the sequence
-length: full pieces are sequences of their own; the one shorter rest of each document is packed.
-Rests go to random groups of a few thousand documents, and in each group first-fit decreasing finds
-the first bin with room by descending a tournament tree of bin capacities. Groups need nothing from
-each other, so no task grows with the input.
-
-Defined cases: a null text is an empty one and yields the end id alone; repeated rows are packed
-each by itself (the group also depends on the input partition, so they spread); an empty table
-gives no pieces; other columns are ignored.
+length, so all but the last piece of a document fill a sequence of their own. Documents go to random
+groups of a few thousand by a hash of their id, and in each group first-fit decreasing finds the first
+bin with room by descending a tournament tree of bin capacities. Groups need nothing from each other, so
+no task grows with the input, and however the input is split, it is packed alike. Only of ids that occur
+more than once, and of rows without one, the group also depends on place in the input, so that they spread.
+
+Defined cases: a null text is an empty one and yields the end id alone; texts may be of any length;
+pieces of equal length go by id, start and checksum; repeated rows are packed each by itself; an empty
+table gives no pieces; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, schema_of, table, tidy
+from .common import MOST_BROADCAST, cut, schema_of, table, tidy
 
 #: Texts of these characters alone take the word cache; others go through the whole tokenizer.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿŒœ]*")
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^\sa-zß-öø-ÿœ0-9]+")
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 _OPEN: dict[str, WordTokenizer] = {}
 
 
@@ -53,9 +55,9 @@ class WordTokenizer:
         self.words: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
-        norms = [x.get("type") for x in (made.get("normalizer") or {}).get("normalizers", [])]
+        norms = (made.get("normalizer") or {}).get("normalizers", [])
         splits = (made.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        self.by_word = norms == ["NFC", "Replace", "Lowercase"] and splits[0].get("pattern", {}).get("Regex") == SPLIT and made.get("post_processor") is None
+        self.by_word = norms == NORMALIZERS and splits[0].get("pattern", {}).get("Regex") == SPLIT and made.get("post_processor") is None
         self.by_word &= made["model"]["type"] == "BPE" and len(splits) == 2 and splits[1] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": splits[1].get("trim_offsets"), "use_regex": False}
         self.model, self.letters = self.whole.model, _byte_letters()
         self.specials = [x["content"] for x in made.get("added_tokens", [])]
@@ -146,8 +148,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     return docs.select(doc_id, text).mapInArrow(tidy(pieces_of), schema_of(docs, [doc_id], "start long, length long, ids_crc32 long, doc_tokens long, salt long" + ", ids binary" * with_ids))
 
 
-def pack(found: DataFrame, documents: int, capacity: int = 2048, per_group: int = 4096, doc_id: str = "doc_id") -> DataFrame:
-    """Adds sequence_id and offset to pieces. documents: how many there are, which sets the number of groups."""
+def pack(found: DataFrame, capacity: int = 2048, per_group: int = 4096, doc_id: str = "doc_id") -> DataFrame:
+    """Adds sequence_id and offset to checkpointed pieces."""
+    ids = found.where("start = 0").groupBy(doc_id).agg(F.count("*").alias("_n"))
+    seen = cut(ids.where("_n > 1").select(F.col(doc_id).alias("_id"), F.col("_n").alias("_again")))
+    documents = found.where("start = 0").count()
     groups = max(1, -(-documents // per_group))
     kept = [c for c in found.columns if c != "salt"]
 
@@ -157,12 +162,11 @@ def pack(found: DataFrame, documents: int, capacity: int = 2048, per_group: int
         bins, offsets = first_fit_decreasing(group["length"].tolist(), capacity)
         return group[kept].assign(sequence_id=np.array(bins, dtype=np.int64) + base, offset=np.array(offsets, dtype=np.int64))
 
-    full = found.where(F.col("length") >= capacity)
-    rest = found.where(F.col("length") < capacity).withColumn("_group", F.pmod(F.xxhash64(doc_id, "salt"), F.lit(groups)))
-    packed = rest.groupBy("_group").applyInPandas(fill, schema_of(found, kept, "sequence_id long, offset long"))
-    # A full piece is a sequence of its own; its id lies apart from those of the groups.
-    alone = full.select(*kept, (F.monotonically_increasing_id() + F.lit(groups) * F.lit(1 << 32)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return packed.unionByName(alone)
+    few = F.broadcast(seen) if seen.count() <= MOST_BROADCAST else seen
+    marked = found.join(few, F.col(doc_id) == F.col("_id"), "left")
+    salt = F.when(F.col(doc_id).isNull() | F.col("_again").isNotNull(), F.col("salt")).otherwise(0)
+    dealt = marked.withColumn("_group", F.pmod(F.xxhash64(doc_id, salt), F.lit(groups))).select("_group", *kept)
+    return dealt.groupBy("_group").applyInPandas(fill, schema_of(found, kept, "sequence_id long, offset long"))
 
 
 def word_bpe() -> str:
@@ -172,8 +176,7 @@ def word_bpe() -> str:
 
 
 def packed(docs: DataFrame, tokenizer_path: str | None = None, **options) -> DataFrame:
-    found = cut(pieces(docs, tokenizer_path or word_bpe(), **options))  # two branches read it
-    return pack(found, found.where("start = 0").count())
+    return pack(cut(pieces(docs, tokenizer_path or word_bpe(), **options)))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
