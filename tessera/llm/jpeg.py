@@ -2,16 +2,26 @@
 
 ``decode`` reads a progressive file: spectral-selection and successive-approximation scans add up in
 one coefficient array for each component; the inverse transform is one exact matrix product in numpy,
-chroma is replicated to full resolution, and colours become RGB. ``encode`` writes coefficient
+subsampled chroma is replicated to full resolution, and colours become RGB. ``encode`` writes coefficient
 arrays as DC, spectral-band and refinement scans.
 
-Entropy decoding runs bit by bit for general files. A Huffman table whose code length and extra bits
-always add up to 8 makes each coefficient one byte, and such scans are read by table look-up;
-``payload_to_jpeg`` writes bytes that way, one byte a coefficient, and so stores any payload
-losslessly at about 1.14 times its size.
+Entropy decoding works on arrays: the code at every bit of a stretch is looked up at once, and jumps from
+code to code are composed until each goes 32 codes ahead. Where coefficients and runs lie follows from
+cumulated sums. In refinement scans of AC coefficients each code is met in turn, its correction bits are
+applied at once.
+
+``payload_to_jpeg`` stores any payload losslessly at about 1.14 times its size: its bytes are the
+quantized coefficients of a luma and two chroma components, the chroma at half the resolution each way,
+under a Huffman table whose code length and extra bits add up to 8 for each coefficient.
 
 Transforms multiply whole numbers that floating point holds exactly, so results do not depend on
 batch sizes or machines.
+
+Defined cases: a null text counts as an empty one, whose payload is 64 zero bytes; texts may be of any
+length up to what a picture of 65,520 by 65,520 samples holds (6 GB) and are stored whole; equal texts give
+equal files and tensors; repeated rows and ties each give a row; an empty table gives none; a null or
+damaged file of a media column gives nulls and an error text; other columns are ignored, or kept where the
+caller asks, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +30,7 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import schema_of, table, tidy
 
-MOST_SIDE = 8191  # blocks: 65,528 samples
+MOST_SIDE = 4095  # of 16 samples: 65,520
 LONGEST_RUN = 32767  # blocks in one end-of-band run
 
 
@@ -111,167 +122,230 @@ BYTE_DC = [*BYTE_AC, (0, 8)]
 RUNS = [(n << 4, 4) for n in range(15)]
 
 
-class Bits:
-    """Reads an entropy-coded segment bit by bit; past the end there are zeros."""
+def _byte_values(table: list[tuple[int, int]]) -> np.ndarray:
+    """The value of each byte under a table whose codes and extra bits make 8 bits."""
+    values = np.zeros(256, np.int32)
+    for s, (code, n) in _codes(table).items():
+        x = np.arange(1 << s)
+        values[(code << s | x) & 255] = _extended(x, np.int64(s))
+    return values
 
-    def __init__(self, data: bytes):
-        self.data, self.at, self.held, self.n = data, 0, 0, 0
 
-    def take(self, n: int) -> int:
-        while self.n < n:
-            self.held = (self.held << 8) | (self.data[self.at] if self.at < len(self.data) else 0)
-            self.at += 1
-            self.n += 8
-        self.n -= n
-        out = self.held >> self.n
-        self.held &= (1 << self.n) - 1
-        return out
+STRETCH = 1 << 16  # bytes of a scan that are looked up at once
 
-    def symbol(self, known: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for n in range(1, 17):
-            code = (code << 1) | self.take(1)
-            if (n, code) in known:
-                return known[n, code]
-        raise ValueError("no such Huffman code")
 
+_DC_EXTRA = np.arange(256).astype(np.uint8) & 15
+_AC_EXTRA = np.array([s & 15 or (s >> 4 if s < 0xF0 else 0) for s in range(256)], np.uint8)
 
-def _extend(x: int, n: int) -> int:
-    return x if not n or x >= 1 << (n - 1) else x - (1 << n) + 1
 
+@lru_cache(64)
+def _lookup(table: tuple[tuple[int, int], ...], ac: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol and length of the code that each 16 bits begin with, and how far the next code is; length 0: none."""
+    symbols, lengths = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8)
+    for symbol, (code, n) in _codes(list(table)).items():
+        symbols[code << (16 - n) : (code + 1) << (16 - n)] = symbol
+        lengths[code << (16 - n) : (code + 1) << (16 - n)] = n
+    return symbols, lengths, lengths + (_AC_EXTRA if ac else _DC_EXTRA)[symbols]
 
-def _byte_values(table: list[tuple[int, int]]) -> np.ndarray:
-    """The value of each byte under a table whose codes and extra bits make 8 bits."""
-    values = np.zeros(256, np.int32)
-    for s, (code, n) in _codes(table).items():
-        for x in range(1 << s):
-            values[(code << s | x) & 255] = _extend(x, s)
-    return values
 
+def _windows(data: np.ndarray) -> np.ndarray:
+    """The 16 bits that begin at each bit of all but the last two bytes."""
+    wide = data.astype(np.uint32)
+    wide = wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]
+    return (wide[:, None] >> np.arange(8, 0, -1, dtype=np.uint32)).astype(np.uint16).ravel()
 
-DC_VALUES, AC_VALUES = _byte_values(BYTE_DC), _byte_values(BYTE_AC)
 
+PADDING = 8  # bytes behind a scan, so that every code in it is whole
 
-def _read_scan(image: Image, parts: list[tuple[Component, int, int]], ss: int, se: int, ah: int, al: int, segments: list[bytes], tables: dict, interval: int) -> None:
-    """Adds one scan to the coefficients. parts: component with its DC and AC table number."""
-    if len(parts) == 1:
-        c, dc, ac = parts[0]
-        grid = c.coefficients[: c.own_down, : c.own_across]
-        if len(segments) == 1 and _read_fast(grid, ss, se, ah, al, segments[0], tables.get((int(ss > 0), ac if ss else dc))):
-            return
-        blocks = [(c, dc, ac, y, x) for y in range(c.own_down) for x in range(c.own_across)]
-        units = [blocks[i : i + 1] for i in range(len(blocks))]
-    else:
-        first = parts[0][0]
-        units = []
-        for my in range(first.down // first.v):
-            for mx in range(first.across // first.h):
-                units.append([(c, dc, ac, my * c.v + y, mx * c.h + x) for c, dc, ac in parts for y in range(c.v) for x in range(c.h)])
-    known = {key: {(n, code): s for s, (code, n) in _codes(t).items()} for key, t in tables.items()}
-    interval = interval or len(units)
-    for number, segment in enumerate(segments):
-        bits, before, run = Bits(segment), {}, 0
-        for unit in units[number * interval : (number + 1) * interval]:
-            for c, dc, ac, y, x in unit:
-                block = c.coefficients[y, x]
-                if ss == 0 and not ah:
-                    n = bits.symbol(known[0, dc])
-                    before[c.id] = before.get(c.id, 0) + _extend(bits.take(n), n)
-                    block[0] = before[c.id] << al
-                elif ss == 0:
-                    block[0] |= bits.take(1) << al
-                elif not ah:
-                    run = _first_block(bits, known[1, ac], block, ss, se, al, run)
-                else:
-                    run = _refine_block(bits, known[1, ac], block, ss, se, al, run)
-
-
-def _first_block(bits: Bits, known: dict, block: np.ndarray, ss: int, se: int, al: int, run: int) -> int:
-    if run:
-        return run - 1
-    k = ss
-    while k <= se:
-        symbol = bits.symbol(known)
-        r, s = symbol >> 4, symbol & 15
-        if s:
-            k += r
-            block[k] = _extend(bits.take(s), s) * (1 << al)
-        elif r == 15:
-            k += 15
-        else:
-            return (1 << r) + bits.take(r) - 1
-        k += 1
-    return 0
-
-
-def _refine_block(bits: Bits, known: dict, block: np.ndarray, ss: int, se: int, al: int, run: int) -> int:
-    one = 1 << al
-
-    def correct(k: int) -> None:
-        if bits.take(1) and not abs(int(block[k])) & one:
-            block[k] += one if block[k] > 0 else -one
-
-    k = ss
-    while not run and k <= se:
-        symbol = bits.symbol(known)
-        r, s = symbol >> 4, symbol & 15
-        new = 0
-        if s:
-            new = one if bits.take(1) else -one
-        elif r < 15:
-            run = (1 << r) + bits.take(r)
+
+def _padded(segment: bytes) -> np.ndarray:
+    return np.frombuffer(segment + bytes(PADDING), np.uint8)
+
+
+def _bits_at(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n bits (16 at most) from each place, as numbers."""
+    byte = np.minimum(at >> 3, len(data) - 3)
+    wide = data[byte].astype(np.int64) << 16 | data[byte + 1].astype(np.int64) << 8 | data[byte + 2]
+    return (wide >> (24 - (at & 7) - n)) & ((1 << n) - 1)
+
+
+def _extended(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.where((n == 0) | (x >= 1 << np.maximum(n - 1, 0)), x, x - (1 << n) + 1)
+
+
+def _chain(jump: np.ndarray, first: int, end: int) -> np.ndarray:
+    """first, jump[first], and so on while below end, where jumps stay: 32 at a time, by jumps of jumps."""
+    jumps = [jump]
+    for _ in range(5):
+        jumps.append(jumps[-1][jumps[-1]])
+    anchors, far = [], jumps.pop()
+    while first < end:
+        anchors.append(first)
+        first = int(far[first])
+    out = np.empty((len(anchors), 32), np.int32)
+    out[:, 0] = anchors
+    for k, by in enumerate(jumps):
+        out[:, 1 << k : 2 << k] = by[out[:, : 1 << k]]
+    out = out.ravel()
+    return out[out < end]
+
+
+def _follow(data: np.ndarray, tables: list, ac: bool, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, places of their extra bits, and numbers of those: one code after the other, with the tables in turn, until ``most`` codes, the end of the data, or what is no code."""
+    end = 8 * (len(data) - PADDING)
+    tables = tables[:1] if all(t is tables[0] for t in tables) else tables
+    known = [_lookup(tuple(t), ac) for t in tables]
+    turn, at, found, n = len(known), 0, [np.zeros(0, np.int64)], 0
+    while at < end and (most is None or n < most):
+        low = at >> 3
+        seen = _windows(data[low : min(low + STRETCH, len(data) - 2) + 2])
+        stop, jumps = len(seen), []
+        for _, _, step in known:
+            ahead = step[seen]
+            jump = np.append(np.arange(stop, dtype=np.int32) + ahead, np.int32(stop))
+            jump[:-1][ahead == 0] = stop
+            jumps.append(np.minimum(jump, np.int32(stop), out=jump))
+        whole = jumps[0]
+        for jump in jumps[1:]:
+            whole = jump[whole]
+        starts = _chain(whole, at - 8 * low, stop)
+        if len(starts) < 2:  # nothing whole: no code here, or the end
             break
-        while k <= se:
-            if block[k]:
-                correct(k)
-            elif r == 0:
-                break
-            else:
-                r -= 1
-            k += 1
-        if new and k <= se:
-            block[k] = new
-        k += 1
-    if run:
-        for k in range(k, se + 1):
-            if block[k]:
-                correct(k)
-        return run - 1
-    return 0
-
-
-def _read_fast(grid: np.ndarray, ss: int, se: int, ah: int, al: int, data: bytes, table: list[tuple[int, int]] | None) -> bool:
-    """Reads a scan of whole-byte codes or plain bits with array operations; says if it could."""
-    n, band = grid.shape[0] * grid.shape[1], se - ss + 1
-    if ss == 0 and ah:
-        bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n)
-        grid[:, :, 0] |= bits.reshape(grid.shape[:2]).astype(np.int32) << al
-        return True
+        # The last turn may go on beyond this stretch: the next one begins with it.
+        places = [starts[:-1]]
+        for jump in jumps[:-1]:
+            places.append(jump[places[-1]])
+        found.append(np.stack(places, axis=1).ravel().astype(np.int64) + 8 * low)
+        n += len(found[-1])
+        at = int(starts[-1]) + 8 * low
+    at = np.concatenate(found)
+    at = at[at < end][:most]
+    window = _bits_at(data, at, np.int64(16))
+    symbols, sizes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for u, (symbol, length, _) in enumerate(known):
+        symbols[u::turn], sizes[u::turn] = symbol[window[u::turn]], length[window[u::turn]]
+    return symbols, at + sizes, (_AC_EXTRA if ac else _DC_EXTRA)[symbols]
+
+
+def _dc_grids(parts: list[tuple[Component, int, int]]) -> list[tuple[Component, int, np.ndarray, np.ndarray]]:
+    """For each block of a unit: component, table number, and row and column of the block in each unit of the scan."""
+    if len(parts) == 1:
+        c, dc, _ = parts[0]
+        y, x = np.divmod(np.arange(c.own_down * c.own_across), max(1, c.own_across))
+        return [(c, dc, y, x)]
+    first = parts[0][0]
+    my, mx = np.divmod(np.arange((first.down // first.v) * (first.across // first.h)), max(1, first.across // first.h))
+    return [(c, dc, my * c.v + v, mx * c.h + h) for c, dc, _ in parts for v in range(c.v) for h in range(c.h)]
+
+
+def _check(segments: list[bytes], units: int, interval: int) -> None:
+    if len(segments) != max(1, -(-units // interval)):
+        raise ValueError("the scan has another number of restarts")
+
+
+def _read_scan(parts: list[tuple[Component, int, int]], ss: int, se: int, ah: int, al: int, segments: list[bytes], tables: dict, interval: int) -> None:
+    """Adds one scan to the coefficients. parts: component with its DC and AC table number."""
     if ss == 0:
-        if table != BYTE_DC or len(data) != n:
-            return False
-        grid[:, :, 0] = (np.cumsum(DC_VALUES[np.frombuffer(data, np.uint8)]) << al).reshape(grid.shape[:2])
-        return True
-    if not ah:
-        if table != BYTE_AC or len(data) != n * band:
-            return False
-        grid[:, :, ss : se + 1] = AC_VALUES[np.frombuffer(data, np.uint8)].reshape(*grid.shape[:2], band) * (1 << al)
-        return True
-    coefficients = grid[:, :, ss : se + 1]
-    if table != RUNS or not coefficients.all():
-        return False
-    bits = np.unpackbits(np.frombuffer(data, np.uint8))
-    at, left, out = 0, n, []
-    while left:
-        r = int(bits[at : at + 4] @ [8, 4, 2, 1])
-        run = (1 << r) + int("0" + "".join(map(str, bits[at + 4 : at + 4 + r])), 2)
-        at += 4 + r
-        out.append(bits[at : at + run * band])
-        at += run * band
-        left -= run
-    step = np.concatenate(out).reshape(coefficients.shape).astype(np.int32) << al
-    grid[:, :, ss : se + 1] = np.where(coefficients > 0, coefficients + step, coefficients - step)
-    return True
+        grids = _dc_grids(parts)
+        units = len(grids[0][2])
+        interval = interval or max(1, units)
+        _check(segments, units, interval)
+        for low, segment in zip(range(0, units, interval), segments, strict=True):
+            n = min(interval, units - low)
+            if ah:
+                bits = np.unpackbits(np.frombuffer(segment, np.uint8), count=n * len(grids)).reshape(n, -1).astype(np.int32)
+                for u, (c, _, y, x) in enumerate(grids):
+                    c.coefficients[y[low : low + n], x[low : low + n], 0] |= bits[:, u] << al
+                continue
+            data = _padded(segment)
+            symbols, at, sizes = _follow(data, [tables[0, dc] for _, dc, _, _ in grids], False, n * len(grids))
+            if len(symbols) < n * len(grids):
+                raise ValueError("the scan ends too early or has no such Huffman code")
+            steps = _extended(_bits_at(data, at, sizes.astype(np.int64)), sizes.astype(np.int64)).reshape(n, -1)
+            for c in {id(c): c for c, *_ in grids}.values():
+                mine = [u for u, g in enumerate(grids) if g[0] is c]
+                values = np.cumsum(steps[:, mine].ravel()).reshape(n, -1) << al
+                for k, u in enumerate(mine):
+                    c.coefficients[grids[u][2][low : low + n], grids[u][3][low : low + n], 0] = values[:, k]
+        return
+    c, _, ac = parts[0]
+    grid = c.coefficients[: c.own_down, : c.own_across, ss : se + 1]
+    flat = np.ascontiguousarray(grid.reshape(-1, se - ss + 1))  # blocks in order
+    interval = interval or max(1, len(flat))
+    _check(segments, len(flat), interval)
+    for low, segment in zip(range(0, len(flat), interval), segments, strict=True):
+        (_refine_ac if ah else _first_ac)(flat[low : low + interval], segment, tables[1, ac], al)
+    grid[:] = flat.reshape(grid.shape)
+
+
+def _first_ac(blocks: np.ndarray, segment: bytes, table: list[tuple[int, int]], al: int) -> None:
+    """The first scan of a band. blocks: (blocks, band), filled in place."""
+    n, band = blocks.shape
+    data = _padded(segment)
+    symbols, at, sizes = _follow(data, [table], True, None)
+    sizes = sizes.astype(np.int64)
+    r, s = symbols >> 4, symbols & 15
+    bits = _bits_at(data, at, sizes)
+    ends = (s == 0) & (r < 15)  # of a block, and of more
+    ahead = np.where(ends, 0, np.where(s == 0, 16, r + 1))
+    # Between two ends the band's places count on; an end goes to the start of the block after its run.
+    total = np.cumsum(ahead)
+    last = np.flatnonzero(ends)
+    held = np.diff(total[last], prepend=0)
+    starts = np.concatenate([[0], np.cumsum(held // band + (1 << r[last]) + bits[last])])
+    stretch = np.cumsum(ends) - ends
+    before = np.concatenate([[0], total[last]])
+    place = starts[stretch] * band + total - before[stretch] - 1
+    real = (s > 0) & (place < n * band)
+    blocks.reshape(-1)[place[real]] = _extended(bits[real], s[real]) * (1 << al)
+    reached = place[-1] + 1 if len(place) and not ends[-1] else starts[-1] * band
+    if reached < n * band:
+        raise ValueError("the scan ends too early or has no such Huffman code")
+
+
+def _refine_ac(blocks: np.ndarray, segment: bytes, table: list[tuple[int, int]], al: int) -> None:
+    """A refinement scan of a band. blocks: (blocks, band), changed in place."""
+    n, band = blocks.shape
+    flat = blocks.reshape(-1)
+    data = _padded(segment)
+    symbols, lengths, _ = _lookup(tuple(table))
+    known = np.flatnonzero(flat)
+    zeros = np.flatnonzero(flat == 0)
+    at = place = done = passed = 0  # bit; place in the band's blocks; known coefficients and zeros before it
+    corrected, fresh = [], []
+    while place < n * band:
+        window = int.from_bytes(segment[at >> 3 : (at >> 3) + 3].ljust(3, b"\0")) >> (8 - (at & 7)) & 0xFFFF
+        if not lengths[window]:
+            raise ValueError("no such Huffman code")
+        at += int(lengths[window])
+        r, s = divmod(int(symbols[window]), 16)
+        if s == 0 and r < 15:
+            run = (1 << r) + int(_bits_at(data, np.array([at]), np.array([r]))[0])
+            at += r
+            to = after = min((place // band + run) * band, n * band)
+        else:
+            sign = None
+            if s:
+                sign = int(_bits_at(data, np.array([at]), np.array([1]))[0])
+                at += 1
+            end = (place // band + 1) * band
+            to = int(zeros[passed + r]) if passed + r < len(zeros) and zeros[passed + r] < end else end
+            if to < end and sign is not None:
+                fresh.append((to, sign))
+            after = min(to + 1, end)
+        some = int(np.searchsorted(known, to)) - done
+        corrected.append((at, some))
+        at += some
+        done += some
+        place = after
+        passed = place - done
+    where, counts = (np.array(x, np.int64) for x in zip(*corrected, strict=True)) if corrected else (np.zeros(0, np.int64),) * 2
+    bits = np.repeat(where - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    values = flat[known]
+    grown = (_bits_at(data, bits, np.int64(1)) == 1) & ((np.abs(values) >> al) & 1 == 0) if len(bits) else np.zeros(0, bool)
+    flat[known] = values + np.where(grown, np.sign(values) << al, 0)
+    for k, sign in fresh:
+        flat[k] = 1 << al if sign else -(1 << al)
 
 
 def read(data: bytes) -> Image:
@@ -315,7 +389,7 @@ def read(data: bytes) -> Image:
             parts = [(by_id[body[1 + 2 * i]], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(n)]
             ss, se, a = body[1 + 2 * n : 4 + 2 * n]
             segments, at = _segments(data, at)
-            _read_scan(image, parts, ss, se, a >> 4, a & 15, segments, tables, interval)
+            _read_scan(parts, ss, se, a >> 4, a & 15, segments, tables, interval)
 
 
 def _segments(data: bytes, at: int) -> tuple[list[bytes], int]:
@@ -508,6 +582,7 @@ def _dc_in_order(image: Image) -> list[int]:
 # Payloads: each byte is one coefficient. AC: 2 to 129 with the top bit as sign, so none is zero at any point transform of one bit.
 
 _BYTES = np.arange(256)
+AC_VALUES = _byte_values(BYTE_AC)
 _AC_OF = np.where(_BYTES < 128, 2 + _BYTES, -(_BYTES - 126)).astype(np.int32)
 _BYTE_OF_AC = np.zeros(512, np.uint8)
 _BYTE_OF_AC[_AC_OF + 256] = _BYTES
@@ -526,39 +601,39 @@ def padded(data: bytes) -> bytes:
 
 
 def payload_to_jpeg(payload: bytes) -> bytes:
-    """A one-component progressive file whose coefficients are the bytes of the payload, a positive multiple of 64."""
-    n = len(payload) // 64
-    across = -(-n // MOST_SIDE)
-    down = -(-n // across)
+    """A file of luma and half-resolution chroma whose coefficients are the bytes of the payload, a positive multiple of 64: each 384 bytes are four blocks of luma, one of each chroma."""
+    units = -(-len(payload) // 384)
+    across = -(-units // MOST_SIDE)
+    down = -(-units // across)
     total = across * down
-    data = np.frombuffer(payload + bytes((total - n) * 64), np.uint8).reshape(total, 64)
-    dc = data[:, 0].astype(np.int16) - 128
-    steps = np.diff(dc >> 1, prepend=np.int16(0))
-    first = _FIRST_AC[data]
-    bits, low = [], _LOW_AC[data[:, 1:]]
-    for at in range(0, total, LONGEST_RUN):
-        run = min(LONGEST_RUN, total - at)
-        k = run.bit_length() - 1
-        bits += [np.array([int(x) for x in format(k, "04b") + (format(run - (1 << k), f"0{k}b") if k else "")], np.uint8), low[at : at + run].ravel()]
-    refine = np.concatenate(bits)
-    refine = np.concatenate([refine, np.ones(-len(refine) % 8, np.uint8)])
-    low_dc = (dc & 1).astype(np.uint8)
-    low_dc = np.concatenate([low_dc, np.ones(-total % 8, np.uint8)])
+    data = np.frombuffer(payload + bytes(total * 384 - len(payload)), np.uint8).reshape(total, 6, 64)
+    parts = [data[:, :4].reshape(down, across, 2, 2, 64).transpose(0, 2, 1, 3, 4).reshape(-1, 64), data[:, 4], data[:, 5]]
+    dc = data[:, :, 0].astype(np.int16) - 128
+    high = dc >> 1
+    steps = np.concatenate([np.diff(high[:, u].ravel(), prepend=np.int16(0)).reshape(total, -1) for u in (slice(0, 4), slice(4, 5), slice(5, 6))], axis=1)
     stuffed = lambda x: x.replace(b"\xff", b"\xff\x00")
-    image = Image(across * 8, down * 8, [Component(1, 1, 1, 0)], {0: np.ones(64, np.int32)}, b"payload=%d" % len(payload))
-    return b"".join([
-        _head(image), _TABLES,
-        _scan_head([1], 0, 0, 0, 1), _FIRST_DC[steps + 127].tobytes(),
-        _scan_head([1], 1, 5, 0, 1), np.ascontiguousarray(first[:, 1:6]).tobytes(),
-        _scan_head([1], 6, 63, 0, 1), np.ascontiguousarray(first[:, 6:]).tobytes(),
-        _scan_head([1], 0, 0, 1, 0), stuffed(np.packbits(low_dc).tobytes()),
-        _RUN_TABLE, _scan_head([1], 1, 63, 1, 0), stuffed(np.packbits(refine).tobytes()),
-        b"\xff\xd9",
-    ])
+    packed = lambda x: stuffed(np.packbits(np.concatenate([x, np.ones(-len(x) % 8, np.uint8)])).tobytes())
+    image = Image(across * 16, down * 16, [Component(1, 2, 2, 0), Component(2, 1, 1, 1), Component(3, 1, 1, 1)], {0: np.ones(64, np.int32), 1: np.ones(64, np.int32)}, b"payload=%d" % len(payload))
+    out = [_head(image), _TABLES, _scan_head([1, 2, 3], 0, 0, 0, 1), _FIRST_DC[steps + 127].tobytes()]
+    for number, bands in ((1, ((1, 5), (6, 63))), (2, ((1, 63),)), (3, ((1, 63),))):
+        first = _FIRST_AC[parts[number - 1]]
+        for ss, se in bands:
+            out += [_scan_head([number], ss, se, 0, 1), np.ascontiguousarray(first[:, ss : se + 1]).tobytes()]
+    out += [_scan_head([1, 2, 3], 0, 0, 1, 0), packed((dc & 1).astype(np.uint8).ravel()), _RUN_TABLE]
+    for number, blocks in enumerate(parts, 1):
+        low, bits = _LOW_AC[blocks[:, 1:]], []
+        for at in range(0, len(blocks), LONGEST_RUN):
+            run = min(LONGEST_RUN, len(blocks) - at)
+            k = run.bit_length() - 1
+            bits += [np.array([int(x) for x in format(k, "04b") + (format(run - (1 << k), f"0{k}b") if k else "")], np.uint8), low[at : at + run].ravel()]
+        out += [_scan_head([number], 1, 63, 1, 0), packed(np.concatenate(bits))]
+    return b"".join([*out, b"\xff\xd9"])
 
 
 def jpeg_to_payload(image: Image) -> bytes:
-    flat = image.components[0].coefficients.reshape(-1, 64)
+    y, cb, cr = (c.coefficients for c in image.components)
+    down, across = cb.shape[:2]
+    flat = np.concatenate([y.reshape(down, 2, across, 2, 64).transpose(0, 2, 1, 3, 4).reshape(-1, 4, 64), cb.reshape(-1, 1, 64), cr.reshape(-1, 1, 64)], axis=1).reshape(-1, 64)
     out = _BYTE_OF_AC[flat + 256]
     out[:, 0] = flat[:, 0] + 128
     return out.tobytes()[: int(image.comment.removeprefix(b"payload="))]
@@ -590,27 +665,27 @@ def decode_column(df: DataFrame, media: str = "media", kept: tuple[str, ...] = (
 
 
 def media_columns(docs: DataFrame, with_media: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Each text stored as a progressive JPEG and read back: sizes, digests and features of the stored form, and the file itself if asked for.
-
-    A null text counts as an empty one; repeated rows each give a row; an empty table gives none; other columns are ignored.
-    """
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media"] * with_media
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.binary()] * with_media
+    """Each text stored as a progressive JPEG and read back: sizes, digests and features of the stored form, its full-resolution RGB tensor in row order (height, width, rgb), and the file itself if asked for."""
+    spec = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, rgb binary" + ", media binary" * with_media
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary()] + [pa.binary()] * with_media
+    names = [part.split()[0] for part in spec.split(", ")]
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                few, out = batch.slice(at, 256), []
-                for t in few.column(1).cast(pa.binary()):
-                    data = t.as_py() or b""
-                    media = payload_to_jpeg(padded(data))
-                    image = read(media)
-                    back = jpeg_to_payload(image)
-                    out.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(rgb(image)), *[media] * with_media))
-                yield pa.RecordBatch.from_arrays([few.column(0), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]], names=[doc_id, *names])
-
-    spec = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(doc_id, text).mapInArrow(tidy(run), schema_of(docs, [doc_id], spec + ", media binary" * with_media))
+            out, held, first = [], 0, 0
+            for i, t in enumerate(batch.column(1).cast(pa.binary())):
+                data = t.as_py() or b""
+                media = payload_to_jpeg(padded(data))
+                image = read(media)
+                back, tensor = jpeg_to_payload(image), rgb(image)
+                pixels = tensor.tobytes()
+                out.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(tensor), *tensor.shape[:2], pixels, *[media] * with_media))
+                held += len(pixels) + len(media)
+                if len(out) == 256 or held > 16 << 20 or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(out)), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]], names=[doc_id, *names])
+                    out, held, first = [], 0, i + 1
+
+    return docs.select(doc_id, text).mapInArrow(tidy(run), schema_of(docs, [doc_id], spec))
 
 
 def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
