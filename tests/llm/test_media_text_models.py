@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera.llm import jpeg, langid, ngram_join, quality
 from tessera.llm.components import components
 
+from . import plain_jpeg
 from .fixtures import odd_documents, words
 
 
@@ -65,14 +66,50 @@ def test_zigzag_starts_as_the_standard_has_it():
     assert jpeg.ZIGZAG[:12].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25] and sorted(jpeg.ZIGZAG) == list(range(64))
 
 
-@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 5000, 64 * 8191, 64 * 8191 + 1, 64 * 33000])
-def test_payload_round_trip(n, monkeypatch):
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 384, 385, 5000, 384 * 4095 + 1])
+def test_payload_round_trip(n):
     data = jpeg.padded(np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8).tobytes())
     media = jpeg.payload_to_jpeg(data)
-    assert len(data) % 64 == 0 and data and jpeg.jpeg_to_payload(jpeg.read(media)) == data
-    if n <= 5000:  # the general bit by bit reader agrees with the one for whole bytes
-        monkeypatch.setattr(jpeg, "_read_fast", lambda *a: False)
-        assert jpeg.jpeg_to_payload(jpeg.read(media)) == data
+    image = jpeg.read(media)
+    assert len(data) % 64 == 0 and data and jpeg.jpeg_to_payload(image) == data
+    assert [(c.h, c.v) for c in image.components] == [(2, 2), (1, 1), (1, 1)]
+    if n <= 5000:
+        for mine, other in zip(image.components, plain_jpeg.coefficients(media), strict=True):
+            assert (mine.coefficients == other).all()
+        assert np.abs(jpeg.rgb(image).astype(float) - by_definition(image)).max() <= 3
+    if n == 5000:
+        text = bytes(range(65, 91)) * 50
+        assert jpeg.jpeg_to_payload(jpeg.read(jpeg.payload_to_jpeg(jpeg.padded(text)))) == jpeg.padded(text)
+
+
+@pytest.mark.parametrize("parts", [[(1, 1)], [(2, 2), (1, 1), (1, 1)], [(2, 1), (1, 1), (1, 1)]])
+@pytest.mark.parametrize("al", [0, 2])
+def test_scans_equal_those_read_bit_by_bit(parts, al, monkeypatch):
+    rng = np.random.default_rng(7)
+    for width, height, dense in ((37, 29, 0.1), (40, 70, 0.5), (100, 90, 0.01), (8, 8, 1.0)):
+        media = jpeg.encode(picture(rng, width, height, parts, dense), al=al)
+        for stretch in (1 << 16, 64):
+            monkeypatch.setattr(jpeg, "STRETCH", stretch)
+            for mine, other in zip(jpeg.read(media).components, plain_jpeg.coefficients(media), strict=True):
+                assert (mine.coefficients == other).all()
+
+
+def test_restarts_and_tables_by_component():
+    """A scan with a restart after each unit, whose components have Huffman tables of their own."""
+    def bits(*items):
+        text = "".join(items)
+        return int(text + "1" * (-len(text) % 8), 2).to_bytes((len(text) + 7) // 8)
+
+    image = jpeg.Image(16, 8, jpeg.frame(16, 8, [(1, 1)] * 3), {0: np.ones(64, np.int32), 1: np.ones(64, np.int32)})
+    # Table 0: 0 -> 0, 2 -> 10, 3 -> 110. Table 1: 2 -> 00, 0 -> 01, 3 -> 10.
+    tables = jpeg._table_segment(0, 0, [(0, 1), (2, 2), (3, 3)]) + jpeg._table_segment(0, 1, [(2, 2), (0, 2), (3, 2)])
+    scan = b"\xff\xdd\x00\x04\x00\x01" + jpeg._segment(0xDA, bytes([3, 1, 0x00, 2, 0x10, 3, 0x10, 0, 0, 0]))
+    first, second = bits("10", "11", "00", "10", "10", "000"), bits("110", "111", "01", "00", "01")
+    media = jpeg._head(image) + tables + scan + first + b"\xff\xd0" + second + b"\xff\xd9"
+    want = [[3, 7], [2, 0], [-7, -2]]
+    assert [c.coefficients[0, :, 0].tolist() for c in jpeg.read(media).components] == want == [c[0, :, 0].tolist() for c in plain_jpeg.coefficients(media)]
+    with pytest.raises(ValueError, match="restarts"):
+        jpeg.read(jpeg._head(image) + tables + scan + first + b"\xff\xd9")
 
 
 def test_media_columns_of_odd_texts(spark):
@@ -86,6 +123,8 @@ def test_media_columns_of_odd_texts(spark):
         pad = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
         want[t["doc_id"], len(data), len(pad), hashlib.sha256(pad).hexdigest(), zlib.crc32(pad[-64:])] += 1
     assert want == Counter(tuple(r)[:5] for r in rows)
+    for r in rows[:20]:
+        assert bytes(r["rgb"]) == jpeg.decode(bytes(r["media"])).tobytes() and len(r["rgb"]) == 3 * r["height"] * r["width"]
     assert all(r["media_bytes"] == len(r["media"]) and hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"] for r in rows)
     assert jpeg.media_columns(docs.limit(0)).count() == 0
 
@@ -156,9 +195,10 @@ def brute(texts, threshold=0.8):
     return [root(i) for i in range(len(texts))], links
 
 
-@pytest.mark.parametrize(("block", "together"), [(512, 50_000), (4, 50_000), (512, 3)])
-def test_join_equals_brute_force(spark, monkeypatch, block, together):
+@pytest.mark.parametrize(("block", "grams", "together"), [(512, 1 << 20, 50_000), (4, 1 << 20, 50_000), (512, 300, 3)])
+def test_join_equals_brute_force(spark, monkeypatch, block, grams, together):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", grams)
     monkeypatch.setattr(ngram_join, "MOST_TOGETHER", together)
     texts = families(random.Random(8), 25) + ["", "", None, "a", "a b", "a b", "A  b.", "!!"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("h", F.lit("x"))
@@ -169,6 +209,44 @@ def test_join_equals_brute_force(spark, monkeypatch, block, together):
     assert sorted(r["doc_id"] for r in kept) == sorted(set(classes)) and kept[0]["h"] == "x"
 
 
+def test_texts_of_equal_hashes_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_first", lambda text: F.pmod(F.xxhash64(text), F.lit(7)))
+    texts = families(random.Random(9), 8) + ["", None, "a", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes, links = brute(texts)
+    assert {r["doc_id"]: (r["class_id"], r["links"]) for r in ngram_join.join(docs).collect()} == {i: (classes[i], links[i]) for i in range(len(texts))}
+    assert sorted(r["doc_id"] for r in ngram_join.deduplicated(docs).collect()) == sorted(set(classes))
+
+
+def test_one_large_family(spark):
+    """20,000 near copies of one text: each differs in one word of the last ten, so all are one class, in blocks, and links can be counted."""
+    rng = random.Random(10)
+    base = words(rng, 200).split()
+    texts = [" ".join([*base[:199], f"last{i}"]) for i in range(20_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = ngram_join.join(docs).groupBy("class_id", "links").count().collect()
+    assert [tuple(r) for r in got] == [(0, 19_999, 20_000)]
+
+
+def test_recall_by_similarity(spark):
+    """No pair at the threshold or more is lost, in each band of similarity up from 0.8."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(400):
+        base = words(rng, rng.randint(60, 200)).split()
+        texts.append(" ".join(base))
+        cut = int(len(base) * rng.uniform(0.0, 0.24))
+        texts.append(" ".join([*base[: len(base) - cut], *[f"n{rng.random()}" for _ in range(rng.randint(0, 2))]]))
+    sets = [set(ngram_join.ngrams(t).tolist()) for t in texts]
+    similar = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    by_id = {r["doc_id"]: r["class_id"] for r in ngram_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    bands = Counter(), Counter()
+    for i, x in enumerate(similar):
+        bands[0][int(x * 20)] += 1
+        bands[1][int(x * 20)] += by_id[2 * i + 1] == by_id[2 * i]
+    assert {k: bands[1][k] / bands[0][k] for k in bands[0]} == {k: float(k >= 16) for k in bands[0]} and min(bands[0][k] for k in (16, 17, 18, 19)) > 20
+
+
 def test_join_of_odd_rows(spark):
     docs = odd_documents(spark)
     out = ngram_join.join(docs).collect()

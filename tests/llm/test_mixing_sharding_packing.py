@@ -54,6 +54,31 @@ def test_mix_takes_near_targets_and_repeats_itself(spark, leaf):
         assert abs(taken[s] - target[s]) <= largest[s] + 1e-6
 
 
+def test_ties_do_not_depend_on_partitions(spark):
+    """Rows of one id and equal sizes with two texts, and equal rows that fill several leaves."""
+    rows = [(1, "a b c" if i % 2 else "d e f", "s") for i in range(40)] + [(None, f"x{i % 5} y", "s") for i in range(60)] + [(i, "w " * (i % 9), "s" if i % 2 else "t") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = [Counter(map(str, mixed(docs.repartition(n), per_leaf=leaf, fan=4))) for leaf in (4096, 4) for n in (1, 3, 7)]
+    assert found[0] == found[1] == found[2] and found[3] == found[4] == found[5]
+    assert sum(found[0].values()) == len(rows)
+
+
+def test_sources_of_like_shape_round_unlike(spark):
+    docs = spark.createDataFrame([(i, "w w w", f"s{i // 40:02d}") for i in range(1600)], "doc_id long, text string, source string")
+    rows = mixed(docs, per_leaf=4, fan=4, weights=(1,))
+    taken = Counter()
+    for r in rows:
+        taken[r["_row"]["source"]] += r["_copies"]
+    by_place = {s: tuple(r["_copies"] for r in sorted(rows, key=lambda r: r["_row"]["doc_id"]) if r["_row"]["source"] == s) for s in taken}
+    assert set(taken.values()) == {60} and len(set(by_place.values())) > 30
+
+
+def test_many_sources_fill_alike(spark):
+    sizes = {f"s{i:04d}": (i * 7919) % 1000 for i in range(700)}
+    frame = spark.createDataFrame([(k, v, 1) for k, v in sizes.items()], "source string, source_size long, n long").repartition(5)
+    assert {r["source"]: r["target"] for r in mixing.targets(frame).collect()} == pytest.approx(filled(sizes))
+
+
 def test_chances_are_kept(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 7 + 1), "a" if i % 3 else "b") for i in range(60)], "doc_id long, text string, source string")
     times, runs = Counter(), 40
@@ -86,6 +111,44 @@ def test_shards_are_even_and_gapless(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_splitters_equal_exact_quantiles_where_all_keys_are_drawn(spark):
+    """At a rate that draws every key, boundaries are the quantiles of the running size by key; heavy keys are alone and divided."""
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(-(1 << 62), 1 << 62, 500)).tolist()
+    sizes = [int(x) for x in rng.integers(1, 50, len(keys))]
+    sizes[100] = 9000
+    total, ranges = sum(sizes), 20
+    found = sharding.sampled_splitters(spark.createDataFrame(list(zip(keys, sizes, strict=True)), "k long, w long"), total, ranges, per_range=total)
+    ends = np.cumsum(sizes)
+    want = {-(1 << 63), keys[100], keys[100] + 1} | {keys[int(np.searchsorted(ends, total * i / ranges))] for i in range(1, ranges)}
+    assert set(found.starts.tolist()) == want
+    assert dict(zip(found.starts.tolist(), found.parts.tolist(), strict=True))[keys[100]] == -(-9000 // int(2 * total / ranges))
+
+
+def test_overfull_ranges_are_divided(spark):
+    """However coarse the first sample, no range but that of a heavy key outweighs twice its share by more than a key."""
+    sizes = {i * i: 1 + i % 3 for i in range(4000)} | {-5: 3000}
+    total = sum(sizes.values())
+    weights = spark.createDataFrame(list(sizes.items()), "k long, w long")
+    for per_range in (1, 16):
+        found = sharding.sampled_splitters(weights, total, 64, per_range=per_range)
+        at = found.locate(np.array(list(sizes)), np.zeros(len(sizes)))
+        held = Counter()
+        for r, (k, w) in zip(at.tolist(), sizes.items(), strict=True):
+            held[r] += w if k != -5 else 0
+        assert max(held.values()) <= 2 * total / 64 + 3
+
+
+def test_slots_by_buckets(spark):
+    rows = [(i, i % 11 + 1, 5 if i % 3 == 0 else i * 7919) for i in range(3000)] + [(None, 4, 6)] * 500
+    df = spark.createDataFrame(rows, "doc_id long, size long, key long").repartition(6)
+    out = sharding.assign_shards(df, 4, "size", "key", ["doc_id"], per_bucket=7).collect()
+    slots = {}
+    for r in out:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(out) == 3500 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_shards_of_odd_rows(spark):
     docs = odd_documents(spark).withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
     out = sharding.assign_shards(docs, 4, "size", "key", ["doc_id"])
@@ -129,6 +192,27 @@ def test_word_cache_equals_tokenizer(whole):
             assert np.frombuffer(encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_other_tokenizers_of_this_shape_are_run_whole(tmp_path, whole):
+    import json
+
+    made = json.load(open(packing.word_bpe(), encoding="utf-8"))
+    made["normalizer"]["normalizers"][1]["content"] = "x"
+    at = str(tmp_path / "other.json")
+    json.dump(made, open(at, "w", encoding="utf-8"))
+    from tokenizers import Tokenizer
+
+    other, encode = Tokenizer.from_file(at), packing.WordTokenizer(at)
+    assert packing.WordTokenizer(packing.word_bpe()).by_word and not encode.by_word
+    text = "some words here"
+    assert np.frombuffer(encode(text), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids != whole.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_does_not_depend_on_partitions(spark):
+    docs = odd_documents(spark).where("doc_id is not null").dropDuplicates(["doc_id"])
+    found = [sorted(map(tuple, packing.packed(docs.repartition(n)).collect())) for n in (1, 4)]
+    assert found[0] == found[1]
+
+
 def test_pieces_cover_each_document_once(spark, whole):
     docs = odd_documents(spark)
     out = packing.packed(docs, with_ids=True).collect()

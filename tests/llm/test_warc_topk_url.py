@@ -199,14 +199,17 @@ def test_urls_equal_sql_on_odd_urls(spark):
     rows = [(i, u, None, 1) for i, u in enumerate(urls)] + [(3, urls[4], "h", 2), (None, urls[5], None, 3)] + [(i + 100, urls[4], None, 4) for i in range(40)]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string, path int")
     rules = spark.createDataFrame(urlfilter.RULES, "verdict string, host string, path string")
-    judged = {r["url"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(pages, rules).collect()}
+    judged = {}
+    for r in urlfilter.judge(pages, rules).collect():
+        assert judged.setdefault(r["_row"]["url"], tuple(r)[1:]) == tuple(r)[1:]
+    assert Counter(r["_row"]["page_id"] for r in urlfilter.judge(pages, rules).collect()) == Counter(r[0] for r in rows)
     con = duckdb.connect()
     con.register("pages", pages.select("page_id", "url").toPandas())
     want = con.sql(urlfilter.OP5_SQL).fetchall()
     by_id = {r[0]: r[1:] for r in want if r[0] is not None and r[0] != 3}
     for i, u in enumerate(urls):
         if i != 3:
-            assert by_id[i] == (judged[u] if u is not None else ("", "", None, "allow")), u
+            assert by_id[i] == judged[u], u
 
 
 def test_bloom_filter_has_all_keys_and_few_others(spark):
@@ -219,10 +222,23 @@ def test_bloom_filter_has_all_keys_and_few_others(spark):
     assert tiny.has(hashed[:20_000]).all()
 
 
+def test_false_positives_go_in_the_join_and_misses_are_not_shuffled(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://h{i}.com/{i % 7}/x") for i in range(300)], "page_id long, url string")
+    rules = spark.createDataFrame([("block", f"h{i}.com", f"/{i % 7}/") for i in range(0, 300, 3)], "verdict string, host string, path string")
+    blocked = lambda: {r["_row"]["page_id"] for r in urlfilter.judge(pages, rules).collect() if r["verdict"] == "block"}
+    assert blocked() == set(range(0, 300, 3))
+    plan = urlfilter.judge(pages, rules)._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan
+    monkeypatch.setattr(urlfilter.BlockedBloom, "has", lambda self, hashes: np.ones(len(hashes), bool))
+    assert blocked() == set(range(0, 300, 3))
+    monkeypatch.setattr(urlfilter, "looked_up", lambda big, small, on, how: big.join(small, on, how))
+    assert blocked() == set(range(0, 300, 3))
+
+
 def test_rules_by_length_and_without_rules(spark):
     pages = spark.createDataFrame([("http://a.b.com/x/y",), ("http://b.com/x",), ("http://com/",)], "url string")
     rules = spark.createDataFrame([("block", "com", "/x/"), ("allow", "b.com", "/"), ("block", "b.com", "/x"), ("allow", "b.com", "/x"), ("block", None, "/"), ("block", "", "/")], "verdict string, host string, path string")
-    got = {r["url"]: (r["rule"], r["verdict"]) for r in urlfilter.judge(pages, rules).collect()}
+    got = {r["_row"]["url"]: (r["rule"], r["verdict"]) for r in urlfilter.judge(pages, rules).collect()}
     assert got == {"http://a.b.com/x/y": ("b.com/x", "block"), "http://b.com/x": ("b.com/x", "block"), "http://com/": (None, "allow")}
     assert {r["verdict"] for r in urlfilter.judge(pages, rules.limit(0)).collect()} == {"allow"}
     assert urlfilter.judge(pages.limit(0), rules).count() == 0
