@@ -127,7 +127,8 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", column: str
     )
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in chars]).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    tried = split.withColumn("hits", possible_hits(keys, F.transform(keys, lambda k: F.xxhash64(k))))
+    # Marked so that the optimizer doesn't copy the function into filters that it infers.
+    tried = split.withColumn("hits", possible_hits.asNondeterministic()(keys, F.transform(keys, lambda k: F.xxhash64(k))))
     passed = tried.where(F.size("hits") == 0).select("_row", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     possible = tried.where(F.size("hits") > 0).withColumn("_number", F.monotonically_increasing_id()).select("_number", "_row", "host", "path", F.explode("hits").alias("key"))
     known = looked_up(possible, listed, ["key"], "left")
