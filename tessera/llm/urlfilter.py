@@ -21,10 +21,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, looked_up, table
+from .common import cut, looked_up, table, tidy
 
 WORDS_PER_BLOCK = 8  # 64-bit words: one block is a cache line
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -112,11 +114,13 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", column: str
     labels, chars = sorted(found["labels"]), sorted(found["chars"])
     bloom = spark.sparkContext.broadcast(BlockedBloom.build(listed).words)
 
-    @F.pandas_udf("array<string>")
-    def possible_hits(keys: pd.Series, hashes: pd.Series) -> pd.Series:
-        hit = BlockedBloom(bloom.value).has(np.concatenate([np.zeros(0, dtype=np.int64), *[np.asarray(x, dtype=np.int64) for x in hashes]]))
-        ends = np.cumsum([len(x) for x in hashes])
-        return pd.Series([list(np.asarray(k, dtype=object)[hit[end - len(k) : end]]) for k, end in zip(keys, ends, strict=True)], dtype=object)
+    def possible_hits(batches):
+        for batch in batches:
+            keys, hashes = batch.column("keys"), batch.column("hashes")
+            hit = BlockedBloom(bloom.value).has(hashes.flatten().to_numpy(zero_copy_only=False))
+            ends = np.cumsum(np.concatenate([[0], hit]))[np.concatenate([[0], np.cumsum(hashes.value_lengths().to_numpy(zero_copy_only=False))])]
+            hits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), keys.flatten().filter(pa.array(hit)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], hits], names=["_row", "host", "path", "hits"])
 
     host, path = host_and_path(F.col(column))
     split = urls.select(F.struct("*").alias("_row"), host.alias("host"), path.alias("path"))
@@ -127,8 +131,8 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", column: str
     )
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in chars]).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    # Marked so that the optimizer doesn't copy the function into filters that it infers.
-    tried = split.withColumn("hits", possible_hits.asNondeterministic()(keys, F.transform(keys, lambda k: F.xxhash64(k))))
+    keyed = split.withColumn("keys", keys).withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k)))
+    tried = keyed.mapInArrow(tidy(possible_hits), T.StructType([*split.schema.fields, T.StructField("hits", T.ArrayType(T.StringType()))]))
     passed = tried.where(F.size("hits") == 0).select("_row", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     possible = tried.where(F.size("hits") > 0).withColumn("_number", F.monotonically_increasing_id()).select("_number", "_row", "host", "path", F.explode("hits").alias("key"))
     known = looked_up(possible, listed, ["key"], "left")
