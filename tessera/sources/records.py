@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions import patterns as P
 from ..functions.text import strip
@@ -21,12 +24,48 @@ MESSAGE = "array<struct<role:string,content:string>>"
 # Scans
 
 
+def numbered(rows: DataFrame, skip: Column | None = None) -> DataFrame:
+    """Rows of files with _file and _block (where a split begins) numbered without gaps: row_index over all files in order of their names, line within the file from 1. Rows to skip take a line but no index, and go.
+
+    Rows are counted by split, so offsets come from one row a split and nothing is shuffled or sorted.
+    """
+    skipped = F.lit(False) if skip is None else F.coalesce(skip, F.lit(False))
+    marked = rows.withColumn("_skip", skipped)
+    by_split = marked.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.count_if(~F.col("_skip")).alias("_m"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = by_split.select("_file", "_block", before("_n", Window.partitionBy("_file").orderBy("_block")).alias("_lines"), before("_m", Window.orderBy("_file", "_block")).alias("_rows"))
+
+    def count(batches):
+        at, line, row = None, 0, 0
+        for batch in batches:
+            lines, indexes = [], []
+            for split in zip(*[batch.column(c).to_pylist() for c in ("_file", "_block", "_skip")], strict=True):
+                if split[:2] != at:
+                    at, line, row = split[:2], 0, 0
+                lines.append(line)
+                indexes.append(row)
+                line += 1
+                row += not split[2]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lines, pa.int64()), pa.array(indexes, pa.int64())], names=[*batch.schema.names, "_line", "_index"])
+
+    counted = marked.mapInArrow(count, T.StructType([*marked.schema.fields, T.StructField("_line", T.LongType()), T.StructField("_index", T.LongType())]))
+    met = counted.join(F.broadcast(starts), ["_file", "_block"], "left")  # one row for each split
+    known = F.when(F.col("_rows").isNull(), F.raise_error(F.lit("the files were split otherwise when they were counted"))).otherwise(F.col("_rows"))
+    out = met.withColumn("row_index", known + F.col("_index")).withColumn("line", F.col("_lines") + F.col("_line") + 1)
+    return out.where(~F.col("_skip")).drop("_skip", "_line", "_index", "_lines", "_rows")
+
+
+def _scan(reader: DataFrameReader, kind: str, path: str, **options) -> DataFrame:
+    return getattr(reader, kind)(path, **options).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+
+
 def jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (row_index, raw variant) of a JSON lines file. Blank lines are skipped; a bad line or one that is no object is an error."""
-    lines = spark.read.text(path).where(strip(F.col("value")) != "")
-    parsed = lines.select(F.try_parse_json("value").alias("raw"), "value")
-    good = F.when(F.coalesce(F.schema_of_variant("raw"), F.lit("")).startswith("OBJECT"), True).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.substring("value", 1, 200))).cast("boolean"))
-    return parsed.where(good).select(F.monotonically_increasing_id().alias("row_index"), "raw")
+    """Rows (row_index, raw variant) of JSON lines files, numbered without gaps. Blank lines are skipped; a bad line or one that is no object is an error that names file and line."""
+    lines = numbered(_scan(spark.read, "text", path), strip(F.col("value")) == "")
+    parsed = lines.select(F.try_parse_json("value").alias("raw"), "row_index", "_file", "line")
+    bad = F.concat(F.lit("not a JSON object: "), F.col("_file"), F.lit(":"), F.col("line").cast("string"))
+    good = F.when(F.coalesce(F.schema_of_variant("raw"), F.lit("")).startswith("OBJECT"), True).otherwise(F.raise_error(bad).cast("boolean"))
+    return parsed.where(good).select("row_index", "raw")
 
 
 def dense_index(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
@@ -35,8 +74,6 @@ def dense_index(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     The sorted rows are checkpointed, so those that are counted are those that are numbered.
     """
     placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
-    from pyspark.sql.window import Window
-
     sizes = placed.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.withColumn("_before", before).select("_p", "_first", "_before")  # one row for each partition
@@ -44,23 +81,24 @@ def dense_index(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
 
 
 def read_source(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """A reader by kind or suffix. Data sets of a hub are read from their Parquet or JSON files."""
+    """A reader by kind or suffix, of any store that Spark reads; rows are numbered without gaps. Data sets of a hub are read from their Parquet or JSON files."""
     kind = kind or path.rstrip("/").rsplit(".", 1)[-1]
     if kind in ("jsonl", "json"):
         return jsonl(spark, path)
-    if kind == "parquet":
-        df = spark.read.parquet(path)
-        return df.select(F.monotonically_increasing_id().alias("row_index"), F.parse_json(F.to_json(F.struct("*"))).alias("raw"))
-    if kind == "txt":
-        return spark.read.text(path, wholetext=True).select(F.monotonically_increasing_id().alias("row_index"), F.parse_json(F.to_json(F.struct(F.col("value").alias("text")))).alias("raw"))
-    if kind == "csv":
-        return csv_strings(spark, path).select(F.monotonically_increasing_id().alias("row_index"), F.parse_json(F.to_json(F.struct("*"))).alias("raw"))
+    readers = {"parquet": {}, "txt": {"wholetext": True}, "csv": CSV}
+    if kind in readers:
+        df = numbered(_scan(spark.read, "text" if kind == "txt" else kind, path, **readers[kind])).drop("_file", "_block", "line")
+        cells = F.struct(F.col("value").alias("text")) if kind == "txt" else F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "row_index"])
+        return df.select("row_index", F.parse_json(F.to_json(cells)).alias("raw"))
     raise ValueError(f"no reader for {path}")
 
 
+CSV = {"header": True, "multiLine": True, "escape": '"'}
+
+
 def csv_strings(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file with all columns as text."""
-    return spark.read.csv(path, header=True, multiLine=True, escape='"')
+    return spark.read.csv(path, **CSV)
 
 
 def number(column: str) -> Column:
@@ -83,6 +121,15 @@ def provider_text(raw: Column) -> Column:
     return F.coalesce(*[F.try_variant_get(raw, p, "string") for p in PROVIDER_PATHS])
 
 
+def shape_profile(rows: DataFrame, raw: str = "raw") -> DataFrame:
+    """For each field and type how many rows have it, and the least and greatest size (characters of text, items of lists, keys of objects) without any value of text."""
+    fields = rows.select(raw).lateralJoin(rows.sparkSession.tvf.variant_explode(F.col(raw).outer()))
+    kind = F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0)
+    keys = F.size(F.map_keys(F.from_json(F.to_json("value"), "map<string,string>")))
+    size = F.when(kind == "STRING", F.length(F.try_variant_get("value", "$", "string"))).when(kind == "ARRAY", F.size(F.try_variant_get("value", "$", "array<variant>"))).when(kind == "OBJECT", keys)
+    return fields.groupBy(F.col("key").alias("field"), kind.alias("type")).agg(F.count("*").alias("n"), F.min(size).alias("least"), F.max(size).alias("most"))
+
+
 def shape(raw: Column) -> Column:
     """The schema of a row without its values."""
     return F.schema_of_variant(raw)
@@ -90,8 +137,6 @@ def shape(raw: Column) -> Column:
 
 def labelled_slice(df: DataFrame, source: str, order: str, n: int, offset: int = 0) -> DataFrame:
     """For each source its n non-empty texts after an offset."""
-    from pyspark.sql.window import Window
-
     r = F.row_number().over(Window.partitionBy(source).orderBy(order))
     return df.where(F.col("text").isNotNull() & (strip(F.col("text")) != "")).withColumn("_r", r).where((F.col("_r") > offset) & (F.col("_r") <= offset + n)).drop("_r")
 
@@ -238,8 +283,6 @@ def enriched(df: DataFrame) -> DataFrame:
 
 def qualified(df: DataFrame, key: str, index: str) -> DataFrame:
     """Ids that repeat get #row{n}."""
-    from pyspark.sql.window import Window
-
     n = F.count("*").over(Window.partitionBy(key))
     return df.withColumn(key, F.when(n > 1, F.concat(F.col(key), F.lit("#row"), F.col(index).cast("string"))).otherwise(F.col(key)))
 
@@ -267,10 +310,9 @@ def native(messages: Column) -> Column:
 
 def assistant_turns(turns: DataFrame, conversation: str, order: str, max_output_tokens: int = 640) -> DataFrame:
     """One row for each assistant message with what came before, its ordinal, a hash id, sizes, and whether the prompt must be a transcript."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy(conversation).orderBy(order)
-    before = F.collect_list(F.struct("role", F.col("text").alias("content"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    whole = F.collect_list(F.struct("role", F.col("text").alias("content"))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = F.slice(whole, F.lit(1), F.row_number().over(w) - 1)  # one list for each conversation
     n = F.sum((F.col("role") == "assistant").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     words_ = F.size(F.filter(F.split("text", r"(?U)\s+"), lambda t: t != ""))
     out = turns.withColumn("input", before).withColumn("ordinal", n).where("role = 'assistant'")
