@@ -240,16 +240,33 @@ def shingles(text: str, k: int = 5) -> list[str]:
     return sorted({" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}) if words else []
 
 
+def shingle_count(k: int = 5):
+    """How many distinct shingles a text has."""
+    return _counter(lambda t: len(shingles(t, k)))
+
+
 def minhash_function(hashes: int = 64, k: int = 5):
     """For each seed the least BLAKE2b-64 of the shingles, as sixteen hex digits."""
 
     @F.pandas_udf("array<string>")
     def signature(texts: pd.Series) -> pd.Series:
+        begun = [hashlib.blake2b(f"{seed}\0".encode(), digest_size=8) for seed in range(hashes)]
+
+        def least(start, encoded: list[bytes]) -> str:
+            best = None
+            for data in encoded:
+                h = start.copy()
+                h.update(data)
+                digest = h.digest()
+                if best is None or digest < best:
+                    best = digest
+            return best.hex()
+
         def one(text):
             if text is None:
                 return None
-            found = shingles(text, k)
-            return [min(blake64(seed, s) for s in found) for seed in range(hashes)] if found else []
+            encoded = [s.encode() for s in shingles(text, k)]
+            return [least(start, encoded) for start in begun] if encoded else []
 
         return texts.map(one)
 

@@ -190,6 +190,13 @@ def response_requirements(n: Column) -> Column:
     return F.concat(F.lit("Response requirements: aim for about "), n.cast("string"), F.when(n == 1, " word.").otherwise(" words."))
 
 
+def output_budget(least: int, most: int) -> Column:
+    """The token budget of an answer, whatever its target: the most, if the limits make sense."""
+    if least <= 0 or most < least:
+        raise ValueError("the limits of output tokens must be positive and in order")
+    return F.lit(most)
+
+
 # Words that decide a token's class.
 CONTRACTION_MARKS = r"(?i)(n't|n’t|didn|wasn|weren|couldn|wouldn|shouldn|don|doesn|hadn)"
 NEGATION_WORDS = ("not", "no", "never", "cannot", "did", "do", "does", "was", "were", "had", "could", "would", "should")

@@ -63,6 +63,15 @@ def document_summary(long: DataFrame, n: int = 200) -> DataFrame:
     return per_group(out, ["doc"], [F.desc("max_value"), F.desc("mass"), "latent"], n)
 
 
+def token_summary(long: DataFrame, kind: str, top: int = 5) -> DataFrame:
+    """For each document mass, maximum and number of active tokens, how many of each class (more first, then by name), and its top tokens by value."""
+    by_class = long.groupBy("doc", kind).agg(F.count("*").alias("n"), F.sum("value").alias("mass"), F.max("value").alias("max_value"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(kind).alias("k")))), lambda x: F.concat(x["k"], F.lit(":"), (-x["m"]).cast("string")))
+    sums = by_class.groupBy("doc").agg(F.sum("mass").alias("mass"), F.max("max_value").alias("max_value"), F.sum("n").alias("tokens"), F.array_join(ordered, ";").alias("classes"))
+    best = per_group(long, ["doc"], [F.desc("value"), "token"], top).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct((-F.col("value")).alias("m"), "token"))).alias("t"))
+    return sums.join(best, "doc").select("doc", "mass", "max_value", "tokens", "classes", F.array_join(F.transform("t", lambda x: x["token"].cast("string")), ";").alias("top_tokens"))
+
+
 def examples(long: DataFrame, k: int) -> DataFrame:
     """The k largest documents of each latent, each document once."""
     return per_group(document_maxima(long), ["latent"], [F.desc("max_value"), "doc"], k)

@@ -89,28 +89,62 @@ def sparse_top(vector: Column, k: int) -> Column:
 
 
 def near_duplicate_edges(df: DataFrame, item: str, text: str, threshold: float = 0.85, hashes: int = 64, shingle: int = 5, band: int = 4) -> DataFrame:
-    """Pairs (a < b) that share a band of their signatures and reach the estimated similarity."""
-    signed = df.select(F.col(item).alias("item"), minhash_function(hashes, shingle)(F.col(text)).alias("sig"))
-    banded = signed.select("item", F.explode(bands(F.col("sig"), band)).alias("b")).select("item", "b.band_no", "b.band")
-    a, b = banded.withColumnRenamed("item", "a"), banded.withColumnRenamed("item", "b")
-    met = a.join(b, ["band_no", "band"]).where("a < b").select("a", "b").distinct()
-    sides = met.join(signed.select(F.col("item").alias("a"), F.col("sig").alias("sa")), "a").join(signed.select(F.col("item").alias("b"), F.col("sig").alias("sb")), "b")
-    return sides.withColumn("similarity", estimated_jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
-
-
-def greedy_first_wins(items: DataFrame, edges: DataFrame, item: str, order: str, most_rounds: int = 30) -> DataFrame:
-    """A row stays if no earlier row that stays is its duplicate. Rounds settle rows whose earlier neighbours are all settled; each is written to the shared folder."""
-    at = items.select(F.col(item).alias("i"), F.col(order).alias("o"))
-    directed = edges.select("a", "b").join(at.select(F.col("i").alias("a"), F.col("o").alias("oa")), "a").join(at.select(F.col("i").alias("b"), F.col("o").alias("ob")), "b")
-    before = cut(directed.select(F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("later"), F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("earlier")))
-    state = cut(at.select("i", F.lit(None).cast("boolean").alias("stays")).join(before.select(F.col("later").alias("i")).distinct().withColumn("_b", F.lit(1)), "i", "left").select("i", F.when(F.col("_b").isNull(), True).alias("stays")))
-    for _ in range(most_rounds):
-        if state.where("stays is null").isEmpty():
-            return items.join(state.where("stays").select(F.col("i").alias(item)), item, "left_semi")
-        seen = before.join(state.select(F.col("i").alias("earlier"), "stays"), "earlier").groupBy(F.col("later").alias("i")).agg(F.bool_or("stays").alias("_kept"), F.count_if(F.col("stays").isNull()).alias("_open"))
-        settled = F.when(F.col("_kept"), False).when(F.col("_open") == 0, True)
-        state = cut(state.join(seen, "i", "left").select("i", F.coalesce("stays", settled).alias("stays")))
-    raise RuntimeError("the order of duplicates is deeper than the rounds")
+    """Pairs (a < b) that share a band of their signatures and reach the estimated similarity.
+
+    Texts are signed once; items of equal signatures are banded as one and paired in the end. Bands met once are dropped before their rows meet.
+    """
+    signed = cut(df.select(F.col(item).alias("item"), minhash_function(hashes, shingle)(F.col(text)).alias("sig")).where(F.size("sig") > 0).withColumn("s", F.xxhash64("sig")))
+    kinds = cut(signed.groupBy("s").agg(F.first("sig").alias("sig"), F.count("*").alias("n")))
+    banded = kinds.select("s", F.explode(bands(F.col("sig"), band)).alias("b")).select("s", "b.band_no", F.xxhash64("b.band").alias("band"))
+    shared = banded.groupBy("band_no", "band").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    met = banded.join(shared, ["band_no", "band"])
+    pairs = met.withColumnRenamed("s", "a").join(met.withColumnRenamed("s", "b"), ["band_no", "band"]).where("a < b").select("a", "b").distinct()
+    sides = pairs.join(kinds.select(F.col("s").alias("a"), F.col("sig").alias("sa")), "a").join(kinds.select(F.col("s").alias("b"), F.col("sig").alias("sb")), "b")
+    near = sides.withColumn("similarity", estimated_jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    equal = kinds.where("n > 1").select(F.col("s").alias("a"), F.col("s").alias("b"), F.lit(1.0).alias("similarity"))
+    members = signed.select("s", "item")
+    left, right = members.withColumnRenamed("s", "a").withColumnRenamed("item", "i"), members.withColumnRenamed("s", "b").withColumnRenamed("item", "j")
+    across = near.join(left, "a").join(right, "b")
+    within = equal.join(left, "a").join(right, "b").where("i < j")
+    return across.unionByName(within).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "similarity")
+
+
+FEW_EDGES = 1_000_000  # four numbers each: one task holds them
+
+
+def _sequential(pdf: pd.DataFrame) -> pd.DataFrame:
+    gone: set = set()
+    for later, earlier in zip(pdf["later"], pdf["earlier"], strict=True):
+        if later not in gone and earlier not in gone:
+            gone.add(later)
+    return pd.DataFrame({"later": sorted(gone)})
+
+
+def greedy_first_wins(items: DataFrame, edges: DataFrame, item: str, order: str, few: int = FEW_EDGES) -> DataFrame:
+    """A row stays if no earlier row that stays is its duplicate; of equal order the lesser item is earlier.
+
+    Each round settles the rows that no unsettled row comes before, at least one, and what they come before; edges of
+    settled rows go. It is written to the shared folder. Once few edges are left, one task settles the rest in order.
+    """
+    at = items.select(F.col(item).alias("i"), F.struct(F.col(order).alias("o"), F.col(item).alias("i")).alias("o"))
+    placed = edges.select("a", "b").join(at.select(F.col("i").alias("a"), F.col("o").alias("oa")), "a").join(at.select(F.col("i").alias("b"), F.col("o").alias("ob")), "b")
+    first = F.col("oa") < F.col("ob")
+    left = cut(placed.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("later"), F.greatest("oa", "ob").alias("ol"), F.least("oa", "ob").alias("oe")))
+    removed = None
+    while True:
+        n = left.count()
+        if n == 0:
+            break
+        if n <= few:
+            spec = f"later {items.schema[item].dataType.simpleString()}"
+            ranked = left.select("earlier", "later", F.row_number().over(Window.orderBy("ol", "oe")).alias("k"), F.lit(0).alias("all"))  # few rows
+            gone = cut(ranked.groupBy("all").applyInPandas(lambda pdf: _sequential(pdf.sort_values("k")), spec))
+            removed = gone if removed is None else removed.unionByName(gone)
+            break
+        gone = cut(left.join(left.select(F.col("later").alias("earlier")).distinct(), "earlier", "left_anti").select("later").distinct())
+        removed = gone if removed is None else cut(removed.unionByName(gone))
+        left = cut(left.join(gone, "later", "left_anti").join(gone.select(F.col("later").alias("earlier")), "earlier", "left_anti"))
+    return items if removed is None else items.join(removed.select(F.col("later").alias(item)), item, "left_anti")
 
 
 def seeded_shuffle(df: DataFrame, groups: Sequence[str], item: str, seed: int, k: int) -> DataFrame:
@@ -118,6 +152,16 @@ def seeded_shuffle(df: DataFrame, groups: Sequence[str], item: str, seed: int, k
     return per_group(df, groups, [F.xxhash64(F.lit(seed), F.col(item).cast("string")), F.col(item)], k)
 
 
+def prompt_sample(df: DataFrame, mode: str, n: int, index: str, source: str, record_id: str, seed: int = 0) -> DataFrame:
+    """The first n prompts in scan order, or in the order of a hash of seed, source and id; n of 0 or less means all."""
+    if n <= 0:
+        return df
+    if mode == "first":
+        return df.orderBy(index).limit(n)
+    key = F.sha2(F.concat_ws("\0", F.lit(str(seed)), F.col(source).cast("string"), F.col(record_id).cast("string")), 256)
+    return df.orderBy(key, index).limit(n)
+
+
 def budget_shards(df: DataFrame, order: str, size: str, budget: int, within: Sequence[str]) -> DataFrame:
     """Shards filled in order up to a budget of tokens (prefix sums with resets), for each group."""
 

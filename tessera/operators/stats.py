@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import safe_ratio
+from ..sources.records import dense_index
 
 
 def sign_test_p(positive: int, negative: int) -> float:
@@ -34,8 +35,26 @@ def sign_test(positive: str = "positive", negative: str = "negative") -> Column:
     return p(F.col(positive).cast("long"), F.col(negative).cast("long"))
 
 
+RUN = 100_000  # rows of an order in one task
+
+
+def _suffix_min(df: DataFrame, value: Column, index: str, out: str) -> DataFrame:
+    """The least value from each row on, over a gapless index: within runs of rows, and over what the later runs hold."""
+    marked = df.withColumn("_v", value).withColumn("_run", F.floor(F.col(index) / RUN))
+    within = F.min("_v").over(Window.partitionBy("_run").orderBy(F.desc(index)).rowsBetween(Window.unboundedPreceding, 0))
+    later = F.min("_least").over(Window.orderBy(F.desc("_run")).rowsBetween(Window.unboundedPreceding, -1))
+    runs = marked.groupBy("_run").agg(F.min("_v").alias("_least")).withColumn("_later", later).drop("_least")  # one row for each run
+    return marked.withColumn(out, within).join(F.broadcast(runs), "_run").withColumn(out, F.least(out, "_later")).drop("_v", "_run", "_later")
+
+
 def false_discovery(df: DataFrame, p: str = "p_value", out: str = "q_value", within: Sequence[str] = ()) -> DataFrame:
-    """Benjamini-Hochberg, within groups or over the whole (small) report."""
+    """Benjamini-Hochberg, within groups or over all rows; the latter by a range sort, so no task holds all of them."""
+    if not within:
+        ranked = dense_index(df, [p])
+        m = ranked.agg(F.count("*").alias("_m"))
+        scaled = ranked.crossJoin(F.broadcast(m))  # one row
+        found = _suffix_min(scaled, F.col(p) * F.col("_m") / (F.col("row_index") + 1), "row_index", out)
+        return found.withColumn(out, F.least(out, F.lit(1.0))).drop("_m", "row_index")
     by = Window.partitionBy(*within)
     rank = F.row_number().over(by.orderBy(p))
     total = F.count("*").over(by)
@@ -44,16 +63,24 @@ def false_discovery(df: DataFrame, p: str = "p_value", out: str = "q_value", wit
     return ranked.withColumn(out, F.least(least, F.lit(1.0))).drop("_r", "_m")
 
 
-def average_rank(column: str, within: Sequence[str] = ()) -> Column:
-    """The mean rank of ties."""
-    order = Window.partitionBy(*within).orderBy(column)
-    ties = F.count("*").over(Window.partitionBy(*within, column))
-    return F.rank().over(order) + (ties - 1) / F.lit(2.0)
+def with_average_rank(df: DataFrame, column: str, out: str, within: Sequence[str] = ()) -> DataFrame:
+    """Adds the mean rank of ties, within groups or over all rows; the latter over counts of values by a range sort."""
+    if within:
+        order = Window.partitionBy(*within).orderBy(column)
+        ties = F.count("*").over(Window.partitionBy(*within, column))
+        return df.withColumn(out, F.rank().over(order) + (ties - 1) / F.lit(2.0))
+    values = dense_index(df.groupBy(column).agg(F.count("*").alias("_n")), [column]).withColumn("_run", F.floor(F.col("row_index") / RUN))
+    sums = values.groupBy("_run").agg(F.sum("_n").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each run
+    own = F.sum("_n").over(Window.partitionBy("_run").orderBy("row_index"))
+    ranks = values.withColumn("_own", own).join(F.broadcast(sums.withColumn("_before", before).drop("_s")), "_run")
+    ranked = ranks.select(F.col(column).alias("_value"), (F.col("_before") + F.col("_own") - (F.col("_n") - 1) / F.lit(2.0)).alias(out))
+    return df.join(ranked, F.col(column).eqNullSafe(F.col("_value"))).drop("_value")
 
 
 def spearman(df: DataFrame, a: str, b: str, within: Sequence[str] = ()) -> DataFrame:
     """Q9: rank correlation; null for fewer than two rows or no variance."""
-    ranked = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_a", average_rank(a, within)).withColumn("_b", average_rank(b, within))
+    ranked = with_average_rank(with_average_rank(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, "_a", within), b, "_b", within)
     out = ranked.groupBy(*within).agg(F.count("*").alias("n"), F.covar_pop("_a", "_b").alias("_c"), (F.stddev_pop("_a") * F.stddev_pop("_b")).alias("_s"))
     return out.withColumn("spearman", F.when(F.col("n") > 1, F.col("_c") / F.nullif(F.col("_s"), F.lit(0.0)))).drop("_c", "_s")
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams, rate, skipped
+from ..functions.text import ngrams, plain_quotes, rate, skipped, strip
 
 
 def corpus_counts(docs: DataFrame, corpus: str, doc: str, words: Column, sizes: Sequence[int] = (1, 2, 3), examples: int = 20) -> DataFrame:
@@ -50,3 +50,20 @@ def pattern_census(docs: DataFrame, keys: Sequence[str], text: Column, tokens: C
     pairs = ", ".join(f"'{n}', `{c}`" for n, c in named.items())
     out = sums.selectExpr(*keys, "docs", "tokens", f"stack({len(named)}, {pairs}) AS (pattern, s)").select(*keys, "pattern", "docs", "tokens", "s.hits", "s.docs_with_hit")
     return out.withColumn("per_1k_tokens", rate(F.col("hits"), F.col("tokens"))).withColumn("doc_prevalence", rate(F.col("docs_with_hit"), F.col("docs"), 1.0))
+
+
+def word_list(spark: SparkSession, path: str) -> DataFrame:
+    """A list of words or trigrams (one row each, lower case, straight quotes) from a file: text with one a line, or JSON with an array of texts or of arrays whose first item is the text."""
+    if not path.rstrip("/").endswith(".json"):
+        found = spark.read.text(path).select(F.col("value").alias("phrase"))
+    else:
+        whole = spark.read.text(path, wholetext=True).select(F.explode(F.try_variant_get(F.parse_json("value"), "$", "array<variant>")).alias("v"))
+        found = whole.select(F.coalesce(F.try_variant_get("v", "$[0]", "string"), F.try_variant_get("v", "$", "string")).alias("phrase"))
+    return found.select(plain_quotes(F.lower(strip(F.col("phrase")))).alias("phrase")).where("phrase <> ''").distinct()
+
+
+def list_hits(words: DataFrame, doc: str, column: str, known: DataFrame) -> DataFrame:
+    """X14 for long lists: rows (doc, hits), how many items of an array column are in a table of phrases; 0 where none is. Items are counted by document and phrase before they meet the list, which Spark sends around if it is small."""
+    counts = words.select(doc, F.explode(column).alias("phrase")).groupBy(doc, "phrase").agg(F.count("*").alias("_n"))
+    hits = counts.join(known.select("phrase").distinct(), "phrase").groupBy(doc).agg(F.sum("_n").alias("hits"))
+    return words.select(doc).join(hits, doc, "left").fillna(0, ["hits"])

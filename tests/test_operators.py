@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import spans
-from tessera.operators import annotation, joins, latents, rates, sampling, spectrum, stats
+from tessera.operators import annotation, joins, latents, rates, sampling, spectrum, stats, style
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -74,7 +74,8 @@ def test_reservoir_equals_sorting(spark):
     assert [r["row_index"] for r in sampling.first_rows(df, "row_index", 3, 2).collect()] == [0, 1]
 
 
-def test_greedy_removal_equals_the_sequential_loop(spark):
+@pytest.mark.parametrize("few", [0, 20, 1_000_000])
+def test_greedy_removal_equals_the_sequential_loop(spark, few):
     rng = random.Random(4)
     edges = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(70)} | {(i, i + 1) for i in range(40, 50)})
     kept = set()
@@ -82,10 +83,71 @@ def test_greedy_removal_equals_the_sequential_loop(spark):
         if not any(j in kept for a, b in edges for j in ((a,) if b == i else ())):
             kept.add(i)
     items = spark.createDataFrame([(i,) for i in range(60)], "i long")
-    got = sampling.greedy_first_wins(items, spark.createDataFrame([(a, b, 1.0) for a, b in edges], "a long, b long, similarity double"), "i", "i")
+    got = sampling.greedy_first_wins(items, spark.createDataFrame([(a, b, 1.0) for a, b in edges], "a long, b long, similarity double"), "i", "i", few)
     assert {r["i"] for r in got.collect()} == kept
 
 
+def test_long_chains_are_settled(spark):
+    items = spark.range(71).withColumnRenamed("id", "i")
+    edges = spark.range(70).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(1.0).alias("similarity"))
+    for few in (5, 1_000_000):
+        assert {r["i"] for r in sampling.greedy_first_wins(items, edges, "i", "i", few).collect()} == set(range(0, 71, 2))
+
+
+def test_edges_equal_all_pairs_of_signatures(spark):
+    """Every pair that shares a band and reaches the estimate, equal texts included, and no other."""
+    rng = random.Random(3)
+    rows = []
+    for f in range(12):
+        base = [f"w{rng.randint(0, 40)}" for _ in range(40)]
+        for k in range(rng.randint(1, 5)):
+            rows.append((len(rows), " ".join([*base[: 40 - k // 2], *["x"] * (k % 2)])))
+    rows.append((len(rows), ""))
+    signs = {i: [min(spans.blake64(seed, s) for s in spans.shingles(t)) for seed in range(64)] if t else [] for i, t in rows}
+    want = {}
+    for a in signs:
+        for b in signs:
+            same = [x == y for x, y in zip(signs[a], signs[b], strict=False)]
+            if a < b and same and sum(same) / 64 >= 0.85 and any(all(same[k : k + 4]) for k in range(0, 64, 4)):
+                want[a, b] = sum(same) / 64
+    got = sampling.near_duplicate_edges(spark.createDataFrame(rows, "i long, t string"), "i", "t").collect()
+    assert {(r["a"], r["b"]): r["similarity"] for r in got} == pytest.approx(want) and len(got) == len(want) > 5
+
+
+@pytest.mark.parametrize("run", [7, 100_000])
+def test_overall_ranks_and_discovery_equal_loops(spark, monkeypatch, run):
+    monkeypatch.setattr(stats, "RUN", run)
+    rng = random.Random(2)
+    values = [rng.randint(0, 20) / 20 for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(values)), "i long, p_value double").repartition(5)
+    ranks = {r["i"]: r["k"] for r in stats.with_average_rank(df, "p_value", "k").collect()}
+    assert ranks == {i: 1 + sum(x < v for x in values) + (values.count(v) - 1) / 2 for i, v in enumerate(values)}
+    q = {r["i"]: r["q_value"] for r in stats.false_discovery(df).collect()}
+    order = sorted(values)
+    want = {v: min(1.0, min(x * 60 / (k + 1) for k, x in enumerate(order) if x >= v)) for v in values}
+    assert q == pytest.approx({i: want[v] for i, v in enumerate(values)})
+
+
+def test_prompt_samples(spark):
+    import hashlib
+
+    df = spark.createDataFrame([(i, f"s{i % 3}", f"id{i}") for i in range(30)], "row_index long, source string, id string")
+    want = sorted(range(30), key=lambda i: hashlib.sha256(f"4\0s{i % 3}\0id{i}".encode()).hexdigest())[:6]
+    assert [r["row_index"] for r in sampling.prompt_sample(df, "hash", 6, "row_index", "source", "id", 4).collect()] == want
+    assert [r["row_index"] for r in sampling.prompt_sample(df, "first", 3, "row_index", "source", "id").collect()] == [0, 1, 2]
+    assert sampling.prompt_sample(df, "hash", 0, "row_index", "source", "id").count() == 30
+
+
+def test_word_lists(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("Delve\n\n tapestry \ndon’t\n")
+    (tmp_path / "list.json").write_text('[["delve into the", 3.5], "a rich tapestry"]')
+    assert sorted(r[0] for r in style.word_list(spark, str(tmp_path / "list.txt")).collect()) == ["delve", "don't", "tapestry"]
+    known = style.word_list(spark, str(tmp_path / "list.json"))
+    assert sorted(r[0] for r in known.collect()) == ["a rich tapestry", "delve into the"]
+    docs = spark.createDataFrame([(1, ["delve into the", "x", "delve into the"]), (2, ["y"]), (3, [])], "i long, g array<string>")
+    assert sorted(map(tuple, style.list_hits(docs, "i", "g", known).collect())) == [(1, 2), (2, 0), (3, 0)]
+
+
 def test_near_duplicate_edges(spark):
     base = " ".join(f"word{i}" for i in range(60))
     rows = [(1, base), (2, base + " more"), (3, "something else entirely " * 5), (4, base.upper())]
