@@ -284,7 +284,10 @@ def _prompts(spark, d):
 
 @query("j08_near_duplicate_edges")
 def j08(spark, d):
-    return sampling.near_duplicate_edges(_prompts(spark, d), "item", "text")
+    """Prompts and, as their near copies, the same ones with a word more."""
+    prompts = _prompts(spark, d)
+    again = prompts.select((F.col("item") + 500).alias("item"), F.concat("text", F.lit(" again")).alias("text"))
+    return sampling.near_duplicate_edges(prompts.unionByName(again), "item", "text")
 
 
 @query("t09_near_duplicates_removed")
@@ -357,11 +360,17 @@ def s08(spark, d):
     return R.row_range(table(spark, d, "lineitem"), "l_orderkey", 100, 500, ["l_orderkey", "l_linenumber"])
 
 
-@query("s11_shapes")
+@query("s11_shapes", "SELECT 'OBJECT<k: BIGINT>' AS shape, count(*) AS n FROM events WHERE json_keys(props) = ['k'] AND json_type(props, '$.k') = 'UBIGINT' HAVING count(*) > 0")
 def s11(spark, d):
     return table(spark, d, "events").groupBy(R.shape(F.parse_json("props")).alias("shape")).agg(F.count("*").alias("n"))
 
 
+@query("s11_profile", "WITH r AS (SELECT 'conv_id' AS field, 'BIGINT' AS type, 0 AS size FROM conversations UNION ALL SELECT 'role', 'STRING', len(role) FROM conversations UNION ALL SELECT 'text', 'STRING', len(text) FROM conversations UNION ALL SELECT 'words', 'ARRAY', len(string_split(text, ' ')) FROM conversations UNION ALL SELECT 'at', 'OBJECT', 2 FROM conversations) SELECT field, type, count(*) AS n, min(size) AS least, max(size) AS most FROM r GROUP BY ALL")
+def s11_profile(spark, d):
+    raw = F.parse_json(F.to_json(F.struct("conv_id", "role", "text", F.split("text", " ").alias("words"), F.struct("conv_id", "turn").alias("at"))))
+    return R.shape_profile(table(spark, d, "conversations").select(raw.alias("raw"))).fillna(0, ["least", "most"])
+
+
 @query("k10_wide_to_long", "SELECT s_suppkey, u.f AS feature, u.v AS value FROM (SELECT s_suppkey, unnest([{'f': 's_nationkey', 'v': s_nationkey::DOUBLE}, {'f': 's_acctbal', 'v': s_acctbal}]) AS u FROM supplier)")
 def k10(spark, d):
     wide = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("double").alias("s_nationkey"), "s_acctbal")

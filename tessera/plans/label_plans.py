@@ -131,7 +131,7 @@ def o05(spark, d):
     return sampling.budget_shards(rows, "doc_id", "n_chars", 20_000, ["source"])
 
 
-@query("s12_provider_texts", "SELECT doc_id, md5(substr(text, 1, 300)) AS generated FROM documents")
+@query("s12_provider_texts", "SELECT doc_id, md5(text) AS generated FROM documents")
 def s12(spark, d):
     t = F.col("text")
     shapes = [

@@ -104,10 +104,10 @@ def w11(spark, d):
     return latents.rises(long_codes(spark, d), ["doc", "latent"], "token", "value").select("doc", "latent", "token", "rise")
 
 
-@query("w13_controls", f"WITH {LONG}, n AS (SELECT latent, list_sort(list_distinct(list(doc))) AS prompts, latent AS rank FROM l GROUP BY latent), m AS (SELECT t.latent AS target, c.latent, abs(c.rank - t.rank) + 25 * len(list_intersect(c.prompts, t.prompts)) AS cost FROM n t JOIN n c ON t.latent <> c.latent AND abs(t.rank // 50 - c.rank // 50) <= 1 WHERE t.latent % 10 = 0) SELECT target, latent, cost FROM m QUALIFY row_number() OVER (PARTITION BY target ORDER BY cost, latent) <= 2")
+@query("w13_controls", f"WITH {LONG}, n AS (SELECT latent, list_sort(list_distinct(list(doc))) AS prompts, latent AS rank FROM l GROUP BY latent), m AS (SELECT t.latent AS target, c.latent, abs(c.rank - t.rank) + 25 * len(list_intersect(c.prompts, t.prompts)) AS cost FROM n t JOIN n c ON t.latent <> c.latent AND abs(t.rank // 50 - c.rank // 50) <= 1) SELECT target, latent, cost FROM m QUALIFY row_number() OVER (PARTITION BY target ORDER BY cost, latent) <= 2")
 def w13(spark, d):
     ranked = long_codes(spark, d).groupBy("latent").agg(F.array_sort(F.collect_set("doc")).alias("prompts")).withColumn("rank", F.col("latent"))
-    return latents.controls(ranked.where("latent % 10 = 0"), ranked, [], 2)
+    return latents.controls(ranked, ranked, [], 2)
 
 
 @query("j22_peak_tokens", "SELECT doc_id, string_split(text, ' ')[least(3, len(string_split(text, ' ')))] AS token FROM documents")
@@ -141,3 +141,8 @@ def o10(spark, d):
     kind = F.when(k % 2 == 0, "different_upstream_same_downstream").otherwise("same_upstream_different_downstream")
     panel = table(spark, d, "supplier").select(F.col("s_nationkey").alias("target"), kind.alias("control_type"), k.cast("string").alias("upstream"), k.cast("string").alias("downstream"), F.lit("U").alias("chain_upstream"), F.lit("D").alias("chain_downstream"), k.alias("position"))
     return latents.control_panel(panel, 2)
+
+
+@query("a38_token_summary", f"WITH {LONG}, k AS (SELECT doc, source, count(*) AS n FROM l GROUP BY ALL), h AS (SELECT doc, string_agg(source || ':' || n::VARCHAR, ';' ORDER BY n DESC, source) AS classes FROM k GROUP BY doc), b AS (SELECT doc, token, value FROM l QUALIFY row_number() OVER (PARTITION BY doc ORDER BY value DESC, token, latent) <= 4), z AS (SELECT doc, string_agg(token::VARCHAR, ';' ORDER BY value DESC, token) AS top_tokens FROM b GROUP BY doc), s AS (SELECT doc, sum(value) AS mass, max(value) AS max_value, count(*) AS tokens FROM l GROUP BY doc) SELECT doc, mass, max_value, tokens, classes, top_tokens FROM s JOIN h USING (doc) JOIN z USING (doc)")
+def a38(spark, d):
+    return latents.token_summary(long_codes(spark, d), "source", 4)

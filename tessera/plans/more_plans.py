@@ -200,10 +200,11 @@ def u03(spark, d):
     return out
 
 
-@query("u06_array_overlap", "WITH s AS (SELECT lang, list_sort(list_distinct(list(source))) AS a FROM documents WHERE doc_id % 3 = 0 GROUP BY lang), t AS (SELECT lang, list_sort(list_distinct(list(source))) AS b FROM documents WHERE doc_id % 5 = 0 GROUP BY lang) SELECT lang, len(list_intersect(a, b)) AS shared, len(list_distinct(list_concat(a, b))) AS together FROM s JOIN t USING (lang)")
+@query("u06_array_overlap", "WITH s AS (SELECT lang, list_distinct(list(source)) AS a FROM documents GROUP BY lang), t AS (SELECT lang, list_distinct(list(source)) AS b FROM documents JOIN labels USING (doc_id) WHERE quality = 0 GROUP BY lang) SELECT lang, len(list_intersect(a, b)) AS shared, len(list_distinct(list_concat(a, b))) AS together FROM s JOIN t USING (lang)")
 def u06(spark, d):
     docs = table(spark, d, "documents")
-    sets = [docs.where(F.col("doc_id") % k == 0).groupBy("lang").agg(F.collect_set("source").alias(n)) for k, n in ((3, "a"), (5, "b"))]
+    poor = docs.join(table(spark, d, "labels").where("quality = 0").select("doc_id"), "doc_id")
+    sets = [df.groupBy("lang").agg(F.collect_set("source").alias(n)) for df, n in ((docs, "a"), (poor, "b"))]
     return sets[0].join(sets[1], "lang").select("lang", F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), F.size(F.array_union("a", "b")).cast("long").alias("together"))
 
 
@@ -253,7 +254,10 @@ def g01(spark, d):
     return rates.amplification(scored, ["source"], "neutral_common_in_the")
 
 
-@query("g05_span_scores", "WITH t AS (SELECT doc_id, unnest(string_split(text, ' ')[1:20]) AS token, unnest(range(0, least(20, len(string_split(text, ' '))))) AS i FROM documents), s AS (SELECT *, (i % 4)::DOUBLE AS score FROM t) SELECT doc_id, i::INT AS start, 2 AS length, round((score + lead(score) OVER w) / sqrt(2.0::DOUBLE), 9) AS score FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i) QUALIFY lead(score) OVER w IS NOT NULL")
+_SPANS = ", ".join(f"{{'length': {n}, 'score': CASE WHEN c >= {n} THEN {' + '.join(['score'] + [f'lead(score, {k}) OVER w' for k in range(1, n)])} END}}" for n in range(1, 5))
+
+
+@query("g05_span_scores", f"WITH t AS (SELECT doc_id, unnest(range(0, len(string_split(text, ' ')))) AS i FROM documents), s AS (SELECT doc_id, i, (i % 4)::DOUBLE AS score, count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS c FROM t), u AS (SELECT doc_id, i, unnest([{_SPANS}]) AS x FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i)) SELECT doc_id, i::INT AS start, x.length AS length, round(x.score / sqrt(x.length::DOUBLE), 9) AS score FROM u WHERE x.score IS NOT NULL")
 def g05(spark, d):
     """All spans of whole documents. Texts move by document before they become tokens, so that the spans need no shuffle of tokens."""
     docs = table(spark, d, "documents").select("doc_id", "text").repartition("doc_id")
@@ -275,9 +279,9 @@ def s04(spark, d):
     return R.records(rows, "loaded").select("record_id", "text")
 
 
-@query("s07_pruned_scan", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate < TIMESTAMP '1994-01-01'")
+@query("s07_pruned_scan", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01'")
 def s07(spark, d):
-    return table(spark, d, "lineitem").where(F.col("l_shipdate") < F.lit("1994-01-01").cast("timestamp")).select("l_orderkey", "l_quantity")
+    return table(spark, d, "lineitem").where(F.col("l_shipdate") < F.lit("1997-01-01").cast("timestamp")).select("l_orderkey", "l_quantity")
 
 
 @query("o04_next_shards", "WITH p AS (SELECT n_regionkey AS stage, n_nationkey AS shard, count(s_suppkey) AS done FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL) SELECT stage, min(shard) AS shard FROM p WHERE done < 4 GROUP BY stage")

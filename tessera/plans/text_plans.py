@@ -108,6 +108,13 @@ def x14(spark, d):
     return w.select("doc_id", text.listed(F.col("w"), _LISTED).alias("word_hits"), text.listed(text.ngrams(F.col("w"), 3), _TRIGRAMS).alias("trigram_hits"))
 
 
+@query("x14_hits_by_table", f"WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents) SELECT doc_id, len(list_filter(w, lambda t: t IN ('the', 'of', 'an', 'hand'))) AS hits FROM w")
+def x14_by_table(spark, d):
+    """The same against a table of words, which may be long."""
+    known = spark.createDataFrame([(w,) for w in _LISTED], "phrase string")
+    return style.list_hits(documents(spark, d).select("doc_id", text.benchmark_tokens(F.col("text")).alias("w")), "doc_id", "w", known)
+
+
 @query("x15_surface_contrasts")
 def x15(spark, d):
     return documents(spark, d).select("doc_id", spans.contrast_count(F.col("text")).alias("contrasts"))
@@ -213,9 +220,9 @@ def x36(spark, d):
     return table(spark, d, "documents").select("doc_id", text.words(F.col("text")).alias("words"))
 
 
-@query("x37_response_requirements", r"SELECT doc_id, 'Response requirements: aim for about ' || w || CASE WHEN w = 1 THEN ' word.' ELSE ' words.' END AS asked FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda t: t <> '')) AS w FROM documents)")
+@query("x37_response_requirements", r"SELECT doc_id, 'Response requirements: aim for about ' || w || CASE WHEN w = 1 THEN ' word.' ELSE ' words.' END AS asked, 2048 AS budget FROM (SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda t: t <> '')) AS w FROM documents)")
 def x37(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.response_requirements(text.words(F.col("text"))).alias("asked"))
+    return table(spark, d, "documents").select("doc_id", text.response_requirements(text.words(F.col("text"))).alias("asked"), text.output_budget(128, 2048).alias("budget"))
 
 
 @query("x38_edits", "SELECT doc_id, len(regexp_extract_all(text, 'the')) + len(regexp_extract_all(replace(text, 'the', 'a'), '!+')) AS edits, md5(regexp_replace(replace(text, 'the', 'a'), '!+', '.', 'g')) AS edited FROM documents")
