@@ -74,7 +74,12 @@ def around(text: str, start: int, end: int, chars: int) -> str:
 
 def hits(text: str, features: frozenset[str] | None = None, chars: int = 120) -> list[tuple]:
     """Hits (feature, subtype, start, end, text, context), by position."""
-    found, folded = [], fold(text)
+    return [(f, sub, s, e, text[s:e], around(text, s, e, chars)) for s, e, f, sub in _found_at(text, fold(text), features)]
+
+
+def _found_at(text: str, folded: str, features: frozenset[str] | None = None) -> list[tuple]:
+    """Hits (start, end, feature, subtype) by position."""
+    found = []
     for feature, family in P.FAMILIES.items():
         if feature != "punctuation" and (features is None or feature in features):
             found += [(m.start(), m.end(), feature, sub) for sub, p in family.items() for m in matches(p, text, folded)]
@@ -82,7 +87,7 @@ def hits(text: str, features: frozenset[str] | None = None, chars: int = 120) ->
         found += [(m.start(), m.end(), "rule_of_three", "approx_triple") for m in triads(text)]
     if features is None or "surface_contrast" in features:
         found += [(s, e, "surface_contrast", name) for name, s, e, _ in contrasts(text)]
-    return [(f, sub, s, e, text[s:e], around(text, s, e, chars)) for s, e, f, sub in sorted(found)]
+    return sorted(found)
 
 
 def boundaries(text: str) -> list[int]:
@@ -110,10 +115,11 @@ def offsets(text: str, kind: str, most_tokens: int | None = None) -> list[int]:
     raise ValueError(f"no such kind of opportunity: {kind}")
 
 
-def starts(text: str, feature: str) -> dict[int, str]:
+def starts(text: str, feature: str, folded: str | None = None) -> dict[int, str]:
     """Where a feature does start, with the subtype."""
+    folded = fold(text) if folded is None else folded
     if feature == "stock_openers_closers":
-        return {h[2]: h[1] for h in hits(text, frozenset({"stock_openers", "stock_closers"}))}
+        return {h[0]: h[3] for h in _found_at(text, folded, frozenset({"stock_openers", "stock_closers"}))}
     if feature == "rule_of_three":
         out = {}
         for m in triads(text):
@@ -128,7 +134,7 @@ def starts(text: str, feature: str) -> dict[int, str]:
         pool = known if feature.endswith("controls") else {feature: known[feature]}
         prefix = "neutral_common_" if feature.startswith("neutral_common") else "neutral_"
         return {m.start(): name.removeprefix(prefix) for name, p in pool.items() for m in compiled(p, False).finditer(text)}
-    return {h[2]: h[1] for h in hits(text, frozenset({feature}))}
+    return {h[0]: h[3] for h in _found_at(text, folded, frozenset({feature}))}
 
 
 def opportunities(text: str, features: list[str], most_tokens: int | None = None) -> list[tuple]:
@@ -162,8 +168,9 @@ def _found(texts: list[str | None], features: list[str], most_tokens: int | None
     ends, parts = [0], []
     for text in texts:
         by_kind, at, codes = {}, [], []
+        folded = fold(text) if text is not None else ""
         for feature in known if text is not None else []:
-            kind, found = specs[feature][0], starts(text, feature)
+            kind, found = specs[feature][0], starts(text, feature, folded)
             if kind not in by_kind:
                 by_kind[kind] = np.array(offsets(text, kind, most_tokens), np.int32)
             code = np.full(len(by_kind[kind]), -1, np.int32)
@@ -203,6 +210,31 @@ def opportunity_function(features: tuple[str, ...], most_tokens: int | None = No
     return found
 
 
+def opportunity_counts(features: tuple[str, ...], most_tokens: int | None = None):
+    """X31, X32 counted where they are found: for each feature with an opportunity how many there are and how many initiate."""
+    specs = P.opportunity_specs()
+    known = sorted(f for f in features if f in specs)
+
+    def one(text):
+        if text is None:
+            return None
+        by_kind, out, folded = {}, [], fold(text)
+        for feature in known:
+            kind = specs[feature][0]
+            if kind not in by_kind:
+                by_kind[kind] = offsets(text, kind, most_tokens)
+            if by_kind[kind]:
+                found = starts(text, feature, folded)
+                out.append({"feature": feature, "kind": kind, "opportunities": len(by_kind[kind]), "initiations": sum(x in found for x in by_kind[kind]) if found else 0})
+        return out
+
+    @F.pandas_udf("array<struct<feature:string,kind:string,opportunities:bigint,initiations:bigint>>")
+    def counted(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return counted
+
+
 def triad_count(text):
     return _counter(lambda t: len(triads(t)))(text)
 

@@ -89,7 +89,8 @@ def peak_profile(peaks: DataFrame, keys: Sequence[str], token: str, n: int = 8)
     t = F.trim(token)
     shares = peaks.groupBy(*keys).agg(F.count("*").alias("peaks"), *[(F.count_if(c) / F.count("*")).alias(name) for name, c in (("period_share", t == "."), ("punctuation_share", t.rlike(r"^[^\p{L}\p{N}_\s]+$")), ("word_share", t.rlike(r"^[\p{L}\p{N}_]+$")))])
     counted = peaks.groupBy(*keys, t.alias("_t")).agg(F.count("*").alias("_n"))
-    tops = counted.groupBy(*keys).agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("m"), "_t"))), 1, n), lambda x: x["_t"]), " ").alias("top_tokens"))
+    few = per_group(counted, keys, [F.desc("_n"), "_t"], n)  # limited before they are gathered
+    tops = few.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("m"), "_t"))), lambda x: x["_t"]), " ").alias("top_tokens"))
     return shares.join(tops, [*keys])
 
 

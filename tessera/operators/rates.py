@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import rate, safe_rate, safe_ratio
+from .sampling import per_group
 
 
 def _unpivot(df: DataFrame, keys: Sequence[str], values: Mapping[str, str], name: str = "feature") -> DataFrame:
@@ -141,8 +142,17 @@ def weighted_means(df: DataFrame, keys: Sequence[str], weight: str, values: Sequ
 
 
 def top_items(df: DataFrame, keys: Sequence[str], item: str, n: int, name: str = "top_items") -> DataFrame:
-    """Group size, its commonest item (ties: the least) and the n commonest as text."""
+    """Group size, its commonest item (ties: the least) and the n commonest as text. Items are limited before they are gathered."""
     by_item = df.groupBy(*keys, item).agg(F.count("*").alias("_n"))
-    best = F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("m"), F.col(item).alias("v"))))
-    out = by_item.groupBy(*keys).agg(F.sum("_n").alias("n"), best.alias("_best"))
-    return out.select(*keys, "n", F.element_at("_best", 1)["v"].alias("top"), F.array_join(F.transform(F.slice("_best", 1, n), lambda x: x["v"]), ";").alias(name))
+    sizes = by_item.groupBy(*keys).agg(F.sum("_n").alias("n"))
+    few = per_group(by_item, keys, [F.desc("_n"), item], max(n, 1))
+    best = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("m"), F.col(item).alias("v")))).alias("_best"))
+    met = sizes.join(best, F.lit(True) if not keys else _null_safe(sizes, best, keys), "inner").select(*[sizes[k] for k in keys], "n", "_best")
+    return met.select(*keys, "n", F.element_at("_best", 1)["v"].alias("top"), F.array_join(F.transform(F.slice("_best", 1, n), lambda x: x["v"]), ";").alias(name))
+
+
+def _null_safe(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & a[k].eqNullSafe(b[k])
+    return out

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.spans import bands, estimated_jaccard, key_function, minhash_function
@@ -163,17 +165,20 @@ def prompt_sample(df: DataFrame, mode: str, n: int, index: str, source: str, rec
 
 
 def budget_shards(df: DataFrame, order: str, size: str, budget: int, within: Sequence[str]) -> DataFrame:
-    """Shards filled in order up to a budget of tokens (prefix sums with resets), for each group."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        shard, used, out = 0, 0, []
-        for n in pdf[size]:
-            if used and used + n > budget:
-                shard, used = shard + 1, 0
-            used += n
-            out.append(shard)
-        return pdf.assign(shard=out)
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy(*within).applyInPandas(run, kinds + ", shard long")
+    """Shards filled in order up to a budget of tokens (prefix sums with resets), for each group. Sorted groups are streamed, so a task holds one batch of rows, however large a group is."""
+
+    def run(batches):
+        now, shard, used = None, 0, 0
+        for batch in batches:
+            out = []
+            for *group, n in zip(*[batch.column(c).to_pylist() for c in (*within, size)], strict=True):
+                if group != now:
+                    now, shard, used = group, 0, 0
+                if used and used + n > budget:
+                    shard, used = shard + 1, 0
+                used += n
+                out.append(shard)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "shard"])
+
+    ordered = df.repartition(*within).sortWithinPartitions(*within, order)
+    return ordered.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("shard", T.LongType())]))

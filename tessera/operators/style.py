@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, plain_quotes, rate, skipped, strip
+from ..storage import cut
+from .sampling import per_group
 
 
 def corpus_counts(docs: DataFrame, corpus: str, doc: str, words: Column, sizes: Sequence[int] = (1, 2, 3), examples: int = 20) -> DataFrame:
@@ -15,7 +17,11 @@ def corpus_counts(docs: DataFrame, corpus: str, doc: str, words: Column, sizes:
     grams = F.flatten(F.array(*[ngrams(F.col("_w"), n) for n in sizes]))
     long = docs.select(corpus, doc, words.alias("_w")).select(corpus, doc, F.explode(grams).alias("phrase")).where(~skipped(F.col("phrase")))
     by_doc = long.groupBy(corpus, "phrase", doc).agg(F.count("*").alias("_n"))
-    return by_doc.groupBy(corpus, "phrase").agg(F.sum("_n").alias("count"), F.count("*").alias("docs"), F.min(doc).alias("first_doc")) if examples <= 1 else by_doc.groupBy(corpus, "phrase").agg(F.sum("_n").alias("count"), F.count("*").alias("docs"), F.slice(F.array_sort(F.collect_list(doc)), 1, examples).alias("examples"))
+    sums = by_doc.groupBy(corpus, "phrase").agg(F.sum("_n").alias("count"), F.count("*").alias("docs"), F.min(doc).alias("first_doc"))
+    if examples <= 1:
+        return sums
+    few = per_group(by_doc, [corpus, "phrase"], [doc], examples)  # limited before they are gathered
+    return sums.drop("first_doc").join(few.groupBy(corpus, "phrase").agg(F.array_sort(F.collect_list(doc)).alias("examples")), [corpus, "phrase"])
 
 
 def lift(counts: DataFrame, totals: DataFrame, corpus: str, model: str, reference: str, least_count: int = 1, least_docs: int = 1, least_lift: float = 0.0, prior: float = 0.5) -> DataFrame:
@@ -23,6 +29,7 @@ def lift(counts: DataFrame, totals: DataFrame, corpus: str, model: str, referenc
     side = lambda name, c: F.max(F.when(F.col(corpus) == name, F.col(c)))
     wide = counts.where(F.col(corpus).isin(model, reference)).groupBy("phrase").agg(*[F.coalesce(side(n, c), F.lit(0)).alias(f"{p}_{c}") for p, n in (("model", model), ("reference", reference)) for c in ("count", "docs")])
     sums = totals.agg(*[F.coalesce(side(n, c), F.lit(0)).alias(f"_{p}_{c}") for p, n in (("m", model), ("r", reference)) for c in ("tokens", "docs")])
+    wide = cut(wide)  # its rows are read and counted
     size = wide.agg(F.count("*").alias("_v"))
     c = F.col
     joined = wide.crossJoin(F.broadcast(sums)).crossJoin(F.broadcast(size))  # one row each

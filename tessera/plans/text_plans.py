@@ -200,8 +200,8 @@ def x28(spark, d):
 @query("x31_opportunities")
 def x31(spark, d):
     features = ("neutral_common_of_the", "stock_closers", "rule_of_three", "contrastive_negation", "discovered_additive_transition")
-    found = documents(spark, d).select("doc_id", F.explode(spans.opportunity_function(features)(F.col("text"))).alias("o"))
-    return found.groupBy("doc_id", "o.feature", "o.kind").agg(F.count("*").alias("opportunities"), F.count_if("o.initiates").alias("initiations"))
+    found = documents(spark, d).select("doc_id", F.explode(spans.opportunity_counts(features)(F.col("text"))).alias("o"))
+    return found.groupBy("doc_id", "o.feature", "o.kind").agg(F.sum("o.opportunities").alias("opportunities"), F.sum("o.initiations").alias("initiations"))
 
 
 @query("x34_log_ratio", "SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN round(log2((s_acctbal + 1e-9) / (1000.0::DOUBLE + 1e-9)), 8) END AS log_ratio FROM supplier")

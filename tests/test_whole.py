@@ -55,6 +55,22 @@ def test_opportunity_function_equals_the_loop(spark, most):
         assert (None if got[i] is None else [tuple(o) for o in got[i]]) == (None if t is None else spans.opportunities(t, list(features), most))
 
 
+def test_counted_opportunities_equal_those_found(spark):
+    from collections import Counter
+
+    from tessera.functions import patterns, spans
+
+    features = tuple(patterns.opportunity_specs())
+    texts = [None, "", "In the end of the day, of the red, white and blue.\nIn the"] + [t for (t,) in rows("text", "documents")[:40]]
+    got = dict(spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", spans.opportunity_counts(features)("text")).collect())
+    for i, t in enumerate(texts):
+        every, initiated = Counter(), Counter()
+        for feature, kind, _, initiates, _ in spans.opportunities(t, list(features)) if t is not None else []:
+            every[feature, kind] += 1
+            initiated[feature, kind] += initiates
+        assert (None if got[i] is None else {(c["feature"], c["kind"]): (c["opportunities"], c["initiations"]) for c in got[i]}) == (None if t is None else {k: (n, initiated[k]) for k, n in every.items()})
+
+
 def test_propensity_contract_takes_every_token_start(spark):
     from tessera.functions import spans
 
