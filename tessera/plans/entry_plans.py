@@ -81,6 +81,14 @@ def n04(spark, d):
     return rows.select("row_index", F.when(F.col("row_index") % 3 == 2, ids[1]).otherwise(ids[0]).alias("record_id"))
 
 
+_SCANS = {"license": "GNU [A-Za-z ]+ License", "mark": "[a-z]+%%%", "shout": "[A-Z]{3,}!!"}
+
+
+@query("s14_text_scans", "WITH l AS (SELECT doc_id, unnest(string_split(text, E'\\n')) AS l, unnest(range(1, len(string_split(text, E'\\n')) + 1)) AS line FROM documents) SELECT doc_id, line::INT AS line, 'license' AS kind, unnest(regexp_extract_all(l, 'GNU [A-Za-z ]+ License')) AS hit FROM l UNION ALL SELECT doc_id, line::INT, 'mark', unnest(regexp_extract_all(l, '[a-z]+%%%')) FROM l UNION ALL SELECT doc_id, line::INT, 'shout', unnest(regexp_extract_all(l, '[A-Z]{3,}!!')) FROM l")
+def s14(spark, d):
+    return R.text_scans(documents(spark, d), "doc_id", "text", _SCANS)
+
+
 # Sinks
 
 
@@ -127,6 +135,11 @@ def k06(spark, d):
     return spark.read.parquet(at).groupBy("o_custkey").agg(F.count("*").alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
 
 
+@query("k08_tracked", "SELECT doc_id, lang, source, n_chars, len(text)::INT AS text_chars FROM documents ORDER BY doc_id LIMIT 1000")
+def k08(spark, d):
+    return sinks.tracked(table(spark, d, "documents"), ["text"], ["doc_id"])
+
+
 @query("k11_manifest", "SELECT count(*)::BIGINT AS lines, true AS digests_fit FROM documents")
 def k11(spark, d):
     at = f"{fresh_dir(spark, 'manifest')}/documents.jsonl"
@@ -191,6 +204,12 @@ def r03(spark, d):
     return last.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "x.n", F.round("x.total", 6).alias("total"))
 
 
+@query("r04_job_progress", "WITH s AS (SELECT event_type, min(event_id) AS first_step, max(event_id) AS last_step, date_diff('second', min(ts), max(ts)) AS seconds, 2000::BIGINT AS total FROM events GROUP BY 1), r AS (SELECT *, (last_step - first_step)::DOUBLE / nullif(seconds, 0) AS rate FROM s) SELECT event_type, last_step, total, round(rate, 9) AS steps_per_second, round(CASE WHEN total <= last_step THEN 0 ELSE (total - last_step) / nullif(rate, 0) END, 3)::DOUBLE AS seconds_left, CASE WHEN total <= last_step THEN 'complete' WHEN rate > 0 THEN 'running' ELSE 'stalled' END AS state FROM r")
+def r04(spark, d):
+    found = incremental.progress(table(spark, d, "events"), "event_type", "ts", "event_id", F.lit(2000).cast("long"))
+    return found.withColumn("steps_per_second", F.round("steps_per_second", 9)).withColumn("seconds_left", F.round("seconds_left", 3))
+
+
 # Filters, joins, samples and statistics
 
 

@@ -135,6 +135,17 @@ def shape(raw: Column) -> Column:
     return F.schema_of_variant(raw)
 
 
+def text_scans(df: DataFrame, key: str, text: str, patterns: Mapping[str, str]) -> DataFrame:
+    """Hits of named patterns in lines of texts: rows (key, line from 1, kind, hit). Lines without any hit go where they are read."""
+    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("_at", "_line"))
+
+    def hits(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("_line", F.lit(pattern), F.lit(0)), lambda h: F.struct(F.lit(kind).alias("kind"), h.alias("hit")))
+
+    found = F.concat(*[hits(kind, p) for kind, p in patterns.items()])
+    return lines.select(key, (F.col("_at") + 1).alias("line"), F.inline(found))
+
+
 def labelled_slice(df: DataFrame, source: str, order: str, n: int, offset: int = 0) -> DataFrame:
     """For each source its n non-empty texts after an offset."""
     r = F.row_number().over(Window.partitionBy(source).orderBy(order))

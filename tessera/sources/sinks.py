@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .records import redacted
+
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """K1: one object a line, keys sorted, nulls kept."""
@@ -46,6 +48,11 @@ def markdown(df: DataFrame, most_rows: int = 1000) -> str:
     return "\n".join(head + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows])
 
 
+def tracked(df: DataFrame, texts: Sequence[str], order: Sequence[str], most_rows: int = 1000) -> DataFrame:
+    """K8: what a tracker is shown of a table: its first rows, with text columns replaced by their lengths."""
+    return redacted(df.orderBy(*order).limit(most_rows), texts)
+
+
 def wide_to_long(df: DataFrame, ids: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
     """One row for each column that is not an id."""
     values = [c for c in df.columns if c not in ids]

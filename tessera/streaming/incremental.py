@@ -1,11 +1,11 @@
-"""Structured Streaming forms of resuming, pairing and running counters (R1 to R3). The batch operators are the reference for their results."""
+"""Structured Streaming forms of resuming, pairing and running counters (R1 to R3), and job progress from logs (R4). The batch operators are the reference for their results."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -52,3 +52,11 @@ def pair_halves(stream: DataFrame, keys: Sequence[str], role: str, value: str) -
 def running_counts(stream: DataFrame, time: str, keys: Sequence[str], window: str, late: str) -> DataFrame:
     """Counters by time window, final once the watermark has passed it."""
     return stream.withWatermark(time, late).groupBy(F.window(time, window), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def progress(logs: DataFrame, job: str, time: str, step: str, total: Column) -> DataFrame:
+    """State of each job from its log rows: the last step, steps a second between first and last row, and the seconds left at that rate (null while there is none, 0 once complete)."""
+    seen = logs.groupBy(job).agg(F.min(step).alias("first_step"), F.max(step).alias("last_step"), (F.unix_seconds(F.max(time).cast("timestamp")) - F.unix_seconds(F.min(time).cast("timestamp"))).alias("seconds"), F.max(total).alias("total"))
+    rate = (F.col("last_step") - F.col("first_step")) / F.nullif(F.col("seconds"), F.lit(0))
+    left = F.col("total") - F.col("last_step")
+    return seen.select(job, "last_step", "total", rate.alias("steps_per_second"), F.when(left <= 0, 0.0).otherwise(left / F.nullif(rate, F.lit(0.0))).alias("seconds_left"), F.when(left <= 0, "complete").when(rate > 0, "running").otherwise("stalled").alias("state"))
