@@ -131,7 +131,8 @@ def _byte_values(table: list[tuple[int, int]]) -> np.ndarray:
     return values
 
 
-STRETCH = 1 << 16  # bytes of a scan that are looked up at once
+STRETCH = 1 << 16  # bytes of scans that are looked up at once
+TOGETHER = 1 << 16  # bytes of texts that are stored and read together
 
 
 _DC_EXTRA = np.arange(256).astype(np.uint8) & 15
@@ -173,58 +174,108 @@ def _extended(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where((n == 0) | (x >= 1 << np.maximum(n - 1, 0)), x, x - (1 << n) + 1)
 
 
-def _chain(jump: np.ndarray, first: int, end: int) -> np.ndarray:
-    """first, jump[first], and so on while below end, where jumps stay: 32 at a time, by jumps of jumps."""
+def _chain(jump: np.ndarray, starts: list[int], ends: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """start, jump[start], and so on while below the end, for each start, with its number: 32 at a time, by jumps of jumps."""
     jumps = [jump]
     for _ in range(5):
         jumps.append(jumps[-1][jumps[-1]])
-    anchors, far = [], jumps.pop()
-    while first < end:
-        anchors.append(first)
-        first = int(far[first])
+    anchors, counts, far = [], [], jumps.pop()
+    for at, end in zip(starts, ends, strict=True):
+        before = len(anchors)
+        while at < end:
+            anchors.append(at)
+            at = int(far[at])
+        counts.append(len(anchors) - before)
     out = np.empty((len(anchors), 32), np.int32)
     out[:, 0] = anchors
     for k, by in enumerate(jumps):
         out[:, 1 << k : 2 << k] = by[out[:, : 1 << k]]
-    out = out.ravel()
-    return out[out < end]
-
-
-def _follow(data: np.ndarray, tables: list, ac: bool, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, places of their extra bits, and numbers of those: one code after the other, with the tables in turn, until ``most`` codes, the end of the data, or what is no code."""
-    end = 8 * (len(data) - PADDING)
-    tables = tables[:1] if all(t is tables[0] for t in tables) else tables
-    known = [_lookup(tuple(t), ac) for t in tables]
-    turn, at, found, n = len(known), 0, [np.zeros(0, np.int64)], 0
+    owner = np.repeat(np.arange(len(starts)), counts)
+    inside = out < np.array(ends)[owner][:, None] if len(anchors) else np.zeros((0, 32), bool)
+    return out[inside], np.repeat(owner, inside.sum(axis=1))
+
+
+def _jumps(data: np.ndarray, known: list) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each table where the code after the one at each bit begins, and the same over all tables in turn; what is no code, or goes beyond the data, leads to the end."""
+    seen, jumps = _windows(data), []
+    stop = np.int32(len(seen))
+    for _, _, step in known:
+        ahead = step[seen]
+        jump = np.append(np.arange(stop, dtype=np.int32) + ahead, stop)
+        jump[:-1][ahead == 0] = stop
+        jumps.append(np.minimum(jump, stop, out=jump))
+    whole = jumps[0]
+    for jump in jumps[1:]:
+        whole = jump[whole]
+    return jumps, whole
+
+
+def _places(starts: np.ndarray, jumps: list[np.ndarray]) -> np.ndarray:
+    """The places of all codes of turns that begin at starts."""
+    places = [starts]
+    for jump in jumps[:-1]:
+        places.append(jump[places[-1]])
+    return np.stack(places, axis=1).ravel() if len(places) > 1 else starts
+
+
+def _long(segment: bytes, known: list, most: int | None) -> np.ndarray:
+    """The places of a segment's codes, a stretch at a time."""
+    data, end, at, found, n = _padded(segment), 8 * len(segment), 0, [np.zeros(0, np.int64)], 0
     while at < end and (most is None or n < most):
         low = at >> 3
-        seen = _windows(data[low : min(low + STRETCH, len(data) - 2) + 2])
-        stop, jumps = len(seen), []
-        for _, _, step in known:
-            ahead = step[seen]
-            jump = np.append(np.arange(stop, dtype=np.int32) + ahead, np.int32(stop))
-            jump[:-1][ahead == 0] = stop
-            jumps.append(np.minimum(jump, np.int32(stop), out=jump))
-        whole = jumps[0]
-        for jump in jumps[1:]:
-            whole = jump[whole]
-        starts = _chain(whole, at - 8 * low, stop)
+        jumps, whole = _jumps(data[low : min(low + STRETCH, len(data) - 2) + 2], known)
+        starts = _chain(whole, [at - 8 * low], [len(whole) - 1])[0]
         if len(starts) < 2:  # nothing whole: no code here, or the end
             break
         # The last turn may go on beyond this stretch: the next one begins with it.
-        places = [starts[:-1]]
-        for jump in jumps[:-1]:
-            places.append(jump[places[-1]])
-        found.append(np.stack(places, axis=1).ravel().astype(np.int64) + 8 * low)
+        found.append(_places(starts[:-1], jumps).astype(np.int64) + 8 * low)
         n += len(found[-1])
         at = int(starts[-1]) + 8 * low
-    at = np.concatenate(found)
-    at = at[at < end][:most]
+    out = np.concatenate(found)
+    return out[out < end][:most]
+
+
+@dataclass
+class _Codes:
+    """The codes of some segments in order: symbol, the bits that follow, how many those are, and the segment."""
+
+    symbols: np.ndarray
+    bits: np.ndarray
+    sizes: np.ndarray
+    owner: np.ndarray
+
+
+def _follow(segments: list[bytes], tables: list, ac: bool, most: list[int] | None) -> _Codes:
+    """One code after the other, with the tables in turn, until ``most`` codes of each segment, its end, or what is no code."""
+    tables = tables[:1] if all(t is tables[0] for t in tables) else tables
+    known = [_lookup(tuple(t), ac) for t in tables]
+    turn = len(known)
+    data = np.frombuffer(b"".join(x for s in segments for x in (s, bytes(PADDING))), np.uint8)
+    sizes = np.array([len(s) for s in segments], np.int64)
+    starts = 8 * (np.cumsum(sizes + PADDING) - sizes - PADDING)
+    if len(data) > STRETCH:
+        parts = [_long(s, known, None if most is None else most[i]) + starts[i] for i, s in enumerate(segments)]
+        at, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        number = np.concatenate([np.arange(len(x)) for x in parts])
+    else:
+        jumps, whole = _jumps(data, known)
+        chained, owner = _chain(whole, starts.tolist(), (starts + 8 * sizes).tolist())
+        at, owner = _places(chained, jumps).astype(np.int64), np.repeat(owner, turn)
+        number = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(segments)))[owner]
+        inside = at < (starts + 8 * sizes)[owner]
+        if most is not None:
+            inside &= number < np.array(most, np.int64)[owner]
+        at, owner, number = at[inside], owner[inside], number[inside]
     window = _bits_at(data, at, np.int64(16))
-    symbols, sizes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    for u, (symbol, length, _) in enumerate(known):
-        symbols[u::turn], sizes[u::turn] = symbol[window[u::turn]], length[window[u::turn]]
-    return symbols, at + sizes, (_AC_EXTRA if ac else _DC_EXTRA)[symbols]
+    if turn == 1:
+        symbols, lengths = known[0][0][window], known[0][1][window]
+    else:
+        symbols, lengths = (np.choose(number % turn, [k[i][window] for k in known]) for i in (0, 1))
+    good = lengths > 0
+    if not good.all():
+        symbols, lengths, at, owner = symbols[good], lengths[good], at[good], owner[good]
+    extra = (_AC_EXTRA if ac else _DC_EXTRA)[symbols].astype(np.int64)
+    return _Codes(symbols.astype(np.int64), _bits_at(data, at + lengths, extra), extra, owner)
 
 
 def _dc_grids(parts: list[tuple[Component, int, int]]) -> list[tuple[Component, int, np.ndarray, np.ndarray]]:
@@ -238,125 +289,189 @@ def _dc_grids(parts: list[tuple[Component, int, int]]) -> list[tuple[Component,
     return [(c, dc, my * c.v + v, mx * c.h + h) for c, dc, _ in parts for v in range(c.v) for h in range(c.h)]
 
 
-def _check(segments: list[bytes], units: int, interval: int) -> None:
-    if len(segments) != max(1, -(-units // interval)):
-        raise ValueError("the scan has another number of restarts")
-
-
-def _read_scan(parts: list[tuple[Component, int, int]], ss: int, se: int, ah: int, al: int, segments: list[bytes], tables: dict, interval: int) -> None:
-    """Adds one scan to the coefficients. parts: component with its DC and AC table number."""
-    if ss == 0:
-        grids = _dc_grids(parts)
-        units = len(grids[0][2])
-        interval = interval or max(1, units)
-        _check(segments, units, interval)
-        for low, segment in zip(range(0, units, interval), segments, strict=True):
-            n = min(interval, units - low)
-            if ah:
-                bits = np.unpackbits(np.frombuffer(segment, np.uint8), count=n * len(grids)).reshape(n, -1).astype(np.int32)
-                for u, (c, _, y, x) in enumerate(grids):
-                    c.coefficients[y[low : low + n], x[low : low + n], 0] |= bits[:, u] << al
-                continue
-            data = _padded(segment)
-            symbols, at, sizes = _follow(data, [tables[0, dc] for _, dc, _, _ in grids], False, n * len(grids))
-            if len(symbols) < n * len(grids):
-                raise ValueError("the scan ends too early or has no such Huffman code")
-            steps = _extended(_bits_at(data, at, sizes.astype(np.int64)), sizes.astype(np.int64)).reshape(n, -1)
-            for c in {id(c): c for c, *_ in grids}.values():
-                mine = [u for u, g in enumerate(grids) if g[0] is c]
-                values = np.cumsum(steps[:, mine].ravel()).reshape(n, -1) << al
-                for k, u in enumerate(mine):
-                    c.coefficients[grids[u][2][low : low + n], grids[u][3][low : low + n], 0] = values[:, k]
+@dataclass
+class _Scan:
+    parts: list[tuple[Component, int, int]]  # with DC and AC table number
+    ss: int
+    se: int
+    ah: int
+    al: int
+    segments: list[bytes]
+    tables: dict
+    interval: int
+
+    def key(self) -> tuple:
+        """Scans of equal keys can be read together."""
+        used = tuple(tuple(self.tables.get((int(self.ss > 0), ac if self.ss else dc), ())) for _, dc, ac in self.parts)
+        return self.ss, self.se, self.ah, self.al, used, tuple((c.id, c.h, c.v) for c, _, _ in self.parts)
+
+    def cuts(self, units: int) -> list[int]:
+        """Where the units of each segment begin, and their number."""
+        interval = self.interval or max(1, units)
+        if len(self.segments) != max(1, -(-units // interval)):
+            raise ValueError("the scan has another number of restarts")
+        return [*range(0, units, interval), units] if units else [0, 0]
+
+
+SHORT = "the scan ends too early or has no such Huffman code"
+
+
+def _read_scans(scans: list[_Scan]) -> None:
+    """Adds scans of equal keys, of several files, to their coefficients."""
+    (_read_dc if scans[0].ss == 0 else _read_ac)(scans)
+
+
+def _read_dc(scans: list[_Scan]) -> None:
+    grids = [_dc_grids(x.parts) for x in scans]
+    wide, al = len(grids[0]), scans[0].al
+    cuts = [x.cuts(len(g[0][2])) for x, g in zip(scans, grids, strict=True)]
+    if scans[0].ah:
+        for x, grid, cut in zip(scans, grids, cuts, strict=True):
+            bits = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8), count=(b - a) * wide) for s, a, b in zip(x.segments, cut, cut[1:], strict=False)]).reshape(-1, wide).astype(np.int32)
+            for u, (c, _, v, h) in enumerate(grid):
+                c.coefficients[v, h, 0] |= bits[:, u] << al
         return
-    c, _, ac = parts[0]
-    grid = c.coefficients[: c.own_down, : c.own_across, ss : se + 1]
-    flat = np.ascontiguousarray(grid.reshape(-1, se - ss + 1))  # blocks in order
-    interval = interval or max(1, len(flat))
-    _check(segments, len(flat), interval)
-    for low, segment in zip(range(0, len(flat), interval), segments, strict=True):
-        (_refine_ac if ah else _first_ac)(flat[low : low + interval], segment, tables[1, ac], al)
-    grid[:] = flat.reshape(grid.shape)
-
-
-def _first_ac(blocks: np.ndarray, segment: bytes, table: list[tuple[int, int]], al: int) -> None:
-    """The first scan of a band. blocks: (blocks, band), filled in place."""
-    n, band = blocks.shape
-    data = _padded(segment)
-    symbols, at, sizes = _follow(data, [table], True, None)
-    sizes = sizes.astype(np.int64)
-    r, s = symbols >> 4, symbols & 15
-    bits = _bits_at(data, at, sizes)
-    ends = (s == 0) & (r < 15)  # of a block, and of more
-    ahead = np.where(ends, 0, np.where(s == 0, 16, r + 1))
-    # Between two ends the band's places count on; an end goes to the start of the block after its run.
-    total = np.cumsum(ahead)
-    last = np.flatnonzero(ends)
-    held = np.diff(total[last], prepend=0)
-    starts = np.concatenate([[0], np.cumsum(held // band + (1 << r[last]) + bits[last])])
-    stretch = np.cumsum(ends) - ends
-    before = np.concatenate([[0], total[last]])
-    place = starts[stretch] * band + total - before[stretch] - 1
-    real = (s > 0) & (place < n * band)
-    blocks.reshape(-1)[place[real]] = _extended(bits[real], s[real]) * (1 << al)
-    reached = place[-1] + 1 if len(place) and not ends[-1] else starts[-1] * band
-    if reached < n * band:
-        raise ValueError("the scan ends too early or has no such Huffman code")
+    units = np.array([b - a for cut in cuts for a, b in zip(cut, cut[1:], strict=False)])  # of each segment
+    found = _follow([s for x in scans for s in x.segments], [scans[0].tables[0, dc] for _, dc, _, _ in grids[0]], False, (units * wide).tolist())
+    if (np.bincount(found.owner, minlength=len(units)) < units * wide).any():
+        raise ValueError(SHORT)
+    steps = _extended(found.bits, found.sizes).reshape(-1, wide)
+    first = np.cumsum(units) - units
+    ends = np.cumsum([cut[-1] for cut in cuts]).tolist()
+    for number in range(len(scans[0].parts)):
+        mine = [u for u, g in enumerate(grids[0]) if g[0] is scans[0].parts[number][0]]
+        values = np.cumsum(steps[:, mine].ravel())
+        before = np.concatenate([[0], values])[first * len(mine)]  # each segment begins anew
+        values = (values - np.repeat(before, units * len(mine))).reshape(-1, len(mine)) << al
+        for grid, low, high in zip(grids, [0, *ends], ends, strict=False):
+            for k, u in enumerate(mine):
+                c, _, v, h = grid[u]
+                c.coefficients[v, h, 0] = values[low:high, k]
+
+
+def _read_ac(scans: list[_Scan]) -> None:
+    ss, se, al = scans[0].ss, scans[0].se, scans[0].al
+    band = se - ss + 1
+    grids = [c.coefficients[: c.own_down, : c.own_across, ss : se + 1] for c in (x.parts[0][0] for x in scans)]
+    flat = np.concatenate([g.reshape(-1, band) for g in grids])  # blocks in order: a copy
+    ends = np.cumsum([g.shape[0] * g.shape[1] for g in grids]).tolist()
+    segments, starts = [], []
+    for x, low, high in zip(scans, [0, *ends], ends, strict=False):
+        segments += x.segments
+        starts += [low + a for a in x.cuts(high - low)[:-1]]
+    table = scans[0].tables[1, scans[0].parts[0][2]]
+    if scans[0].ah:
+        for segment, low, high in zip(segments, starts, [*starts[1:], len(flat)], strict=True):
+            _refine_ac(flat[low:high], segment, table, al)
+    else:
+        _first_ac(flat, segments, np.array(starts), table, al)
+    for g, low, high in zip(grids, [0, *ends], ends, strict=False):
+        g[:] = flat[low:high].reshape(g.shape)
+
+
+def _first_ac(flat: np.ndarray, segments: list[bytes], starts: np.ndarray, table: list[tuple[int, int]], al: int) -> None:
+    """The first scan of a band. flat: (blocks, band), filled in place. starts: the first block of each segment."""
+    n, band = flat.shape
+    limits = np.append(starts[1:], n)
+    found = _follow(segments, [table], True, None)
+    r, s, owner = found.symbols >> 4, found.symbols & 15, found.owner
+    reached = starts * band
+    if len(owner):
+        stops = (s == 0) & (r < 15)  # of a block, and of more
+        total = np.cumsum(np.where(stops, 0, np.where(s == 0, 16, r + 1)))
+        # Within a stretch the band's places count on; a stop goes to the start of the block after its run; each segment begins anew.
+        new = np.append(True, stops[:-1] | (owner[1:] != owner[:-1]))
+        at, stretch = np.flatnonzero(new), np.cumsum(new) - 1
+        last = np.append(at[1:], len(owner)) - 1
+        before = np.append(0, total)[at]
+        held = total[last] - before
+        run = np.where(stops[last], (1 << r[last]) + found.bits[last], 0)
+        passed = np.cumsum(held // band + run)
+        begun = np.append(0, passed)[np.searchsorted(owner[at], owner[at])]
+        block = starts[owner[at]] + np.append(0, passed[:-1]) - begun
+        place = block[stretch] * band + total - before[stretch] - 1
+        real = (s > 0) & (place < (limits * band)[owner])
+        flat.reshape(-1)[place[real]] = _extended(found.bits[real], s[real]) * (1 << al)
+        np.maximum.at(reached, owner[at], np.where(stops[last], (block + held // band + run) * band, block * band + held))
+    if (reached < limits * band).any():
+        raise ValueError(SHORT)
 
 
 def _refine_ac(blocks: np.ndarray, segment: bytes, table: list[tuple[int, int]], al: int) -> None:
     """A refinement scan of a band. blocks: (blocks, band), changed in place."""
     n, band = blocks.shape
     flat = blocks.reshape(-1)
-    data = _padded(segment)
     symbols, lengths, _ = _lookup(tuple(table))
-    known = np.flatnonzero(flat)
-    zeros = np.flatnonzero(flat == 0)
-    at = place = done = passed = 0  # bit; place in the band's blocks; known coefficients and zeros before it
-    corrected, fresh = [], []
+    known = flat != 0
+    counts = np.append(0, np.cumsum(known))
+    zeros = np.flatnonzero(~known)
+    bits = np.unpackbits(np.frombuffer(segment, np.uint8))
+    at = place = 0  # bit; place in the band's blocks
+    corrections, fresh = [], []
     while place < n * band:
-        window = int.from_bytes(segment[at >> 3 : (at >> 3) + 3].ljust(3, b"\0")) >> (8 - (at & 7)) & 0xFFFF
-        if not lengths[window]:
-            raise ValueError("no such Huffman code")
-        at += int(lengths[window])
-        r, s = divmod(int(symbols[window]), 16)
+        window = int.from_bytes(segment[at >> 3 : (at >> 3) + 5].ljust(5, b"\0")) >> (8 - (at & 7))
+        code = window >> 16 & 0xFFFF
+        size = int(lengths[code])
+        if not size:
+            raise ValueError(SHORT)
+        at += size
+        r, s = divmod(int(symbols[code]), 16)
+        more = window >> 16 - size & 0xFFFF
         if s == 0 and r < 15:
-            run = (1 << r) + int(_bits_at(data, np.array([at]), np.array([r]))[0])
+            run = (1 << r) + (more >> 16 - r)
             at += r
             to = after = min((place // band + run) * band, n * band)
         else:
-            sign = None
+            end = (place // band + 1) * band
+            skip = place - int(counts[place]) + r
+            to = int(zeros[skip]) if skip < len(zeros) and zeros[skip] < end else end
             if s:
-                sign = int(_bits_at(data, np.array([at]), np.array([1]))[0])
                 at += 1
-            end = (place // band + 1) * band
-            to = int(zeros[passed + r]) if passed + r < len(zeros) and zeros[passed + r] < end else end
-            if to < end and sign is not None:
-                fresh.append((to, sign))
+                if to < end:
+                    fresh.append((to, 1 << al if more >> 15 else -(1 << al)))
             after = min(to + 1, end)
-        some = int(np.searchsorted(known, to)) - done
-        corrected.append((at, some))
+        some = int(counts[to] - counts[place])
+        corrections.append(bits[at : at + some])
+        if len(corrections[-1]) < some:
+            raise ValueError(SHORT)
         at += some
-        done += some
         place = after
-        passed = place - done
-    where, counts = (np.array(x, np.int64) for x in zip(*corrected, strict=True)) if corrected else (np.zeros(0, np.int64),) * 2
-    bits = np.repeat(where - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    given = np.concatenate(corrections) if corrections else bits[:0]
     values = flat[known]
-    grown = (_bits_at(data, bits, np.int64(1)) == 1) & ((np.abs(values) >> al) & 1 == 0) if len(bits) else np.zeros(0, bool)
-    flat[known] = values + np.where(grown, np.sign(values) << al, 0)
-    for k, sign in fresh:
-        flat[k] = 1 << al if sign else -(1 << al)
+    flat[known] = values + np.where((given == 1) & ((np.abs(values) >> al) & 1 == 0), np.sign(values) << al, 0)
+    for k, value in fresh:
+        flat[k] = value
 
 
 def read(data: bytes) -> Image:
     """The coefficients of a progressive file."""
-    image, tables, interval, at = Image(0, 0, [], {}), {}, 0, 2
+    return read_many([data])[0]
+
+
+def read_many(files: list[bytes]) -> list[Image]:
+    """The coefficients of progressive files. Scans that are alike are read together, which saves most of the time of small files."""
+    parsed = [_parse(f) for f in files]
+    left = [(image, scans) for image, scans in parsed if scans]
+    step = 0
+    while left:
+        groups: dict[tuple, list[_Scan]] = {}
+        for _, scans in left:
+            groups.setdefault(scans[step].key(), []).append(scans[step])
+        for group in groups.values():
+            _read_scans(group)
+        step += 1
+        left = [(image, scans) for image, scans in left if len(scans) > step]
+    return [image for image, _ in parsed]
+
+
+def _parse(data: bytes) -> tuple[Image, list[_Scan]]:
+    image, tables, interval, at, scans = Image(0, 0, [], {}), {}, 0, 2, []
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
     while True:
         marker = data[at + 1]
         if marker == 0xD9:
-            return image
+            return image, scans
         size = struct.unpack_from(">H", data, at + 2)[0]
         body = data[at + 4 : at + 2 + size]
         at += 2 + size
@@ -379,7 +494,7 @@ def read(data: bytes) -> Image:
             while body:
                 counts = body[1:17]
                 symbols = iter(body[17 : 17 + sum(counts)])
-                tables[body[0] >> 4, body[0] & 15] = [(next(symbols), n + 1) for n, count in enumerate(counts) for _ in range(count)]
+                tables = tables | {(body[0] >> 4, body[0] & 15): [(next(symbols), n + 1) for n, count in enumerate(counts) for _ in range(count)]}
                 body = body[17 + sum(counts) :]
         elif marker == 0xDD:
             interval = struct.unpack(">H", body)[0]
@@ -389,7 +504,7 @@ def read(data: bytes) -> Image:
             parts = [(by_id[body[1 + 2 * i]], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(n)]
             ss, se, a = body[1 + 2 * n : 4 + 2 * n]
             segments, at = _segments(data, at)
-            _read_scan(parts, ss, se, a >> 4, a & 15, segments, tables, interval)
+            scans.append(_Scan(parts, ss, se, a >> 4, a & 15, segments, tables, interval))
 
 
 def _segments(data: bytes, at: int) -> tuple[list[bytes], int]:
@@ -670,20 +785,23 @@ def media_columns(docs: DataFrame, with_media: bool = False, text: str = "text",
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary()] + [pa.binary()] * with_media
     names = [part.split()[0] for part in spec.split(", ")]
 
+    def rows(some: list[bytes]) -> list[tuple]:
+        files, out = [payload_to_jpeg(padded(data)) for data in some], []
+        for data, media, image in zip(some, files, read_many(files), strict=True):
+            back, tensor = jpeg_to_payload(image), rgb(image)
+            out.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(tensor), *tensor.shape[:2], tensor.tobytes(), *[media] * with_media))
+        return out
+
     def run(batches):
         for batch in batches:
-            out, held, first = [], 0, 0
+            some, held, first = [], 0, 0
             for i, t in enumerate(batch.column(1).cast(pa.binary())):
-                data = t.as_py() or b""
-                media = payload_to_jpeg(padded(data))
-                image = read(media)
-                back, tensor = jpeg_to_payload(image), rgb(image)
-                pixels = tensor.tobytes()
-                out.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(tensor), *tensor.shape[:2], pixels, *[media] * with_media))
-                held += len(pixels) + len(media)
-                if len(out) == 256 or held > 16 << 20 or i == batch.num_rows - 1:
+                some.append(t.as_py() or b"")
+                held += len(some[-1]) + 64
+                if held >= TOGETHER or i == batch.num_rows - 1:
+                    out = rows(some)
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(out)), *[pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]], names=[doc_id, *names])
-                    out, held, first = [], 0, i + 1
+                    some, held, first = [], 0, i + 1
 
     return docs.select(doc_id, text).mapInArrow(tidy(run), schema_of(docs, [doc_id], spec))
 
