@@ -1,4 +1,10 @@
-"""Connected components by alternating large and small stars, each round cut by a reliable checkpoint."""
+"""Connected components by alternating large and small stars, each round cut by a reliable checkpoint.
+
+A node with very many neighbours is one row of each, which aggregation adds up in part before the shuffle and
+adaptive execution splits in the join. Defined cases: repeated edges, edges both ways and edges of a node to
+itself count once or not at all; nodes without an edge have no row; edges with a null end are left out; no edges
+give no rows; more rounds than the limit raise.
+"""
 
 from __future__ import annotations
 

@@ -42,6 +42,7 @@ from .components import components
 BLOCK = 1024  # texts in a block
 BLOCK_GRAMS = 1 << 20  # their n-grams, about
 MOST_TOGETHER = 50_000  # members of a bucket in one task
+HOT = 1000  # copies beyond which a text's rows don't meet
 NEAR = 0.15  # distance within which a text needs no leader of its own
 NOISE = 0.1  # of a distance estimated from a signature
 
@@ -413,6 +414,16 @@ def _pairs() -> Column:
     return F.concat(own, after, before)
 
 
+def _spread_join(rows: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
+    """Joins rows with what is known of their text. Texts with very many copies, a million at most and one for each HOT rows, are sent to all executors, so their rows need not meet in one task."""
+    most = (texts.agg(F.sum("copies")).first()[0] or 0) // MOST_BROADCAST
+    hot = cut(known.where(F.col("copies") > max(HOT, most)))
+    if hot.isEmpty():
+        return rows.join(known, "h")
+    marked = rows.join(F.broadcast(hot.select("h", F.lit(True).alias("_hot"))), "h", "left")
+    return marked.where("_hot").drop("_hot").join(F.broadcast(hot), "h").unionByName(marked.where("_hot is null").drop("_hot").join(known, "h"))
+
+
 def _joined(docs: DataFrame, threshold: float, n: int, recall: float, doc_id: str, text: str) -> tuple[DataFrame, Identity]:
     bands, rows = banding(threshold, recall)
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -433,8 +444,8 @@ def _joined(docs: DataFrame, threshold: float, n: int, recall: float, doc_id: st
     classes = components(checked.where("b is not null").select("a", "b")).select(F.col("node").alias("h"), "component")
     least = classes.join(texts, "h").groupBy("component").agg(F.min("text_id").alias("class_id"))
     linked = cut(classes.join(least, "component").join(counted, "h").select("h", "component", "class_id", "text_links", "doc_links"))
-    known = texts.join(linked, "h", "left")
-    found = source.select("doc_id", "h").join(known, "h").select(
+    known = texts.join(linked, "h", "left")  # one row for each text
+    found = _spread_join(cut(source.select("doc_id", "h")), known, texts).select(
         "doc_id",
         "text_id",
         F.coalesce("class_id", "text_id").alias("class_id"),

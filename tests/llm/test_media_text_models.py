@@ -199,6 +199,7 @@ def brute(texts, threshold=0.8):
 def test_join_equals_brute_force(spark, monkeypatch, block, grams, together):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
     monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", grams)
+    monkeypatch.setattr(ngram_join, "HOT", 1 if together == 3 else 1000)
     monkeypatch.setattr(ngram_join, "MOST_TOGETHER", together)
     texts = families(random.Random(8), 25) + ["", "", None, "a", "a b", "a b", "A  b.", "!!"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("h", F.lit("x"))
@@ -383,7 +384,7 @@ def test_labels_without_documents_take_no_place(spark):
     labels = spark.range(-20_000, 400).select(F.col("id").alias("doc_id"), (F.col("id") % 2 == 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
     seen = {}
     with pytest.MonkeyPatch.context() as m:
-        m.setattr(quality, "fit_counted", lambda docs, labels, rows, **_: seen.update(n=len(docs), labels=labels))
+        m.setattr(quality, "fit_packed", lambda docs, labels, rows, **_: seen.update(n=len(docs), labels=labels))
         quality.train(docs, labels, sample=200)
         assert seen["n"] == 200 and 50 < sum(seen["labels"]) < 150
         quality.train(docs, labels, sample=200, most_entries=1000)
