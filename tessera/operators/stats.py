@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import safe_ratio
 from ..sources.records import dense_index
+from ..storage import cut
 
 
 def sign_test_p(positive: int, negative: int) -> float:
@@ -119,18 +120,70 @@ def length_adjusted_logit(feature: np.ndarray, length: np.ndarray, y: np.ndarray
     return float(beta[1]), error, float(beta[1]) / error if error else 0.0, math.exp(min(max(float(beta[1]), -50.0), 50.0)), float(beta[2]), n, done
 
 
-def logit_by_group(deltas: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Q3 for each group of pair deltas: chosen against rejected."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rates = np.concatenate([pdf["chosen_rate_per_1k_tokens"], pdf["rejected_rate_per_1k_tokens"]]).astype(float)
-        lengths = np.concatenate([pdf["chosen_tokens"], pdf["rejected_tokens"]]).astype(float)
-        y = np.repeat([1.0, 0.0], len(pdf))
-        values = length_adjusted_logit(rates, lengths, y)
-        return pd.DataFrame([[*pdf[list(keys)].iloc[0], *values]], columns=[*keys, *[x.split()[0] for x in LOGIT.split(", ")]])
+def _newton(pdf: pd.DataFrame, ridge: float, tolerance: float) -> pd.DataFrame:
+    """One step for each row: sums of gradient and information of a group, its coefficients and state."""
+    out = []
+    for r in pdf.itertuples():
+        beta, done, n, converged = np.array(r.beta), r.done, r.n, r.converged
+        if not done:
+            penalty = np.diag([0.0, ridge, ridge])
+            info = np.array(r.info).reshape(3, 3) + penalty
+            try:
+                step = np.linalg.solve(info, np.array(r.gradient) - penalty @ beta)
+                beta, n = beta + step, n + 1
+                converged = bool(np.abs(step).max() < tolerance)
+                done = converged
+            except np.linalg.LinAlgError:
+                done = True
+        out.append((beta.tolist(), done, n, converged))
+    return pdf.drop(columns=["gradient", "info", "beta", "done", "n", "converged"]).assign(**{c: [o[i] for o in out] for i, c in enumerate(("beta", "done", "n", "converged"))})
+
+
+def logit_by_group(deltas: DataFrame, keys: Sequence[str], ridge: float = 0.1, most: int = 50, tolerance: float = 1e-7) -> DataFrame:
+    """Q3 for each group of pair deltas: chosen against rejected.
+
+    Newton's method on sums: each step is one aggregation over all pairs, partial before the shuffle, and a 3 by 3
+    system for each group, so no group is in one task.
+    """
+    one = lambda side, y: F.struct(F.col(f"{side}_rate_per_1k_tokens").cast("double").alias("x"), F.col(f"{side}_tokens").cast("double").alias("l"), F.lit(y).alias("y"))
+    rows = cut(deltas.select(*keys, F.inline(F.array(one("chosen", 1.0), one("rejected", 0.0)))))
+    scale = lambda c: F.when(F.stddev_pop(c) > 1e-12, F.stddev_pop(c))
+    moments = rows.groupBy(*keys).agg(F.avg("x").alias("xm"), scale("x").alias("xs"), F.avg("l").alias("lm"), scale("l").alias("ls"))
+    zero = F.array(*[F.lit(0.0)] * 3)
+    state = cut(moments.withColumns({"beta": zero, "done": F.lit(False), "n": F.lit(0), "converged": F.lit(False)}))
+
+    def sums(state: DataFrame) -> DataFrame:
+        met = rows.join(state, [*keys])
+        v = [F.lit(1.0), F.coalesce((F.col("x") - F.col("xm")) / F.col("xs"), F.lit(0.0)), F.coalesce((F.col("l") - F.col("lm")) / F.col("ls"), F.lit(0.0))]
+        eta = sum((v[i] * F.col("beta")[i] for i in range(1, 3)), F.col("beta")[0])
+        p = 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), eta))))
+        weighed = met.select(*keys, *[c.alias(f"v{i}") for i, c in enumerate(v)], (F.col("y") - p).alias("e"), (p * (1 - p)).alias("w"))
+        g = [F.sum(F.col(f"v{i}") * F.col("e")).alias(f"g{i}") for i in range(3)]
+        h = [F.sum(F.col(f"v{i}") * F.col(f"v{j}") * F.col("w")).alias(f"h{i}{j}") for i in range(3) for j in range(i, 3)]
+        added = weighed.groupBy(*keys).agg(*g, *h)
+        info = F.array(*[F.col(f"h{min(i, j)}{max(i, j)}") for i in range(3) for j in range(3)])
+        return state.join(added.select(*keys, F.array("g0", "g1", "g2").alias("gradient"), info.alias("info")), [*keys])
+
+    for _ in range(most):
+        if state.where(~F.col("done")).isEmpty():
+            break
+        state = cut(sums(state).mapInPandas(lambda pdfs: (_newton(pdf, ridge, tolerance) for pdf in pdfs), state.schema))
+    final = sums(state)
+
+    def finish(pdfs):
+        for pdf in pdfs:
+            out = []
+            for r in pdf.itertuples():
+                try:
+                    error = math.sqrt(max(np.linalg.inv(np.array(r.info).reshape(3, 3) + np.diag([0.0, ridge, ridge]))[1, 1], 0.0))
+                except np.linalg.LinAlgError:
+                    error = 0.0
+                b = float(r.beta[1])
+                out.append((b, error, b / error if error else 0.0, math.exp(min(max(b, -50.0), 50.0)), float(r.beta[2]), int(r.n), bool(r.converged)))
+            yield pd.concat([pdf[list(keys)].reset_index(drop=True), pd.DataFrame(out, columns=[x.split()[0] for x in LOGIT.split(", ")])], axis=1)
 
     kinds = ", ".join(f"{k} {deltas.schema[k].dataType.simpleString()}" for k in keys)
-    return deltas.groupBy(*keys).applyInPandas(run, f"{kinds}, {LOGIT}")
+    return final.mapInPandas(finish, f"{kinds}, {LOGIT}")
 
 
 #: Cumulative chances of 0, 1, 2, ... under a Poisson law of mean 1.

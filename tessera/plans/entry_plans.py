@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans, text
 from ..operators import joins, sampling, stats, style
+from ..sources import provider
 from ..sources import records as R
 from ..sources import sinks
 from ..storage import cut, fresh_dir
@@ -210,6 +211,28 @@ def r04(spark, d):
     return found.withColumn("steps_per_second", F.round("steps_per_second", 9)).withColumn("seconds_left", F.round("seconds_left", 3))
 
 
+# A model's place
+
+
+def _comma_share():
+    """Stands for a detector: its score is the share of commas."""
+    import pyarrow as pa
+
+    def score(batch):
+        texts = batch.column("text").to_pylist()
+        return pa.RecordBatch.from_arrays([pa.array([t.count(",") / max(1, len(t)) for t in texts], pa.float64())], names=["probability"])
+
+    return score
+
+
+@query("g04_detector_batches", "SELECT doc_id, CASE WHEN quality = 0 THEN -1 ELSE round(len(regexp_extract_all(text, ',')) / greatest(1, len(text))::DOUBLE, 12) END AS probability FROM documents LEFT JOIN labels USING (doc_id)")
+def g04(spark, d):
+    """Scores in batches, resumed: documents of low quality have one already, which stays."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    known = docs.join(table(spark, d, "labels").where("quality = 0").select("doc_id"), "doc_id").withColumn("probability", F.lit(-1.0))
+    return provider.scored_in_batches(docs, "detector", _comma_share, "probability double", known, ["doc_id"]).select("doc_id", F.round("probability", 12).alias("probability"))
+
+
 # Filters, joins, samples and statistics
 
 

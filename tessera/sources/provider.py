@@ -7,11 +7,14 @@ stub gives repeatable numbers from hashes for tests; its numbers are no measurem
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import uuid
+from collections.abc import Callable, Iterable, Sequence
 from typing import Protocol
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Columns that each contract takes and adds.
 CONTRACTS = {
@@ -51,6 +54,41 @@ def provided(provider: Provider | None, kind: str, df: DataFrame) -> DataFrame:
     return out
 
 
+_SCORERS: dict[str, Callable] = {}
+
+
+def _scorer(token: str, make: Callable) -> Callable:
+    """One for each worker process: a model is loaded when its first batch comes."""
+    if token not in _SCORERS:
+        _SCORERS[token] = make()
+    return _SCORERS[token]
+
+
+def scored_in_batches(df: DataFrame, kind: str, make: Callable, added: str, known: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """The batch form of a contract: rows go to a scorer in Arrow batches and come back with the added columns (given as DDL).
+
+    make: gives the scorer, a function of a record batch that returns one with the added columns, row by row; it is called
+    once in each worker. known: rows that were scored before; their keys are not scored again, and they come out with the others.
+    """
+    takes, adds = CONTRACTS[kind]
+    _require(f"input of {kind}", takes, df)
+    fields = T.StructType.fromDDL(added).fields
+    names, token = [f.name for f in fields], uuid.uuid4().hex
+    if lacking := set(adds) - set(names):
+        raise ValueError(f"output of {kind} lacks {sorted(lacking)}")
+
+    def run(batches):
+        for batch in batches:
+            found = _scorer(token, make)(batch)
+            if found.num_rows != batch.num_rows:
+                raise ValueError(f"the scorer of {kind} gave {found.num_rows} rows for {batch.num_rows}")
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[found.column(c) for c in names]], names=[*batch.schema.names, *names])
+
+    fresh = df if known is None else df.join(known.select(*keys), [*keys], "left_anti").select(*df.columns)
+    out = fresh.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    return out if known is None else known.select(*out.columns).unionByName(out)
+
+
 class HashProvider:
     """Numbers in [0, 1) from hashes of all input columns."""
 

@@ -128,6 +128,20 @@ def test_overall_ranks_and_discovery_equal_loops(spark, monkeypatch, run):
     assert q == pytest.approx({i: want[v] for i, v in enumerate(values)})
 
 
+def test_logit_of_groups_equals_that_of_one(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for g, n in (("a", 40), ("b", 25), ("flat", 5)):
+        for _ in range(n):
+            x = rng.normal(1, 1, 2) if g != "flat" else np.ones(2)
+            rows.append((g, float(x[0] + 0.5), float(x[1]), int(rng.integers(5, 90)), int(rng.integers(5, 90))))
+    df = spark.createDataFrame(rows, "g string, chosen_rate_per_1k_tokens double, rejected_rate_per_1k_tokens double, chosen_tokens long, rejected_tokens long")
+    for r in stats.logit_by_group(df.repartition(3), ["g"]).collect():
+        mine = [x for x in rows if x[0] == r["g"]]
+        want = stats.length_adjusted_logit(np.array([x[1] for x in mine] + [x[2] for x in mine]), np.array([x[3] for x in mine] + [x[4] for x in mine], float), np.repeat([1.0, 0.0], len(mine)))
+        assert tuple(r)[1:] == pytest.approx(want, rel=1e-6, abs=1e-9)
+
+
 def test_prompt_samples(spark):
     import hashlib
 
