@@ -84,28 +84,33 @@ def counted(text: str, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)
 
 
-class _Batch:
-    """Some documents: the rows that occur in them, and where and with which share."""
+def packed(doc: tuple[np.ndarray, np.ndarray], rows: int = ROWS) -> tuple[bytes, bytes]:
+    """What ``counted`` gives, in few bytes: shares are mostly alike."""
+    return doc[0].astype(np.uint16 if rows <= 1 << 16 else np.uint32).tobytes(), zlib.compress(doc[1].tobytes(), 1)
+
 
-    def __init__(self, docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
-        flat, self.share = (np.concatenate(x) for x in zip(*docs, strict=True))
-        self.doc = np.repeat(np.arange(len(docs), dtype=np.uint16), [len(at) for at, _ in docs])
-        self.rows, at = np.unique(flat, return_inverse=True)
-        self.at, self.labels, self.n = at.astype(np.int32), labels, len(docs)
+class _Batch:
+    """Some documents: the rows that occur in them, and the share of each row (down) in each document (across)."""
 
-    def shares(self) -> np.ndarray:
-        """The share of each row (down) in each document (across)."""
-        out = np.zeros((len(self.rows), self.n), np.float32)
-        out[self.at, self.doc] = self.share
-        return out
+    def __init__(self, docs: list[tuple[bytes, bytes]], rows: int):
+        at = [np.frombuffer(a, np.uint16 if rows <= 1 << 16 else np.uint32) for a, _ in docs]
+        seen = np.zeros(rows, bool)
+        for a in at:
+            seen[a] = True
+        self.rows = np.flatnonzero(seen)
+        place = np.zeros(rows, np.int32)
+        place[self.rows] = np.arange(len(self.rows))
+        self.shares = np.zeros((len(self.rows), len(docs)), np.float32)
+        for k, (a, (_, share)) in enumerate(zip(at, docs, strict=True)):
+            self.shares[place[a], k] = np.frombuffer(zlib.decompress(share), np.float32)
 
 
 def fit(texts: list[str], labels: list[int], rows: int = ROWS, **options) -> Model:
-    return fit_counted([counted(t, rows) for t in texts], labels, rows, **options)
+    return fit_packed([packed(counted(t, rows), rows) for t in texts], labels, rows, **options)
 
 
-def fit_counted(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], rows: int = ROWS, width: int = 8, epochs: int = 3, least_steps: int = 600, batch: int = 16, rate: float = 4.0, seed: int = 3) -> Model:
-    """docs: what ``counted`` gives for each document. Documents are dealt to minibatches once, and each epoch visits those in an order of its own; a small sample gets as many epochs as make least_steps visits."""
+def fit_packed(docs: list[tuple[bytes, bytes]], labels: list[int], rows: int = ROWS, width: int = 8, epochs: int = 3, least_steps: int = 600, batch: int = 16, rate: float = 4.0, seed: int = 3) -> Model:
+    """docs: what ``packed`` gives for each document; they stay packed but for one minibatch. Documents are dealt to minibatches once, and each epoch visits those in an order of its own; a small sample gets as many epochs as make least_steps visits."""
     n, ones = len(labels), sum(labels)
     if not n or ones in (0, n):
         share = min(max((ones / n) if n else 0.5, 1e-3), 1 - 1e-3)
@@ -114,22 +119,23 @@ def fit_counted(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ro
     table_ = rng.uniform(-1.0 / width, 1.0 / width, (rows, width)).astype(np.float32)
     layer, offset = np.zeros((width, 2), np.float32), np.zeros(2, np.float32)
     dealt = rng.permutation(n)
-    batches = [_Batch([docs[i] for i in some], np.array([labels[i] for i in some])) for some in (dealt[low : low + batch] for low in range(0, n, batch))]
-    epochs = max(epochs, -(-least_steps // len(batches)))
-    steps = epochs * len(batches)
-    for step, number in enumerate(int(i) for _ in range(epochs) for i in rng.permutation(len(batches))):
-        now = batches[number]
-        shares = now.shares()
-        hidden = shares.T @ table_[now.rows]
+    dealt = [dealt[low : low + batch] for low in range(0, n, batch)]
+    epochs = max(epochs, -(-least_steps // len(dealt)))
+    steps = epochs * len(dealt)
+    y = np.array(labels)
+    for step, number in enumerate(int(i) for _ in range(epochs) for i in rng.permutation(len(dealt))):
+        some = dealt[number]
+        now = _Batch([docs[i] for i in some], rows)
+        hidden = now.shares.T @ table_[now.rows]
         z = hidden @ layer + offset
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(now.n), now.labels] -= 1.0
+        p[np.arange(len(some)), y[some]] -= 1.0
         speed = np.float32(rate * (1 - step / steps))
         back = p @ layer.T
         layer -= speed * np.float32(0.1) * (hidden.T @ p)
         offset -= speed * np.float32(0.01) * p.sum(axis=0)
-        table_[now.rows] -= speed * np.float32(10) * (shares @ back)
+        table_[now.rows] -= speed * np.float32(10) * (now.shares @ back)
     folded = table_ @ (layer[:, 1] - layer[:, 0])
     return Model(folded.astype(np.float32), float(offset[1] - offset[0]))
 
@@ -139,27 +145,26 @@ def _counted(rows: int):
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 few = batch.slice(low, 64)
-                found = [counted(t, rows) for t in few.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([zlib.compress(s.tobytes(), 1) for _, s in found], pa.binary())], names=["doc_id", "quality", "at", "share"])
+                found = [packed(counted(t, rows), rows) for t in few.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([few.column(0), few.column(1), pa.array([a for a, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary())], names=["doc_id", "quality", "at", "share"])
 
     return run
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_entries: int = 16_000_000, rows: int = ROWS, **options) -> Model:
-    """Learns from labelled documents outside the held-out fold, in the order of a hash of the id: at most ``sample``, and no more than have ``most_entries`` distinct tokens together (some 10 bytes each in the driver)."""
+    """Learns from labelled documents outside the held-out fold, in the order of a hash of the id: at most ``sample``, and no more than have ``most_entries`` distinct tokens together (some 3 bytes each in the driver)."""
     known = labels.where(~held_out("doc_id") & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most sample rows are sent
     one = whole.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     found = cut(one.mapInArrow(tidy(_counted(rows)), schema_of(docs, ["doc_id"], "quality int, at binary, share binary")))
-    sizes = found.select("doc_id", F.xxhash64("doc_id").alias("h"), (F.octet_length("at") / 4).cast("long").alias("n")).orderBy("h", "doc_id").toPandas()  # sample short rows
+    sizes = found.select("doc_id", F.xxhash64("doc_id").alias("h"), (F.octet_length("at") / (2 if rows <= 1 << 16 else 4)).cast("long").alias("n")).orderBy("h", "doc_id").toPandas()  # sample short rows
     few = int((sizes["n"].cumsum() <= most_entries).sum())
     if few < len(sizes):
         last = sizes.iloc[few]
         found = found.where((F.xxhash64("doc_id") < int(last["h"])) | ((F.xxhash64("doc_id") == int(last["h"])) & (F.col("doc_id") < last["doc_id"].item())))
     taken = found.orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
-    counts = [(np.frombuffer(a, np.int32), np.frombuffer(zlib.decompress(s), np.float32)) for a, s in zip(taken["at"], taken["share"], strict=True)]
-    return fit_counted(counts, taken["quality"].tolist(), rows, **options)
+    return fit_packed(list(zip(taken["at"], taken["share"], strict=True)), taken["quality"].tolist(), rows, **options)
 
 
 def score(docs: DataFrame, model: Model, kept: list[str], text: str = "text") -> DataFrame:
