@@ -158,6 +158,17 @@ QUOTES = "‘’‚‛′ʼ＇`"
 CODE_MARKS = (".css", ".html", ".js", ".json", ".lua", ".md", ".py", ".txt", ".xml", "application/", "argument", "encapsulat", "prefix", "schema", "twitter", "unref", "wikidata", "wikivocab", "xterm")
 CONNECTORS = ("and", "or", "but")
 INTENSIFIERS = ("even", "extremely", "often", "occasionally", "pretty", "quite", "sometimes", "very")
+# Penalties: for each occurrence, for a share (times the factor, up to a most), or above a free share.
+PENALTY_BLANK = 1.0
+PENALTY_CODE_MARK, PENALTY_SYMBOL_RUN, PENALTY_GLUED_DATE, PENALTY_REPEATED_MARK, PENALTY_CAPITALS = 0.55, 0.25, 0.55, 0.6, 0.25
+PENALTY_CHANGELOG, PENALTY_GAMES_PHRASE = 0.6, 0.6
+PENALTY_SYMBOL_SHARE, PENALTY_MOST_SYMBOLS = 8.0, 2.0
+PENALTY_FEW_LETTERS, PENALTY_LEAST_LETTERS = 1.0, 0.55
+PENALTY_TITLE_RUN, PENALTY_FREE_TITLE_RUN = 0.12, 4
+PENALTY_LEAST_WORDS = 8
+PENALTY_FREE_TITLES, PENALTY_TITLES = 0.25, 2.0
+PENALTY_FREE_CONNECTORS, PENALTY_CONNECTORS = 0.16, 3.0
+PENALTY_FREE_INTENSIFIERS, PENALTY_INTENSIFIERS = 0.08, 4.0
 
 STAGES = ("base", "sft", "dpo", "final")
 

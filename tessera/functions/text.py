@@ -283,22 +283,22 @@ def quality_penalty(text: Column) -> Column:
     title = lambda x: x.rlike("^[A-Z][a-z]{2,}$")
     among = lambda words: F.size(F.filter(w, lambda x: F.lower(x).isin(*words))) / F.greatest(size, F.lit(1.0))
     # Words from the fifth of a run of title-case words on.
-    late = F.aggregate(w, F.struct(F.lit(0).alias("run"), F.lit(0).alias("late")), lambda a, x: F.when(title(x), F.struct((a["run"] + 1).alias("run"), (a["late"] + F.when(a["run"] >= 4, 1).otherwise(0)).alias("late"))).otherwise(F.struct(F.lit(0).alias("run"), a["late"].alias("late"))), lambda a: a["late"])
-    above = lambda share, free, factor: F.when(size >= 8, F.greatest(F.lit(0.0), share - free) * factor).otherwise(0.0)
+    late = F.aggregate(w, F.struct(F.lit(0).alias("run"), F.lit(0).alias("late")), lambda a, x: F.when(title(x), F.struct((a["run"] + 1).alias("run"), (a["late"] + F.when(a["run"] >= P.PENALTY_FREE_TITLE_RUN, 1).otherwise(0)).alias("late"))).otherwise(F.struct(F.lit(0).alias("run"), a["late"].alias("late"))), lambda a: a["late"])
+    above = lambda share, free, factor: F.when(size >= P.PENALTY_LEAST_WORDS, F.greatest(F.lit(0.0), share - free) * factor).otherwise(0.0)
     titles = F.size(F.filter(w, title)) / F.greatest(size, F.lit(1.0))
     total_ = (
-        marks * 0.55
-        + F.least(F.lit(2.0), symbols * 8.0 / dense)
-        + n(r"[^\p{L}\p{N}_\s]{2,}") * 0.25
-        + n(r"\b\d{4}-\d{2}-\d{2}[A-Za-z]") * 0.55
-        + n(r"(?:^|\s)([.:;!?])(?:\s+\1){2,}") * 0.6
-        + n(r"\b[A-Z]{2,}\b") * 0.25
-        + F.when(lower.contains("changelog"), 0.6).otherwise(0.0)
-        + F.when(lower.rlike(r"\bnewest\s+games\s+like\b"), 0.6).otherwise(0.0)
-        + F.when((letters > 0) & (letters / dense < 0.55), 1.0).otherwise(0.0)
-        + late * 0.12
-        + above(titles, 0.25, 2.0)
-        + above(among(P.CONNECTORS), 0.16, 3.0)
-        + above(among(P.INTENSIFIERS), 0.08, 4.0)
+        marks * P.PENALTY_CODE_MARK
+        + F.least(F.lit(P.PENALTY_MOST_SYMBOLS), symbols * P.PENALTY_SYMBOL_SHARE / dense)
+        + n(r"[^\p{L}\p{N}_\s]{2,}") * P.PENALTY_SYMBOL_RUN
+        + n(r"\b\d{4}-\d{2}-\d{2}[A-Za-z]") * P.PENALTY_GLUED_DATE
+        + n(r"(?:^|\s)([.:;!?])(?:\s+\1){2,}") * P.PENALTY_REPEATED_MARK
+        + n(r"\b[A-Z]{2,}\b") * P.PENALTY_CAPITALS
+        + F.when(lower.contains("changelog"), P.PENALTY_CHANGELOG).otherwise(0.0)
+        + F.when(lower.rlike(r"\bnewest\s+games\s+like\b"), P.PENALTY_GAMES_PHRASE).otherwise(0.0)
+        + F.when((letters > 0) & (letters / dense < P.PENALTY_LEAST_LETTERS), P.PENALTY_FEW_LETTERS).otherwise(0.0)
+        + late * P.PENALTY_TITLE_RUN
+        + above(titles, P.PENALTY_FREE_TITLES, P.PENALTY_TITLES)
+        + above(among(P.CONNECTORS), P.PENALTY_FREE_CONNECTORS, P.PENALTY_CONNECTORS)
+        + above(among(P.INTENSIFIERS), P.PENALTY_FREE_INTENSIFIERS, P.PENALTY_INTENSIFIERS)
     )
-    return F.when(t == "", 1.0).otherwise(total_)
+    return F.when(t == "", P.PENALTY_BLANK).otherwise(total_)
