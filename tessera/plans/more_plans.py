@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import spans, text
 from ..operators import joins, rates, sampling, stats
+from ..operators import language_model as lm
 from ..sources import provider
 from ..sources import records as R
 from . import measure_plans as M
@@ -246,12 +247,31 @@ def x42(spark, d):
 
 @query("g01_propensity_contract")
 def g01(spark, d):
-    """Opportunities scored by the stub provider and carried through to factors: the shape of the whole path."""
+    """Opportunities of whole documents, scored by a language model of the same documents and carried through to factors."""
     features = ("neutral_common_of_the", "neutral_common_in_the")
-    o = documents(spark, d).select("source", F.col("doc_id").cast("string").alias("record_id"), F.lit("text").alias("role"), "text", F.explode(spans.opportunity_function(features)(F.col("text"))).alias("o"))
-    asked = o.select("source", "record_id", "role", "text", F.col("o.feature").alias("feature"), F.col("o.offset").alias("char_offset"), F.col("o.initiates").cast("int").alias("initiates"))
-    scored = provider.provided(provider.HashProvider(), "propensity", asked)
-    return rates.amplification(scored, ["source"], "neutral_common_in_the")
+    o = documents(spark, d).select("source", "text", spans.opportunity_function(features)(F.col("text")).alias("o"))
+    scored = lm.opportunity_masses(lm.fit(table(spark, d, "documents")), o, "o", {f: P.opportunity_specs()[f][1] for f in features})
+    out = rates.amplification(scored.withColumn("initiates", F.col("initiates").cast("int")), ["source"], "neutral_common_in_the")
+    return out.select("source", "feature", "opportunities", "reference_initiations", *(F.round(c, 9).alias(c) for c in ("reference_rate", "mean_prob_mass", "amplification_factor", "normalized_amplification_factor")))
+
+
+_GRAMS = rf"""WITH d AS (SELECT ['<s>', '<s>'] || list_transform(regexp_extract_all(coalesce(text, ''), '{lm.TOKEN}'), lambda x: lower(x)) || ['</s>'] AS t FROM documents),
+    g AS (SELECT t, unnest(range(1, len(t) - 1)) AS i FROM d),
+    three AS (SELECT t[i] AS u, t[i + 1] AS v, t[i + 2] AS w, count(*) AS c FROM g GROUP BY ALL),
+    two AS (SELECT v, w, count(*) AS c FROM three GROUP BY ALL), one AS (SELECT w, count(*) AS c FROM two GROUP BY ALL)"""
+_D = "(SELECT CASE WHEN count(*) FILTER (WHERE c = 1) > 0 AND count(*) FILTER (WHERE c = 2) > 0 THEN count(*) FILTER (WHERE c = 1) / (count(*) FILTER (WHERE c = 1) + 2.0 * count(*) FILTER (WHERE c = 2)) ELSE 0.75 END FROM {0})"
+_PROBABILITIES = f"""{_GRAMS}, k AS (SELECT {_D.format("three")} AS d3, {_D.format("two")} AS d2, {_D.format("one")} AS d1, (SELECT sum(c) FROM one) AS n, (SELECT count(*) FROM one) AS types),
+    p1 AS (SELECT w, (greatest(c - d1, 0) + d1 * types / (types + 1.0)) / n AS p FROM one, k),
+    p2 AS (SELECT v, w, (greatest(c - d2, 0) + d2 * count(*) OVER x * p) / sum(c) OVER x AS p FROM two JOIN p1 USING (w), k WINDOW x AS (PARTITION BY v))
+    SELECT u, v, w, c, round((greatest(c - d3, 0) + d3 * count(*) OVER x * p) / sum(c) OVER x, 9) AS p FROM three JOIN p2 USING (v, w), k WINDOW x AS (PARTITION BY u, v)"""
+
+
+@query("g01_ngram_probabilities", _PROBABILITIES)
+def g01_probabilities(spark, d):
+    """Every trigram of the documents with its smoothed probability."""
+    model = lm.fit(table(spark, d, "documents"))
+    seen = model.levels[0].counts
+    return seen.join(lm.probabilities(model, seen), ["u", "v", "w"]).select("u", "v", "w", "c", F.round("p", 9).alias("p"))
 
 
 _SPANS = ", ".join(f"{{'length': {n}, 'score': CASE WHEN c >= {n} THEN {' + '.join(['score'] + [f'lead(score, {k}) OVER w' for k in range(1, n)])} END}}" for n in range(1, 5))
