@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import spans, text
-from ..operators import joins, rates, sampling, stats
+from ..operators import density, joins, rates, sampling, stats
 from ..operators import language_model as lm
 from ..sources import provider
 from ..sources import records as R
@@ -322,3 +322,10 @@ def o07(spark, d):
 def q16(spark, d):
     c = table(spark, d, "part").groupBy("p_brand").agg((F.count_if(F.col("p_size") > 25) / F.count("*")).alias("share"))
     return c.select("p_brand", F.when(F.col("share") >= 0.5, "pass").otherwise("demote").alias("gate"))
+
+
+@query("q15_density_clusters")
+def q15(spark, d):
+    """Clusters of all embeddings at unit length, noise as -1."""
+    found = density.clusters(table(spark, d, "embeddings"), "vec_id", "embedding", min_samples=5, min_cluster_size=10, levels=6)
+    return found.select(F.col("item").alias("vec_id"), "cluster")

@@ -45,3 +45,24 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+class Steps:
+    """Cuts lineage with written tables, for loops. A reread table has the size of its files; a checkpoint keeps what the
+    planner estimated, and the estimates of joins of joins grow with each round until they slow the planner down.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made = spark, []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        at = fresh_dir(self.spark, "step")
+        df.write.parquet(at)
+        self.made.append(at)
+        return self.spark.read.schema(df.schema).parquet(at)
+
+    def drop(self) -> None:
+        """Deletes the tables; nothing may read them any more."""
+        for at in self.made:
+            drop_dir(self.spark, at)
+        self.made = []
