@@ -90,25 +90,46 @@ def sparse_top(vector: Column, k: int) -> Column:
     return F.transform(F.slice(F.array_sort(pairs), 1, k), lambda p: F.struct(p["index"].alias("index"), p["value"].alias("value")))
 
 
-def near_duplicate_edges(df: DataFrame, item: str, text: str, threshold: float = 0.85, hashes: int = 64, shingle: int = 5, band: int = 4) -> DataFrame:
-    """Pairs (a < b) that share a band of their signatures and reach the estimated similarity.
+def _kinds(df: DataFrame, item: str, text: str, order: str, hashes: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (item, s) signed once, s null for null and empty texts; and different signatures (s, sig, first), first being the earliest item of each."""
+    at = F.struct(F.col(order).alias("o"), F.col(item).alias("item"))
+    signed = cut(df.select(F.col(item).alias("item"), at.alias("at"), minhash_function(hashes, shingle)(F.col(text)).alias("sig")).withColumn("s", F.when(F.size("sig") > 0, F.xxhash64("sig"))))
+    kinds = cut(signed.where("s IS NOT NULL").groupBy("s").agg(F.first("sig").alias("sig"), F.min("at").alias("at")).select("s", "sig", F.col("at.item").alias("first")))
+    return signed.select("item", "s"), kinds
 
-    Texts are signed once; items of equal signatures are banded as one and paired in the end. Bands met once are dropped before their rows meet.
-    """
-    signed = cut(df.select(F.col(item).alias("item"), minhash_function(hashes, shingle)(F.col(text)).alias("sig")).where(F.size("sig") > 0).withColumn("s", F.xxhash64("sig")))
-    kinds = cut(signed.groupBy("s").agg(F.first("sig").alias("sig"), F.count("*").alias("n")))
+
+def _near(kinds: DataFrame, threshold: float, band: int) -> DataFrame:
+    """Pairs (a < b) of first items whose signatures share a band and reach the estimated similarity. Bands met once are dropped before their rows meet."""
     banded = kinds.select("s", F.explode(bands(F.col("sig"), band)).alias("b")).select("s", "b.band_no", F.xxhash64("b.band").alias("band"))
     shared = banded.groupBy("band_no", "band").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     met = banded.join(shared, ["band_no", "band"])
     pairs = met.withColumnRenamed("s", "a").join(met.withColumnRenamed("s", "b"), ["band_no", "band"]).where("a < b").select("a", "b").distinct()
-    sides = pairs.join(kinds.select(F.col("s").alias("a"), F.col("sig").alias("sa")), "a").join(kinds.select(F.col("s").alias("b"), F.col("sig").alias("sb")), "b")
-    near = sides.withColumn("similarity", estimated_jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
-    equal = kinds.where("n > 1").select(F.col("s").alias("a"), F.col("s").alias("b"), F.lit(1.0).alias("similarity"))
-    members = signed.select("s", "item")
-    left, right = members.withColumnRenamed("s", "a").withColumnRenamed("item", "i"), members.withColumnRenamed("s", "b").withColumnRenamed("item", "j")
-    across = near.join(left, "a").join(right, "b")
-    within = equal.join(left, "a").join(right, "b").where("i < j")
-    return across.unionByName(within).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "similarity")
+    sides = pairs.join(kinds.select(F.col("s").alias("a"), F.col("sig").alias("sa"), F.col("first").alias("i")), "a").join(kinds.select(F.col("s").alias("b"), F.col("sig").alias("sb"), F.col("first").alias("j")), "b")
+    return sides.withColumn("similarity", estimated_jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= threshold).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "similarity")
+
+
+def near_duplicate_edges(df: DataFrame, item: str, text: str, threshold: float = 0.85, hashes: int = 64, shingle: int = 5, band: int = 4) -> DataFrame:
+    """Pairs (a < b) that share a band of their signatures and reach the estimated similarity.
+
+    Items of equal signatures are one kind: pairs are given between the least items of kinds, and each other item has one row with the least item of its
+    kind and similarity 1. So n equal texts give n - 1 rows, and no link between different texts is lost. Items are unique; null and empty texts have no pair.
+    """
+    signed, kinds = _kinds(df, item, text, item, hashes, shingle)
+    members = signed.join(kinds, "s").where(F.col("item") != F.col("first")).select(F.col("first").alias("a"), F.col("item").alias("b"), F.lit(1.0).alias("similarity"))
+    return _near(kinds, threshold, band).unionByName(members)
+
+
+def without_near_duplicates(df: DataFrame, item: str, text: str, order: str, threshold: float = 0.85, hashes: int = 64, shingle: int = 5, band: int = 4) -> DataFrame:
+    """T9 over texts: the rows that stay when, in order, a row goes if it is near a row that stays.
+
+    Of a kind only the earliest item can stay: what removes that one removes the others, and else it removes them itself. So only
+    earliest items are compared. Null and empty texts stay. Items are unique.
+    """
+    signed, kinds = _kinds(df, item, text, order, hashes, shingle)
+    firsts = cut(df.select(item, order).join(kinds.select(F.col("first").alias(item)), item)) if order != item else kinds.select(F.col("first").alias(item))
+    kept = greedy_first_wins(firsts, _near(kinds, threshold, band), item, order).select(item)
+    unsigned = signed.where("s IS NULL").select(F.col("item").alias(item))
+    return df.join(kept.unionByName(unsigned), item, "left_semi")
 
 
 FEW_EDGES = 1_000_000  # four numbers each: one task holds them

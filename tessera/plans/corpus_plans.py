@@ -292,10 +292,8 @@ def j08(spark, d):
 
 @query("t09_near_duplicates_removed")
 def t09(spark, d):
-    # Equal normalized prompts are repeats of the first; only different ones are compared.
-    normal = F.lower(F.regexp_replace(text.strip(F.col("text")), r"(?U)\s+", " "))
-    first = _prompts(spark, d).groupBy(normal.alias("n")).agg(F.min_by(F.struct("item", "text"), "item").alias("r")).select("r.*")
-    return sampling.greedy_first_wins(first, sampling.near_duplicate_edges(first, "item", "text"), "item", "item").select("item")
+    """Documents that stay when, by id, each near copy of one that stays goes."""
+    return sampling.without_near_duplicates(documents(spark, d), "doc_id", "text", "doc_id").select("doc_id")
 
 
 @query("t10_top_candidates", "SELECT p_partkey, p_retailprice, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part QUALIFY rank <= 25")

@@ -95,7 +95,7 @@ def test_long_chains_are_settled(spark):
 
 
 def test_edges_equal_all_pairs_of_signatures(spark):
-    """Every pair that shares a band and reaches the estimate, equal texts included, and no other."""
+    """Every pair that shares a band and reaches the estimate, between the least items of equal signatures, and each other item with its least one."""
     rng = random.Random(3)
     rows = []
     for f in range(12):
@@ -104,16 +104,48 @@ def test_edges_equal_all_pairs_of_signatures(spark):
             rows.append((len(rows), " ".join([*base[: 40 - k // 2], *["x"] * (k % 2)])))
     rows.append((len(rows), ""))
     signs = {i: [min(spans.blake64(seed, s) for s in spans.shingles(t)) for seed in range(64)] if t else [] for i, t in rows}
-    want = {}
+    least, want = {}, {}
+    for i, sign in signs.items():
+        least.setdefault(tuple(sign), i)
     for a in signs:
         for b in signs:
             same = [x == y for x, y in zip(signs[a], signs[b], strict=False)]
-            if a < b and same and sum(same) / 64 >= 0.85 and any(all(same[k : k + 4]) for k in range(0, 64, 4)):
+            told = least[tuple(signs[a])] == a and (least[tuple(signs[b])] == b or signs[a] == signs[b])
+            if a < b and told and same and sum(same) / 64 >= 0.85 and any(all(same[k : k + 4]) for k in range(0, 64, 4)):
                 want[a, b] = sum(same) / 64
     got = sampling.near_duplicate_edges(spark.createDataFrame(rows, "i long, t string"), "i", "t").collect()
     assert {(r["a"], r["b"]): r["similarity"] for r in got} == pytest.approx(want) and len(got) == len(want) > 5
 
 
+def test_equal_texts_make_no_pairs_among_themselves(spark):
+    rows = [(i, "one two three four five six seven eight") for i in range(3000)] + [(3000, None), (3001, "x"), (3002, "x")]
+    df = spark.createDataFrame(rows, "i long, t string")
+    assert {(r["a"], r["b"], r["similarity"]) for r in sampling.near_duplicate_edges(df, "i", "t").collect()} == {(0, i, 1.0) for i in range(1, 3000)} | {(3001, 3002, 1.0)}
+    assert sorted(r["i"] for r in sampling.without_near_duplicates(df, "i", "t", "i").collect()) == [0, 3000, 3001]
+
+
+def test_near_duplicates_removed_equals_the_loop(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(25):
+        base = [f"w{rng.randint(0, 30)}" for _ in range(60)]
+        for _ in range(rng.randint(1, 6)):
+            copy = [*base]
+            for _ in range(rng.choice([0, 0, 1, 2, 3])):
+                copy[rng.randrange(60)] = f"y{rng.randint(0, 99)}"
+            rows.append(" ".join(copy))
+    rng.shuffle(rows)
+    rows = [(i, rng.randint(0, 40), t) for i, t in enumerate([*rows, "", "a b"])]
+    signs = {i: [min(spans.blake64(seed, s) for s in spans.shingles(t)) for seed in range(64)] if spans.shingles(t) else [] for i, _, t in rows}
+    kept = []
+    for _, i in sorted((o, i) for i, o, _ in rows):
+        same = [[x == y for x, y in zip(signs[i], signs[k], strict=True)] for k in kept if signs[i] and signs[k]]
+        if not any(sum(s) / 64 >= 0.85 and any(all(s[b : b + 4]) for b in range(0, 64, 4)) for s in same):
+            kept.append(i)
+    got = sampling.without_near_duplicates(spark.createDataFrame(rows, "i long, o long, t string"), "i", "t", "o").collect()
+    assert sorted(r["i"] for r in got) == sorted(kept) and len(kept) < len(rows) - 20
+
+
 @pytest.mark.parametrize("run", [7, 100_000])
 def test_overall_ranks_and_discovery_equal_loops(spark, monkeypatch, run):
     monkeypatch.setattr(stats, "RUN", run)
