@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import spans, text
-from ..operators import density, joins, rates, sampling, stats
+from ..operators import annotation, classifier, density, joins, rates, sampling, stats
 from ..operators import language_model as lm
 from ..sources import provider
 from ..sources import records as R
@@ -329,3 +329,23 @@ def q15(spark, d):
     """Clusters of all embeddings at unit length, noise as -1."""
     found = density.clusters(table(spark, d, "embeddings"), "vec_id", "embedding", min_samples=5, min_cluster_size=10, levels=6)
     return found.select(F.col("item").alias("vec_id"), "cluster")
+
+
+@query("g04_text_classifier")
+def g04_classifier(spark, d):
+    """Quality of all documents, learned from the labelled ones outside a fold."""
+    docs, labels = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels").select("doc_id", "quality")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = classifier.train_classifier(docs.join(labels, "doc_id").where(~held_out), "doc_id", "text", "quality", rounds=25)
+    return model.scored(docs, "doc_id", "text").select("doc_id", held_out.alias("held_out"), (1.0 / (1.0 + F.exp(-F.col("score")))).alias("probability"))
+
+
+@query("g04_pair_ranker")
+def g04_ranker(spark, d):
+    """Turns of the assistant ranked above the first turn of the user in each conversation, and how often that succeeds."""
+    turns = table(spark, d, "conversations").select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("item"), "text", (F.col("role") == "assistant").alias("higher"))
+    scored = classifier.train_ranker(turns, "item", "text", "conv_id", "higher", rounds=25).scored(turns, "item", "text")
+    # The user's first turn is the one that others are held against.
+    first = turns.where(~F.col("higher")).groupBy("conv_id").agg(F.min("item").alias("item")).withColumn("human", F.lit(True))
+    sides = turns.join(scored, "item").join(first, ["conv_id", "item"], "left").where("higher OR human")
+    return annotation.pairwise_ranking(sides.select("conv_id", "score", F.coalesce("human", F.lit(False)).alias("human")), "conv_id")

@@ -81,3 +81,11 @@ def test_propensity_contract_takes_every_token_start(spark):
             n, k = want.get((source, feature), (0, 0))
             want[source, feature] = n + 1, k + initiates
     assert {k: (r["opportunities"], r["reference_initiations"]) for k, r in got.items()} == want
+
+
+def test_classifier_tells_held_out_documents(spark):
+    labels = dict(rows("doc_id, quality", "labels"))
+    got = catalog.QUERIES["g04_text_classifier"](spark, DATA).collect()
+    assert len(got) == len(rows("doc_id", "documents"))
+    held = [(r["probability"] >= 0.5) == (labels[r["doc_id"]] == 1) for r in got if r["held_out"] and r["doc_id"] in labels]
+    assert len(held) > 10 and sum(held) / len(held) > 0.8
