@@ -73,20 +73,25 @@ def _covariance(list_: DataFrame, values: list[Column], n: int) -> np.ndarray:
     out = np.zeros((k, k))
     for low in range(0, len(pairs), PAIRS_AT_ONCE):
         some = pairs[low : low + PAIRS_AT_ONCE]
-        sums = centred.selectExpr(*(f"sum(c{i} * c{j}) AS s{i}_{j}" for i, j in some)).first()
+        (sums,) = centred.selectExpr(*(f"sum(c{i} * c{j}) AS s{i}_{j}" for i, j in some)).collect()
         for (i, j), s in zip(some, sums, strict=True):
             out[i, j] = out[j, i] = s / n
     return out
 
 
-def _centred(model: Whitening) -> list[Column]:
-    return [F.expr(f"CAST(x[{i}] - {s // model.n} AS DOUBLE) - {s % model.n}D / {model.n}D") for i, s in enumerate(model.sums)]
+def _deviations(model: Whitening) -> Column:
+    """n * x - S of each dimension, whole numbers."""
+    return F.zip_with("x", _array(model.sums), lambda x, s: x * model.n - s)
 
 
-def _projected(model: Whitening, i: int) -> Column:
-    """The whitened value of component i (from 0), from centred columns c0, c1, and so on."""
-    weights = model.components[i] / np.sqrt(model.values[i])
-    return F.expr(" + ".join(f"c{j} * CAST('{w!r}' AS DOUBLE)" for j, w in enumerate(weights.tolist())))
+def _array(values: list) -> Column:
+    return F.array(*map(F.lit, values))
+
+
+def _projected(model: Whitening, y: Column, i: int) -> Column:
+    """The whitened value of component i (from 0), from the deviations. As a function over arrays it stays small in plans and code, however many dimensions there are."""
+    weights = model.components[i] / np.sqrt(model.values[i]) / model.n
+    return F.aggregate(F.zip_with(y, _array(weights.tolist()), lambda d, w: d.cast("double") * w), F.lit(0.0), lambda a, b: a + b)
 
 
 def fit(x: DataFrame, dims: int, most: int = 16) -> Whitening | None:
@@ -94,17 +99,17 @@ def fit(x: DataFrame, dims: int, most: int = 16) -> Whitening | None:
     if not dims:
         return None
     once = cut(x.groupBy("x").agg(F.lit(None).cast("int").alias("_")).select("x"))
-    sums = once.select(F.count("*"), *(f(F.expr(f"x[{i}]")) for i in range(dims) for f in (F.sum, F.min, F.max))).first()
-    n, rest = sums[0], list(sums[1:])
-    model = Whitening(n, rest[0::3], max(b - a for a, b in zip(rest[1::3], rest[2::3], strict=True)), np.zeros(dims), np.eye(dims), 0.0)
-    covariance = _covariance(once, _centred(model), n)
+    n, by_dim = once.count(), once.select(F.posexplode("x")).groupBy("pos").agg(F.sum("col").alias("s"), (F.max("col") - F.min("col")).alias("r")).orderBy("pos").collect()
+    model = Whitening(n, [r["s"] for r in by_dim], max(r["r"] for r in by_dim), np.zeros(dims), np.eye(dims), 0.0)
+    # Never null, which keeps the code small that Spark makes of the many sums.
+    centred = [F.expr(f"coalesce(CAST(x[{i}] * {n}L - {total}L AS DOUBLE), 0D) * {1 / n!r}D") for i, total in enumerate(model.sums)]
+    covariance = _covariance(once, centred, n)
     values, vectors = np.linalg.eigh(covariance)
     model.values, model.components, model.trace = values[::-1], vectors.T[::-1], float(np.trace(covariance))
     alive = [i for i in range(min(most, dims)) if model.alive(i)]
     if alive:
-        centred = once.select(*(c.alias(f"c{i}") for i, c in enumerate(_centred(model))))
-        whitened = centred.select(*(_projected(model, i).alias(f"w{i}") for i in alive))
-        means = whitened.select(*(F.avg(f"w{i}") for i in alive)).first()
+        whitened = once.select(_deviations(model).alias("y")).select(*(_projected(model, F.col("y"), i).alias(f"w{i}") for i in alive))
+        (means,) = whitened.select(*(F.avg(f"w{i}") for i in alive)).collect()
         found = _covariance(whitened, [F.col(f"w{i}") - F.lit(m) for i, m in zip(alive, means, strict=True)], n)
         model.identity_error = float(np.abs(found - np.eye(len(alive))).max())
     return model
@@ -122,11 +127,11 @@ def whitened(vectors: DataFrame, kept: list[str], most: int = 16, vector: str =
         taken = rows.where("false").select("_row", *(F.lit(None).cast(t).alias(c) for c, t in (("component", "int"), ("n", "long"), ("deviation", "long"), ("whitened", "double"), ("explained", "double"), ("identity_error", "double"))))
     else:
         small = model.dims * (model.n * model.spread) ** 2 < 1 << 63
-        off = [f"({model.n} * x[{i}] - {s})" if small else f"CAST({model.n} * CAST(x[{i}] AS DECIMAL(19)) - {s} AS DECIMAL(19))" for i, s in enumerate(model.sums)]
-        deviation = F.expr(f"CAST({' + '.join(f'{o} * {o}' for o in off)} AS LONG)")
-        of = rows.select("_row", deviation.alias("deviation"), *(c.alias(f"c{i}") for i, c in enumerate(_centred(model))))
+        exact = "long" if small else "decimal(19)"
+        squares = F.aggregate("y", F.lit(0).cast("long" if small else "decimal(38)"), lambda a, y: (a + y.cast(exact) * y.cast(exact)).cast("long" if small else "decimal(38)"))
+        of = rows.select("_row", _deviations(model).alias("y")).select("_row", squares.cast("long").alias("deviation"), "y")
         explained = [F.lit(float(v / model.trace)) if model.trace > 0 else F.lit(None).cast("double") for v in model.values]
-        parts = [F.struct(F.lit(i + 1).alias("component"), (_projected(model, i) if model.alive(i) else F.lit(None).cast("double")).alias("whitened"), explained[i].alias("explained")) for i in range(min(most, dims))]
+        parts = [F.struct(F.lit(i + 1).alias("component"), (_projected(model, F.col("y"), i) if model.alive(i) else F.lit(None).cast("double")).alias("whitened"), explained[i].alias("explained")) for i in range(min(most, dims))]
         taken = of.select("_row", "deviation", F.explode(F.array(*parts)).alias("_p")).select(
             "_row", "_p.component", F.lit(model.n).cast("long").alias("n"), "deviation", "_p.whitened", "_p.explained", F.lit(model.identity_error).cast("double").alias("identity_error"))
     return taken.select(*(F.col(f"_row.`{c}`") for c in kept), "component", "n", "deviation", "whitened", "explained", "identity_error")
