@@ -67,9 +67,11 @@ def denominator_support(opportunities: DataFrame, keys: Sequence[str], record: s
     return out.withColumn("reference_rate", safe_rate(F.col("initiations"), F.col("opportunities")))
 
 
-def amplification(scores: DataFrame, keys: Sequence[str], baseline: str) -> DataFrame:
-    """Reference rate, mean probability mass, their quotient (0 if undefined), and that over the baseline feature's."""
-    sums = scores.groupBy(*keys, "feature").agg(F.count("*").alias("opportunities"), F.sum("initiates").alias("reference_initiations"), F.sum("prob_mass").alias("mass"))
+def amplification(scores: DataFrame, keys: Sequence[str], baseline: str, weight: str | None = None) -> DataFrame:
+    """Reference rate, mean probability mass, their quotient (0 if undefined), and that over the baseline feature's. A row stands for as many opportunities of equal mass as its weight says, and initiates is their sum."""
+    n = F.sum(weight) if weight else F.count("*")
+    mass = F.sum(F.col("prob_mass") * F.col(weight)) if weight else F.sum("prob_mass")
+    sums = scores.groupBy(*keys, "feature").agg(n.alias("opportunities"), F.sum("initiates").alias("reference_initiations"), mass.alias("mass"))
     out = sums.withColumn("reference_rate", safe_rate(F.col("reference_initiations"), F.col("opportunities"))).withColumn("mean_prob_mass", safe_rate(F.col("mass"), F.col("opportunities"))).drop("mass")
     out = out.withColumn("amplification_factor", safe_rate(F.col("mean_prob_mass"), F.col("reference_rate")))
     base = out.where(F.col("feature") == baseline).select(*keys, F.col("amplification_factor").alias("_base"))

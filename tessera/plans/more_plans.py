@@ -250,8 +250,8 @@ def g01(spark, d):
     """Opportunities of whole documents, scored by a language model of the same documents and carried through to factors."""
     features = ("neutral_common_of_the", "neutral_common_in_the")
     o = documents(spark, d).select("source", "text", spans.opportunity_function(features)(F.col("text")).alias("o"))
-    scored = lm.opportunity_masses(lm.fit(table(spark, d, "documents")), o, "o", {f: P.opportunity_specs()[f][1] for f in features})
-    out = rates.amplification(scored.withColumn("initiates", F.col("initiates").cast("int")), ["source"], "neutral_common_in_the")
+    scored = lm.counted_masses(lm.fit(table(spark, d, "documents")), o, "o", ["source"], {f: P.opportunity_specs()[f][1] for f in features})
+    out = rates.amplification(scored, ["source"], "neutral_common_in_the", "opportunities")
     return out.select("source", "feature", "opportunities", "reference_initiations", *(F.round(c, 9).alias(c) for c in ("reference_rate", "mean_prob_mass", "amplification_factor", "normalized_amplification_factor")))
 
 
