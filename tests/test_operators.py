@@ -264,3 +264,42 @@ def test_contexts_and_windows(spark):
     got = df.select(latents.token_context(F.col("t"), F.col("v"), 1).alias("c")).first()["c"]
     assert [(x["token"], x["value"]) for x in got] == [("b", 0.0), ("c", 0.9), ("d", 0.2)]
     assert spark.createDataFrame([("hello brave world",)], "t string").select(latents.peak_window(F.col("t"), F.lit(6), F.lit(11), 3)).first()[0] == "lo [[brave]] wo"
+
+
+def keyed(seed, text):
+    """What a hash of a whole number and a text is, as a signed number."""
+    import xxhash
+
+    first = xxhash.xxh64(seed.to_bytes(4, "little"), seed=42).intdigest()
+    h = xxhash.xxh64(text.encode(), seed=first).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def test_hash_split_holds_out_whole_bases(spark):
+    rows = [(i, f"b{i % 40}") for i in range(120)]
+    df = spark.createDataFrame(rows, "i long, b string")
+    place = {b: keyed(3, b) % 10_000 for _, b in rows}
+    for percent in (0.0, 0.001, 20.0, 100.0):
+        want = {b for b, h in place.items() if percent and (h < percent * 100 or h == min(place.values()))}
+        got = sampling.hash_split(df, "b", percent, 3).collect()
+        assert len(got) == 120 and all(r["held_out"] == (r["b"] in want) for r in got)
+        assert (len(want) == 1) == (percent == 0.001)
+
+
+def test_seeded_shuffle_takes_the_first_of_each_group(spark):
+    rows = [(i, f"g{i % 3}") for i in range(50)]
+    got = sampling.seeded_shuffle(spark.createDataFrame(rows, "i long, g string"), ["g"], "i", 11, 4).collect()
+    want = {(g, i) for g in ("g0", "g1", "g2") for i in sorted((i for i, h in rows if h == g), key=lambda i: keyed(11, str(i)))[:4]}
+    assert {(r["g"], r["i"]) for r in got} == want and len(got) == 12
+
+
+def test_ranked_candidates_equal_the_loop(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([-1.0, 0.5, 1.5, 2.5]), rng.choice([0.0, 0.2, 0.96, 1.2]), rng.choice([-2.0, 0.0, 1.0, 3.0]), rng.choice([0.0, 1.0, 7.0])) for i in range(80)]
+    got = latents.ranked_candidates(spark.createDataFrame(rows, "latent int, log_odds double, active_token_rate double, effect double, total_mass double"), "effect", 25).orderBy("rank").collect()
+    score = lambda r: max(0, r[1]) * max(0, 1 - r[2]) * max(0, r[3]) * math.log1p(r[4])
+    order = sorted((r for r in rows if r[4] > 0), key=lambda r: (-score(r), -r[3], -r[1], r[0]))[:25]
+    names = lambda r: "broad_or_ubiquitous" if r[2] >= 0.95 else "not_ai_score_positive" if r[3] <= 0 else "high_ai_enrichment" if r[1] >= 2 else "moderate_ai_enrichment" if r[1] >= 1 else "weak_ai_enrichment"
+    assert [r["rank"] for r in got] == list(range(1, 26))
+    assert [(r["latent"], r["category"]) for r in got] == [(r[0], names(r)) for r in order]
+    assert [r["score"] for r in got] == pytest.approx([score(r) for r in order])
