@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import latents, sampling
+from ..operators import latents, sampling, sparse_codes
 from .base import query, table
 
 _TOP = "list_sort(list_transform(range(1, len(embedding) + 1), lambda i: {'m': -embedding[i], 'i': i - 1}))[1:8]"
@@ -146,3 +146,15 @@ def o10(spark, d):
 @query("a38_token_summary", f"WITH {LONG}, k AS (SELECT doc, source, count(*) AS n FROM l GROUP BY ALL), h AS (SELECT doc, string_agg(source || ':' || n::VARCHAR, ';' ORDER BY n DESC, source) AS classes FROM k GROUP BY doc), b AS (SELECT doc, token, value FROM l QUALIFY row_number() OVER (PARTITION BY doc ORDER BY value DESC, token, latent) <= 4), z AS (SELECT doc, string_agg(token::VARCHAR, ';' ORDER BY value DESC, token) AS top_tokens FROM b GROUP BY doc), s AS (SELECT doc, sum(value) AS mass, max(value) AS max_value, count(*) AS tokens FROM l GROUP BY doc) SELECT doc, mass, max_value, tokens, classes, top_tokens FROM s JOIN h USING (doc) JOIN z USING (doc)")
 def a38(spark, d):
     return latents.token_summary(long_codes(spark, d), "source", 4)
+
+
+@query("g06_sparse_codes")
+def g06(spark, d):
+    """Codes of all embeddings by an autoencoder that learns from them: the 8 * n largest activations of n rows, and each row's error."""
+    vectors = table(spark, d, "embeddings")
+    if sparse_codes.dimensions(vectors, "embedding") is None:  # nothing to learn from
+        codes = sparse_codes.encode(vectors, "vec_id", "embedding", sparse_codes.started(1, 1), 8)
+    else:
+        model, _ = sparse_codes.train(vectors, "vec_id", "embedding", latents=256, k=8, steps=12, batch_rows=4096, spare_k=4)
+        codes = sparse_codes.encode(vectors, "vec_id", "embedding", model, 8)
+    return codes.select(F.col("item").alias("vec_id"), F.size("ids").alias("active"), "ids", "values", "error")
