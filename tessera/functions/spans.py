@@ -243,6 +243,16 @@ def contrast_count(text):
     return _counter(lambda t: len(contrasts(t)))(text)
 
 
+def contrast_matches(text):
+    """Name, start and text of each surface contrast, in order."""
+
+    @F.pandas_udf("array<struct<name:string,start:int,match:string>>")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [{"name": name, "start": start, "match": hit} for name, start, _, hit in contrasts(t)])
+
+    return found(text)
+
+
 def _counter(of):
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:

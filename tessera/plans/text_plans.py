@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import spans, text
-from ..operators import style
+from ..operators import corpus_score, style
 from .base import PLAIN, TOKENS, documents, query, quoted, sql_count, table
 
 
@@ -138,6 +138,41 @@ def x18(spark, d):
     return kept.groupBy("source").agg(F.count("*").alias("samples"), F.sum("c").alias("chars"), F.sum(F.size("w")).alias("tokens"), F.sum(text.listed(F.col("w"), _LISTED)).alias("word_hits"))
 
 
+#: Lists from the passages of the benchmark, as tables: its words of at least six letters, and all its trigrams.
+_OF_BENCHMARK = f"b AS (SELECT {_WORDS} AS w FROM benchmark), known AS (SELECT DISTINCT 'word' AS kind, unnest(list_filter(w, lambda t: len(t) >= 6)) AS phrase FROM b UNION SELECT DISTINCT 'trigram', unnest(CASE WHEN len(w) < 3 THEN [] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) FROM b)"
+_JOINED = f"j AS (SELECT source, string_agg(text, E'\\n\\n' ORDER BY doc_id) AS text FROM documents WHERE len(text) > 300 GROUP BY source), w AS (SELECT source, {_WORDS} AS w FROM j), p AS (SELECT source, 'word' AS kind, unnest(w) AS phrase FROM w UNION ALL SELECT source, 'trigram', unnest(CASE WHEN len(w) < 3 THEN [] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) FROM w), h AS (SELECT source, kind, phrase, count(*) AS hits FROM p JOIN known USING (kind, phrase) GROUP BY ALL)"
+
+
+def of_benchmark(spark, d):
+    w = table(spark, d, "benchmark").select(text.benchmark_tokens(F.col("text")).alias("w"))
+    words = w.select(F.explode("w").alias("phrase")).where(F.length("phrase") >= 6)
+    return corpus_score.phrase_lists(words, w.select(F.explode(text.ngrams(F.col("w"), 3)).alias("phrase")))
+
+
+@query("x17_list_scores")
+def x17_lists(spark, d):
+    """Each document's score from all three shares."""
+    return corpus_score.output_scores(documents(spark, d), "doc_id", "text", of_benchmark(spark, d))
+
+
+@query("x18_joined_hits", f"WITH {_OF_BENCHMARK}, {_JOINED}, r AS (SELECT *, row_number() OVER (PARTITION BY source, kind ORDER BY hits DESC, phrase) AS rank FROM h) SELECT * FROM r WHERE rank <= 50")
+def x18_hits(spark, d):
+    """The 50 most frequent listed words and trigrams of each source's joined documents."""
+    hits = corpus_score.joined_hits(documents(spark, d), "source", "text", ["doc_id"], of_benchmark(spark, d))
+    return corpus_score.top_hits(hits, "source")
+
+
+@query("x18_joined_scores")
+def x18_scores(spark, d):
+    """Each source's documents scored as one joined text."""
+    return corpus_score.joined_scores(documents(spark, d), "source", "text", ["doc_id"], of_benchmark(spark, d))
+
+
+@query("x18_first_contrasts")
+def x18_contrasts(spark, d):
+    return corpus_score.first_contrasts(documents(spark, d), "source", "text", ["doc_id"])
+
+
 _MARKED = "CASE WHEN doc_id % 3 = 0 THEN '<think>' || substr(text, 1, 50) || '</think> ' || text WHEN doc_id % 3 = 1 THEN text || ' <think>' || text ELSE text END"
 
 
