@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import spans
-from ..functions.text import benchmark_tokens, ngrams, safe_rate, weighted_score
+from ..functions.text import plain_quotes, safe_rate, weighted_score
 from ..storage import cut
 from .sampling import per_group
 
@@ -34,19 +34,29 @@ def phrase_lists(words: DataFrame, trigrams: DataFrame) -> DataFrame:
     return of(words, "word").unionByName(of(trigrams, "trigram")).where("phrase IS NOT NULL").distinct()
 
 
-def _items(kind: str, phrases: Column) -> Column:
-    return F.transform(phrases, lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("phrase")))
+def _words(text: Column) -> Column:
+    """The tokens of benchmark_tokens by one pattern, which takes a run of letters and apostrophes whole or not at all: nothing is done token by token."""
+    return F.regexp_extract_all(plain_quotes(F.lower(text)), F.lit(r"(?<![a-z'])'*+([a-z]++(?:'[a-z]++)?)'*+(?![a-z'])"), F.lit(1))
+
+
+def _trigrams(words: Column) -> Column:
+    """The trigrams of an array of words without blanks: what follows each start of a word in the joined words."""
+    return F.regexp_extract_all(F.array_join(words, " "), F.lit("(?<![^ ])(?=([^ ]++ [^ ]++ [^ ]++))"), F.lit(1))
+
+
+def _kind(phrase: Column) -> Column:
+    return F.when(F.contains(phrase, F.lit(" ")), "trigram").otherwise("word")
 
 
 def _met(grams: DataFrame, known: DataFrame) -> DataFrame:
     """Rows (_g, kind, phrase) of the phrases that are listed."""
-    return grams.join(known, ["kind", "phrase"])
+    return grams.join(known.where(F.col("kind") == _kind(F.col("phrase"))), "phrase").select("_g", "kind", "phrase")
 
 
 def _phrases(valid: DataFrame) -> DataFrame:
-    """(_g, kind, phrase): all words and trigrams within outputs."""
-    tokens = valid.select("_g", benchmark_tokens(F.col("_t")).alias("w"))
-    return tokens.select("_g", F.explode(F.concat(_items("word", F.col("w")), _items("trigram", ngrams(F.col("w"), 3)))).alias("p")).select("_g", "p.kind", "p.phrase")
+    """(_g, phrase): all words and trigrams within outputs."""
+    tokens = valid.select("_g", _words(F.col("_t")).alias("w"))
+    return tokens.select("_g", F.explode(F.concat("w", _trigrams(F.col("w")))).alias("phrase"))
 
 
 def _last_two(*tokens: Column) -> Column:
@@ -55,7 +65,7 @@ def _last_two(*tokens: Column) -> Column:
 
 
 def _seams(ends: DataFrame) -> DataFrame:
-    """(_g, kind, phrase): trigrams that reach into an output from those before it. ends: rows (_g, _o, head, tail), the first and last two tokens."""
+    """(_g, phrase): trigrams that reach into an output from those before it. ends: rows (_g, _o, head, tail), the first and last two tokens."""
     ranges = cut(ends.repartitionByRange("_g", "_o").withColumn("_r", F.spark_partition_id()))
     w = Window.partitionBy("_r", "_g").orderBy("_o")
     near = ranges.withColumn("_b", F.concat(F.coalesce(F.lag("tail", 2).over(w), F.array().cast("array<string>")), F.coalesce(F.lag("tail", 1).over(w), F.array().cast("array<string>"))))
@@ -63,8 +73,7 @@ def _seams(ends: DataFrame) -> DataFrame:
     before = Window.partitionBy("_g").orderBy("_r")  # one row a range
     carried = left.select("_r", F.col("_g").alias("_h"), _last_two(F.lag("_e", 2).over(before), F.lag("_e", 1).over(before)).alias("_c"))
     joined = near.join(carried.withColumnRenamed("_r", "_s"), (F.col("_r") == F.col("_s")) & F.col("_g").eqNullSafe(F.col("_h")))
-    grams = ngrams(F.concat(_last_two(F.col("_c"), F.col("_b")), F.col("head")), 3)
-    return joined.select("_g", F.explode(_items("trigram", grams)).alias("p")).select("_g", "p.kind", "p.phrase")
+    return joined.select("_g", F.explode(_trigrams(F.concat(_last_two(F.col("_c"), F.col("_b")), F.col("head")))).alias("phrase"))
 
 
 def _valid(docs: DataFrame, group: str, text: str, order: Sequence[str], least: int) -> DataFrame:
@@ -74,7 +83,7 @@ def _valid(docs: DataFrame, group: str, text: str, order: Sequence[str], least:
 
 
 def _ends(valid: DataFrame, *more: Column) -> DataFrame:
-    tokens = valid.select("_g", "_o", benchmark_tokens(F.col("_t")).alias("w"), *more)
+    tokens = valid.select("_g", "_o", _words(F.col("_t")).alias("w"), *more)
     return tokens.select("_g", "_o", F.size("w").alias("n"), F.slice("w", 1, 2).alias("head"), _last_two(F.col("w")).alias("tail"), *[c for c in tokens.columns if c not in ("_g", "_o", "w")])
 
 
@@ -124,7 +133,7 @@ def output_scores(docs: DataFrame, doc: str, text: str, known: DataFrame) -> Dat
     """Characters, tokens, hits of each kind, rates and score of each output by itself. Rows of one id and unlike texts are an error of the input; repeated ids count as one output's hits."""
     rows = docs.select(F.col(doc).alias("_g"), F.coalesce(text, F.lit("")).alias("_t"))
     hits = _by_kind(_met(_phrases(rows), known).groupBy("_g", "kind", "phrase").agg(F.count("*").alias("hits")))
-    own = rows.select("_g", F.length("_t").alias("chars"), F.size(benchmark_tokens(F.col("_t"))).alias("tokens"), spans.contrast_count(F.col("_t")).alias("contrast_hits"))
+    own = rows.select("_g", F.length("_t").alias("chars"), F.size(_words(F.col("_t"))).alias("tokens"), spans.contrast_count(F.col("_t")).alias("contrast_hits"))
     out = own.join(hits, F.col("_g").eqNullSafe(F.col("_k")), "left").drop("_k")
     counts = ["chars", "tokens", "word_hits", "trigram_hits", "contrast_hits"]
     return _scored(out.select(F.col("_g").alias(doc), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts]))

@@ -84,6 +84,19 @@ def test_joined_scores(spark):
     assert got["x"]["contrast_hits"] == 1 and got["z"]["score"] == 0.0
 
 
+def test_words_and_trigrams_are_those_of_the_plain_functions(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import text
+
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("ab'’ -é1Z") for _ in range(rng.randint(0, 60)))) for i in range(400)] + [(400, None), (401, "")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    words, plain = corpus_score._words(F.col("t")), text.benchmark_tokens(F.col("t"))
+    got = df.select(words.alias("a"), plain.alias("b"), corpus_score._trigrams(words).alias("c"), text.ngrams(plain, 3).alias("d")).collect()
+    assert all(r["a"] == r["b"] and (r["c"] or []) == r["d"] for r in got) and sum(len(r["d"]) for r in got) > 400
+
+
 def test_output_scores(spark):
     rows = [(1, "delve into the delve"), (2, None), (3, ""), (4, "It is not just a tool. It is a way."), (5, "a b c a b")]
     got = {r["id"]: r for r in corpus_score.output_scores(spark.createDataFrame(rows, "id long, t string"), "id", "t", known(spark)).collect()}
