@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import spans, text
-from ..operators import annotation, classifier, density, joins, rates, sampling, stats
+from ..operators import annotation, beam, classifier, density, joins, rates, sampling, stats
 from ..operators import language_model as lm
 from ..sources import provider
 from ..sources import records as R
@@ -274,6 +274,30 @@ def g01_probabilities(spark, d):
     return seen.join(lm.probabilities(model, seen), ["u", "v", "w"]).select("u", "v", "w", "c", F.round("p", 9).alias("p"))
 
 
+def _searched(spark, d):
+    """Each different turn as a prompt, followers under a model of all turns, and a detector of quality learned from all labelled documents."""
+    turns = table(spark, d, "conversations").where(F.col("text").isNotNull())
+    prompts = turns.groupBy("text").agg(F.count("*").alias("turns")).withColumn("prompt", F.sha2("text", 256))
+    labelled = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    return prompts, beam.followers(lm.fit(turns), 16), beam.bucket_detector(labelled, "text", "quality", 2)
+
+
+@query("g09_beam_search")
+def g09(spark, d):
+    """The last beams of a search of eight words after every turn of the conversations."""
+    prompts, known, detector = _searched(spark, d)
+    found = beam.last_beams(beam.search(prompts, "prompt", "text", known, detector, 8, quality=0.1), "prompt")
+    return found.join(prompts.select("prompt", "turns"), "prompt").select("prompt", "turns", "beam_rank", F.array_join("words", " ").alias("continuation"), *(F.round(c, 6).alias(c) for c in ("log_p", "score", "objective")))
+
+
+@query("g02_sampled_continuations")
+def g02(spark, d):
+    """Two seeded samples of eight words after every turn, with the detector's score."""
+    prompts, known, detector = _searched(spark, d)
+    found = beam.sampled(prompts, "prompt", "text", known, detector, 8, samples=2)
+    return found.select("prompt", "sample", F.array_join("words", " ").alias("continuation"), *(F.round(c, 6).alias(c) for c in ("log_p", "score")))
+
+
 _SPANS = ", ".join(f"{{'length': {n}, 'score': CASE WHEN c >= {n} THEN {' + '.join(['score'] + [f'lead(score, {k}) OVER w' for k in range(1, n)])} END}}" for n in range(1, 5))
 
 
