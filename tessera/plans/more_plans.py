@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import spans, text
-from ..operators import annotation, beam, classifier, density, joins, rates, sampling, stats
+from ..operators import annotation, beam, bootstrap, classifier, density, joins, rates, sampling, stats
 from ..operators import language_model as lm
 from ..sources import provider
 from ..sources import records as R
@@ -132,6 +132,26 @@ def q07(spark, d):
     return stats.intervals(drawn, ["lang"], ["rate"])
 
 
+def _redrawn(spark, d):
+    by_doc = documents(spark, d).select("lang", "doc_id", text.tokens(F.col("text")).alias("tokens"), F.regexp_count(F.col("text"), F.lit(",")).cast("long").alias("commas"))
+    return bootstrap.redrawn(by_doc.withColumn("documents", F.lit(1)), ["lang"], "doc_id", ["documents", "tokens", "commas"], 100)
+
+
+@query("q07_draws", "SELECT lang, replicate::INT AS replicate, count(DISTINCT doc_id) AS draws FROM documents, range(100) r(replicate) GROUP BY ALL")
+def q07_draws(spark, d):
+    """Every replicate draws as many documents as its cell has."""
+    return _redrawn(spark, d).select("lang", "replicate", "draws")
+
+
+@query("q07_fixed_size_bootstrap")
+def q07_fixed(spark, d):
+    """Intervals of comma rates by language, and the conservative ones of their differences to the first language."""
+    drawn = stats.intervals(_redrawn(spark, d).withColumn("rate", text.rate(F.col("commas"), F.col("tokens"))), ["lang"], ["rate"])
+    first = drawn.agg(F.min_by(F.struct("rate_low", "rate_high"), "lang").alias("_first"))
+    low, high = bootstrap.difference(F.col("rate_low"), F.col("rate_high"), F.col("_first.rate_low"), F.col("_first.rate_high"))
+    return drawn.crossJoin(F.broadcast(first)).select("lang", "rate_low", "rate_high", low.alias("delta_low"), high.alias("delta_high"))
+
+
 @query("q14_edge_scores", "SELECT p_partkey, round(3 * (0.5 + (p_partkey % 7) / 7.0::DOUBLE) * greatest(0, (p_size - 10) / 64.0::DOUBLE) * (0.5 + 0.5 * greatest(-1, least(1, (p_size - 25) / 32.0::DOUBLE))), 9) AS score FROM part")
 def q14(spark, d):
     from ..operators.latents import edge_score
