@@ -18,17 +18,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 LEAF = 4096
+#: Cells (two numbers each) that are sent to all tasks; with more, clusters meet their cell in so many parts.
+FEW_CELLS, SALTS = 500_000, 64
 
 
 def leaves(clusters: DataFrame, keys: Sequence[str], cluster: str, sums: Sequence[str], leaf: int = LEAF) -> DataFrame:
     """keys, _cell (their hash), _path (level, prefix, left and all clusters of each node from the root down), and the leaf's _rows sorted by cluster."""
     one = clusters.groupBy(*keys, cluster).agg(*[F.coalesce(F.sum(s), F.lit(0)).cast("double").alias(s) for s in sums])
     one = one.withColumns({"_cell": F.xxhash64(F.lit(0), *[F.col(k).cast("string") for k in keys], *[F.col(k).isNull() for k in keys]), "_h": F.xxhash64(F.col(cluster).cast("string"), F.col(cluster).isNull())})
+    one = cut(one)  # one row a cluster, read several times below
     depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / float(leaf)))).cast("int")
-    cells = one.groupBy("_cell").agg(F.count("*").alias("_n")).select("_cell", depth.alias("_depth"))
+    cells = cut(one.groupBy("_cell").agg(F.count("*").alias("_n")).select("_cell", depth.alias("_depth")))
+    if cells.count() <= FEW_CELLS:
+        met = one.join(F.broadcast(cells), "_cell")
+    else:  # a cell may hold a third of all clusters, so they don't meet their cell in one task
+        salted = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = one.withColumn("_salt", F.pmod("_h", F.lit(SALTS)).cast("int")).join(salted, ["_cell", "_salt"]).drop("_salt")
     # The first bits of the hash; a shift by 64 is a shift by none.
-    placed = one.join(cells, "_cell").withColumn("_leaf", F.when(F.col("_depth") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(_h, 64 - _depth)")))
+    placed = met.withColumn("_leaf", F.when(F.col("_depth") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(_h, 64 - _depth)")))
     row = F.struct(F.col(cluster).cast("string").alias("c"), F.array(*sums).alias("s"))
     grouped = placed.groupBy("_cell", "_depth", "_leaf", *keys).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
     sizes = placed.groupBy("_cell", "_depth", "_leaf").agg(F.count("*").alias("n"))

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from tessera.operators import bootstrap
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared(spark, tmp_path_factory):
+    spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
+
+
 def table(spark, n=300):
     x = [("a", i, float(i % 7), i % 3) for i in range(n)] + [("b", i, 1.0, 1) for i in range(5)] + [(None, None, 2.0, None), (None, None, 3.0, 4)]
     return spark.createDataFrame(x, "cell string, doc long, hits double, tokens long").withColumn("replicate", F.lit("clash"))
@@ -16,7 +21,7 @@ def values(df):
     return {(r["cell"], r["replicate"]): (r["draws"], r["ones"], r["hits"]) for r in df.collect()}
 
 
-def test_counts_add_up_and_other_splits_draw_alike(spark):
+def test_counts_add_up_and_other_splits_draw_alike(spark, monkeypatch):
     df = table(spark).withColumn("ones", F.lit(1))
     clusters = df.groupBy("cell", "doc").agg(F.sum("hits").alias("hits"), F.max("ones").alias("ones"))
     draw = lambda d, **k: values(bootstrap.redrawn(d, ["cell"], "doc", ["ones", "hits"], 30, leaf=8, **k))
@@ -27,6 +32,8 @@ def test_counts_add_up_and_other_splits_draw_alike(spark):
         assert cell == "a" or hits == {"b": 5.0, None: 5.0}[cell]  # two rows of one cluster are one cluster
     assert draw(clusters.repartition(7, "hits")) == got
     assert draw(clusters, seed=14) != got
+    monkeypatch.setattr(bootstrap, "FEW_CELLS", 0)
+    assert draw(clusters) == got
 
 
 @pytest.mark.parametrize("leaf", [4, 4096])
