@@ -19,7 +19,7 @@ empty corpus give no rows. Columns of prompts other than id and text play no par
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -68,7 +68,8 @@ def followers(model: NgramModel, k: int, allowed: Column | None = None) -> Follo
     for level, on in ((model.levels[1], ["w"]), (model.levels[0], ["v", "w"])):
         share = F.lit(level.discount) * F.col("types") / F.col("total")
         own = F.greatest(F.col("c") - F.lit(level.discount), F.lit(0.0)) / F.col("total")
-        scored = cut(level.counts.where(allowed).join(level.totals, level.context).join(lower, on).select(*level.context, "w", (own + share * F.col("q")).alias("p")))
+        scored = level.counts.where(allowed).join(level.totals, level.context).join(lower, on).select(*level.context, "w", (own + share * F.col("q")).alias("p"))
+        scored = cut(scored) if len(on) == 1 else scored  # the longer level asks for the shorter one's again
         tables.append(_firsts(scored, level.totals, level.context, share, k))
         lower = scored.withColumnRenamed("p", "q")
     return Followers(tables[1], tables[0], alone, k)
@@ -149,15 +150,22 @@ def _written(df: DataFrame, at: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
-def _expanded(states: DataFrame, known: Followers, detector: Detector, least_log_p: float | None) -> DataFrame:
-    """A row for each state and candidate: w, its log_q, and the state after it."""
-    found = states.join(likeliest(known, states), ["u", "v"]).withColumn("_x", F.explode("choices")).drop("choices")
-    found = found.withColumns({"w": F.col("_x.w"), "log_q": F.log(-F.col("_x.n"))}).drop("_x")
+def _expanded(states: DataFrame, known: Followers, detector: Detector, least_log_p: float | None, order: Callable[[Column], Column], most: int) -> DataFrame:
+    """A row for each state and its first candidates by ``order``, a function of a struct of w, log_q and score: w, log_q, and the state's logits and score after w.
+
+    The detector's words meet the different contexts; states then find candidates as one array, and no rows are made of those that go.
+    """
+    each = likeliest(known, states).select("u", "v", F.inline("choices"))
     if least_log_p is not None:
-        found = found.where(F.col("log_q") >= least_log_p)
-    found = found.join(detector.weights.withColumnRenamed("logits", "_l"), "w", "left")
-    added = F.zip_with("logits", F.coalesce("_l", _array(detector.unknown)), lambda a, b: a + b)
-    return found.withColumn("logits", added).withColumn("score", score(F.col("logits"), len(detector.prior))).drop("_l")
+        each = each.where(F.log(-F.col("n")) >= least_log_p)
+    met = each.join(detector.weights.withColumnRenamed("logits", "_l"), "w", "left").withColumn("_l", F.coalesce("_l", _array(detector.unknown)))
+    choices = met.groupBy("u", "v").agg(F.collect_list(F.struct("w", F.log(-F.col("n")).alias("log_q"), F.col("_l").alias("l"))).alias("_c"))  # k at most
+    found = states.join(choices, ["u", "v"])
+    found = found.withColumn("_c", F.transform("_c", lambda c: F.struct(c["w"].alias("w"), c["log_q"].alias("log_q"), F.zip_with("logits", c["l"], lambda a, b: a + b).alias("logits"))))
+    found = found.withColumn("_c", F.transform("_c", lambda c: F.struct(c["w"].alias("w"), c["log_q"].alias("log_q"), c["logits"].alias("logits"), score(c["logits"], len(detector.prior)).alias("score"))))
+    ranked = F.transform("_c", lambda c: F.struct((-order(c)).alias("o"), c["w"].alias("w"), c["log_q"].alias("log_q"), c["logits"].alias("logits"), c["score"].alias("score")))
+    kept = found.withColumn("_c", F.slice(F.array_sort(ranked), 1, most)).drop("logits", "score")
+    return kept.select(*(c for c in kept.columns if c != "_c"), F.inline("_c")).drop("o")
 
 
 def _after(found: DataFrame) -> DataFrame:
@@ -178,11 +186,9 @@ def search(prompts: DataFrame, id_: str, text: str, known: Followers, detector:
     states = _written(_begun(prompts, id_, text, detector).select(*STATE), f"{at}/step=0")
     every = []
     for step in range(1, steps + 1):
-        again = F.size(F.filter("words", lambda x: x == F.col("w")))
-        # By prompt before the first window, so that the second one needs no exchange; a prompt has beams * k rows at most.
-        found = _expanded(states, known, detector, least_log_p).repartition("id").withColumn("_choice", F.round(F.col("score") + likelihood * F.col("log_q") - repetition * again, 9))
-        branch = F.row_number().over(Window.partitionBy("id", "beam_rank").orderBy(F.desc("_choice"), "w"))
-        kept = _after(found.withColumn("_b", branch).where(F.col("_b") <= branches))
+        again = lambda w: F.size(F.filter("words", lambda x: x == w))
+        choice = lambda c: F.round(c["score"] + likelihood * c["log_q"] - repetition * again(c["w"]), 9)  # noqa: B023, E731
+        kept = _after(_expanded(states, known, detector, least_log_p, choice, branches))
         n = F.size("words")
         kept = kept.withColumn("penalty", quality_penalty(F.array_join("words", " ")) if quality else F.lit(0.0))
         objective = F.col("score") + likelihood * F.col("log_p") / n - repetition * (n - F.size(F.array_distinct("words"))) / n - quality * F.col("penalty")
@@ -213,10 +219,9 @@ def sampled(prompts: DataFrame, id_: str, text: str, known: Followers, detector:
     states = _written(begun.select(*STATE), f"{at}/step=0")
     every = [states.withColumn("step", F.lit(0))]
     for step in range(1, steps + 1):
-        u = (F.shiftrightunsigned(F.xxhash64("id", "beam_rank", F.lit(step), "w", F.lit(seed)), 11) + 0.5) / F.lit(float(1 << 53))
-        drawn = _expanded(states, known, detector, None).withColumn("_g", F.col("log_q") / temperature - F.log(-F.log(u)))
-        first = F.row_number().over(Window.partitionBy("id", "beam_rank").orderBy(F.desc("_g"), "w"))
-        states = _written(_after(drawn.withColumn("_b", first).where(F.col("_b") == 1)).select(*STATE), f"{at}/step={step}")
+        u = lambda w: (F.shiftrightunsigned(F.xxhash64("id", "beam_rank", F.lit(step), w, F.lit(seed)), 11) + 0.5) / F.lit(float(1 << 53))  # noqa: B023, E731
+        drawn = _expanded(states, known, detector, None, lambda c: c["log_q"] / temperature - F.log(-F.log(u(c["w"]))), 1)  # noqa: B023
+        states = _written(_after(drawn).select(*STATE), f"{at}/step={step}")
         every.append(states.withColumn("step", F.lit(step)))
     out = every[0]
     for more in every[1:]:
