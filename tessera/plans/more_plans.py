@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import spans, text
-from ..operators import annotation, beam, bootstrap, classifier, density, joins, rates, sampling, stats
+from ..operators import annotation, beam, bootstrap, classifier, density, intervals, joins, rates, sampling, stats
 from ..operators import language_model as lm
 from ..sources import provider
 from ..sources import records as R
@@ -329,6 +329,23 @@ def g05(spark, d):
     return provider.span_scores(t).select("doc_id", "start", "length", F.round("score", 9).alias("score"))
 
 
+@query("x16_union_of_intervals", """WITH l AS (SELECT l_suppkey, l_shipdate::DATE - DATE '1970-01-01' AS low, l_shipdate::DATE - DATE '1970-01-01' + l_quantity::BIGINT AS high FROM lineitem),
+    r AS (SELECT *, max(high) OVER (PARTITION BY l_suppkey ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM l),
+    b AS (SELECT *, sum(CASE WHEN reach IS NULL OR low > reach THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY low, high ROWS UNBOUNDED PRECEDING) AS block FROM r)
+    SELECT l_suppkey, min(low)::INT AS low, max(high)::INT AS high, count(*) AS n FROM b GROUP BY l_suppkey, block""")
+def x16_union(spark, d):
+    """Days in which each supplier has something under way, a day for each piece from shipping on, as blocks without gaps."""
+    low = F.unix_date(F.col("l_shipdate").cast("date"))
+    rows = table(spark, d, "lineitem").select("l_suppkey", low.alias("low"), (low + F.col("l_quantity").cast("int")).alias("high"))
+    return intervals.union(rows, ["l_suppkey"], "low", "high")
+
+
+@query("x16_contrast_blocks")
+def x16(spark, d):
+    """Blocks of sentences with contrasts in whole documents; without a tagger the surface forms count."""
+    return intervals.contrast_blocks(documents(spark, d), "doc_id", "text")
+
+
 @query("x33_quality_penalty")
 def x33(spark, d):
     return documents(spark, d).select("doc_id", F.round(text.quality_penalty(F.col("text")), 9).alias("penalty"))
