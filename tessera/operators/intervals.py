@@ -1,7 +1,8 @@
 """Contrasts found in plain and in tagged text, as blocks of sentences; overlapping blocks become one.
 
-Union of intervals is a running maximum of ends over starts: an interval that begins after it opens a new block. It is
-one window by the keys, whatever the number of intervals that overlap.
+Union of intervals is a running maximum of ends over starts: an interval that begins after it opens a new block.
+Intervals are sorted by range into runs; a run gets the maximum and the number of blocks of the runs before it from one row
+a run, so a key with a third of all intervals is no single task.
 
 A tagger is a column function from a text to an array of (start, end, tag), code points, end exclusive, in order and
 without overlaps; tagged words are replaced by their tags, patterns run over that text, and hits go back to
@@ -23,6 +24,7 @@ from pyspark.sql.window import Window
 
 from ..functions import patterns as P
 from ..functions.spans import fold, matches
+from ..storage import cut
 
 SENTENCE_END = re.compile(r"[.!?…]+[\"'”’)\]*_]*(?=\s|$)")
 HIT = T.StructType([T.StructField(n, T.StringType() if n == "name" else T.IntegerType()) for n in ("start", "end", "name", "low", "high", "block_start", "block_end")])
@@ -34,12 +36,20 @@ def union(df: DataFrame, keys: Sequence[str], low: str, high: str, carried: Sequ
     Carried columns are of the block's first interval, by low, high and then themselves; of others the least and most values are kept.
     """
     rows = df.where(F.col(low) <= F.col(high)).select(*keys, F.col(low).alias("_low"), F.col(high).alias("_high"), *carried, *least, *most)
-    order = Window.partitionBy(*keys).orderBy("_low", "_high", *carried)
-    reach = F.max("_high").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(reach.isNull() | (F.col("_low") > reach), 1).otherwise(0)
-    numbered = rows.withColumn("_opens", opens).withColumn("_block", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    first = [F.min_by(F.struct(*carried), F.struct("_low", "_high", *carried)).alias("_first")] if carried else []
-    out = numbered.groupBy(*keys, "_block").agg(F.min("_low").alias(low), F.max("_high").alias(high), F.count("*").alias("n"), *first, *[F.min(c).alias(c) for c in least], *[F.max(c).alias(c) for c in most])
+    first = [F.min(F.struct(*carried)).alias("_first")] if carried else []
+    kept = [*first, *[F.min(c).alias(c) for c in least], *[F.max(c).alias(c) for c in most]]
+    # Equal intervals are one row; the rest is dealt in runs by key and place, so a key with many intervals has many runs.
+    one = rows.groupBy(*keys, "_low", "_high").agg(F.count("*").alias("_n"), *kept)
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
+    placed = cut(one.repartitionByRange(*keys, "_low", "_high").withColumns({"_k": key, "_run": F.spark_partition_id()}))
+    run, runs = Window.partitionBy("_k", "_run").orderBy("_low", "_high"), Window.partitionBy("_k").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda df, value, kind: df.groupBy("_k", "_run").agg(kind(value).alias("_v")).select("_k", "_run", kind("_v").over(runs).alias("_before"))
+    reach = F.greatest(F.max("_high").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.col("_before"))
+    marked = placed.join(before(placed, "_high", F.max), ["_k", "_run"]).withColumn("_opens", F.when(reach.isNull() | (F.col("_low") > reach), 1).otherwise(0)).drop("_before")
+    block = F.sum("_opens").over(run.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_before", F.lit(0))
+    numbered = marked.join(before(marked, "_opens", F.sum), ["_k", "_run"]).withColumn("_block", block)
+    again = [F.min_by("_first", F.struct("_low", "_high")).alias("_first")] if carried else []
+    out = numbered.groupBy(*keys, "_block").agg(F.min("_low").alias(low), F.max("_high").alias(high), F.sum("_n").alias("n"), *again, *[F.min(c).alias(c) for c in least], *[F.max(c).alias(c) for c in most])
     return out.select(*keys, low, high, "n", *[F.col(f"_first.{c}").alias(c) for c in carried], *least, *most)
 
 

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from tessera.operators import intervals
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared(spark, tmp_path_factory):
+    spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_union_equals_the_loop(spark, seed):
     rng = random.Random(seed)
@@ -29,6 +34,18 @@ def test_union_equals_the_loop(spark, seed):
     assert intervals.union(df.where("false"), ["k"], "lo", "hi").count() == 0
 
 
+def test_one_key_has_many_runs(spark):
+    """Adaptive execution joins small runs; without it each key's intervals lie in several."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        chain = [("k", i, i + 1) for i in range(200)] + [("k", 300 + 3 * i, 301 + 3 * i) for i in range(100)] + [("l", 0, 1)]
+        df = spark.createDataFrame(chain, "k string, lo int, hi int")
+        got = sorted(tuple(r) for r in intervals.union(df, ["k"], "lo", "hi").collect())
+        assert got == sorted([("k", 0, 200, 200), ("l", 0, 1, 1)] + [("k", 300 + 3 * i, 301 + 3 * i, 1) for i in range(100)])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def verbs(text):
     """Tags words in -ing."""
 
