@@ -20,24 +20,18 @@ from tessera.storage import drop_dir
 LEAST_QUALITY = 0.5
 
 
-def _with_row(docs: DataFrame) -> DataFrame:
-    """All columns in one struct, so none clashes with what an operator adds."""
-    return docs.select(F.struct("*").alias("_row"), "text")
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages stay; those without a letter (``und``), so null and empty texts too, go. Where no language can be learned, all stay. Repeated rows stay or go alike."""
     model = langid.train(docs)
     if not model.languages:
         return docs
-    found = langid.identify(_with_row(docs), model, ["_row"])
-    return found.where(F.col("lang_pred") != langid.UNKNOWN).select("_row.*")
+    return docs.where(langid.language(spark, model)(F.col("text")) != langid.UNKNOWN)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject. A null text is judged as an empty one; repeated rows and equal texts stay or go alike; where no label can be learned from, all stay."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(_with_row(docs), model, ["_row"]).where(F.col("score") >= LEAST_QUALITY).select("_row.*")
+    return docs.where(quality.scored(spark, model)(F.col("text")) >= LEAST_QUALITY)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

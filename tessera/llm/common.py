@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..storage import cut, fresh_dir, shared_dir
 
-__all__ = ["cut", "fresh_dir", "shared_dir", "table", "free_name", "held_out", "looked_up", "row_hash", "MOST_BROADCAST", "schema_of", "tidy", "unit"]
+__all__ = ["cut", "fresh_dir", "shared_dir", "table", "free_name", "held_out", "looked_up", "row_hash", "MOST_BROADCAST", "schema_of", "text_column", "tidy", "unit"]
 
 #: Rows of a few numbers or short texts that may be sent to all executors: some tens of MB.
 MOST_BROADCAST = 1_000_000
@@ -40,6 +42,20 @@ def tidy(run):
     return wrapped
 
 
+def text_column(found: Callable[[list], list], kind: T.DataType, rows: int) -> Callable[[Column], Column]:
+    """A column of ``found`` over a column of texts, so many rows at a time. The texts alone go to the workers, and what is found alone comes back; other columns stay where they are."""
+
+    def work(batches):
+        for texts in batches:
+            few = [pa.array(found(texts.slice(low, rows).to_pylist()), to_arrow_type(kind)) for low in range(0, max(1, len(texts)), rows)]
+            yield pa.chunked_array(few).combine_chunks()
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidy(work)(batches)
+
+    return F.arrow_udf(run, kind)
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that the frame does not have yet."""
     taken = {c.lower() for c in df.columns}

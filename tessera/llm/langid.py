@@ -19,15 +19,17 @@ an empty table gives none; other columns are kept or ignored as the caller asks,
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, held_out, looked_up, schema_of, table, tidy
+from .common import cut, held_out, looked_up, schema_of, table, text_column, tidy
 
 UNKNOWN = "und"
 MARGIN = 8  # the sketch is right within a few hundredths, so too few texts are left by a chance of e**-1000 at 400 texts
@@ -132,6 +134,22 @@ def train(docs: DataFrame, per_language: int = 400, sample: int = 2000, columns:
     return fit_presence(present, rows["lang"].tolist(), **options)
 
 
+def _judged(model: Model, texts: list) -> tuple[list[str], list[float]]:
+    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    judged = [i for i, t in enumerate(texts) if model.languages and t and any(map(str.isalpha, t))]
+    if judged:
+        best, sure = model.scores([texts[i] for i in judged])
+        for i, b, s in zip(judged, best, sure, strict=True):
+            names[i], scores[i] = model.languages[b], float(s)
+    return names, scores
+
+
+def language(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """lang_pred as a column of a text."""
+    sent = spark.sparkContext.broadcast(model)
+    return text_column(lambda texts: _judged(sent.value, texts)[0], T.StringType(), 64)
+
+
 def identify(docs: DataFrame, model: Model, kept: list[str], text: str = "text") -> DataFrame:
     """The kept columns with lang_pred and score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -141,13 +159,7 @@ def identify(docs: DataFrame, model: Model, kept: list[str], text: str = "text")
         for batch in batches:
             for low in range(0, batch.num_rows, 64):
                 few = batch.slice(low, 64)
-                texts = few.column(0).to_pylist()
-                names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-                judged = [i for i, t in enumerate(texts) if model.languages and t and any(map(str.isalpha, t))]
-                if judged:
-                    best, sure = model.scores([texts[i] for i in judged])
-                    for i, b, s in zip(judged, best, sure, strict=True):
-                        names[i], scores[i] = model.languages[b], float(s)
+                names, scores = _judged(model, few.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*few.columns[1:], pa.array(names), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     return docs.select(F.col(text).alias("_text"), *kept).mapInArrow(tidy(run), schema_of(docs, kept, "lang_pred string, score double"))

@@ -21,14 +21,16 @@ ignored as the caller asks, whatever their names.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, held_out, schema_of, table, tidy
+from .common import cut, held_out, schema_of, table, text_column, tidy
 
 ROWS = 1 << 16
 ORDERS = (5, 6, 7)
@@ -167,6 +169,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, most_entries:
     return fit_packed(list(zip(taken["at"], taken["share"], strict=True)), taken["quality"].tolist(), rows, **options)
 
 
+def scored(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """score as a column of a text."""
+    sent = spark.sparkContext.broadcast(model)
+    return text_column(lambda texts: [sent.value.score(t or "") for t in texts], T.DoubleType(), 256)
+
+
 def score(docs: DataFrame, model: Model, kept: list[str], text: str = "text") -> DataFrame:
     """The kept columns with score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)

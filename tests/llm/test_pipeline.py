@@ -1,7 +1,7 @@
 import random
 
 from pyspark.sql import functions as F
-from tessera.llm import mixing, ngram_join
+from tessera.llm import langid, mixing, ngram_join, quality
 from tessera.llm.common import fresh_dir
 
 import corpus_pipeline
@@ -48,3 +48,34 @@ def test_run_of_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert corpus_pipeline.run(spark, stored(spark, docs.limit(0), labels)).count() == 0
     assert words(random.Random(1), 3)
+
+
+def python_bytes(df):
+    """Bytes sent to and got from Python workers in a run of the frame's own plan, without what it was trained on."""
+    run = df._jdf.queryExecution()
+    run.toRdd().count()
+    sent, got, nodes = 0, 0, [run.executedPlan()]
+    for node in nodes:
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.metrics().contains("pythonDataSent"):
+            sent += node.metrics().apply("pythonDataSent").value()
+            got += node.metrics().apply("pythonDataReceived").value()
+    return sent, got
+
+
+def test_classifiers_send_each_text_once_and_get_no_rows_back(spark):
+    rng = random.Random(5)
+    rows = [(i, words(rng, 400), "en" if i % 3 else "de", "a", "x" * 2000) for i in range(400)] + [(i, t, "en", None, None) for i, t in ((400, None), (401, ""), (401, "9 9"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, more string").repartition(2)
+    at = stored(spark, docs, spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int"))
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    texts = sum(len(r[1] or "") for r in rows)
+    found = langid.identify(docs, langid.train(docs), ["doc_id"]).where(F.col("lang_pred") != langid.UNKNOWN)
+    judged = quality.score(docs, quality.train(docs, spark.read.parquet(f"{at}/labels.parquet")), ["doc_id"]).where(F.col("score") >= corpus_pipeline.LEAST_QUALITY)
+    for (name, stage), kept in zip(corpus_pipeline.STAGES[:2], (found, judged), strict=True):
+        out = stage(spark, docs, at)
+        assert out.schema == docs.schema, name
+        assert sorted(r["doc_id"] for r in out.collect()) == sorted(r["doc_id"] for r in kept.collect()), name
+        sent, got = python_bytes(out.select("*"))
+        assert texts < sent < 1.3 * texts, name
+        assert 0 < got < 100 * len(rows), name
