@@ -111,10 +111,11 @@ def role_map(rows: DataFrame, base: str, role: str, value: str, order: str) -> D
     return last.groupBy(base).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(role, value)))).alias("by_role"))
 
 
-def in_all(rows: DataFrame, node: str, group: str, value: str, score: str) -> DataFrame:
-    """Groups that have every node: the best value of each node, and the sum of its absolute scores."""
+def in_all(rows: DataFrame, node: str, group: str, value: str, score: str, order: Column | None = None) -> DataFrame:
+    """Groups that have every node: the best value of each node, and the sum of its absolute scores. Best is by absolute score, or by order where that is given; of equals the greater value."""
+    by = F.abs(score) if order is None else order
     nodes = rows.agg(F.count_distinct(node).alias("_nodes"))
-    best = rows.groupBy(group, node).agg(F.max_by(value, F.struct(F.abs(score), F.col(value))).alias(value), F.max(F.abs(score)).alias("_s"))
+    best = rows.groupBy(group, node).agg(F.max_by(value, F.struct(by, F.col(value))).alias(value), F.max(F.abs(score)).alias("_s"))
     out = best.groupBy(group).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(node, value))), lambda x: x[value].cast("string")), ";").alias("chosen"), F.sum("_s").alias("total"))
     return out.join(F.broadcast(nodes), F.col("n") == F.col("_nodes")).drop("_nodes")  # one row
 
