@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -267,38 +267,55 @@ def snippet(text: Column, pattern: str, around: int = 120, head: int = 240) -> C
     return F.when(hit.isNotNull() & (hit != ""), F.substring(text, F.greatest(F.lit(1), at - around), F.length(hit) + 2 * around)).otherwise(F.substring(text, 1, head))
 
 
+def once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` of a value that is computed once for each row, however often ``of`` names it. Inside a condition the planner would compute it again each time."""
+    return F.transform(F.array(value), of)[0]
+
+
 def quality_penalty(text: Column) -> Column:
-    """A sum of penalties for code marks, symbols, shouting, title case and crowded connectors; 1 for a blank text."""
-    t = strip(text)
-    lower = F.lower(t)
-    n = lambda pattern: count(t, "(?U)" + pattern).cast("double")
-    dense = F.greatest(n(r"\S"), F.lit(1.0))
-    letters = count(t, r"\p{L}").cast("double")
-    symbols = count(t, r"[^\s\p{L}\p{N}.,;:!?\"'()-]").cast("double")
-    marks = F.lit(0.0)
-    for m in P.CODE_MARKS:
-        marks = marks + (F.length(lower) - F.length(F.replace(lower, F.lit(m), F.lit("")))) / F.lit(float(len(m)))
-    w = F.regexp_extract_all(t, F.lit(r"(?U)\b[A-Za-z]+\b"), F.lit(0))
-    size = F.size(w).cast("double")
-    title = lambda x: x.rlike("^[A-Z][a-z]{2,}$")
-    among = lambda words: F.size(F.filter(w, lambda x: F.lower(x).isin(*words))) / F.greatest(size, F.lit(1.0))
-    # Words from the fifth of a run of title-case words on.
-    late = F.aggregate(w, F.struct(F.lit(0).alias("run"), F.lit(0).alias("late")), lambda a, x: F.when(title(x), F.struct((a["run"] + 1).alias("run"), (a["late"] + F.when(a["run"] >= P.PENALTY_FREE_TITLE_RUN, 1).otherwise(0)).alias("late"))).otherwise(F.struct(F.lit(0).alias("run"), a["late"].alias("late"))), lambda a: a["late"])
-    above = lambda share, free, factor: F.when(size >= P.PENALTY_LEAST_WORDS, F.greatest(F.lit(0.0), share - free) * factor).otherwise(0.0)
-    titles = F.size(F.filter(w, title)) / F.greatest(size, F.lit(1.0))
-    total_ = (
-        marks * P.PENALTY_CODE_MARK
-        + F.least(F.lit(P.PENALTY_MOST_SYMBOLS), symbols * P.PENALTY_SYMBOL_SHARE / dense)
-        + n(r"[^\p{L}\p{N}_\s]{2,}") * P.PENALTY_SYMBOL_RUN
-        + n(r"\b\d{4}-\d{2}-\d{2}[A-Za-z]") * P.PENALTY_GLUED_DATE
-        + n(r"(?:^|\s)([.:;!?])(?:\s+\1){2,}") * P.PENALTY_REPEATED_MARK
-        + n(r"\b[A-Z]{2,}\b") * P.PENALTY_CAPITALS
-        + F.when(lower.contains("changelog"), P.PENALTY_CHANGELOG).otherwise(0.0)
-        + F.when(lower.rlike(r"\bnewest\s+games\s+like\b"), P.PENALTY_GAMES_PHRASE).otherwise(0.0)
-        + F.when((letters > 0) & (letters / dense < P.PENALTY_LEAST_LETTERS), P.PENALTY_FEW_LETTERS).otherwise(0.0)
-        + late * P.PENALTY_TITLE_RUN
-        + above(titles, P.PENALTY_FREE_TITLES, P.PENALTY_TITLES)
-        + above(among(P.CONNECTORS), P.PENALTY_FREE_CONNECTORS, P.PENALTY_CONNECTORS)
-        + above(among(P.INTENSIFIERS), P.PENALTY_FREE_INTENSIFIERS, P.PENALTY_INTENSIFIERS)
-    )
-    return F.when(t == "", P.PENALTY_BLANK).otherwise(total_)
+    """A sum of penalties for code marks, symbols, shouting, title case and crowded connectors; 1 for a blank text.
+
+    Characters are counted as what is left when runs of all others go, and words as marks in a string, so no character or word is a value of its own.
+    """
+    left = lambda x, pattern: F.length(F.regexp_replace(x, pattern, "")).cast("double")
+    counted = lambda x, pattern: F.length(F.regexp_replace(x, pattern, "$1")).cast("double")
+    # Each word of letters with a blank before it, and a 1 or 0 for each word: whether it is in title case.
+    worded = lambda t: F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(t, F.lit(r"(?U)\b[A-Za-z]+\b"), F.lit(0)), " "))
+    titled = lambda w: F.trim(F.regexp_replace(F.regexp_replace(w, r" [A-Z][a-z]{2,}(?![A-Za-z])", "1"), " [A-Za-z]+", "0"))
+
+    def of(x: Column) -> Column:
+        t, lower, w, flags = x["t"], x["lower"], x["w"], x["flags"]
+        n = lambda pattern: count(t, "(?U)" + pattern).cast("double")
+        size = F.length(flags).cast("double")
+        among = lambda words: count(w, f"(?i) (?:{'|'.join(words)})(?![A-Za-z])") / F.greatest(size, F.lit(1.0))
+        above = lambda share, free, factor: F.when(size >= P.PENALTY_LEAST_WORDS, F.greatest(F.lit(0.0), share - free) * factor).otherwise(0.0)
+        marks = F.lit(0.0)
+        for m in P.CODE_MARKS:
+            marks = marks + (F.length(lower) - F.length(F.replace(lower, F.lit(m), F.lit("")))) / F.lit(float(len(m)))
+        titles = left(flags, "0+") / F.greatest(size, F.lit(1.0))
+        # Words from the fifth of a run of title-case words on.
+        late = counted(flags, f"0+|1{{1,{P.PENALTY_FREE_TITLE_RUN}}}(1*)")
+
+        def total_(c: Column) -> Column:
+            dense, letters, symbols = F.greatest(c["dense"], F.lit(1.0)), c["letters"], c["symbols"]
+            return (
+                marks * P.PENALTY_CODE_MARK
+                + F.least(F.lit(P.PENALTY_MOST_SYMBOLS), symbols * P.PENALTY_SYMBOL_SHARE / dense)
+                + n(r"[^\p{L}\p{N}_\s]{2,}") * P.PENALTY_SYMBOL_RUN
+                + F.when(t.contains("-"), n(r"\b\d{4}-\d{2}-\d{2}[A-Za-z]")).otherwise(0.0) * P.PENALTY_GLUED_DATE
+                + n(r"(?:^|\s)([.:;!?])(?:\s+\1){2,}") * P.PENALTY_REPEATED_MARK
+                + n(r"\b[A-Z]{2,}\b") * P.PENALTY_CAPITALS
+                + F.when(lower.contains("changelog"), P.PENALTY_CHANGELOG).otherwise(0.0)
+                + F.when(lower.rlike(r"\bnewest\s+games\s+like\b"), P.PENALTY_GAMES_PHRASE).otherwise(0.0)
+                + F.when((letters > 0) & (letters / dense < P.PENALTY_LEAST_LETTERS), P.PENALTY_FEW_LETTERS).otherwise(0.0)
+                + late * P.PENALTY_TITLE_RUN
+                + above(titles, P.PENALTY_FREE_TITLES, P.PENALTY_TITLES)
+                + above(among(P.CONNECTORS), P.PENALTY_FREE_CONNECTORS, P.PENALTY_CONNECTORS)
+                + above(among(P.INTENSIFIERS), P.PENALTY_FREE_INTENSIFIERS, P.PENALTY_INTENSIFIERS)
+            )
+
+        found = F.struct(left(t, r"(?U)\s+").alias("dense"), left(t, r"\P{L}+").alias("letters"), left(t, r"[\s\p{L}\p{N}.,;:!?\"'()-]+").alias("symbols"))
+        return F.when(t == "", P.PENALTY_BLANK).otherwise(once(found, total_))
+
+    stripped = lambda t: once(F.struct(t.alias("t"), F.lower(t).alias("lower"), worded(t).alias("w")), lambda x: once(F.struct(x["t"].alias("t"), x["lower"].alias("lower"), x["w"].alias("w"), titled(x["w"]).alias("flags")), of))
+    return once(strip(text), stripped)

@@ -155,3 +155,11 @@ def test_quality_penalty(spark):
     rows = spark.createDataFrame(list(PENALTIES.items()), "t string, want double").select("t", "want", text.quality_penalty(F.col("t")).alias("got")).collect()
     assert {r["t"]: r["got"] for r in rows} == pytest.approx(PENALTIES)
 
+
+
+def test_quality_penalty_computes_the_text_once(spark):
+    """Every term names the stripped text, and a condition would strip it again for each of them; a null text has no penalty and no words count as none."""
+    row = spark.createDataFrame([("... --- ...", None)], "t string, none string").select(*(text.quality_penalty(F.col(c)).alias(c) for c in ("t", "none"))).first()
+    assert row["t"] == pytest.approx(3 * 0.25) and row["none"] is None
+    plan = spark.range(1).select(text.quality_penalty(F.concat(F.lit("a"), F.col("id").cast("string"))).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?U)^\\s+|\\s+$") == 1 and plan.count("A-Za-z]+\\b") == 1
