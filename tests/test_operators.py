@@ -303,3 +303,21 @@ def test_ranked_candidates_equal_the_loop(spark):
     assert [r["rank"] for r in got] == list(range(1, 26))
     assert [(r["latent"], r["category"]) for r in got] == [(r[0], names(r)) for r in order]
     assert [r["score"] for r in got] == pytest.approx([score(r) for r in order])
+
+
+def test_only_texts_that_may_be_near_are_signed_whole(spark):
+    """Near copies, equal texts and the rest: what stays is what all whole signatures say, and unlike texts have none."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(5000)], k=80)) for _ in range(30)]
+    texts += [t + " more" for t in texts[:6]] + texts[6:9] + [" ".join(t.split()[:20] + rng.choices([f"v{i}" for i in range(5000)], k=60)) for t in texts[9:15]] + ["", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    sigs = {r["i"]: r["s"] for r in df.select("i", spans.minhash_function()(F.col("t")).alias("s")).collect()}
+    near = lambda a, b: sum(x == y for x, y in zip(sigs[a], sigs[b], strict=True)) / 64 >= 0.85 and any(sigs[a][k : k + 4] == sigs[b][k : k + 4] for k in range(0, 64, 4))
+    stay = []
+    for i in range(len(texts)):
+        if not texts[i] or not any(texts[j] and near(j, i) for j in stay):
+            stay.append(i)
+    assert sorted(r["i"] for r in sampling.without_near_duplicates(df, "i", "t", "i").collect()) == stay and len(stay) < len(texts) - 6
+    signed = {r["item"]: r["sig"] for r in sampling._signed(df, "i", "t", "i", 64, 5, 0.85).collect()}
+    assert all(s is None or s == sigs[i] for i, s in signed.items()) and len(signed) == len(texts)
+    assert all(signed[i] is not None for i in (0, 30, 6, 36)) and sum(s is not None for s in signed.values()) < 24
